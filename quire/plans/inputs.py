@@ -24,9 +24,8 @@ from quire.session import ensure_session_conf
 
 # Fixed evaluation clock for every query that needs "now".
 NOW = "2024-02-01 00:00:00"
-# Upload clock of the document catalogue: doc i was uploaded i minutes before NOW - 1 day...
-# expressed as a rule so it is the same in the oracle: 2023-10-01 plus (doc_id * 131) % 150 days
-# and doc_id minutes.
+# Upload clock of the document catalogue, a rule on the id (same in the oracle):
+# 2023-10-01 plus (doc_id * 131) % 150 days plus doc_id % 1440 minutes.
 CATALOG_EPOCH = "2023-10-01 00:00:00"
 TENANTS = 20
 
@@ -122,3 +121,39 @@ def events_as_log(events: DataFrame) -> DataFrame:
         event_k("props").alias("k"),
         F.col("user_id"),
     )
+
+
+def progress_log(events: DataFrame) -> DataFrame:
+    """events -> progress rows: a click finishes page k%4+1, a signup records total k%4+1,
+    view / error / purchase set the status to processing / failed / completed."""
+    log = events_as_log(events)
+    et, k = F.col("event_type"), F.col("k")
+    return log.select(
+        "file_id", "ts", "seq",
+        F.when(et == "click", (k % 4 + 1).cast("int")).alias("page"),
+        F.when(et == "signup", (k % 4 + 1).cast("int")).alias("total"),
+        F.when(et == "view", F.lit("processing")).when(et == "error", F.lit("failed"))
+        .when(et == "purchase", F.lit("completed")).alias("status"))
+
+
+def status_change_log(events: DataFrame) -> DataFrame:
+    """events -> status-record change log (schema ``LOG``): signup = put (tenant, pending,
+    total k%4+1, processed 0), view = set status processing, click = increment processed,
+    purchase = set processed k%4+1, error = delete when k%10 = 0, else set status failed with
+    a message."""
+    log = events_as_log(events)
+    et, k = F.col("event_type"), F.col("k")
+    tenant = F.concat(F.lit("src"), (F.col("user_id") % TENANTS).cast("string"))
+    total = (k % 4 + 1).cast("string")
+    op = (F.when(et == "signup", F.lit("put")).when(et == "click", F.lit("inc"))
+          .when((et == "error") & (k % 10 == 0), F.lit("delete")).otherwise(F.lit("set")))
+    fields = (F.when(et == "signup", F.create_map(
+                F.lit("tenant_id"), tenant, F.lit("overall_status"), F.lit("pending"),
+                F.lit("total_pages"), total, F.lit("processed_pages"), F.lit("0")))
+              .when(et == "view", F.create_map(F.lit("overall_status"), F.lit("processing")))
+              .when(et == "purchase", F.create_map(F.lit("processed_pages"), total))
+              .when((et == "error") & (k % 10 != 0), F.create_map(
+                  F.lit("overall_status"), F.lit("failed"),
+                  F.lit("error_message"), F.concat(F.lit("error "), k.cast("string")))))
+    return log.select("file_id", "ts", "seq", op.alias("op"), fields.alias("fields"),
+                      F.when(et == "click", F.lit(1).cast("long")).alias("inc"))

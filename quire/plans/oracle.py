@@ -181,3 +181,121 @@ Q["deferred_documents"] = f"""
 
 def oracle_sql() -> dict[str, str]:
     return dict(Q)
+
+
+ISO = "'%Y-%m-%dT%H:%M:%S.%gZ'"
+
+EVENT_LOG = """
+  SELECT user_id * 100 + day(ts) // 5 AS file_id, ts, event_id AS seq, event_type,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id
+  FROM events
+"""
+
+PROGRESS = f"""
+  SELECT file_id, ts, seq,
+    CASE WHEN event_type = 'click' THEN CAST(k % 4 + 1 AS INTEGER) END AS page,
+    CASE WHEN event_type = 'signup' THEN CAST(k % 4 + 1 AS INTEGER) END AS total,
+    CASE event_type WHEN 'view' THEN 'processing' WHEN 'error' THEN 'failed'
+                    WHEN 'purchase' THEN 'completed' END AS status
+  FROM ({EVENT_LOG})
+"""
+
+Q["ready_documents"] = f"""
+  SELECT file_id, processed_pages, total_pages, overall_status FROM (
+    SELECT file_id, count(DISTINCT page) AS processed_pages,
+      CAST(arg_max(total, (ts, seq)) FILTER (WHERE total IS NOT NULL) AS BIGINT) AS total_pages,
+      arg_max(status, (ts, seq)) FILTER (WHERE status IS NOT NULL) AS overall_status
+    FROM ({PROGRESS}) GROUP BY file_id)
+  WHERE processed_pages = total_pages AND total_pages > 0 AND overall_status = 'processing'
+"""
+
+# Status fold written the explicit way: find the last put/delete of each key, keep rows after
+# it, and read each field from the last row after it that writes the field.
+Q["status_fold"] = f"""
+  WITH l AS ({EVENT_LOG}),
+  o AS (
+    SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ts, seq) AS rn,
+      CASE WHEN event_type = 'signup' THEN 'put' WHEN event_type = 'click' THEN 'inc'
+           WHEN event_type = 'error' AND k % 10 = 0 THEN 'delete' ELSE 'set' END AS op
+    FROM l),
+  r AS (
+    SELECT *, max(CASE WHEN op IN ('put', 'delete') THEN rn END) OVER (PARTITION BY file_id)
+      AS reset_rn,
+      max(rn) OVER (PARTITION BY file_id) AS last_rn
+    FROM o),
+  a AS (SELECT * FROM r WHERE rn >= coalesce(reset_rn, 0)),
+  g AS (
+    SELECT file_id,
+      arg_max(CASE WHEN op = 'put' THEN 'src' || CAST(user_id % 20 AS VARCHAR) END, rn)
+        FILTER (WHERE op IN ('put', 'delete')) AS tenant_id,
+      arg_max(CASE WHEN op = 'put' THEN 'pending' WHEN op = 'delete' THEN NULL
+                   WHEN event_type = 'view' THEN 'processing' ELSE 'failed' END, rn)
+        FILTER (WHERE op IN ('put', 'delete') OR event_type = 'view'
+                OR (event_type = 'error' AND op = 'set')) AS overall_status,
+      arg_max(CASE WHEN op = 'put' THEN k % 4 + 1 END, rn)
+        FILTER (WHERE op IN ('put', 'delete')) AS total_pages,
+      arg_max(CASE WHEN op = 'set' AND event_type = 'error' THEN 'error ' || CAST(k AS VARCHAR)
+              END, rn)
+        FILTER (WHERE op IN ('put', 'delete') OR (event_type = 'error' AND op = 'set'))
+        AS error_message,
+      max(rn) FILTER (WHERE op IN ('put', 'delete') OR event_type = 'purchase') AS abs_rn,
+      arg_max(CASE WHEN op = 'put' THEN 0 WHEN event_type = 'purchase' THEN k % 4 + 1 END, rn)
+        FILTER (WHERE op IN ('put', 'delete') OR event_type = 'purchase') AS abs_val,
+      max(CASE WHEN op = 'put' THEN ts END) AS created,
+      max(ts) AS updated,
+      arg_max(op, rn) AS last_op
+    FROM a GROUP BY file_id),
+  i AS (
+    SELECT g.file_id, count(a.rn) AS incs_after
+    FROM g LEFT JOIN a ON a.file_id = g.file_id AND a.op = 'inc' AND a.rn > coalesce(g.abs_rn, 0)
+    GROUP BY g.file_id),
+  n AS (SELECT file_id, count(*) AS ops FROM l GROUP BY file_id)
+  SELECT g.file_id, tenant_id, overall_status, CAST(total_pages AS BIGINT) AS total_pages,
+    CAST(CASE WHEN incs_after = 0 THEN abs_val ELSE coalesce(abs_val, 0) + incs_after END
+         AS BIGINT) AS processed_pages,
+    error_message, strftime(created, {ISO}) AS created_at, strftime(updated, {ISO}) AS updated_at,
+    n.ops,
+    coalesce(CASE WHEN incs_after = 0 THEN abs_val ELSE coalesce(abs_val, 0) + incs_after END
+             = total_pages AND total_pages > 0 AND overall_status = 'processing', false) AS ready
+  FROM g JOIN i ON g.file_id = i.file_id JOIN n ON g.file_id = n.file_id
+  WHERE last_op <> 'delete'
+"""
+
+CHANGES = f"""
+  WITH m AS ({PROGRESS}),
+  f AS (
+    SELECT *, CASE WHEN page IS NOT NULL AND row_number() OVER (
+        PARTITION BY file_id, page ORDER BY ts, seq) = 1 THEN 1 ELSE 0 END AS is_first
+    FROM m),
+  s AS (
+    SELECT *,
+      CAST(sum(is_first) OVER w AS BIGINT) AS new_processed,
+      last_value(total IGNORE NULLS) OVER w AS new_total,
+      last_value(status IGNORE NULLS) OVER w AS new_status,
+      row_number() OVER (PARTITION BY file_id ORDER BY ts, seq) AS rn
+    FROM f
+    WINDOW w AS (PARTITION BY file_id ORDER BY ts, seq
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  SELECT file_id, seq, ts, rn,
+    new_processed - is_first AS old_processed,
+    lag(new_total) OVER p AS old_total, lag(new_status) OVER p AS old_status,
+    new_processed, new_total, new_status
+  FROM s WINDOW p AS (PARTITION BY file_id ORDER BY ts, seq)
+"""
+
+Q["change_images"] = f"""
+  SELECT file_id, seq, strftime(ts, {ISO}) AS ts, old_processed, old_total, old_status,
+    new_processed, new_total, new_status,
+    coalesce(new_processed = new_total AND new_total > 0 AND new_status = 'processing', false)
+      AS level_trigger
+  FROM ({CHANGES}) WHERE rn > 1
+"""
+
+Q["completion_transition"] = f"""
+  SELECT file_id, seq, strftime(ts, {ISO}) AS ts, new_processed, new_total
+  FROM ({CHANGES})
+  WHERE rn > 1
+    AND coalesce(new_processed = new_total AND new_total > 0 AND new_status = 'processing', false)
+    AND NOT coalesce(old_processed = old_total AND old_total > 0 AND old_status = 'processing',
+                     false)
+"""

@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 
 from quire.functions.jsonrules import page_outcome, strict_json, chunk_status
 from quire.functions.keys import page_sk
+from quire.functions.lifecycle import iso_utc, ready
+from quire.operators.log import (
+    change_images, completion_edges, document_progress, fold, modify_status_changes,
+    page_changes, single_table,
+)
 from quire.operators.annotate import annotate_native, native_analysis, store_reply
 from quire.operators.manifest import guard, manifest_chunks, manifest_header
 from quire.operators.pages import prompt, split_pages
 from quire.plans.inputs import (
-    annotation_fault, files_from_documents, now_col, pages_from_conversations, reply_kind,
-    table, wrap_reply,
+    annotation_fault, files_from_documents, now_col, pages_from_conversations, progress_log,
+    reply_kind, status_change_log, table, wrap_reply,
 )
 
 
@@ -138,3 +143,54 @@ def q_deferred_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         ~(((F.col("conv_id") % 5) == 0) & (F.col("turn") == 1)))
     return guard(totals, stored).select("file_id", F.col("total_pages").cast("long"),
                                         "pages_found", "action")
+
+
+# ------------------------------------------------------------------ events -> change log
+
+def q_ready_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents ready for aggregation (processed = total > 0, status processing);
+    processed counts distinct finished pages, so replays do not over-count."""
+    prog = document_progress(progress_log(table(spark, sf_dir, "events")))
+    return prog.filter("ready").select("file_id", "processed_pages", "total_pages",
+                                       "overall_status")
+
+
+def q_status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status table as a fold of its change log (put / set / increment /
+    delete), one row per live document."""
+    log = status_change_log(table(spark, sf_dir, "events"))
+    st = fold(log, fields=("tenant_id", "overall_status", "total_pages", "error_message"),
+              counter="processed_pages")
+    return st.select(
+        "file_id", "tenant_id", "overall_status",
+        F.col("total_pages").cast("long").alias("total_pages"),
+        F.col("processed_pages").cast("long").alias("processed_pages"), "error_message",
+        iso_utc("created_at").alias("created_at"), iso_utc("updated_at").alias("updated_at"),
+        F.col("ops").cast("long").alias("ops"),
+        ready(F.col("processed_pages"), F.col("total_pages").cast("long"),
+              F.col("overall_status")).alias("ready"))
+
+
+def _status_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = progress_log(table(spark, sf_dir, "events"))
+    images = change_images(log)
+    pages = page_changes(log)
+    return single_table(status=images, page=pages)
+
+
+def q_change_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W3 ST2 P7: old and new image of the status record at each change; the feed also holds
+    page-record changes, filtered out with INSERTs, as the completion trigger sees it."""
+    feed = modify_status_changes(_status_feed(spark, sf_dir))
+    return feed.select(
+        "file_id", "seq", iso_utc("ts").alias("ts"), "old_processed", "old_total", "old_status",
+        "new_processed", "new_total", "new_status",
+        ready("new_processed", "new_total", "new_status").alias("level_trigger"))
+
+
+def q_completion_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST3: the changes at which a document becomes ready (ready now, not before)."""
+    feed = modify_status_changes(_status_feed(spark, sf_dir))
+    edges = completion_edges(feed)
+    return edges.select("file_id", "seq", iso_utc("ts").alias("ts"), "new_processed",
+                        "new_total")

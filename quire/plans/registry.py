@@ -14,6 +14,10 @@ QUERIES = {
     "document_manifest": q.q_document_manifest,
     "manifest_chunks": q.q_manifest_chunks,
     "deferred_documents": q.q_deferred_documents,
+    "ready_documents": q.q_ready_documents,
+    "status_fold": q.q_status_fold,
+    "change_images": q.q_change_images,
+    "completion_transition": q.q_completion_transition,
 }
 
 ORACLE = oracle_sql()
