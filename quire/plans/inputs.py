@@ -25,8 +25,8 @@ from quire.session import ensure_session_conf
 # Fixed evaluation clock for every query that needs "now".
 NOW = "2024-02-01 00:00:00"
 # Upload clock of the document catalogue, a rule on the id (same in the oracle):
-# 2023-10-01 plus (doc_id * 131) % 150 days plus doc_id % 1440 minutes.
-CATALOG_EPOCH = "2023-10-01 00:00:00"
+# 2023-09-01 plus (doc_id * 131) % 150 days plus doc_id % 1440 minutes.
+CATALOG_EPOCH = "2023-09-01 00:00:00"
 TENANTS = 20
 
 
@@ -43,12 +43,13 @@ def uploaded_at(doc_id) -> Column:
     """Upload time by rule on the id (spread over ~150 days before NOW)."""
     d = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return (F.lit(CATALOG_EPOCH).cast("timestamp")
-            + F.make_dt_interval(days=(d * 131) % 150, mins=d % 1440))
+            + F.make_dt_interval(days=((d * 131) % 150).cast("int"),
+                                 mins=(d % 1440).cast("int")))
 
 
-def files_from_documents(docs: DataFrame) -> DataFrame:
+def files_from_documents(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """documents -> upload rows: file id, tenant, name, size, upload time, text."""
-    return docs.select(
+    return docs.select(*extra,
         F.col("doc_id").cast("string").alias("file_id"),
         F.col("source").alias("tenant_id"),
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"),
@@ -59,6 +60,44 @@ def files_from_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def uploads_from_documents(docs: DataFrame) -> DataFrame:
+    """documents -> raw upload requests: the ``files_from_documents`` columns plus the request
+    fields a form post carries, set by rule: the file part is absent when doc_id % 17 = 0, the
+    tenant field is empty when doc_id % 13 = 0 and absent when doc_id % 13 = 1, the bucket is
+    empty when doc_id % 3 = 0, absent when doc_id % 3 = 1, else ``tenant-bucket``."""
+    d = F.col("doc_id")
+    req = docs.select(
+        "*",
+        ((d % 17) != 0).alias("has_file"),
+        F.when(d % 13 == 0, F.lit("")).when(d % 13 == 1, F.lit(None).cast("string"))
+        .otherwise(F.col("source")).alias("form_tenant"),
+        F.when(d % 3 == 0, F.lit("")).when(d % 3 == 1, F.lit(None).cast("string"))
+        .otherwise(F.lit("tenant-bucket")).alias("bucket"))
+    return files_from_documents(req, extra=("has_file", "form_tenant", "bucket"))
+
+
+def status_from_labels(labels: DataFrame) -> DataFrame:
+    """labels -> status rows (one per job): quality 1 and not toxic = completed with a result
+    key, toxic = failed, else processing; total = doc_id % 9 + 1 pages, processed = total when
+    completed, else doc_id % (total + 1); started 5 minutes after the upload clock, completed
+    one hour after it."""
+    d = F.col("doc_id")
+    total = (d % 9 + 1).cast("int")
+    status = (F.when((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit("completed"))
+              .when(F.col("toxic") == 1, F.lit("failed")).otherwise(F.lit("processing")))
+    tenant = F.concat(F.lit("src"), (d % TENANTS).cast("string"))
+    done = status == "completed"
+    return labels.select(
+        d.cast("string").alias("file_id"), tenant.alias("tenant_id"),
+        status.alias("overall_status"), total.alias("total_pages"),
+        F.when(done, total).otherwise((d % (total + 1)).cast("int")).alias("processed_pages"),
+        F.lit(0).alias("failed_pages"),
+        (uploaded_at(d) + F.expr("INTERVAL 5 MINUTES")).alias("started_at"),
+        F.when(done, uploaded_at(d) + F.expr("INTERVAL 1 HOUR")).alias("completed_at"),
+        F.when(done, F.concat_ws("/", tenant, d.cast("string"), F.lit("results.json")))
+        .alias("result_key"))
+
+
 def conversation_tenant(conv_id) -> Column:
     c = F.col(conv_id) if isinstance(conv_id, str) else conv_id
     return F.concat(F.lit("src"), (c % TENANTS).cast("string"))

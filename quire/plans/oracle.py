@@ -299,3 +299,136 @@ Q["completion_transition"] = f"""
     AND NOT coalesce(old_processed = old_total AND old_total > 0 AND old_status = 'processing',
                      false)
 """
+
+
+NOW_EPOCH = "epoch(TIMESTAMP '2024-02-01 00:00:00')"
+
+FILES = """
+  SELECT CAST(doc_id AS VARCHAR) AS file_id, source AS tenant_id,
+    'doc-' || CAST(doc_id AS VARCHAR) || '.txt' AS file_name, n_chars AS file_size,
+    TIMESTAMP '2023-09-01 00:00:00' + to_days(CAST((doc_id * 131) % 150 AS INTEGER))
+      + to_minutes(CAST(doc_id % 1440 AS BIGINT)) AS uploaded_at,
+    doc_id
+  FROM documents
+"""
+
+Q["file_catalog_route"] = f"""
+  SELECT file_id, tenant_id, 'FILE#' || file_id AS pk, 'METADATA' AS sk,
+    'TENANT#' || tenant_id AS gsi1pk, 'FILE#' || strftime(uploaded_at, {ISO}) AS gsi1sk,
+    tenant_id || '/' || file_id || '/' || file_name AS s3_key,
+    CASE WHEN doc_id % 3 IN (0, 1) THEN 'document-orchestrator-pdfs' ELSE 'tenant-bucket' END
+      AS s3_bucket,
+    CASE WHEN file_size >= 0.00390625 * 1048576 THEN 'async' ELSE 'sync' END AS processing_type,
+    'uploaded' AS status,
+    CAST({NOW_EPOCH} AS BIGINT) + 90 * 86400 AS ttl
+  FROM ({FILES})
+"""
+
+Q["upload_validation"] = f"""
+  SELECT file_id,
+    NOT (doc_id % 17 = 0 OR doc_id % 13 IN (0, 1)) AS valid,
+    CASE WHEN doc_id % 17 = 0 THEN 'No file uploaded'
+         WHEN doc_id % 13 IN (0, 1) THEN 'Tenant ID is required' END AS reject_reason
+  FROM ({FILES})
+"""
+
+Q["missing_files"] = f"""
+  SELECT file_id, tenant_id || '/' || file_id || '/' || file_name AS s3_key,
+    doc_id IN (SELECT doc_id FROM labels) AS exists
+  FROM ({FILES})
+"""
+
+Q["retention_actions"] = f"""
+  SELECT file_id, age_days,
+    CASE WHEN age_days >= 90 THEN 'expire' ELSE 'keep' END AS document_action,
+    age_days - 1 AS result_age_days,
+    CASE WHEN age_days - 1 >= 30 THEN 'archive' ELSE 'keep' END AS result_action,
+    ttl, ttl > CAST({NOW_EPOCH} AS BIGINT) AS live
+  FROM (
+    SELECT file_id,
+      CAST(floor(({NOW_EPOCH} - epoch(uploaded_at)) / 86400) AS BIGINT) AS age_days,
+      CAST(epoch(uploaded_at) AS BIGINT) + 90 * 86400 AS ttl
+    FROM ({FILES}))
+"""
+
+Q["tenant_recent_50"] = f"""
+  SELECT tenant_id, rank, file_id, file_name, 'uploaded' AS status,
+    strftime(uploaded_at, {ISO}) AS uploaded_at
+  FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id
+                                     ORDER BY uploaded_at DESC, file_id ASC) AS rank
+        FROM ({FILES}))
+  WHERE rank <= 50
+"""
+
+Q["tenant_documents"] = f"""
+  WITH l AS ({EVENT_LOG}),
+  o AS (
+    SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY ts, seq) AS rn,
+      CASE WHEN event_type = 'signup' THEN 'put' WHEN event_type = 'click' THEN 'inc'
+           WHEN event_type = 'error' AND k % 10 = 0 THEN 'delete' ELSE 'set' END AS op
+    FROM l),
+  r AS (SELECT *, max(CASE WHEN op IN ('put', 'delete') THEN rn END)
+                    OVER (PARTITION BY file_id) AS reset_rn FROM o),
+  g AS (
+    SELECT file_id,
+      arg_max(CASE WHEN op = 'put' THEN 'src' || CAST(user_id % 20 AS VARCHAR) END, rn)
+        FILTER (WHERE op IN ('put', 'delete')) AS tenant_id,
+      arg_max(CASE WHEN op = 'put' THEN 'pending' WHEN op = 'delete' THEN NULL
+                   WHEN event_type = 'view' THEN 'processing' ELSE 'failed' END, rn)
+        FILTER (WHERE op IN ('put', 'delete') OR event_type = 'view'
+                OR (event_type = 'error' AND op = 'set')) AS overall_status,
+      max(CASE WHEN op = 'put' THEN ts END) AS created, max(ts) AS updated,
+      arg_max(op, rn) AS last_op
+    FROM r WHERE rn >= coalesce(reset_rn, 0) GROUP BY file_id),
+  t AS (
+    SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY updated DESC, file_id ASC)
+      AS rank
+    FROM g WHERE last_op <> 'delete' AND tenant_id IS NOT NULL)
+  SELECT tenant_id, rank, file_id, overall_status, strftime(created, {ISO}) AS created_at,
+    strftime(updated, {ISO}) AS updated_at
+  FROM t WHERE rank <= 50
+"""
+
+LABEL_STATUS = """
+  SELECT CAST(doc_id AS VARCHAR) AS file_id, doc_id,
+    CASE WHEN quality = 1 AND toxic = 0 THEN 'completed' WHEN toxic = 1 THEN 'failed'
+         ELSE 'processing' END AS status,
+    doc_id % 9 + 1 AS total,
+    TIMESTAMP '2023-09-01 00:00:00' + to_days(CAST((doc_id * 131) % 150 AS INTEGER))
+      + to_minutes(CAST(doc_id % 1440 AS BIGINT)) AS up
+  FROM labels
+"""
+
+Q["job_view"] = f"""
+  SELECT s.file_id, f.file_name, s.status,
+    CAST(CASE WHEN s.status = 'completed' THEN total ELSE s.doc_id % (total + 1) END AS BIGINT)
+      AS processed,
+    CAST(total AS BIGINT) AS total, CAST(0 AS BIGINT) AS failed,
+    strftime(f.uploaded_at, {ISO}) AS uploaded,
+    strftime(up + INTERVAL 5 MINUTE, {ISO}) AS started,
+    CASE WHEN s.status = 'completed' THEN strftime(up + INTERVAL 1 HOUR, {ISO}) END AS completed,
+    CASE WHEN s.status = 'completed'
+      THEN 'src' || CAST(s.doc_id % 20 AS VARCHAR) || '/' || s.file_id || '/results.json'
+    END AS result_s3_key,
+    round(CAST(CASE WHEN s.status = 'completed' THEN total ELSE s.doc_id % (total + 1) END
+               AS DOUBLE) * 100.0 / total, 2) AS percent
+  FROM ({LABEL_STATUS}) s
+  LEFT JOIN ({FILES}) f ON s.file_id = f.file_id AND f.doc_id % 7 <> 0
+"""
+
+Q["results_available"] = f"""
+  SELECT file_id, tenant_id,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) AS available
+  FROM ({FILES})
+"""
+
+Q["single_table"] = f"""
+  SELECT pk, sk, kind, tenant_id, file_name, page_number, starts_with(sk, 'PAGE#') AS is_page
+  FROM (
+    SELECT 'FILE#' || file_id AS pk, 'METADATA' AS sk, tenant_id, file_name, 'file' AS kind
+    FROM ({FILES})
+    UNION ALL BY NAME
+    SELECT 'DOC#' || file_id AS pk, printf('PAGE#%04d', page_number) AS sk, tenant_id,
+      page_number, 'page' AS kind
+    FROM ({CONV_PAGES}))
+"""

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.jsonrules import page_outcome, strict_json, chunk_status
-from quire.functions.keys import page_sk
-from quire.functions.lifecycle import iso_utc, ready
+from quire.functions.keys import doc_pk, file_pk, page_sk
+from quire.functions.lifecycle import iso_utc, ready, ttl_stamp
+from quire.operators.catalog import catalog_files, object_exists, retention, validate_uploads
+from quire.operators.views import documents_by_tenant, job_view, results_available, tenant_recent
 from quire.operators.log import (
     change_images, completion_edges, document_progress, fold, modify_status_changes,
     page_changes, single_table,
@@ -22,7 +24,8 @@ from quire.operators.manifest import guard, manifest_chunks, manifest_header
 from quire.operators.pages import prompt, split_pages
 from quire.plans.inputs import (
     annotation_fault, files_from_documents, now_col, pages_from_conversations, progress_log,
-    reply_kind, status_change_log, table, wrap_reply,
+    reply_kind, status_change_log, status_from_labels, table, uploads_from_documents,
+    wrap_reply,
 )
 
 
@@ -194,3 +197,104 @@ def q_completion_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = completion_edges(feed)
     return edges.select("file_id", "seq", iso_utc("ts").alias("ts"), "new_processed",
                         "new_total")
+
+
+# ------------------------------------------------------------------ catalogue and views
+
+ROUTE_THRESHOLD_MB = "0.00390625"   # 4,096 bytes: splits the driver's documents by size
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ups = uploads_from_documents(table(spark, sf_dir, "documents"))
+    return catalog_files(ups, now_col(), threshold_mb=ROUTE_THRESHOLD_MB)
+
+
+def q_file_catalog_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File records with keys, object key, default bucket, size routing
+    (inclusive threshold) and retention stamp."""
+    cat = _catalog(spark, sf_dir)
+    return cat.select("file_id", "tenant_id", "pk", "sk", "gsi1pk", "gsi1sk", "s3_key",
+                      "s3_bucket", "processing_type", "status", "ttl")
+
+
+def q_upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upload requests validated in order (file part, then non-empty tenant)."""
+    ups = uploads_from_documents(table(spark, sf_dir, "documents"))
+    v = validate_uploads(ups, "has_file", "form_tenant")
+    return v.select("file_id", "valid", "reject_reason")
+
+
+def q_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: existence of each catalogued file's object against a listing (labels hold the
+    stored objects)."""
+    cat = _catalog(spark, sf_dir)
+    listing = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string")
+                                                    .alias("file_id"))
+    return object_exists(cat, listing).select("file_id", "s3_key", "exists")
+
+
+def q_retention_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per file, document expiry at 90 days, result archive at 30 days (results are
+    written a day after upload), and whether the record's ttl is still live at NOW."""
+    cat = _catalog(spark, sf_dir)
+    # ttl as the writers stamp it: 90 days from the upload time
+    cat = cat.withColumn("ttl", ttl_stamp(F.col("uploaded_at")))
+    r = retention(cat, now_col(), result_lag_days=1)
+    return r.select("file_id", "age_days", "document_action", "result_age_days",
+                    "result_action", "ttl", "live")
+
+
+def q_tenant_recent_50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 newest files of every tenant, newest first, ties by file id."""
+    cat = _catalog(spark, sf_dir)
+    top = tenant_recent(cat, 50)
+    return top.select("tenant_id", F.col("rank").cast("long").alias("rank"), "file_id",
+                      "file_name", "status", iso_utc("uploaded_at").alias("uploaded_at"))
+
+
+def q_tenant_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 most recently updated documents of every tenant from the folded status
+    table (ties by file id)."""
+    log = status_change_log(table(spark, sf_dir, "events"))
+    st = fold(log, fields=("tenant_id", "overall_status"), counter=None)
+    top = documents_by_tenant(st, 50)
+    return top.select("tenant_id", F.col("rank").cast("long").alias("rank"), "file_id",
+                      "overall_status", iso_utc("created_at").alias("created_at"),
+                      iso_utc("updated_at").alias("updated_at"))
+
+
+def q_job_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job view per status row, left-joined to file records (files whose id is
+    divisible by 7 have no record), flattened."""
+    status = status_from_labels(table(spark, sf_dir, "labels"))
+    files = files_from_documents(table(spark, sf_dir, "documents").filter(
+        (F.col("doc_id") % 7) != 0))
+    v = job_view(status, files)
+    return v.select("file_id", "file_name", "status",
+                    F.col("progress.processed").cast("long").alias("processed"),
+                    F.col("progress.total").cast("long").alias("total"),
+                    F.col("progress.failed").cast("long").alias("failed"),
+                    F.col("timestamps.uploaded").alias("uploaded"),
+                    F.col("timestamps.started").alias("started"),
+                    F.col("timestamps.completed").alias("completed"),
+                    F.col("result.s3_key").alias("result_s3_key"), "percent")
+
+
+def q_results_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose status row carries a result key (semi join) versus the rest (anti)."""
+    files = files_from_documents(table(spark, sf_dir, "documents"))
+    status = status_from_labels(table(spark, sf_dir, "labels"))
+    return results_available(files.select("file_id", "tenant_id"), status).select(
+        "file_id", "tenant_id", "available")
+
+
+def q_single_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File records and page records in one table, told apart by key prefix."""
+    files = files_from_documents(table(spark, sf_dir, "documents")).select(
+        file_pk("file_id").alias("pk"), F.lit("METADATA").alias("sk"), "tenant_id", "file_name")
+    pages = pages_from_conversations(table(spark, sf_dir, "conversations")).select(
+        doc_pk("file_id").alias("pk"), page_sk("page_number").alias("sk"), "tenant_id",
+        "page_number")
+    t = single_table(file=files, page=pages)
+    return t.select("pk", "sk", "kind", "tenant_id", "file_name", "page_number",
+                    F.col("sk").startswith("PAGE#").alias("is_page"))

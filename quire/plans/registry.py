@@ -18,6 +18,15 @@ QUERIES = {
     "status_fold": q.q_status_fold,
     "change_images": q.q_change_images,
     "completion_transition": q.q_completion_transition,
+    "file_catalog_route": q.q_file_catalog_route,
+    "upload_validation": q.q_upload_validation,
+    "missing_files": q.q_missing_files,
+    "retention_actions": q.q_retention_actions,
+    "tenant_recent_50": q.q_tenant_recent_50,
+    "tenant_documents": q.q_tenant_documents,
+    "job_view": q.q_job_view,
+    "results_available": q.q_results_available,
+    "single_table": q.q_single_table,
 }
 
 ORACLE = oracle_sql()
