@@ -4,16 +4,19 @@ A plain ``Window.partitionBy(key).orderBy(...)`` sends every row of a key to one
 holding a third of the table becomes one task holding a third of the table. ``keyed_scan``
 instead computes running values in three steps, all on Spark:
 
-1. ``repartitionByRange(n, key, *order)``: a sampled range shuffle. Boundaries fall *inside* a
-   hot key, so its rows spread over many partitions; the partition index (``_seg``) increases
-   with (key, order), so it is a segment number within each key.
-2. Running values within (key, segment) with windows; each window group is at most one range
-   partition.
-3. A per-(key, segment) summary (one row per segment) gives each segment its carry-in from the
-   earlier segments of the same key (a window over the small summary), which is joined back on
-   (key, segment) and combined with the local values.
-
-Results are exact: the same as the single-window form on any data.
+1. Segments: approximate quantiles of the leading order column over the *whole* table
+   (``approxQuantile``, one pass, a bounded list of values on the driver) cut the order axis into
+   ``n`` ranges of about equal row count. Every (key, segment) group therefore holds at most
+   about rows/n rows, however big the key: a key with a third of the rows spans about n/3
+   segments. The segment is a deterministic expression of the row (a binary CASE tree over the
+   boundaries, codegen-friendly), so every branch of the plan agrees on it.
+2. Running values within (key, segment) with windows (one hash shuffle on (key, segment)).
+3. A per-(key, segment) summary gives each segment its carry-in from the earlier segments of
+   the same key (a window over the small summary), joined back on (key, segment) and combined
+   with the local values.
+
+Results are exact: the same as the single-window form on any data; segments only bound the
+work per task.
 """
 
 from __future__ import annotations
@@ -22,12 +25,52 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+MAX_SEGMENTS = 4096
 
 
 def _n_segments(df: DataFrame, n: int | None) -> int:
     if n:
-        return int(n)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        return max(1, int(n))
+    return min(MAX_SEGMENTS,
+               int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def _order_scalar(df: DataFrame, col: str) -> Column | None:
+    """A numeric, order-preserving image of the leading order column (None if unsupported)."""
+    dt = df.schema[col].dataType
+    c = F.col(col)
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(dt, T.NumericType):
+        return c.cast("double")
+    return None
+
+
+def _bucket(x: Column, bounds: list[float]) -> Column:
+    """Number of boundaries <= x, as a balanced CASE tree (O(log n) per row)."""
+    def build(lo: int, hi: int) -> Column:
+        if lo >= hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x < F.lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
+    return build(0, len(bounds))
+
+
+def segment_column(df: DataFrame, order: Sequence[str], n: int) -> Column:
+    """Deterministic segment number of each row along the leading order column."""
+    x = _order_scalar(df, order[0])
+    if x is None or n <= 1:
+        return F.lit(0)
+    probs = [i / n for i in range(1, n)]
+    qs = df.select(x.alias("_ks_x")).approxQuantile("_ks_x", probs, 1.0 / (4 * n))
+    bounds = sorted({q for q in qs if q is not None})
+    if not bounds:
+        return F.lit(0)
+    return _bucket(x, bounds)
 
 
 def keyed_scan(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
@@ -52,7 +95,7 @@ def keyed_scan(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
     for name, c in lasts.items():
         base = base.withColumn(f"_ks_lv_{name}", F.col(c) if isinstance(c, str) else c)
 
-    seg = base.repartitionByRange(n, *keys, *order).withColumn("_ks_seg", F.spark_partition_id())
+    seg = base.withColumn("_ks_seg", segment_column(base, order, n))
 
     w = Window.partitionBy(*keys, "_ks_seg").orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -72,7 +115,6 @@ def keyed_scan(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
     for name in lasts:
         lv = F.col(f"_ks_lv_{name}")
         aggs.append(F.max_by(lv, F.when(lv.isNotNull(), pos)).alias(f"_ks_seg_l_{name}"))
-    # grouped from ``local``: already hash-partitioned on (key, segment), so no new shuffle
     summary = local.groupBy(*keys, "_ks_seg").agg(*aggs)
     prior = Window.partitionBy(*keys).orderBy("_ks_seg").rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = [F.coalesce(F.sum("_ks_seg_n").over(prior), F.lit(0)).alias("_ks_c_n")]

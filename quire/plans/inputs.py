@@ -159,6 +159,7 @@ def events_as_log(events: DataFrame) -> DataFrame:
         F.col("event_type"),
         event_k("props").alias("k"),
         F.col("user_id"),
+        F.col("value"),
     )
 
 
@@ -196,3 +197,36 @@ def status_change_log(events: DataFrame) -> DataFrame:
                   F.lit("error_message"), F.concat(F.lit("error "), k.cast("string")))))
     return log.select("file_id", "ts", "seq", op.alias("op"), fields.alias("fields"),
                       F.when(et == "click", F.lit(1).cast("long")).alias("inc"))
+
+
+def event_tenant(user_id) -> Column:
+    c = F.col(user_id) if isinstance(user_id, str) else user_id
+    return F.concat(F.lit("src"), (c % TENANTS).cast("string"))
+
+
+def wire_events(events: DataFrame) -> DataFrame:
+    """events -> published envelopes ``(seq, key, value)``: signups are uploads (payload with
+    name, object key and a bucket that is empty when k%3 = 0; when k%7 = 0 the payload also
+    carries its own fileId), clicks are chunk-ready events of page k%4+1, the rest are status
+    events. Every 101st record arrives truncated (transport damage)."""
+    from quire.operators.publish import CHUNK_READY, UPLOADED, envelope, merge_payload
+    log = events_as_log(events)
+    et, k, seq = F.col("event_type"), F.col("k"), F.col("seq")
+    fid = F.col("file_id").cast("string")
+    tenant = event_tenant("user_id")
+    name = F.concat(F.lit("doc-"), fid, F.lit(".pdf"))
+    etype = (F.when(et == "signup", F.lit(UPLOADED)).when(et == "click", F.lit(CHUNK_READY))
+             .otherwise(F.lit("document.status")))
+    upload = F.create_map(
+        F.lit("fileName"), name, F.lit("s3Key"), F.concat_ws("/", tenant, fid, name),
+        F.lit("bucket"), F.when(k % 3 == 0, F.lit("")).otherwise(F.lit("bucket-a")))
+    upload = F.when(k % 7 == 0, F.map_concat(upload, F.create_map(
+        F.lit("fileId"), F.concat(F.lit("override-"), seq.cast("string"))))).otherwise(upload)
+    payload = (F.when(et == "signup", upload)
+               .when(et == "click", F.create_map(F.lit("pageNumber"), (k % 4 + 1).cast("string")))
+               .otherwise(F.create_map(F.lit("status"), et)))
+    data = merge_payload(F.create_map(F.lit("fileId"), fid, F.lit("tenantId"), tenant), payload)
+    value = envelope(etype, data, F.col("ts"))
+    value = F.when(seq % 101 == 0, F.regexp_replace(value, r"\}$", "")).otherwise(value)
+    key = F.when(et == "click", F.concat(tenant, F.lit("#"), fid)).otherwise(tenant)
+    return log.select("seq", key.alias("key"), value.alias("value"))

@@ -187,7 +187,7 @@ ISO = "'%Y-%m-%dT%H:%M:%S.%gZ'"
 
 EVENT_LOG = """
   SELECT user_id * 100 + day(ts) // 5 AS file_id, ts, event_id AS seq, event_type,
-         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id, value
   FROM events
 """
 
@@ -432,3 +432,57 @@ Q["single_table"] = f"""
       page_number, 'page' AS kind
     FROM ({CONV_PAGES}))
 """
+
+
+Q["event_envelope"] = f"""
+  SELECT seq,
+    CASE WHEN event_type = 'click' THEN tenant || '#' || fid ELSE tenant END AS key,
+    CASE WHEN bad THEN NULL WHEN event_type = 'signup' THEN 'document.uploaded'
+         WHEN event_type = 'click' THEN 'chunk.ready' ELSE 'document.status' END AS event_type,
+    CASE WHEN bad THEN 'quarantine' WHEN event_type = 'signup' THEN 'process' ELSE 'ignore' END
+      AS disposition,
+    CASE WHEN bad THEN NULL WHEN event_type = 'signup' AND k % 7 = 0
+         THEN 'override-' || CAST(seq AS VARCHAR) ELSE fid END AS file_id,
+    CASE WHEN bad THEN NULL ELSE tenant END AS tenant_id,
+    CASE WHEN NOT bad AND event_type = 'signup'
+         THEN tenant || '/' || fid || '/doc-' || fid || '.pdf' END AS s3_key,
+    CASE WHEN NOT bad AND event_type = 'signup'
+         THEN CASE WHEN k % 3 = 0 THEN 'document-orchestrator-pdfs' ELSE 'bucket-a' END
+    END AS bucket
+  FROM (SELECT *, CAST(file_id AS VARCHAR) AS fid,
+          'src' || CAST(user_id % 20 AS VARCHAR) AS tenant, seq % 101 = 0 AS bad
+        FROM ({EVENT_LOG}))
+"""
+
+Q["chunk_batches"] = """
+  SELECT document, l_orderkey, l_linenumber, l_partkey, chunk_index,
+    (chunk_index - 1) // 500 AS batch_id, CAST((chunk_index - 1) % 500 AS INTEGER) AS batch_index
+  FROM (
+    SELECT l_suppkey AS document, l_orderkey, l_linenumber, l_partkey,
+      row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey,
+                                                       l_shipdate, l_extendedprice)
+        AS chunk_index
+    FROM lineitem)
+"""
+
+Q["publish_report"] = f"""
+  SELECT tenant_id, batch_id, count(*) AS records,
+    count(*) - count_if(bad) AS success_count, count_if(bad) AS failed_count,
+    CAST(NULL AS VARCHAR) AS error
+  FROM (
+    SELECT 'src' || CAST(user_id % 20 AS VARCHAR) AS tenant_id,
+      (row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, seq) - 1) // 500 AS batch_id,
+      event_type = 'error' AND value > 40 AS bad
+    FROM ({EVENT_LOG}))
+  GROUP BY tenant_id, batch_id
+"""
+
+Q["error_alarm"] = f"""
+  SELECT strftime(ws, {ISO}) AS window_start,
+    strftime(ws + INTERVAL 6 HOUR, {ISO}) AS window_end,
+    count(*) AS metric, count(*) > 10 AS alarm
+  FROM (SELECT TIMESTAMP '1970-01-01 00:00:00'
+               + to_seconds(CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT)) AS ws
+        FROM events WHERE event_type = 'error')
+  GROUP BY ws
+"""

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from quire.functions.jsonrules import page_outcome, strict_json, chunk_status
 from quire.functions.keys import doc_pk, file_pk, page_sk
 from quire.functions.lifecycle import iso_utc, ready, ttl_stamp
+from quire.operators.alarm import error_alarm
+from quire.operators.publish import number_in_batches, parse_envelopes, publish_report
 from quire.operators.catalog import catalog_files, object_exists, retention, validate_uploads
 from quire.operators.views import documents_by_tenant, job_view, results_available, tenant_recent
 from quire.operators.log import (
@@ -23,7 +25,7 @@ from quire.operators.annotate import annotate_native, native_analysis, store_rep
 from quire.operators.manifest import guard, manifest_chunks, manifest_header
 from quire.operators.pages import prompt, split_pages
 from quire.plans.inputs import (
-    annotation_fault, files_from_documents, now_col, pages_from_conversations, progress_log,
+    annotation_fault, event_tenant, events_as_log, files_from_documents, wire_events, now_col, pages_from_conversations, progress_log,
     reply_kind, status_change_log, status_from_labels, table, uploads_from_documents,
     wrap_reply,
 )
@@ -298,3 +300,51 @@ def q_single_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = single_table(file=files, page=pages)
     return t.select("pk", "sk", "kind", "tenant_id", "file_name", "page_number",
                     F.col("sk").startswith("PAGE#").alias("is_page"))
+
+
+# ------------------------------------------------------------------ events, batches, alarms
+
+def q_event_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes built (payload merged over fileId/tenantId, later keys win),
+    then taken in: strict parse, uploads processed, others ignored, broken ones quarantined,
+    empty bucket replaced by the default."""
+    wire = wire_events(table(spark, sf_dir, "events"))
+    parsed = parse_envelopes(wire)
+    return parsed.select("seq", "key", "event_type", "disposition", "file_id", "tenant_id",
+                         "s3_key", "bucket")
+
+
+def q_chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's chunks (lineitem rows of a supplier) in order, split into
+    publish batches of 500."""
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("document"), "l_orderkey", "l_linenumber", "l_partkey",
+        "l_shipdate", "l_extendedprice")
+    b = number_in_batches(li, "document",
+                          ["l_orderkey", "l_linenumber", "l_partkey", "l_shipdate",
+                           "l_extendedprice"])
+    return b.select("document", "l_orderkey", "l_linenumber", "l_partkey", "chunk_index",
+                    "batch_id", "batch_index")
+
+
+def q_publish_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenant's events published in batches of 500; the per-record outcome
+    (an error code for throttled records: error events with value > 40) is matched back by
+    batch position and totalled per batch."""
+    log = events_as_log(table(spark, sf_dir, "events")).withColumn(
+        "tenant_id", event_tenant("user_id"))
+    recs = number_in_batches(log, "tenant_id", ["ts", "seq"])
+    outcomes = recs.select("tenant_id", "batch_id", "batch_index", F.when(
+        (F.col("event_type") == "error") & (F.col("value") > 40),
+        F.lit("ProvisionedThroughputExceededException")).alias("error_code"))
+    totals, _failed = publish_report(recs.drop("error_code"), outcomes, ["tenant_id"])
+    return totals.select("tenant_id", "batch_id", "records", "success_count", "failed_count",
+                         "error")
+
+
+def q_error_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: error events per tumbling 6-hour window, alarm when strictly above 10 (the deployed
+    5-minute rule never fires on this data; it is covered by tests)."""
+    ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
+    return error_alarm(ev, "ts", "6 hours", 10).select("window_start", "window_end", "metric",
+                                                       "alarm")

@@ -27,6 +27,10 @@ QUERIES = {
     "job_view": q.q_job_view,
     "results_available": q.q_results_available,
     "single_table": q.q_single_table,
+    "event_envelope": q.q_event_envelope,
+    "chunk_batches": q.q_chunk_batches,
+    "publish_report": q.q_publish_report,
+    "error_alarm": q.q_error_alarm,
 }
 
 ORACLE = oracle_sql()
