@@ -14,6 +14,9 @@ from quire.functions.jsonrules import page_outcome, strict_json, chunk_status
 from quire.functions.keys import doc_pk, file_pk, page_sk
 from quire.functions.lifecycle import iso_utc, ready, ttl_stamp
 from quire.operators.alarm import error_alarm
+from quire.sources.events import read_event_files
+from quire.streaming.alarm import final_windows, start_alarm
+from quire.streaming.completion import current_status, run_folder, start_completion
 from quire.operators.publish import number_in_batches, parse_envelopes, publish_report
 from quire.operators.catalog import catalog_files, object_exists, retention, validate_uploads
 from quire.operators.views import documents_by_tenant, job_view, results_available, tenant_recent
@@ -348,3 +351,32 @@ def q_error_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
     return error_alarm(ev, "ts", "6 hours", 10).select("window_start", "window_end", "metric",
                                                        "alarm")
+
+
+# ------------------------------------------------------------------ streaming
+
+def q_stream_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 ST1 ST3 ST6: the events table read as a file stream (availableNow), per-document
+    progress kept in streaming state, updates written exactly once per batch; result: the
+    documents whose latest state is ready (same as ``ready_documents``)."""
+    events = read_event_files(spark, sf_dir, glob="events.parquet", max_files_per_trigger=1)
+    out = run_folder(spark, "stream_completion")
+    q = start_completion(progress_log(events), out, f"{out}/_checkpoint")
+    q.awaitTermination()
+    st = current_status(spark, out)
+    return st.filter("ready").select("file_id", "processed_pages", "total_pages",
+                                     "overall_status")
+
+
+def q_stream_error_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST8 A5: error events per 6-hour window from the event stream (watermark one day), last
+    update per window, alarm when above 10."""
+    events = read_event_files(spark, sf_dir, glob="events.parquet", max_files_per_trigger=1)
+    errors = events.filter(F.col("event_type") == "error")
+    out = run_folder(spark, "stream_error_alarm")
+    q = start_alarm(errors, out, f"{out}/_checkpoint", period="6 hours", watermark="1 day")
+    q.awaitTermination()
+    w = final_windows(spark, out)
+    return w.select(iso_utc("window_start_ts").alias("window_start"),
+                    iso_utc("window_end_ts").alias("window_end"), "metric",
+                    (F.col("metric") > 10).alias("alarm"))

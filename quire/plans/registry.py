@@ -31,6 +31,11 @@ QUERIES = {
     "chunk_batches": q.q_chunk_batches,
     "publish_report": q.q_publish_report,
     "error_alarm": q.q_error_alarm,
+    "stream_completion": q.q_stream_completion,
+    "stream_error_alarm": q.q_stream_error_alarm,
 }
 
 ORACLE = oracle_sql()
+# The streamed forms must agree with their batch forms.
+ORACLE["stream_completion"] = ORACLE["ready_documents"]
+ORACLE["stream_error_alarm"] = ORACLE["error_alarm"]
