@@ -1,12 +1,15 @@
 """JSON rules as native Columns: strict parsing, JavaScript truthiness, reply extraction.
 
 All helpers return Catalyst expressions, so they stay inside whole-stage codegen and never block
-predicate pushdown. Each takes and returns Columns.
+predicate pushdown. The Column helpers reference their argument several times: pass a column
+reference, not an expensive expression. The ``with_*`` DataFrame helpers stage intermediate
+values as columns, so each parse runs once per row (Catalyst will not collapse a projection
+that would duplicate an expensive expression).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Outcome labels a page analysis can take in the manifest.
@@ -59,24 +62,54 @@ def error_is_truthy(v) -> Column:
     return truthy(F.try_variant_get(_c(v), "$.error", "variant"))
 
 
-def page_outcome(analysis_text) -> Column:
-    """Outcome of one stored page analysis (the manifest truth table).
+def outcome_of(text, parsed, error_value) -> Column:
+    """Outcome of one stored page analysis (the manifest truth table), from the text, its
+    strict parse and the parsed ``error`` member (all column references).
 
     * NULL or ''                       -> missing  (labelled success, in neither count)
     * unparsable, or the JSON ``null`` -> invalid  (fails the whole document)
     * object with a truthy ``error``   -> failed
     * any other JSON value             -> success
     """
-    t = _c(analysis_text)
-    v = strict_json(t)
+    t, v = _c(text), _c(parsed)
     return (
         F.when(t.isNull() | (t == ""), F.lit(OUTCOME_MISSING))
         .when(v.isNull() | F.is_variant_null(v), F.lit(OUTCOME_INVALID))
-        .when(error_is_truthy(v), F.lit(OUTCOME_FAILED))
+        .when(truthy(error_value), F.lit(OUTCOME_FAILED))
         .otherwise(F.lit(OUTCOME_SUCCESS))
     )
 
 
+def page_outcome(analysis_text) -> Column:
+    """Single-expression form of ``outcome_of`` (for literals and tests; it repeats the parse,
+    so on tables prefer ``with_outcome``)."""
+    v = strict_json(analysis_text)
+    return outcome_of(analysis_text, v, F.try_variant_get(v, "$.error", "variant"))
+
+
+def with_parsed(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """Add ``out``: the strict parse of ``text_col`` (VARIANT or NULL), computed once."""
+    return df.withColumn(out, strict_json(text_col))
+
+
+def with_outcome(df: DataFrame, analysis_col: str = "page_analysis", out: str = "outcome",
+                 parsed: str | None = None) -> DataFrame:
+    """Add the page outcome; the analysis is parsed once (or taken from ``parsed``)."""
+    pv = parsed or "_jr_parsed"
+    staged = df if parsed else with_parsed(df, analysis_col, pv)
+    staged = staged.withColumn("_jr_error", F.try_variant_get(F.col(pv), "$.error", "variant"))
+    res = staged.withColumn(out, outcome_of(analysis_col, pv, "_jr_error")).drop("_jr_error")
+    return res if parsed else res.drop(pv)
+
+
+def with_reply_parsed(df: DataFrame, reply_col: str, out: str) -> DataFrame:
+    """Add ``out``: the reply cut to its JSON and strictly parsed (VARIANT or NULL)."""
+    staged = (df.withColumn("_jr_cut", F.regexp_extract(F.col(reply_col), r"(?s)\{.*\}", 0))
+              .withColumn("_jr_cand", F.when(F.coalesce(F.col("_jr_cut"), F.lit("")) != "",
+                                             F.col("_jr_cut")).otherwise(F.col(reply_col))))
+    return with_parsed(staged, "_jr_cand", out).drop("_jr_cut", "_jr_cand")
+
+
 def chunk_status(outcome) -> Column:
     """Status label shown per chunk: only a truthy error says failed; missing says success."""
     return F.when(_c(outcome) == OUTCOME_FAILED, F.lit("failed")).otherwise(F.lit("success"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.jsonrules import compact_json, parse_reply
+from quire.functions.jsonrules import compact_json, with_reply_parsed
 from quire.functions.lifecycle import iso_utc
 
 # Fixed values of the rate-limit rule: retry only when the error message contains "429",
@@ -36,6 +36,8 @@ FAILURE_TEXT = "Analysis failed"
 SENTENCE_RX = r"[^.!?]+[.!?]*"        # a sentence: text up to and including its end marks
 WORD_SPLIT_RX = r"[^\p{L}]+"          # words are maximal runs of letters (any script)
 CAPITALISED_RX = r"^\p{Lu}"
+# A capitalised word: a maximal letter run whose first letter is upper case.
+ENTITY_RX = r"(?<!\p{L})\p{Lu}\p{L}*"
 TRIM_CHARS = " \t\n\r"
 KEY_POINTS = 3
 POSITIVE_WORDS = (
@@ -67,14 +69,26 @@ def words(text) -> Column:
     return F.split(F.coalesce(_c(text), F.lit("")), WORD_SPLIT_RX, -1)
 
 
+def _whole_words_rx(words_list) -> str:
+    return r"(?<!\p{L})(?:" + "|".join(words_list) + r")(?!\p{L})"
+
+
+def word_count(lower_text: Column, words_list) -> Column:
+    """Occurrences of any of ``words_list`` as whole words (one regex pass over the text)."""
+    return F.size(F.regexp_extract_all(lower_text, F.lit(_whole_words_rx(words_list)), 0))
+
+
 def native_analysis(text) -> Column:
-    """The native rule set as one struct Column (summary, entities, keyPoints, sentiment)."""
+    """The native rule set as one struct Column (summary, entities, keyPoints, sentiment).
+
+    Entities and sentiment are single regex passes over the whole text (no per-word lambdas):
+    the same words as splitting on non-letters and testing each word."""
+    t = F.coalesce(_c(text), F.lit(""))
     sents = sentences(text)
-    ws = words(text)
-    entities = F.array_distinct(F.filter(ws, lambda w: w.rlike(CAPITALISED_RX)))
-    lower_ws = F.transform(ws, lambda w: F.lower(w))
-    pos = F.size(F.filter(lower_ws, lambda w: w.isin(*POSITIVE_WORDS)))
-    neg = F.size(F.filter(lower_ws, lambda w: w.isin(*NEGATIVE_WORDS)))
+    entities = F.array_distinct(F.regexp_extract_all(t, F.lit(ENTITY_RX), 0))
+    lower_t = F.lower(t)
+    pos = word_count(lower_t, POSITIVE_WORDS)
+    neg = word_count(lower_t, NEGATIVE_WORDS)
     sentiment = (F.when(pos > neg, F.lit("positive")).when(neg > pos, F.lit("negative"))
                  .otherwise(F.lit("neutral")))
     return F.struct(
@@ -163,14 +177,17 @@ def annotate_with(pages: DataFrame, fn: Callable[[str], str], now,
         T.StructField("attempts", T.IntegerType())])
     replies = spread.mapInPandas(_reply_partitions(fn, text_col, retries, delay, sleep),
                                  out_schema)
-    parsed = parse_reply(F.col("reply"))
-    analysis = (F.when(F.col("annotator_error").isNull() & parsed.isNotNull(), compact_json(parsed))
-                .otherwise(failure_placeholder(now)))
-    return (replies.withColumn("page_analysis", analysis)
-            .drop("reply", "annotator_error"))
-
-
-def store_reply(reply, now) -> Column:
-    """Stored analysis for one reply: its JSON when the reply parses, else the placeholder."""
-    parsed = parse_reply(reply)
-    return F.when(parsed.isNotNull(), compact_json(parsed)).otherwise(failure_placeholder(now))
+    parsed = with_reply_parsed(replies, "reply", "_an_parsed")
+    ok = F.col("annotator_error").isNull() & F.col("_an_parsed").isNotNull()
+    analysis = F.when(ok, compact_json("_an_parsed")).otherwise(failure_placeholder(now))
+    return (parsed.withColumn("page_analysis", analysis)
+            .drop("reply", "annotator_error", "_an_parsed"))
+
+
+def store_replies(df: DataFrame, reply_col: str, now, out: str = "page_analysis") -> DataFrame:
+    """Stored analysis per reply: its compact JSON when the reply parses, else the failure
+    placeholder. The reply is cut and parsed once per row."""
+    parsed = with_reply_parsed(df, reply_col, "_an_parsed")
+    stored = F.when(F.col("_an_parsed").isNotNull(), compact_json("_an_parsed")).otherwise(
+        failure_placeholder(now))
+    return parsed.withColumn(out, stored).drop("_an_parsed")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.jsonrules import (
     OUTCOME_FAILED, OUTCOME_INVALID, OUTCOME_MISSING, OUTCOME_SUCCESS, chunk_status,
-    compact_json, page_outcome, strict_json,
+    compact_json, with_outcome, with_parsed,
 )
 from quire.functions.keys import page_sk, results_key
 from quire.functions.lifecycle import iso_utc
@@ -33,9 +33,9 @@ AGGREGATION_FAILED = "Aggregation failed: "
 INVALID_MESSAGE = AGGREGATION_FAILED + "page analysis is not valid JSON"
 
 
-def with_outcome(pages: DataFrame, analysis_col: str = "page_analysis") -> DataFrame:
+def with_chunk_outcome(pages: DataFrame, analysis_col: str = "page_analysis") -> DataFrame:
     """Add ``outcome`` and ``chunk_status`` for each page; the analysis is parsed once."""
-    return (pages.withColumn("outcome", page_outcome(analysis_col))
+    return (with_outcome(pages, analysis_col, "outcome")
             .withColumn("chunk_status", chunk_status("outcome")))
 
 
@@ -43,8 +43,7 @@ def manifest_header(pages: DataFrame, keys: tuple[str, ...] = ("file_id", "tenan
                     analysis_col: str = "page_analysis") -> DataFrame:
     """One row per document: page rows found and the four outcome counts, plus the document
     status the aggregation ends in (``completed``, or ``failed`` when any page is invalid)."""
-    o = page_outcome(analysis_col)
-    agg = (pages.select(*keys, o.alias("outcome"))
+    agg = (with_outcome(pages.select(*keys, analysis_col), analysis_col, "outcome")
            .groupBy(*keys)
            .agg(F.count(F.lit(1)).alias("pages_found"),
                 F.count_if(F.col("outcome") == OUTCOME_SUCCESS).alias("success_count"),
@@ -62,13 +61,14 @@ def manifest_chunks(pages: DataFrame, keys: tuple[str, ...] = ("file_id", "tenan
     """One row per chunk: page number and key, outcome, chunk status and the normalised
     analysis JSON (NULL when missing). Order is by ``page_number`` (numeric, so page 10000
     follows 9999)."""
-    parsed = strict_json(analysis_col)
-    return (pages.select(
+    staged = with_parsed(pages.select(*keys, "page_number", analysis_col), analysis_col,
+                         "_mf_parsed")
+    staged = with_outcome(staged, analysis_col, "outcome", parsed="_mf_parsed")
+    return staged.select(
         *keys, F.col("page_number").cast("int").alias("page_number"),
-        page_sk("page_number").alias("page_key"),
-        page_outcome(analysis_col).alias("outcome"),
-        compact_json(parsed).alias("analysis"))
-        .withColumn("chunk_status", chunk_status("outcome")))
+        page_sk("page_number").alias("page_key"), "outcome",
+        compact_json("_mf_parsed").alias("analysis"),
+        chunk_status("outcome").alias("chunk_status"))
 
 
 def manifest_nested(pages: DataFrame, totals: DataFrame, processed_at,

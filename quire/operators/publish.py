@@ -45,9 +45,10 @@ def parse_envelopes(wire: DataFrame, value_col: str = "value",
     that is not a JSON envelope (or an upload without a data object), ``process`` for
     ``document.uploaded``, ``ignore`` for any other type. One bad record never stops the rest.
     Adds event_type, file_id, tenant_id, s3_key and bucket (empty or absent -> default)."""
-    v = strict_json(value_col)
+    staged = (wire.withColumn("_pe_v", strict_json(value_col))
+              .withColumn("_pe_data", F.try_variant_get(F.col("_pe_v"), "$.data", "variant")))
+    v, data = F.col("_pe_v"), F.col("_pe_data")
     et = F.try_variant_get(v, "$.eventType", "string")
-    data = F.try_variant_get(v, "$.data", "variant")
     is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     data_obj = F.coalesce(F.schema_of_variant(data).startswith("OBJECT"), F.lit(False))
 
@@ -59,8 +60,8 @@ def parse_envelopes(wire: DataFrame, value_col: str = "value",
                    .when(et == UPLOADED, F.lit("process"))
                    .otherwise(F.lit("ignore")))
     upload = et == UPLOADED
-    return wire.select(
-        "*", et.alias("event_type"), disposition.alias("disposition"),
+    return staged.select(
+        *wire.columns, et.alias("event_type"), disposition.alias("disposition"),
         field("fileId").alias("file_id"), field("tenantId").alias("tenant_id"),
         F.when(upload, field("s3Key")).alias("s3_key"),
         F.when(upload, or_default(field("bucket"), default_bucket)).alias("bucket"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.jsonrules import page_outcome, strict_json, chunk_status
+from quire.functions.jsonrules import chunk_status, with_outcome, with_parsed
 from quire.functions.keys import doc_pk, file_pk, page_sk
 from quire.functions.lifecycle import iso_utc, ready, ttl_stamp
 from quire.operators.alarm import error_alarm
@@ -24,7 +24,7 @@ from quire.operators.log import (
     change_images, completion_edges, document_progress, fold, modify_status_changes,
     page_changes, single_table,
 )
-from quire.operators.annotate import annotate_native, native_analysis, store_reply
+from quire.operators.annotate import annotate_native, native_analysis, store_replies
 from quire.operators.manifest import guard, manifest_chunks, manifest_header
 from quire.operators.pages import prompt, split_pages
 from quire.plans.inputs import (
@@ -36,16 +36,20 @@ from quire.plans.inputs import (
 
 def _flat_analysis(df: DataFrame, analysis_col: str = "page_analysis") -> DataFrame:
     """Read stored analysis text back into flat columns (what a consumer of the pages sees)."""
-    v = strict_json(analysis_col)
-    ents = F.try_variant_get(v, "$.entities", "array<string>")
-    return (df.withColumn("outcome", page_outcome(analysis_col))
+    staged = with_parsed(df, analysis_col, "_fa_v")
+    staged = with_outcome(staged, analysis_col, "outcome", parsed="_fa_v")
+    v = F.col("_fa_v")
+    staged = staged.withColumn("_fa_ents", F.try_variant_get(v, "$.entities", "array<string>"))
+    ents = F.col("_fa_ents")
+    return (staged
             .withColumn("summary", F.try_variant_get(v, "$.summary", "string"))
             .withColumn("n_entities", F.coalesce(F.size(ents), F.lit(0)).cast("long"))
             .withColumn("entities", F.array_join(F.array_sort(ents), " "))
             .withColumn("n_key_points", F.coalesce(
                 F.size(F.try_variant_get(v, "$.keyPoints", "array<string>")), F.lit(0)).cast("long"))
             .withColumn("sentiment", F.try_variant_get(v, "$.sentiment", "string"))
-            .withColumn("error", F.try_variant_get(v, "$.error", "string")))
+            .withColumn("error", F.try_variant_get(v, "$.error", "string"))
+            .drop("_fa_v", "_fa_ents"))
 
 
 # ------------------------------------------------------------------ documents -> pages (M1)
@@ -107,12 +111,13 @@ def conversation_pages_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     of eight shapes, is cut and strictly parsed (M4), and the result or the placeholder is
     stored. System turns store no analysis."""
     pages = pages_from_conversations(table(spark, sf_dir, "conversations"))
-    analysis_json = F.to_json(native_analysis("page_text"))
-    kind = reply_kind("conv_id", "turn")
-    reply = wrap_reply(kind, analysis_json)
-    stored = F.when(F.col("role") == "system", F.lit(None).cast("string")).otherwise(
-        store_reply(reply, now_col()))
-    return pages.withColumn("reply_kind", kind).withColumn("page_analysis", stored)
+    replies = (pages.withColumn("_analysis_json", F.to_json(native_analysis("page_text")))
+               .withColumn("reply_kind", reply_kind("conv_id", "turn")))
+    replies = replies.withColumn("reply", wrap_reply(F.col("reply_kind"), F.col("_analysis_json")))
+    stored = store_replies(replies, "reply", now_col(), out="_stored")
+    return (stored.withColumn("page_analysis", F.when(F.col("role") == "system", F.lit(None)
+                                                      .cast("string")).otherwise(F.col("_stored")))
+            .drop("_analysis_json", "reply", "_stored"))
 
 
 def q_parse_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
