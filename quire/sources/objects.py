@@ -43,10 +43,10 @@ def read_document_headers(spark: SparkSession, root: str, glob: str | None = Non
 def read_document_texts(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """Whole texts of text documents (one row per file): path, text, tenant_id, file_id,
     file_name. Decoding is UTF-8 (F15)."""
-    r = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    r = spark.read.option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    df = r.text(root).withColumn("path", F.col("_metadata.file_path"))
+    df = r.text(root, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
     return _with_parts(df.withColumnRenamed("value", "text"))
 
 
