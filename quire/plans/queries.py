@@ -14,6 +14,7 @@ from quire.functions.jsonrules import chunk_status, with_outcome, with_parsed
 from quire.functions.keys import doc_pk, file_pk, page_sk
 from quire.functions.lifecycle import iso_utc, ready, ttl_stamp
 from quire.operators.alarm import error_alarm
+from quire.session import checkpoint_root
 from quire.sources.events import read_event_files
 from quire.streaming.alarm import final_windows, start_alarm
 from quire.streaming.completion import current_status, run_folder, start_completion
@@ -341,7 +342,10 @@ def q_publish_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch position and totalled per batch."""
     log = events_as_log(table(spark, sf_dir, "events")).withColumn(
         "tenant_id", event_tenant("user_id"))
-    recs = number_in_batches(log, "tenant_id", ["ts", "seq"])
+    # the numbered records are what was sent: written once to the shared checkpoint folder, so
+    # the outcome match (a join on position) does not number them a second time
+    checkpoint_root(spark)
+    recs = number_in_batches(log, "tenant_id", ["ts", "seq"]).checkpoint(eager=True)
     outcomes = recs.select("tenant_id", "batch_id", "batch_index", F.when(
         (F.col("event_type") == "error") & (F.col("value") > 40),
         F.lit("ProvisionedThroughputExceededException")).alias("error_code"))
