@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quire.functions.lifecycle import ready
 from quire.operators.log import latest_per_key
+from quire.operators.manifest import guard, manifest_nested
 from quire.session import checkpoint_root
 
 
@@ -41,20 +42,69 @@ def progress_state(progress: DataFrame) -> DataFrame:
         F.max("ts").alias("last_ts"))
 
 
-def _writer(out: str):
+def _other_batches(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
+    """Rows written by batches other than ``batch_id`` (None when nothing was written)."""
+    try:
+        df = spark.read.parquet(folder)
+    except Exception:  # noqa: BLE001 - folder not created yet
+        return None
+    return df.filter(F.col("batch_id") != batch_id)
+
+
+def assemble_batch(spark: SparkSession, out: str, batch_id: int, pages: DataFrame,
+                   processed_at) -> None:
+    """Assemble the documents that are ready in this batch (ST3, ST4, ST6).
+
+    Candidates are the documents that turned up ready in this batch plus those deferred by
+    earlier batches; documents finished by any other batch are skipped. The guard compares page
+    rows with the total: complete documents get their manifest written under
+    ``results/batch_id=<id>``, the rest under ``deferred/batch_id=<id>`` (retried next batch).
+    Everything is written with overwrite, so replaying the batch rewrites the same output.
+    """
+    mine = spark.read.parquet(f"{out}/updates/batch_id={batch_id}").filter("ready")
+    cands = mine.select("file_id", "total_pages")
+    deferred = _other_batches(spark, f"{out}/deferred", batch_id)
+    if deferred is not None:
+        # a deferred document stays a candidate only while its latest state is still ready
+        latest = current_status(spark, out).filter("ready").select("file_id", "total_pages")
+        cands = cands.unionByName(latest.join(deferred.select("file_id").distinct(), "file_id",
+                                              "left_semi"))
+    done = _other_batches(spark, f"{out}/results", batch_id)
+    if done is not None:
+        cands = cands.join(done.select("file_id"), "file_id", "left_anti")
+    cands = cands.dropDuplicates(["file_id"])
+    decided = guard(cands, pages)
+    go = decided.filter(F.col("action") == "assemble").select("file_id", "total_pages")
+    doc_pages = pages.join(go.select("file_id"), "file_id", "left_semi")
+    (manifest_nested(doc_pages, go, processed_at)
+     .withColumn("batch_id", F.lit(batch_id).cast("long"))
+     .write.mode("overwrite").parquet(f"{out}/results/batch_id={batch_id}"))
+    (decided.filter(F.col("action") == "deferred").select("file_id", "total_pages", "pages_found")
+     .withColumn("batch_id", F.lit(batch_id).cast("long"))
+     .write.mode("overwrite").parquet(f"{out}/deferred/batch_id={batch_id}"))
+
+
+def _writer(out: str, pages: DataFrame | None, processed_at):
     def write(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("ready", ready("processed_pages", "total_pages", "overall_status"))
          .withColumn("batch_id", F.lit(batch_id).cast("long"))
          .write.mode("overwrite").parquet(f"{out}/updates/batch_id={batch_id}"))
+        if pages is not None:
+            assemble_batch(batch.sparkSession, out, batch_id, pages, processed_at)
     return write
 
 
 def start_completion(progress: DataFrame, out: str, checkpoint: str,
-                     available_now: bool = True, interval: str = "5 seconds") -> StreamingQuery:
+                     available_now: bool = True, interval: str = "5 seconds",
+                     pages: DataFrame | None = None,
+                     processed_at="1970-01-01 00:00:00") -> StreamingQuery:
     """Start the completion query. ``available_now`` drains what is there and stops (replays,
-    tests); otherwise a processing-time trigger of ``interval``."""
+    tests); otherwise a processing-time trigger of ``interval``. With a ``pages`` table
+    (file_id, tenant_id, page_number, page_analysis), each batch also assembles the manifests
+    of documents that became ready (``assemble_batch``)."""
     w = (progress_state(progress).writeStream.outputMode("update")
-         .option("checkpointLocation", checkpoint).foreachBatch(_writer(out)))
+         .option("checkpointLocation", checkpoint)
+         .foreachBatch(_writer(out, pages, processed_at)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 

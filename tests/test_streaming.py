@@ -80,3 +80,38 @@ def test_stream_alarm_equals_batch(spark, tmpdir_path):
     assert sorted(r.metric for r in streamed.collect()) == sorted(
         r.metric for r in batch.collect())
     assert EVENTS.fieldNames()[0] == "event_id"
+
+
+def test_stream_assembles_each_document_once(spark, tmpdir_path):
+    """Ready documents get one manifest; documents missing page rows are deferred."""
+    src = os.path.join(tmpdir_path, "in")
+    os.makedirs(src)
+    parts = _split_events(spark, os.path.join(tmpdir_path, "staged"))
+    for i, p in enumerate(parts):
+        for f in os.listdir(p):
+            if f.endswith(".parquet"):
+                os.link(os.path.join(p, f), os.path.join(src, f"p{i}-{f}"))
+    prog = progress_log(spark.read.parquet(f"{SF01}/events.parquet"))
+    # the page store: one row per finished (document, page), except page 1 of documents whose
+    # id is divisible by 3 (those must be deferred)
+    pages = (prog.filter(F.col("page").isNotNull())
+             .select("file_id", F.lit("t").alias("tenant_id"),
+                     F.col("page").alias("page_number"))
+             .dropDuplicates(["file_id", "page_number"])
+             .filter(~((F.col("file_id") % 3 == 0) & (F.col("page_number") == 1)))
+             .withColumn("page_analysis", F.lit('{"summary":"p"}')))
+    out = run_folder(spark, "test_assemble")
+    start_completion(progress_log(read_event_files(spark, src, max_files_per_trigger=1)), out,
+                     f"{out}/_checkpoint", pages=pages,
+                     processed_at="2024-02-01 00:00:00").awaitTermination()
+    results = spark.read.parquet(f"{out}/results")
+    assert results.count() == results.select("file_id").distinct().count()
+    fired_ids = fired(spark, out).select("file_id")
+    deferred = spark.read.parquet(f"{out}/deferred").select("file_id").distinct()
+    # every fired document is either assembled or deferred, never both
+    assert fired_ids.join(results.select("file_id"), "file_id", "left_anti").exceptAll(
+        deferred).count() == 0
+    assert results.join(deferred, "file_id", "left_semi").count() == 0
+    assert deferred.filter(F.col("file_id") % 3 != 0).count() == 0
+    r = results.first()
+    assert r.success_count == r.total_pages and r.result_key.endswith("/results.json")
