@@ -15,7 +15,8 @@ from quire.functions.keys import doc_pk, file_pk, page_sk
 from quire.functions.lifecycle import iso_utc, ready, ttl_stamp
 from quire.operators.alarm import error_alarm
 from quire.session import checkpoint_root
-from quire.sources.events import read_event_files
+from quire.sources.events import WIRE_WITH_SEQ, read_event_files
+from quire.streaming.intake import intake_table, start_intake
 from quire.streaming.alarm import final_windows, start_alarm
 from quire.streaming.completion import current_status, run_folder, start_completion
 from quire.operators.publish import number_in_batches, parse_envelopes, publish_report
@@ -389,3 +390,17 @@ def q_stream_error_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select(iso_utc("window_start_ts").alias("window_start"),
                     iso_utc("window_end_ts").alias("window_end"), "metric",
                     (F.col("metric") > 10).alias("alarm"))
+
+
+def q_stream_event_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1 P4 P5 S8: envelopes built from the events table are published as JSON-line files
+    (the transport, with its sequence number), read back as a stream and taken in: strict
+    parse, uploads processed, others ignored, broken ones quarantined (same result as
+    ``event_envelope``)."""
+    out = run_folder(spark, "stream_event_intake")
+    wire_events(table(spark, sf_dir, "events")).write.json(f"{out}/wire")
+    stream = read_event_files(spark, f"{out}/wire", schema=WIRE_WITH_SEQ, fmt="json",
+                              max_files_per_trigger=4)
+    start_intake(stream, out, f"{out}/_checkpoint").awaitTermination()
+    return intake_table(spark, out).select("seq", "key", "event_type", "disposition", "file_id",
+                                           "tenant_id", "s3_key", "bucket")

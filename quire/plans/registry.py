@@ -33,9 +33,11 @@ QUERIES = {
     "error_alarm": q.q_error_alarm,
     "stream_completion": q.q_stream_completion,
     "stream_error_alarm": q.q_stream_error_alarm,
+    "stream_event_intake": q.q_stream_event_intake,
 }
 
 ORACLE = oracle_sql()
 # The streamed forms must agree with their batch forms.
 ORACLE["stream_completion"] = ORACLE["ready_documents"]
 ORACLE["stream_error_alarm"] = ORACLE["error_alarm"]
+ORACLE["stream_event_intake"] = ORACLE["event_envelope"]

@@ -18,6 +18,12 @@ EVENTS = T.StructType([
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
 ])
 
+# Transport records: sequence number, routing key, envelope text.
+WIRE_WITH_SEQ = T.StructType([
+    T.StructField("seq", T.LongType()), T.StructField("key", T.StringType()),
+    T.StructField("value", T.StringType()),
+])
+
 STARTS = {"TRIM_HORIZON": "earliest", "LATEST": "latest"}
 
 

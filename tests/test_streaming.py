@@ -115,3 +115,24 @@ def test_stream_assembles_each_document_once(spark, tmpdir_path):
     assert deferred.filter(F.col("file_id") % 3 != 0).count() == 0
     r = results.first()
     assert r.success_count == r.total_pages and r.result_key.endswith("/results.json")
+
+
+def test_stream_intake_quarantines_bad_records(spark, tmpdir_path):
+    import json as _json
+    from quire.sources.events import WIRE_WITH_SEQ
+    from quire.streaming.intake import intake_table, start_intake
+    good = {"eventType": "document.uploaded", "timestamp": "2024-01-01T00:00:00.000Z",
+            "data": {"fileId": "f1", "tenantId": "t", "s3Key": "t/f1/a.pdf", "bucket": ""}}
+    other = {"eventType": "chunk.ready", "data": {"fileId": "f2", "tenantId": "t"}}
+    recs = [(1, "t", _json.dumps(good)), (2, "t", '{"eventType": "document.uploaded", '),
+            (3, "t", _json.dumps(dict(good, data=dict(good["data"], fileId="f3")))),
+            (4, "t#f2", _json.dumps(other))]
+    src = os.path.join(tmpdir_path, "wire")
+    spark.createDataFrame(recs, WIRE_WITH_SEQ).coalesce(1).write.json(src)
+    out = run_folder(spark, "test_intake")
+    start_intake(read_event_files(spark, src, schema=WIRE_WITH_SEQ, fmt="json"), out,
+                 f"{out}/_checkpoint").awaitTermination()
+    got = {r.seq: r for r in intake_table(spark, out).collect()}
+    assert [got[i].disposition for i in (1, 2, 3, 4)] == ["process", "quarantine", "process",
+                                                          "ignore"]
+    assert got[1].bucket == "document-orchestrator-pdfs" and got[3].file_id == "f3"
