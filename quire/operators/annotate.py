@@ -78,6 +78,18 @@ def word_count(lower_text: Column, words_list) -> Column:
     return F.size(F.regexp_extract_all(lower_text, F.lit(_whole_words_rx(words_list)), 0))
 
 
+# Both lists in one pattern: group 1 holds a positive word, and is empty for a negative one.
+_SENTIMENT_RX = (r"(?<!\p{L})(?:(" + "|".join(POSITIVE_WORDS) + r")|("
+                 + "|".join(NEGATIVE_WORDS) + r"))(?!\p{L})")
+
+
+def sentiment_balance(lower_text: Column) -> Column:
+    """Positive minus negative whole-word occurrences, in a single regex pass."""
+    hits = F.regexp_extract_all(lower_text, F.lit(_SENTIMENT_RX), 1)
+    pos = F.size(F.array_remove(hits, ""))
+    return pos * 2 - F.size(hits)
+
+
 def native_analysis(text) -> Column:
     """The native rule set as one struct Column (summary, entities, keyPoints, sentiment).
 
@@ -86,10 +98,8 @@ def native_analysis(text) -> Column:
     t = F.coalesce(_c(text), F.lit(""))
     sents = sentences(text)
     entities = F.array_distinct(F.regexp_extract_all(t, F.lit(ENTITY_RX), 0))
-    lower_t = F.lower(t)
-    pos = word_count(lower_t, POSITIVE_WORDS)
-    neg = word_count(lower_t, NEGATIVE_WORDS)
-    sentiment = (F.when(pos > neg, F.lit("positive")).when(neg > pos, F.lit("negative"))
+    balance = sentiment_balance(F.lower(t))
+    sentiment = (F.when(balance > 0, F.lit("positive")).when(balance < 0, F.lit("negative"))
                  .otherwise(F.lit("neutral")))
     return F.struct(
         F.coalesce(F.get(sents, 0), F.lit("")).alias("summary"),
