@@ -51,6 +51,18 @@ def split_pages(docs: DataFrame, text_col: str = "text", sep: str = "\n",
                     "page_text", "total_pages"))
 
 
+def spread_pages(pages: DataFrame, partitions: int | None = None,
+                 keys: tuple[str, ...] = ("file_id", "page_number")) -> DataFrame:
+    """Hash-spread page rows on (file, page) before per-page work.
+
+    All pages of a document are exploded in the task that read the document, so one huge
+    document (or a single-row-group input) would otherwise be annotated by one task. The
+    partition count is explicit (default ``spark.sql.shuffle.partitions``) so adaptive execution
+    does not coalesce the work back onto a few tasks."""
+    n = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return pages.repartition(n, *keys)
+
+
 def document_errors(docs: DataFrame, text_col: str = "text",
                     keep: tuple[str, ...] = ("file_id", "tenant_id")) -> DataFrame:
     """Documents that cannot be split (no text): one ``failed`` status row each (M7)."""

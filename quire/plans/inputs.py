@@ -30,9 +30,30 @@ CATALOG_EPOCH = "2023-09-01 00:00:00"
 TENANTS = 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+# Natural keys of the driver's tables, used to spread under-split inputs deterministically.
+TABLE_KEYS = {
+    "documents": ("doc_id",), "conversations": ("conv_id", "turn"), "events": ("event_id",),
+    "lineitem": ("l_orderkey", "l_linenumber"), "labels": ("doc_id",),
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Read one of the driver's tables.
+
+    A Parquet row group is the smallest unit Spark can split, so a table written as a single
+    row group scans in one task. When the scan yields fewer partitions than the cluster's
+    parallelism and ``spread`` is asked for (CPU-heavy per-row work follows), the rows are
+    hash-spread on the table's key (column pruning and filters still reach the scan below the
+    exchange). Large inputs, split into many tasks already, are returned untouched: no extra
+    shuffle at scale."""
     ensure_session_conf(spark)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    keys = TABLE_KEYS.get(name)
+    if spread and keys:
+        n = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < n:
+            df = df.repartition(n, *keys)
+    return df
 
 
 def now_col() -> Column:

@@ -28,7 +28,7 @@ from quire.operators.log import (
 )
 from quire.operators.annotate import annotate_native, native_analysis, store_replies
 from quire.operators.manifest import guard, manifest_chunks, manifest_header
-from quire.operators.pages import prompt, split_pages
+from quire.operators.pages import prompt, split_pages, spread_pages
 from quire.plans.inputs import (
     annotation_fault, event_tenant, events_as_log, files_from_documents, wire_events, now_col, pages_from_conversations, progress_log,
     reply_kind, status_change_log, status_from_labels, table, uploads_from_documents,
@@ -67,7 +67,7 @@ def q_split_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents_pages_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files_from_documents(table(spark, sf_dir, "documents"))
-    pages = split_pages(files, "text", "\n", keep=("file_id", "tenant_id"))
+    pages = spread_pages(split_pages(files, "text", "\n", keep=("file_id", "tenant_id")))
     fault = ((F.col("file_id").cast("long") * 7 + F.col("page_number")) % 11) == 0
     return annotate_native(pages, now_col(), "page_text", fail=fault)
 
@@ -94,7 +94,7 @@ def q_page_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_pages_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = pages_from_conversations(table(spark, sf_dir, "conversations"))
+    pages = spread_pages(pages_from_conversations(table(spark, sf_dir, "conversations")))
     return annotate_native(pages, now_col(), "page_text",
                            fail=annotation_fault("conv_id", "turn"))
 
@@ -112,7 +112,7 @@ def conversation_pages_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as stored after a model round trip: the native analysis travels as a reply of one
     of eight shapes, is cut and strictly parsed (M4), and the result or the placeholder is
     stored. System turns store no analysis."""
-    pages = pages_from_conversations(table(spark, sf_dir, "conversations"))
+    pages = spread_pages(pages_from_conversations(table(spark, sf_dir, "conversations")))
     replies = (pages.withColumn("_analysis_json", F.to_json(native_analysis("page_text")))
                .withColumn("reply_kind", reply_kind("conv_id", "turn")))
     replies = replies.withColumn("reply", wrap_reply(F.col("reply_kind"), F.col("_analysis_json")))
@@ -318,7 +318,7 @@ def q_event_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Envelopes built (payload merged over fileId/tenantId, later keys win),
     then taken in: strict parse, uploads processed, others ignored, broken ones quarantined,
     empty bucket replaced by the default."""
-    wire = wire_events(table(spark, sf_dir, "events"))
+    wire = wire_events(table(spark, sf_dir, "events", spread=True))
     parsed = parse_envelopes(wire)
     return parsed.select("seq", "key", "event_type", "disposition", "file_id", "tenant_id",
                          "s3_key", "bucket")
@@ -398,7 +398,7 @@ def q_stream_event_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     parse, uploads processed, others ignored, broken ones quarantined (same result as
     ``event_envelope``)."""
     out = run_folder(spark, "stream_event_intake")
-    wire_events(table(spark, sf_dir, "events")).write.json(f"{out}/wire")
+    wire_events(table(spark, sf_dir, "events", spread=True)).write.json(f"{out}/wire")
     stream = read_event_files(spark, f"{out}/wire", schema=WIRE_WITH_SEQ, fmt="json",
                               max_files_per_trigger=4)
     start_intake(stream, out, f"{out}/_checkpoint").awaitTermination()
