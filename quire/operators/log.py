@@ -119,18 +119,20 @@ def first_completions(log: DataFrame) -> DataFrame:
             .withColumn("is_first", F.coalesce(F.col("is_first"), F.lit(0))))
 
 
-def change_images(log: DataFrame, n_segments: int | None = None) -> DataFrame:
+def change_images(log: DataFrame, n_segments: int | None = None,
+                  marked: DataFrame | None = None) -> DataFrame:
     """Old and new image of the status record at every change.
 
     Progress is rebuilt along each document's log with ``keyed_scan`` (skew-safe running
     state): processed = distinct pages finished so far, total and status = latest so far.
-    ``op`` is INSERT for the first change of a document and MODIFY afterwards.
+    ``op`` is INSERT for the first change of a document and MODIFY afterwards. ``marked`` is the
+    log with first-completion marks, when the caller already has it.
     """
-    marked = first_completions(log)
+    marked = marked if marked is not None else first_completions(log)
     scanned = keyed_scan(marked, "file_id", ["ts", "seq"],
                          sums={"processed": F.col("is_first").cast("long")},
                          lasts={"total": F.col("total"), "status": F.col("status")},
-                         n_segments=n_segments)
+                         n_segments=n_segments, quantile_source=log)
     return scanned.select(
         "file_id", "ts", "seq",
         F.when(F.col("row_number") == 1, F.lit("INSERT")).otherwise(F.lit("MODIFY")).alias("op"),
@@ -144,10 +146,11 @@ def change_images(log: DataFrame, n_segments: int | None = None) -> DataFrame:
     )
 
 
-def page_changes(log: DataFrame) -> DataFrame:
+def page_changes(log: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     """Page-record changes of the same log: a put of ``PAGE#nnnn`` per completion (INSERT the
     first time a page is stored, MODIFY when it is stored again)."""
-    marked = first_completions(log).filter(F.col("page").isNotNull())
+    marked = (marked if marked is not None else first_completions(log)).filter(
+        F.col("page").isNotNull())
     return marked.select(
         "file_id", "ts", "seq",
         F.when(F.col("is_first") == 1, F.lit("INSERT")).otherwise(F.lit("MODIFY")).alias("op"),

@@ -76,9 +76,14 @@ def segment_column(df: DataFrame, order: Sequence[str], n: int) -> Column:
 def keyed_scan(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
                sums: Mapping[str, Column | str] | None = None,
                lasts: Mapping[str, Column | str] | None = None,
-               n_segments: int | None = None) -> DataFrame:
+               n_segments: int | None = None,
+               quantile_source: DataFrame | None = None) -> DataFrame:
     """Add running per-key values in ``order`` (ascending; ``order`` must be unique per key).
 
+    ``quantile_source`` is any cheaper DataFrame with the same leading order column and about
+    the same distribution (e.g. the raw log before enrichment joins); segment boundaries are
+    taken from it. Results are exact whatever the boundaries; they only affect balance.
+
     Adds ``row_number`` (1-based position within key) and, for every name in
     ``sums``: ``<name>`` = running sum up to and including the row, ``<name>_before`` = before it;
     ``lasts``: ``<name>`` = last non-null value up to and including the row, ``<name>_before``.
@@ -95,7 +100,8 @@ def keyed_scan(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
     for name, c in lasts.items():
         base = base.withColumn(f"_ks_lv_{name}", F.col(c) if isinstance(c, str) else c)
 
-    seg = base.withColumn("_ks_seg", segment_column(base, order, n))
+    src = quantile_source if quantile_source is not None else base
+    seg = base.withColumn("_ks_seg", segment_column(src, order, n))
 
     w = Window.partitionBy(*keys, "_ks_seg").orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

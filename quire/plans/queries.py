@@ -23,7 +23,8 @@ from quire.operators.publish import number_in_batches, parse_envelopes, publish_
 from quire.operators.catalog import catalog_files, object_exists, retention, validate_uploads
 from quire.operators.views import documents_by_tenant, job_view, results_available, tenant_recent
 from quire.operators.log import (
-    change_images, completion_edges, document_progress, fold, modify_status_changes,
+    change_images, completion_edges, document_progress, first_completions, fold,
+    modify_status_changes,
     page_changes, single_table,
 )
 from quire.operators.annotate import annotate_native, native_analysis, store_replies
@@ -188,8 +189,9 @@ def q_status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _status_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = progress_log(table(spark, sf_dir, "events"))
-    images = change_images(log)
-    pages = page_changes(log)
+    marked = first_completions(log)
+    images = change_images(log, marked=marked)
+    pages = page_changes(log, marked=marked)
     return single_table(status=images, page=pages)
 
 
@@ -204,8 +206,9 @@ def q_change_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_completion_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST3: the changes at which a document becomes ready (ready now, not before)."""
-    feed = modify_status_changes(_status_feed(spark, sf_dir))
+    """ST3: the changes at which a document becomes ready (ready now, not before), over the
+    status-record changes of the log."""
+    feed = modify_status_changes(change_images(progress_log(table(spark, sf_dir, "events"))))
     edges = completion_edges(feed)
     return edges.select("file_id", "seq", iso_utc("ts").alias("ts"), "new_processed",
                         "new_total")
