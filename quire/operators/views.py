@@ -95,3 +95,40 @@ def results_available(files: DataFrame, status: DataFrame) -> DataFrame:
     keys = _with_result(status).groupBy("file_id").agg(F.lit(True).alias("_has"))
     return (files.join(keys, "file_id", "left")
             .withColumn("available", F.coalesce(F.col("_has"), F.lit(False))).drop("_has"))
+
+
+# The file state a document state implies.
+FILE_STATE_OF = {
+    "pending": "uploaded", "chunking": "uploaded", "processing": "processing",
+    "aggregating": "processing", "completed": "completed", "failed": "failed",
+}
+
+
+def derive_file_status(files: DataFrame, doc_status: DataFrame, compat: bool = False
+                       ) -> DataFrame:
+    """File status as its declared meaning: the state of the file's document (left join; a
+    file without a status row keeps its own). ``compat=True`` keeps the stored value, which the
+    pipeline never moves past ``uploaded``."""
+    if compat:
+        return files
+    mapping = F.create_map(*[F.lit(x) for kv in FILE_STATE_OF.items() for x in kv])
+    st = doc_status.select("file_id", mapping[F.col("overall_status")].alias("_derived"))
+    return (files.join(st, "file_id", "left")
+            .withColumn("status", F.coalesce(F.col("_derived"), F.col("status")))
+            .drop("_derived"))
+
+
+def derive_failed_pages(doc_status: DataFrame, pages: DataFrame, compat: bool = False,
+                        analysis_col: str = "page_analysis") -> DataFrame:
+    """``failed_pages`` as the number of pages whose analysis has a truthy error (one partial
+    aggregate over the pages, joined to the status rows). ``compat=True`` keeps the stored
+    counter, which is initialised to 0 and never incremented."""
+    if compat:
+        return doc_status
+    from quire.functions.jsonrules import OUTCOME_FAILED, with_outcome
+    failed = (with_outcome(pages.select("file_id", analysis_col), analysis_col, "_o")
+              .groupBy("file_id")
+              .agg(F.count_if(F.col("_o") == OUTCOME_FAILED).cast("int").alias("_failed")))
+    return (doc_status.join(failed, "file_id", "left")
+            .withColumn("failed_pages", F.coalesce(F.col("_failed"), F.lit(0)))
+            .drop("_failed"))

@@ -82,3 +82,20 @@ def test_views_semi_anti_and_listings(spark):
             .collect()] == ["d2", "d1"]
     assert [r.file_id for r in documents_by_tenant(st, status_filter="completed")
             .collect()] == ["d2"]
+
+
+def test_derived_status_and_failed_pages(spark):
+    from quire.operators.views import derive_failed_pages, derive_file_status
+    files = spark.createDataFrame([("a", "uploaded"), ("b", "uploaded"), ("c", "uploaded")],
+                                  "file_id string, status string")
+    st = spark.createDataFrame([("a", "aggregating", 0), ("b", "completed", 0)],
+                               "file_id string, overall_status string, failed_pages int")
+    got = {r.file_id: r.status for r in derive_file_status(files, st).collect()}
+    assert got == {"a": "processing", "b": "completed", "c": "uploaded"}
+    assert {r.status for r in derive_file_status(files, st, compat=True).collect()} == {
+        "uploaded"}
+    pages = spark.createDataFrame([("a", '{"error":"x"}'), ("a", '{"s":1}'), ("b", None)],
+                                  "file_id string, page_analysis string")
+    fp = {r.file_id: r.failed_pages for r in derive_failed_pages(st, pages).collect()}
+    assert fp == {"a": 1, "b": 0}
+    assert {r.failed_pages for r in derive_failed_pages(st, pages, compat=True).collect()} == {0}
