@@ -98,8 +98,8 @@ Q["split_pages"] = f"""
 Q["documents_manifest"] = f"""
   SELECT file_id, tenant_id, CAST(total_pages AS BIGINT) AS total_pages,
          count(*) AS pages_found,
-         count_if((doc_id * 7 + page_number) % 11 <> 0) AS success_count,
-         count_if((doc_id * 7 + page_number) % 11 = 0) AS failed_count,
+         CAST(count_if((doc_id * 7 + page_number) % 11 <> 0) AS BIGINT) AS success_count,
+         CAST(count_if((doc_id * 7 + page_number) % 11 = 0) AS BIGINT) AS failed_count,
          CAST(0 AS BIGINT) AS missing_count, CAST(0 AS BIGINT) AS invalid_count,
          'completed' AS document_status
   FROM ({DOC_PAGES})
@@ -148,10 +148,10 @@ Q["parse_reply"] = f"""
 
 Q["document_manifest"] = f"""
   SELECT file_id, tenant_id, count(*) AS pages_found,
-    count_if(outcome = 'success') AS success_count,
-    count_if(outcome = 'failed') AS failed_count,
-    count_if(outcome = 'missing') AS missing_count,
-    count_if(outcome = 'invalid') AS invalid_count,
+    CAST(count_if(outcome = 'success') AS BIGINT) AS success_count,
+    CAST(count_if(outcome = 'failed') AS BIGINT) AS failed_count,
+    CAST(count_if(outcome = 'missing') AS BIGINT) AS missing_count,
+    CAST(count_if(outcome = 'invalid') AS BIGINT) AS invalid_count,
     CASE WHEN count_if(outcome = 'invalid') > 0 THEN 'failed' ELSE 'completed' END
       AS document_status,
     CASE WHEN count_if(outcome = 'invalid') > 0
@@ -467,7 +467,8 @@ Q["chunk_batches"] = """
 
 Q["publish_report"] = f"""
   SELECT tenant_id, batch_id, count(*) AS records,
-    count(*) - count_if(bad) AS success_count, count_if(bad) AS failed_count,
+    CAST(count(*) - count_if(bad) AS BIGINT) AS success_count,
+    CAST(count_if(bad) AS BIGINT) AS failed_count,
     CAST(NULL AS VARCHAR) AS error
   FROM (
     SELECT 'src' || CAST(user_id % 20 AS VARCHAR) AS tenant_id,
