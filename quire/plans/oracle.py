@@ -487,3 +487,18 @@ Q["error_alarm"] = f"""
         FROM events WHERE event_type = 'error')
   GROUP BY ws
 """
+
+
+Q["document_lifecycle"] = f"""
+  WITH p AS ({DOC_PAGES}),
+  f AS (SELECT * FROM ({FILES}) WHERE NOT (doc_id % 17 = 0 OR doc_id % 13 IN (0, 1)))
+  SELECT f.file_id, f.tenant_id,
+    CASE WHEN f.file_size >= 0.00390625 * 1048576 THEN 'async' ELSE 'sync' END
+      AS processing_type,
+    CAST(max(p.total_pages) AS BIGINT) AS total_pages,
+    CAST(count(*) AS BIGINT) AS success_count, CAST(0 AS BIGINT) AS failed_count,
+    CAST(0 AS BIGINT) AS missing_count,
+    f.tenant_id || '/' || f.file_id || '/results.json' AS result_key
+  FROM f JOIN p ON p.file_id = f.file_id
+  GROUP BY f.file_id, f.tenant_id, f.file_size
+"""

@@ -14,6 +14,7 @@ from quire.functions.jsonrules import chunk_status, with_outcome, with_parsed
 from quire.functions.keys import doc_pk, file_pk, page_sk
 from quire.functions.lifecycle import iso_utc, ready, ttl_stamp
 from quire.operators.alarm import error_alarm
+from quire.flows import accept_uploads, complete_documents, process_documents
 from quire.session import checkpoint_root
 from quire.sources.events import WIRE_WITH_SEQ, read_event_files
 from quire.streaming.intake import intake_table, start_intake
@@ -407,3 +408,27 @@ def q_stream_event_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     start_intake(stream, out, f"{out}/_checkpoint").awaitTermination()
     return intake_table(spark, out).select("seq", "key", "event_type", "disposition", "file_id",
                                            "tenant_id", "s3_key", "bucket")
+
+
+# ------------------------------------------------------------------ the three flows together
+
+def q_document_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upload -> process -> complete over every document: requests validated and routed
+    (invalid ones rejected), accepted documents split, annotated natively and tracked in the
+    progress log, then folded, guarded and assembled into one manifest each."""
+    ups = uploads_from_documents(table(spark, sf_dir, "documents"))
+    requests = ups.select("file_id", F.col("form_tenant").alias("tenant_id"), "file_name",
+                          "file_size", "has_file", "bucket")
+    up = accept_uploads(requests, now_col(), threshold_mb=ROUTE_THRESHOLD_MB)
+    docs = up.files.select("file_id", "tenant_id").join(ups.select("file_id", "text"),
+                                                        "file_id", "inner")
+    pr = process_documents(docs, now_col())
+    # the page table is written once (shared checkpoint folder), as a page store would be;
+    # completion then reads it instead of re-annotating for each of its uses
+    checkpoint_root(spark)
+    pages = pr.pages.checkpoint(eager=True)
+    done = complete_documents(pr.progress_log, pages, now_col())
+    return (done.manifests.join(up.files.select("file_id", "processing_type"), "file_id")
+            .select("file_id", "tenant_id", "processing_type",
+                    F.col("total_pages").cast("long").alias("total_pages"),
+                    "success_count", "failed_count", "missing_count", "result_key"))

@@ -34,6 +34,7 @@ QUERIES = {
     "stream_completion": q.q_stream_completion,
     "stream_error_alarm": q.q_stream_error_alarm,
     "stream_event_intake": q.q_stream_event_intake,
+    "document_lifecycle": q.q_document_lifecycle,
 }
 
 ORACLE = oracle_sql()
