@@ -29,13 +29,17 @@ def strict_json(text) -> Column:
     """Parse JSON text into a VARIANT the way a strict parser does; NULL when it would throw.
 
     ``try_parse_json`` alone accepts trailing text (``{"a":1},{"b":2}`` gives the first object),
-    so the text must also form exactly one element when wrapped in brackets. Duplicate keys keep
-    the last value when ``spark.sql.variant.allowDuplicateKeys`` is on (see ``quire.session``).
+    so the text must also be exactly one element in two bracket wrappings: ``[t]`` must hold one
+    element and ``[t,0]`` two. Trailing junk after the first value starts with ``]`` (closes the
+    second wrapping early) or ``,`` (adds elements to the first); either way one check fails.
+    Duplicate keys keep the last value when ``spark.sql.variant.allowDuplicateKeys`` is on (see
+    ``quire.session``).
     """
     t = _c(text)
     v = F.try_parse_json(t)
-    one_value = F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1
-    return F.when(v.isNotNull() & F.coalesce(one_value, F.lit(False)), v)
+    one = F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1
+    two = F.json_array_length(F.concat(F.lit("["), t, F.lit(",0]"))) == 2
+    return F.when(v.isNotNull() & F.coalesce(one & two, F.lit(False)), v)
 
 
 def truthy(v) -> Column:

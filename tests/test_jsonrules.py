@@ -71,7 +71,9 @@ def test_null_reply_is_kept_then_fails_document(spark):
 
 
 @pytest.mark.parametrize("text,ok", [('{"a":1}', True), ('{"a":1},{"b":2}', False),
-                                     ("{'a':1}", False), ('"s"', True), ("", False)])
+                                     ("{'a':1}", False), ('"s"', True), ("", False),
+                                     ("null]", False), ('{"a":1}]', False), ("5,0]", False),
+                                     ("[1],[2]", False), (" 5 ", True), ("[]", True)])
 def test_strict_json(spark, text, ok):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(strict_json("t").isNotNull().alias("ok")).first().ok is ok
