@@ -37,3 +37,20 @@ def error_alarm(events: DataFrame, ts: str = "ts", period: str = WORKER_ERRORS[1
                 threshold: float = WORKER_ERRORS[2], value: Column | None = None) -> DataFrame:
     """Error count (or metric sum) per period and whether the alarm fires."""
     return alarm_states(windowed_counts(events, ts, period, value), threshold)
+
+
+DEFAULT_RULES = (WORKER_ERRORS, STORE_THROTTLES)
+
+
+def evaluate_alarms(metrics: DataFrame, rules=DEFAULT_RULES, ts: str = "ts",
+                    name: str = "metric_name", value: Column | None = None) -> DataFrame:
+    """Evaluate several alarm rules ``(metric name, period, threshold)`` over metric rows
+    (name, ts, optional value): one windowed aggregate per rule, unioned, with ``alarm_name``.
+    The rules are a fixed, tiny list, so each becomes a pushed-down filter plus a group-by."""
+    out = None
+    for rule_name, period, threshold in rules:
+        part = metrics.filter(F.col(name) == rule_name)
+        states = alarm_states(windowed_counts(part, ts, period, value), threshold).withColumn(
+            "alarm_name", F.lit(rule_name))
+        out = states if out is None else out.unionByName(states)
+    return out

@@ -107,3 +107,16 @@ def test_alarm_rules(spark):
     assert run(range(11)) == [(11, True)]
     assert run([294, 295, 296, 297, 298, 299, 300, 301, 302, 303, 304, 305]) == [
         (6, False), (6, False)]
+
+
+def test_both_deployed_alarm_rules(spark):
+    from quire.operators.alarm import evaluate_alarms
+    rows = ([("worker-errors", T0 + dt.timedelta(seconds=i)) for i in range(11)]
+            + [("store-throttles", T0 + dt.timedelta(seconds=i)) for i in range(6)]
+            + [("store-throttles", T0 + dt.timedelta(minutes=10, seconds=i)) for i in range(5)])
+    df = spark.createDataFrame(rows, "metric_name string, ts timestamp")
+    got = sorted((r.alarm_name, r.window_start, r.metric, r.alarm)
+                 for r in evaluate_alarms(df).collect())
+    assert got == [("store-throttles", "2024-01-01T00:00:00.000Z", 6, True),
+                   ("store-throttles", "2024-01-01T00:10:00.000Z", 5, False),
+                   ("worker-errors", "2024-01-01T00:00:00.000Z", 11, True)]
