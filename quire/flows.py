@@ -26,7 +26,7 @@ from quire.functions.lifecycle import (
 from quire.operators.annotate import annotate_native, annotate_with
 from quire.operators.catalog import catalog_files, file_id_for, validate_uploads
 from quire.operators.log import document_progress
-from quire.operators.manifest import guard, manifest_header, manifest_nested
+from quire.operators.manifest import guard, manifest_parts
 from quire.operators.pages import document_errors, split_pages, spread_pages
 from quire.operators.publish import UPLOADED, envelope
 from quire.operators.views import job_view, tenant_recent
@@ -45,7 +45,8 @@ class Processed(NamedTuple):
 
 
 class Completed(NamedTuple):
-    manifests: DataFrame       # D8 rows for assembled documents
+    manifests: DataFrame       # D8 headers of assembled documents (counts, result key)
+    chunks: DataFrame          # their chunks, one row per page (nest with nest_manifest)
     status_updates: DataFrame  # (file_id, overall_status, completed_at, result_key, error)
     deferred: DataFrame        # ready documents still missing page rows
 
@@ -129,21 +130,19 @@ def complete_documents(progress_log: DataFrame, pages: DataFrame, processed_at)
     decided = guard(ready_docs, pages)
     go = decided.filter(F.col("action") == "assemble").select("file_id", "total_pages")
     doc_pages = pages.join(go.select("file_id"), "file_id", "left_semi")
-    manifests = manifest_nested(doc_pages, go, t)
-    head = manifest_header(doc_pages).select("file_id", "tenant_id", "document_status",
-                                             "error_message")
-    closed = head.select(
+    headers, chunks = manifest_parts(doc_pages, go, t)
+    manifests = headers.filter(F.col("document_status") == "completed")
+    closed = headers.select(
         "file_id", F.col("document_status").alias("overall_status"),
         F.when(F.col("document_status") == "completed", t).alias("completed_at"),
-        F.when(F.col("document_status") == "completed",
-               results_key("tenant_id", "file_id")).alias("result_key"),
-        F.col("error_message"))
+        "result_key", "error_message")
     deferred = decided.filter(F.col("action") == "deferred")
     reopened = deferred.select("file_id", F.lit("processing").alias("overall_status"),
                                F.lit(None).cast("timestamp").alias("completed_at"),
                                F.lit(None).cast("string").alias("result_key"),
                                F.lit(None).cast("string").alias("error_message"))
-    return Completed(manifests, closed.unionByName(reopened), deferred)
+    done_chunks = chunks.join(manifests.select("file_id"), "file_id", "left_semi")
+    return Completed(manifests, done_chunks, closed.unionByName(reopened), deferred)
 
 
 def job_status(status: DataFrame, files: DataFrame, file_id: str | None = None,
@@ -154,7 +153,7 @@ def job_status(status: DataFrame, files: DataFrame, file_id: str | None = None,
 
 
 def job_results(manifests: DataFrame, file_id: str) -> DataFrame:
-    """Read side: the manifest of one document (zero or one row)."""
+    """Read side: the manifest header of one document (zero or one row)."""
     return manifests.filter(F.col("file_id") == file_id)
 
 

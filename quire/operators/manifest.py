@@ -71,30 +71,63 @@ def manifest_chunks(pages: DataFrame, keys: tuple[str, ...] = ("file_id", "tenan
         chunk_status("outcome").alias("chunk_status"))
 
 
-def manifest_nested(pages: DataFrame, totals: DataFrame, processed_at,
-                    keys: tuple[str, ...] = ("file_id", "tenant_id"),
-                    analysis_col: str = "page_analysis") -> DataFrame:
-    """Full manifest rows (header + ``chunks`` array sorted by page) for export as JSON.
-
-    ``totals`` gives ``total_pages`` per ``file_id``. Documents with an invalid page get no
-    manifest (they fail instead), matching the reference, where the aggregation throws.
+def manifest_parts(pages: DataFrame, totals: DataFrame, processed_at,
+                   keys: tuple[str, ...] = ("file_id", "tenant_id"),
+                   analysis_col: str = "page_analysis") -> tuple[DataFrame, DataFrame]:
+    """The manifest as two flat tables: (headers, chunks).
+
+    ``chunks`` is one row per page (``manifest_chunks``); ``headers`` is one row per document
+    with processed_at, total_pages (from ``totals``), the four counts, the document status and
+    the result key, aggregated partially from the chunks. Nothing gathers a document's pages
+    into one row, so a document with a third of all pages is no bigger a problem than any
+    other; nesting is left to ``nest_manifest`` for the documents a reader asks for.
     """
     chunks = manifest_chunks(pages, keys, analysis_col)
     processed_c = processed_at if not isinstance(processed_at, str) else F.lit(processed_at)
-    nested = (chunks.groupBy(*keys).agg(
+    counts = chunks.groupBy(*keys).agg(
         F.count_if(F.col("outcome") == OUTCOME_SUCCESS).alias("success_count"),
         F.count_if(F.col("outcome") == OUTCOME_FAILED).alias("failed_count"),
         F.count_if(F.col("outcome") == OUTCOME_MISSING).alias("missing_count"),
-        F.count_if(F.col("outcome") == OUTCOME_INVALID).alias("invalid_count"),
-        F.array_sort(F.collect_list(F.struct(
-            F.col("page_number"), F.col("analysis"),
-            F.col("chunk_status").alias("status")))).alias("chunks")))
-    return (nested.filter(F.col("invalid_count") == 0)
-            .join(totals.select("file_id", F.col("total_pages").cast("int")), "file_id", "left")
-            .select(*keys, iso_utc(processed_c.cast("timestamp")).alias("processed_at"),
-                    "total_pages", "success_count", "failed_count", "missing_count",
-                    "invalid_count", "chunks",
-                    results_key("tenant_id", "file_id").alias("result_key")))
+        F.count_if(F.col("outcome") == OUTCOME_INVALID).alias("invalid_count"))
+    invalid = F.col("invalid_count") > 0
+    headers = (counts.join(totals.select("file_id", F.col("total_pages").cast("int")),
+                           "file_id", "left")
+               .select(*keys, iso_utc(processed_c.cast("timestamp")).alias("processed_at"),
+                       "total_pages", "success_count", "failed_count", "missing_count",
+                       "invalid_count",
+                       F.when(invalid, F.lit("failed")).otherwise(F.lit("completed"))
+                       .alias("document_status"),
+                       F.when(invalid, F.lit(INVALID_MESSAGE)).alias("error_message"),
+                       F.when(~invalid, results_key("tenant_id", "file_id")).alias("result_key")))
+    return headers, chunks
+
+
+def nest_manifest(headers: DataFrame, chunks: DataFrame,
+                  keys: tuple[str, ...] = ("file_id", "tenant_id")) -> DataFrame:
+    """Nested manifest rows (header + ``chunks`` array sorted by page) for the documents in
+    ``headers``; documents that failed (an invalid page) get none. Each row gathers one
+    document's chunks, so apply it to the documents being exported or served, not to a table
+    that may hold one enormous document."""
+    ok = headers.filter(F.col("invalid_count") == 0)
+    nested = (chunks.join(ok.select(*keys), list(keys), "left_semi").groupBy(*keys)
+              .agg(F.array_sort(F.collect_list(F.struct(
+                  F.col("page_number"), F.col("analysis"),
+                  F.col("chunk_status").alias("status")))).alias("chunks")))
+    return ok.join(nested, list(keys), "left").select(
+        *keys, "processed_at", "total_pages", "success_count", "failed_count", "missing_count",
+        "invalid_count", F.coalesce(F.col("chunks"), F.array().cast(
+            "array<struct<page_number:int,analysis:string,status:string>>")).alias("chunks"),
+        "result_key")
+
+
+def manifest_nested(pages: DataFrame, totals: DataFrame, processed_at,
+                    keys: tuple[str, ...] = ("file_id", "tenant_id"),
+                    analysis_col: str = "page_analysis") -> DataFrame:
+    """Full manifest rows (header + ``chunks`` array sorted by page), as the reference writes
+    one result per document. ``totals`` gives ``total_pages`` per ``file_id``. Documents with an
+    invalid page get no manifest (they fail instead). See ``nest_manifest`` on row size."""
+    headers, chunks = manifest_parts(pages, totals, processed_at, keys, analysis_col)
+    return nest_manifest(headers, chunks, keys)
 
 
 def page_counts(pages: DataFrame) -> DataFrame:

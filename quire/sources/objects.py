@@ -72,6 +72,30 @@ def write_manifests(manifests: DataFrame, path: str, fmt: str = "json") -> None:
         w.parquet(path)
 
 
+def write_results(headers: DataFrame, chunks: DataFrame, path: str) -> None:
+    """Results as two Parquet tables under ``path``: ``headers`` (one row per document) and
+    ``chunks`` (one row per page, clustered by document and page within each file), both
+    partitioned by tenant. Rewriting a tenant replaces its results (dynamic overwrite)."""
+    (headers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("tenant_id").parquet(f"{path}/headers"))
+    (chunks.sortWithinPartitions("file_id", "page_number").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id")
+     .parquet(f"{path}/chunks"))
+
+
+def read_result(spark: SparkSession, path: str, file_id: str,
+                tenant_id: str | None = None) -> DataFrame:
+    """One document's result as a nested manifest row (S6): header and chunks filtered on the
+    file id (and the tenant partition when given), then nested. No row when absent."""
+    from quire.operators.manifest import nest_manifest
+    h = spark.read.parquet(f"{path}/headers").filter(F.col("file_id") == file_id)
+    c = spark.read.parquet(f"{path}/chunks").filter(F.col("file_id") == file_id)
+    if tenant_id is not None:
+        h = h.filter(F.col("tenant_id") == tenant_id)
+        c = c.filter(F.col("tenant_id") == tenant_id)
+    return nest_manifest(h, c)
+
+
 def read_manifest(spark: SparkSession, path: str, file_id: str | None = None,
                   fmt: str = "json") -> DataFrame:
     """Read manifests back (S6) with the fixed schema; with ``file_id`` at most one row."""

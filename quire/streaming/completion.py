@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quire.functions.lifecycle import ready
 from quire.operators.log import latest_per_key
-from quire.operators.manifest import guard, manifest_nested
+from quire.operators.manifest import guard, manifest_parts
 from quire.session import checkpoint_root
 
 
@@ -57,8 +57,9 @@ def assemble_batch(spark: SparkSession, out: str, batch_id: int, pages: DataFram
 
     Candidates are the documents that turned up ready in this batch plus those deferred by
     earlier batches; documents finished by any other batch are skipped. The guard compares page
-    rows with the total: complete documents get their manifest written under
-    ``results/batch_id=<id>``, the rest under ``deferred/batch_id=<id>`` (retried next batch).
+    rows with the total: complete documents get their manifest header written under
+    ``results/batch_id=<id>`` and their chunks under ``result_chunks/batch_id=<id>`` (flat,
+    one row per page), the rest under ``deferred/batch_id=<id>`` (retried next batch).
     Everything is written with overwrite, so replaying the batch rewrites the same output.
     """
     mine = spark.read.parquet(f"{out}/updates/batch_id={batch_id}").filter("ready")
@@ -76,9 +77,12 @@ def assemble_batch(spark: SparkSession, out: str, batch_id: int, pages: DataFram
     decided = guard(cands, pages)
     go = decided.filter(F.col("action") == "assemble").select("file_id", "total_pages")
     doc_pages = pages.join(go.select("file_id"), "file_id", "left_semi")
-    (manifest_nested(doc_pages, go, processed_at)
-     .withColumn("batch_id", F.lit(batch_id).cast("long"))
+    headers, chunks = manifest_parts(doc_pages, go, processed_at)
+    (headers.withColumn("batch_id", F.lit(batch_id).cast("long"))
      .write.mode("overwrite").parquet(f"{out}/results/batch_id={batch_id}"))
+    (chunks.withColumn("batch_id", F.lit(batch_id).cast("long"))
+     .sortWithinPartitions("file_id", "page_number")
+     .write.mode("overwrite").parquet(f"{out}/result_chunks/batch_id={batch_id}"))
     (decided.filter(F.col("action") == "deferred").select("file_id", "total_pages", "pages_found")
      .withColumn("batch_id", F.lit(batch_id).cast("long"))
      .write.mode("overwrite").parquet(f"{out}/deferred/batch_id={batch_id}"))

@@ -117,3 +117,21 @@ def test_catalog_and_manifest_sinks(spark, tmpdir_path):
     assert len(back) == 1 and [c.page_number for c in back[0].chunks] == [1, 2]
     assert back[0].success_count == 1 and back[0].missing_count == 1
     assert read_manifest(spark, out, "nope").count() == 0
+
+
+def test_results_as_flat_tables(spark, tmpdir_path):
+    from quire.operators.manifest import manifest_parts
+    from quire.sources.objects import read_result, write_results
+    pages = spark.createDataFrame(
+        [("f1", "t1", 2, '{"a":1}'), ("f1", "t1", 1, '{"error":"x"}'), ("f2", "t2", 1, "nope")],
+        "file_id string, tenant_id string, page_number int, page_analysis string")
+    totals = spark.createDataFrame([("f1", 2), ("f2", 1)], "file_id string, total_pages int")
+    headers, chunks = manifest_parts(pages, totals, "2024-02-01 00:00:00")
+    h = {r.file_id: r for r in headers.collect()}
+    assert h["f1"].document_status == "completed" and h["f1"].result_key == "t1/f1/results.json"
+    assert h["f2"].document_status == "failed" and h["f2"].result_key is None
+    out = os.path.join(tmpdir_path, "results")
+    write_results(headers, chunks, out)
+    one = read_result(spark, out, "f1", "t1").collect()
+    assert len(one) == 1 and [c.status for c in one[0].chunks] == ["failed", "success"]
+    assert read_result(spark, out, "f2").count() == 0  # failed documents have no manifest
