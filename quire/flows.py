@@ -26,7 +26,7 @@ from quire.functions.lifecycle import (
 from quire.operators.annotate import annotate_native, annotate_with
 from quire.operators.catalog import catalog_files, file_id_for, validate_uploads
 from quire.operators.log import document_progress
-from quire.operators.manifest import guard, manifest_parts
+from quire.operators.manifest import current_pages, guard, manifest_parts
 from quire.operators.pages import document_errors, split_pages, spread_pages
 from quire.operators.publish import UPLOADED, envelope
 from quire.operators.views import job_view, tenant_recent
@@ -120,11 +120,16 @@ def process_documents(docs: DataFrame, now, annotator: Callable[[str], str] | No
     return Processed(page_rows, started.unionByName(totals).unionByName(done), failed)
 
 
-def complete_documents(progress_log: DataFrame, pages: DataFrame, processed_at) -> Completed:
+def complete_documents(progress_log: DataFrame, pages: DataFrame, processed_at,
+                       dedupe_pages: bool = True) -> Completed:
     """Flow 3. Ready documents (processed = total > 0, processing) whose page rows are all
     present are assembled; a document with an unparsable page fails with a message; the rest
-    are deferred and stay ready for the next run."""
+    are deferred and stay ready for the next run. With ``dedupe_pages`` the page table is read
+    as a keyed store (last write per page wins), so replayed page writes change nothing; pass
+    False when the pages are known to be one row per page."""
     t = _ts(processed_at)
+    if dedupe_pages:
+        pages = current_pages(pages)
     ready_docs = document_progress(progress_log).filter("ready").select("file_id",
                                                                         "total_pages")
     decided = guard(ready_docs, pages)

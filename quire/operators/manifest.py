@@ -130,6 +130,14 @@ def manifest_nested(pages: DataFrame, totals: DataFrame, processed_at,
     return nest_manifest(headers, chunks, keys)
 
 
+def current_pages(pages: DataFrame, order: tuple[str, ...] = ("updated_at",)) -> DataFrame:
+    """The page table as a keyed store sees it: a put replaces the earlier row for the same
+    (document, page), so replays never add pages. Last write wins by ``order`` (a partial
+    aggregate per page key; its groups are bounded by the number of rewrites of one page)."""
+    from quire.operators.log import latest_per_key
+    return latest_per_key(pages, ["file_id", "page_number"], list(order))
+
+
 def page_counts(pages: DataFrame) -> DataFrame:
     """Page rows found per document (partial aggregation; skew-safe)."""
     return pages.groupBy("file_id").agg(F.count(F.lit(1)).alias("pages_found"))

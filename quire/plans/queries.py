@@ -427,7 +427,8 @@ def q_document_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     # completion then reads it instead of re-annotating for each of its uses
     checkpoint_root(spark)
     pages = pr.pages.checkpoint(eager=True)
-    done = complete_documents(pr.progress_log, pages, now_col())
+    # one processing run: exactly one row per page, no replays to collapse
+    done = complete_documents(pr.progress_log, pages, now_col(), dedupe_pages=False)
     return (done.manifests.join(up.files.select("file_id", "processing_type"), "file_id")
             .select("file_id", "tenant_id", "processing_type",
                     F.col("total_pages").cast("long").alias("total_pages"),

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quire.functions.lifecycle import ready
 from quire.operators.log import latest_per_key
-from quire.operators.manifest import guard, manifest_parts
+from quire.operators.manifest import current_pages, guard, manifest_parts
 from quire.session import checkpoint_root
 
 
@@ -52,7 +52,7 @@ def _other_batches(spark: SparkSession, folder: str, batch_id: int) -> DataFrame
 
 
 def assemble_batch(spark: SparkSession, out: str, batch_id: int, pages: DataFrame,
-                   processed_at) -> None:
+                   processed_at, dedupe_pages: bool = True) -> None:
     """Assemble the documents that are ready in this batch (ST3, ST4, ST6).
 
     Candidates are the documents that turned up ready in this batch plus those deferred by
@@ -74,6 +74,8 @@ def assemble_batch(spark: SparkSession, out: str, batch_id: int, pages: DataFram
     if done is not None:
         cands = cands.join(done.select("file_id"), "file_id", "left_anti")
     cands = cands.dropDuplicates(["file_id"])
+    if dedupe_pages and "updated_at" in pages.columns:
+        pages = current_pages(pages)
     decided = guard(cands, pages)
     go = decided.filter(F.col("action") == "assemble").select("file_id", "total_pages")
     doc_pages = pages.join(go.select("file_id"), "file_id", "left_semi")

@@ -56,3 +56,18 @@ def test_upload_process_complete(spark):
         .withColumn("result_key", F.lit(None).cast("string"))
     js = job_status(status, up.files, file_id=small_id).first()
     assert js.status == "processing" and js.percent == 50.0 and js.result is None
+
+
+def test_replayed_pages_give_the_same_manifest(spark):
+    docs = spark.createDataFrame([("f1", "t", "One. Two.\nThree!")],
+                                 "file_id string, tenant_id string, text string")
+    pr = process_documents(docs, NOW, partitions=2)
+    once = complete_documents(pr.progress_log, pr.pages, NOW)
+    # the same page writes arrive again (a replay), one of them later with the same content
+    replay = pr.pages.unionByName(pr.pages.withColumn(
+        "updated_at", F.col("updated_at") + F.expr("INTERVAL 1 MINUTE")))
+    twice = complete_documents(pr.progress_log.unionByName(pr.progress_log), replay, NOW)
+    a = once.manifests.drop("processed_at").collect()
+    b = twice.manifests.drop("processed_at").collect()
+    assert a == b and a[0].success_count == 2 and a[0].total_pages == 2
+    assert twice.chunks.count() == 2
