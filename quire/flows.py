@@ -128,6 +128,10 @@ def complete_documents(progress_log: DataFrame, pages: DataFrame, processed_at,
     as a keyed store (last write per page wins), so replayed page writes change nothing; pass
     False when the pages are known to be one row per page."""
     t = _ts(processed_at)
+    # only what completion reads: page text never travels through the dedupe or the manifest
+    cols = [c for c in ("file_id", "tenant_id", "page_number", "page_analysis", "updated_at")
+            if c in pages.columns]
+    pages = pages.select(*cols)
     if dedupe_pages:
         pages = current_pages(pages)
     ready_docs = document_progress(progress_log).filter("ready").select("file_id",

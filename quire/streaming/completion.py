@@ -1,7 +1,9 @@
 """Streaming completion trigger (ST1, ST3, ST4, ST6, ST7).
 
-State holds only per-document counters: the set of finished page numbers (bounded by the
-document's page count), the latest total and the latest status. Each micro-batch emits the
+State is split so no key holds a big value: page completions are de-duplicated on
+(document, page) first (a streaming ``dropDuplicates``, whose state is spread by the hash of both
+columns, so a document with millions of pages is spread too), then one small row per document
+counts distinct pages and keeps the latest total and status. Each micro-batch emits the
 updated documents (update mode) to ``foreachBatch``, which writes them under
 ``<out>/updates/batch_id=<id>`` with overwrite: a replayed batch rewrites its own folder, so
 the sink is idempotent and the output is exactly-once together with the checkpoint.
@@ -32,10 +34,13 @@ def run_folder(spark: SparkSession, name: str) -> str:
 
 def progress_state(progress: DataFrame) -> DataFrame:
     """Stateful per-document progress over a stream of progress rows
-    (file_id, ts, seq, page, total, status)."""
+    (file_id, ts, seq, page, total, status): distinct finished pages (first completion of each
+    page only), latest total, latest status."""
     pos = F.struct("ts", "seq")
-    return progress.groupBy("file_id").agg(
-        F.size(F.collect_set("page")).cast("long").alias("processed_pages"),
+    firsts = progress.filter(F.col("page").isNotNull()).dropDuplicates(["file_id", "page"])
+    rest = progress.filter(F.col("page").isNull())
+    return firsts.unionByName(rest).groupBy("file_id").agg(
+        F.count("page").cast("long").alias("processed_pages"),
         F.max_by("total", F.when(F.col("total").isNotNull(), pos)).cast("long")
         .alias("total_pages"),
         F.max_by("status", F.when(F.col("status").isNotNull(), pos)).alias("overall_status"),
@@ -74,6 +79,9 @@ def assemble_batch(spark: SparkSession, out: str, batch_id: int, pages: DataFram
     if done is not None:
         cands = cands.join(done.select("file_id"), "file_id", "left_anti")
     cands = cands.dropDuplicates(["file_id"])
+    cols = [c for c in ("file_id", "tenant_id", "page_number", "page_analysis", "updated_at")
+            if c in pages.columns]
+    pages = pages.select(*cols)
     if dedupe_pages and "updated_at" in pages.columns:
         pages = current_pages(pages)
     decided = guard(cands, pages)
