@@ -3,7 +3,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from quire.operators.annotate import annotate_native, annotate_with, call_with_retry
 from quire.operators.manifest import manifest_nested
