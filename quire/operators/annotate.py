@@ -90,15 +90,8 @@ def sentiment_balance(lower_text: Column) -> Column:
     return pos * 2 - F.size(hits)
 
 
-def native_analysis(text) -> Column:
-    """The native rule set as one struct Column (summary, entities, keyPoints, sentiment).
-
-    Entities and sentiment are single regex passes over the whole text (no per-word lambdas):
-    the same words as splitting on non-letters and testing each word."""
-    t = F.coalesce(_c(text), F.lit(""))
-    sents = sentences(text)
-    entities = F.array_distinct(F.regexp_extract_all(t, F.lit(ENTITY_RX), 0))
-    balance = sentiment_balance(F.lower(t))
+def _analysis_struct(text: Column, sents: Column, balance: Column) -> Column:
+    entities = F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY_RX), 0))
     sentiment = (F.when(balance > 0, F.lit("positive")).when(balance < 0, F.lit("negative"))
                  .otherwise(F.lit("neutral")))
     return F.struct(
@@ -109,6 +102,27 @@ def native_analysis(text) -> Column:
     )
 
 
+def native_analysis(text) -> Column:
+    """The native rule set as one struct Column (summary, entities, keyPoints, sentiment).
+
+    Entities and sentiment are single regex passes over the whole text (no per-word lambdas):
+    the same words as splitting on non-letters and testing each word. Single-expression form;
+    on tables ``with_native_analysis`` computes the sentences and the balance once per row."""
+    t = F.coalesce(_c(text), F.lit(""))
+    return _analysis_struct(t, sentences(text), sentiment_balance(F.lower(t)))
+
+
+def with_native_analysis(df: DataFrame, text_col: str, out: str) -> DataFrame:
+    """Add ``out``: the native analysis struct, with the sentences and the sentiment balance
+    staged as columns so each is computed once per row."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    staged = (df.withColumn("_na_sents", sentences(text_col))
+              .withColumn("_na_balance", sentiment_balance(F.lower(t))))
+    return (staged.withColumn(out, _analysis_struct(t, F.col("_na_sents"),
+                                                    F.col("_na_balance")))
+            .drop("_na_sents", "_na_balance"))
+
+
 def failure_placeholder(now) -> Column:
     """``{"error":"Analysis failed","timestamp":"<now ISO>"}``."""
     now_c = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
@@ -123,11 +137,12 @@ def annotate_native(pages: DataFrame, now, text_col: str = "page_text",
     ``fail`` is an optional boolean Column marking pages whose annotation errors (tests and
     fault drills); those pages get the failure placeholder and still count as processed.
     """
-    analysis = F.to_json(native_analysis(text_col))
+    staged = with_native_analysis(pages, text_col, "_na_struct")
+    analysis = F.to_json(F.col("_na_struct"))
     if fail is not None:
         analysis = (F.when(F.coalesce(fail, F.lit(False)), failure_placeholder(now))
                     .otherwise(analysis))
-    return pages.withColumn("page_analysis", analysis)
+    return staged.withColumn("page_analysis", analysis).drop("_na_struct")
 
 
 # ---------------------------------------------------------------------------------------------

@@ -28,7 +28,7 @@ from quire.operators.log import (
     modify_status_changes,
     page_changes, single_table,
 )
-from quire.operators.annotate import annotate_native, native_analysis, store_replies
+from quire.operators.annotate import annotate_native, store_replies, with_native_analysis
 from quire.operators.manifest import guard, manifest_chunks, manifest_header
 from quire.operators.pages import prompt, split_pages, spread_pages
 from quire.plans.inputs import (
@@ -115,13 +115,14 @@ def conversation_pages_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     of eight shapes, is cut and strictly parsed (M4), and the result or the placeholder is
     stored. System turns store no analysis."""
     pages = spread_pages(pages_from_conversations(table(spark, sf_dir, "conversations")))
-    replies = (pages.withColumn("_analysis_json", F.to_json(native_analysis("page_text")))
+    replies = (with_native_analysis(pages, "page_text", "_analysis")
+               .withColumn("_analysis_json", F.to_json("_analysis"))
                .withColumn("reply_kind", reply_kind("conv_id", "turn")))
     replies = replies.withColumn("reply", wrap_reply(F.col("reply_kind"), F.col("_analysis_json")))
     stored = store_replies(replies, "reply", now_col(), out="_stored")
     return (stored.withColumn("page_analysis", F.when(F.col("role") == "system", F.lit(None)
                                                       .cast("string")).otherwise(F.col("_stored")))
-            .drop("_analysis_json", "reply", "_stored"))
+            .drop("_analysis", "_analysis_json", "reply", "_stored"))
 
 
 def q_parse_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
