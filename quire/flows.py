@@ -56,9 +56,11 @@ def _ts(now) -> Column:
 
 
 def accept_uploads(uploads: DataFrame, now, threshold_mb=DEFAULT_THRESHOLD_MB,
-                   default_bucket: str = DEFAULT_BUCKET) -> Uploaded:
+                   default_bucket: str = DEFAULT_BUCKET, carry: tuple[str, ...] = ()
+                   ) -> Uploaded:
     """Flow 1. ``uploads``: tenant_id, file_name, file_size, has_file, optional file_id,
     mime_type and bucket. Missing ids are derived deterministically from tenant, name and time.
+    ``carry`` keeps request columns (e.g. the body) on the file records for the next flow.
     """
     t = _ts(now)
     v = validate_uploads(uploads.withColumn("uploaded_at", t), "has_file", "tenant_id")
@@ -67,7 +69,8 @@ def accept_uploads(uploads: DataFrame, now, threshold_mb=DEFAULT_THRESHOLD_MB,
     ok = v.filter("valid")
     rejected = v.filter(~F.col("valid")).select("file_id", "tenant_id", "file_name",
                                                 "reject_reason")
-    files = catalog_files(ok, t, threshold_mb, default_bucket)
+    files_all = catalog_files(ok, t, threshold_mb, default_bucket, carry=carry)
+    files = files_all.drop(*carry)
     fields = F.create_map(
         F.lit("tenant_id"), F.col("tenant_id"), F.lit("overall_status"), F.lit("pending"),
         F.lit("total_pages"), F.lit("0"), F.lit("processed_pages"), F.lit("0"),
@@ -83,7 +86,7 @@ def accept_uploads(uploads: DataFrame, now, threshold_mb=DEFAULT_THRESHOLD_MB,
     events = (files.filter(F.col("processing_type") == "async")
               .select(F.col("tenant_id").alias("key"),
                       envelope(F.lit(UPLOADED), data, t).alias("value")))
-    return Uploaded(files, status_log, rejected, events)
+    return Uploaded(files_all if carry else files, status_log, rejected, events)
 
 
 def process_documents(docs: DataFrame, now, annotator: Callable[[str], str] | None = None,

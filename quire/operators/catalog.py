@@ -41,11 +41,12 @@ def file_id_for(tenant_id, file_name, uploaded_at) -> Column:
 
 def catalog_files(uploads: DataFrame, now, threshold_mb=DEFAULT_THRESHOLD_MB,
                   default_bucket: str = DEFAULT_BUCKET, bucket_col: str | None = "bucket",
-                  ttl_days: int = WRITER_TTL_DAYS) -> DataFrame:
+                  ttl_days: int = WRITER_TTL_DAYS, carry: tuple[str, ...] = ()) -> DataFrame:
     """File records (D1) from validated uploads: keys, object key, bucket, routing, status.
 
     Input columns: file_id, tenant_id, file_name, file_size, uploaded_at, optional bucket and
-    mime_type. ``ttl`` counts from the write time ``now``.
+    mime_type. ``ttl`` counts from the write time ``now``. ``carry`` names request columns to
+    keep alongside (e.g. the document body for the next step, instead of a join back).
     """
     cols = set(uploads.columns)
     bucket = or_default(bucket_col, default_bucket) if bucket_col in cols else F.lit(default_bucket)
@@ -62,6 +63,7 @@ def catalog_files(uploads: DataFrame, now, threshold_mb=DEFAULT_THRESHOLD_MB,
         F.lit("uploaded").alias("status"),
         F.col("uploaded_at"), F.col("uploaded_at").alias("updated_at"),
         ttl_stamp(now, ttl_days).alias("ttl"),
+        *carry,
     )
 
 

@@ -419,10 +419,10 @@ def q_document_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     progress log, then folded, guarded and assembled into one manifest each."""
     ups = uploads_from_documents(table(spark, sf_dir, "documents"))
     requests = ups.select("file_id", F.col("form_tenant").alias("tenant_id"), "file_name",
-                          "file_size", "has_file", "bucket")
-    up = accept_uploads(requests, now_col(), threshold_mb=ROUTE_THRESHOLD_MB)
-    docs = up.files.select("file_id", "tenant_id").join(ups.select("file_id", "text"),
-                                                        "file_id", "inner")
+                          "file_size", "has_file", "bucket", "text")
+    # the body travels with the accepted request (no join back to the documents)
+    up = accept_uploads(requests, now_col(), threshold_mb=ROUTE_THRESHOLD_MB, carry=("text",))
+    docs = up.files.select("file_id", "tenant_id", "text")
     pr = process_documents(docs, now_col())
     # the page table is written once (shared checkpoint folder), as a page store would be;
     # completion then reads it instead of re-annotating for each of its uses
