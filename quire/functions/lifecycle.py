@@ -16,8 +16,10 @@ DEFAULT_TTL_DAYS = 30                # retention default; every writer passes 90
 WRITER_TTL_DAYS = 90
 DOCUMENT_EXPIRE_DAYS = 90            # stored documents are deleted at this age
 RESULT_ARCHIVE_DAYS = 30             # results move to cold storage at this age
-DEFAULT_BUCKET = "document-orchestrator-pdfs"
-RESULTS_BUCKET = "document-orchestrator-results"
+# Deployment defaults (store names are configuration, not semantics): the bucket used when a
+# request names none, and where results go.
+DEFAULT_BUCKET = "pdfs"
+RESULTS_BUCKET = "results"
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 

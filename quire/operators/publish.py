@@ -19,7 +19,7 @@ from quire.functions.lifecycle import DEFAULT_BUCKET, iso_utc, or_default
 from quire.operators.scan import keyed_scan
 
 # Fixed values of the event model.
-SOURCE = "document-orchestrator"
+SOURCE = "quire"                      # metadata.source of every envelope (deployment name)
 UPLOADED = "document.uploaded"
 CHUNK_READY = "chunk.ready"
 BATCH_LIMIT = 500

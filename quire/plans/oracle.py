@@ -316,7 +316,7 @@ Q["file_catalog_route"] = f"""
   SELECT file_id, tenant_id, 'FILE#' || file_id AS pk, 'METADATA' AS sk,
     'TENANT#' || tenant_id AS gsi1pk, 'FILE#' || strftime(uploaded_at, {ISO}) AS gsi1sk,
     tenant_id || '/' || file_id || '/' || file_name AS s3_key,
-    CASE WHEN doc_id % 3 IN (0, 1) THEN 'document-orchestrator-pdfs' ELSE 'tenant-bucket' END
+    CASE WHEN doc_id % 3 IN (0, 1) THEN 'pdfs' ELSE 'tenant-bucket' END
       AS s3_bucket,
     CASE WHEN file_size >= 0.00390625 * 1048576 THEN 'async' ELSE 'sync' END AS processing_type,
     'uploaded' AS status,
@@ -447,7 +447,7 @@ Q["event_envelope"] = f"""
     CASE WHEN NOT bad AND event_type = 'signup'
          THEN tenant || '/' || fid || '/doc-' || fid || '.pdf' END AS s3_key,
     CASE WHEN NOT bad AND event_type = 'signup'
-         THEN CASE WHEN k % 3 = 0 THEN 'document-orchestrator-pdfs' ELSE 'bucket-a' END
+         THEN CASE WHEN k % 3 = 0 THEN 'pdfs' ELSE 'bucket-a' END
     END AS bucket
   FROM (SELECT *, CAST(file_id AS VARCHAR) AS fid,
           'src' || CAST(user_id % 20 AS VARCHAR) AS tenant, seq % 101 = 0 AS bad

@@ -51,7 +51,7 @@ def test_catalog_and_validation(spark):
                  "f3": (False, "No file uploaded")}
     cat = {r.file_id: r for r in catalog_files(ups, "2024-01-01 00:00:00").collect()}
     assert cat["f1"].processing_type == "async" and cat["f2"].processing_type == "sync"
-    assert cat["f1"].s3_bucket == "document-orchestrator-pdfs" and cat["f2"].s3_bucket == "bk"
+    assert cat["f1"].s3_bucket == "pdfs" and cat["f2"].s3_bucket == "bk"
     assert cat["f1"].pk == "FILE#f1" and cat["f1"].gsi1sk == "FILE#2024-01-01T00:00:00.000Z"
     assert cat["f1"].s3_key == "t/f1/a.pdf" and cat["f1"].status == "uploaded"
 

@@ -84,7 +84,7 @@ def test_intake_parse(spark):
                                     (10, '{"eventType":"document.uploaded","data":5}')],
                                    "seq int, value string")
     got = {r.seq: r for r in parse_envelopes(wire.unionByName(broken)).collect()}
-    assert got[1].disposition == "process" and got[1].bucket == "document-orchestrator-pdfs"
+    assert got[1].disposition == "process" and got[1].bucket == "pdfs"
     assert got[1].file_id == "of1"  # later keys overwrite: the payload's fileId wins
     assert got[2].bucket == "b2"
     assert got[3].disposition == "ignore"

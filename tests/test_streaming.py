@@ -135,4 +135,4 @@ def test_stream_intake_quarantines_bad_records(spark, tmpdir_path):
     got = {r.seq: r for r in intake_table(spark, out).collect()}
     assert [got[i].disposition for i in (1, 2, 3, 4)] == ["process", "quarantine", "process",
                                                           "ignore"]
-    assert got[1].bucket == "document-orchestrator-pdfs" and got[3].file_id == "f3"
+    assert got[1].bucket == "pdfs" and got[3].file_id == "f3"
