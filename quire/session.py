@@ -60,7 +60,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "quire") -> SparkSession:
+                  app_name: str = "quire", extra: dict[str, str] | None = None) -> SparkSession:
     """Local/test session builder. On a cluster, use the cluster's own session instead."""
     master = master or os.environ.get("QUIRE_MASTER", "local[8]")
     b = (SparkSession.builder.master(master).appName(app_name)
@@ -68,7 +68,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for k, v in {**REQUIRED_CONF, **SCALE_DEFAULTS}.items():
+    for k, v in {**REQUIRED_CONF, **SCALE_DEFAULTS, **(extra or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
