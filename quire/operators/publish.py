@@ -40,11 +40,13 @@ def envelope(event_type: Column, data: Column, ts: Column) -> Column:
 
 
 def parse_envelopes(wire: DataFrame, value_col: str = "value",
-                    default_bucket: str = DEFAULT_BUCKET) -> DataFrame:
+                    default_bucket: str = DEFAULT_BUCKET,
+                    extra_fields: tuple[str, ...] = ()) -> DataFrame:
     """Intake of raw events (P4, P5): strict parse; ``disposition`` is ``quarantine`` for text
     that is not a JSON envelope (or an upload without a data object), ``process`` for
     ``document.uploaded``, ``ignore`` for any other type. One bad record never stops the rest.
-    Adds event_type, file_id, tenant_id, s3_key and bucket (empty or absent -> default)."""
+    Adds event_type, file_id, tenant_id, s3_key and bucket (empty or absent -> default), plus
+    one string column per name in ``extra_fields`` (other members of ``data``)."""
     staged = (wire.withColumn("_pe_v", strict_json(value_col))
               .withColumn("_pe_data", F.try_variant_get(F.col("_pe_v"), "$.data", "variant")))
     v, data = F.col("_pe_v"), F.col("_pe_data")
@@ -64,7 +66,8 @@ def parse_envelopes(wire: DataFrame, value_col: str = "value",
         *wire.columns, et.alias("event_type"), disposition.alias("disposition"),
         field("fileId").alias("file_id"), field("tenantId").alias("tenant_id"),
         F.when(upload, field("s3Key")).alias("s3_key"),
-        F.when(upload, or_default(field("bucket"), default_bucket)).alias("bucket"))
+        F.when(upload, or_default(field("bucket"), default_bucket)).alias("bucket"),
+        *[field(name).alias(name) for name in extra_fields])
 
 
 def number_in_batches(records: DataFrame, key: str | Sequence[str], order: Sequence[str],

@@ -502,3 +502,11 @@ Q["document_lifecycle"] = f"""
   FROM f JOIN p ON p.file_id = f.file_id
   GROUP BY f.file_id, f.tenant_id, f.file_size
 """
+
+
+Q["chunk_fanout"] = f"""
+  SELECT tenant_id || '#' || file_id AS key, file_id, 'chunk.ready' AS event_type,
+    'ignore' AS disposition, count(*) AS events, CAST(max(page_number) AS BIGINT) AS max_page
+  FROM ({DOC_PAGES})
+  GROUP BY tenant_id, file_id
+"""

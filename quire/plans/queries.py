@@ -10,32 +10,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.flows import accept_uploads, complete_documents, process_documents
 from quire.functions.jsonrules import chunk_status, with_outcome, with_parsed
 from quire.functions.keys import doc_pk, file_pk, page_sk
 from quire.functions.lifecycle import iso_utc, ready, ttl_stamp
 from quire.operators.alarm import error_alarm
-from quire.flows import accept_uploads, complete_documents, process_documents
-from quire.session import checkpoint_root
-from quire.sources.events import WIRE_WITH_SEQ, read_event_files
-from quire.streaming.intake import intake_table, start_intake
-from quire.streaming.alarm import final_windows, start_alarm
-from quire.streaming.completion import current_status, run_folder, start_completion
-from quire.operators.publish import number_in_batches, parse_envelopes, publish_report
+from quire.operators.annotate import annotate_native, store_replies, with_native_analysis
 from quire.operators.catalog import catalog_files, object_exists, retention, validate_uploads
-from quire.operators.views import documents_by_tenant, job_view, results_available, tenant_recent
 from quire.operators.log import (
     change_images, completion_edges, document_progress, first_completions, fold,
-    modify_status_changes,
-    page_changes, single_table,
+    modify_status_changes, page_changes, single_table,
 )
-from quire.operators.annotate import annotate_native, store_replies, with_native_analysis
 from quire.operators.manifest import guard, manifest_chunks, manifest_header
 from quire.operators.pages import prompt, split_pages, spread_pages
+from quire.operators.publish import (
+    chunk_events, number_in_batches, parse_envelopes, publish_report,
+)
+from quire.operators.views import documents_by_tenant, job_view, results_available, tenant_recent
 from quire.plans.inputs import (
-    annotation_fault, event_tenant, events_as_log, files_from_documents, wire_events, now_col, pages_from_conversations, progress_log,
-    reply_kind, status_change_log, status_from_labels, table, uploads_from_documents,
-    wrap_reply,
+    annotation_fault, event_tenant, events_as_log, files_from_documents, now_col,
+    pages_from_conversations, progress_log, reply_kind, status_change_log, status_from_labels,
+    table, uploads_from_documents, wire_events, wrap_reply,
 )
+from quire.session import checkpoint_root
+from quire.sources.events import WIRE_WITH_SEQ, read_event_files
+from quire.streaming.alarm import final_windows, start_alarm
+from quire.streaming.completion import current_status, run_folder, start_completion
+from quire.streaming.intake import intake_table, start_intake
 
 
 def _flat_analysis(df: DataFrame, analysis_col: str = "page_analysis") -> DataFrame:
@@ -434,3 +435,16 @@ def q_document_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("file_id", "tenant_id", "processing_type",
                     F.col("total_pages").cast("long").alias("total_pages"),
                     "success_count", "failed_count", "missing_count", "result_key"))
+
+
+def q_chunk_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST5 S8: one chunk-ready event per page of every document (routing key tenant#file),
+    taken back in by the intake parser (other event types are ignored, not processed) and
+    counted per routing key with the highest page number seen."""
+    files = files_from_documents(table(spark, sf_dir, "documents"))
+    pages = split_pages(files, "text", "\n", keep=("file_id", "tenant_id"))
+    wire = chunk_events(pages, now_col())
+    parsed = parse_envelopes(wire, extra_fields=("pageNumber",)).withColumn(
+        "page_number", F.col("pageNumber").cast("int"))
+    return parsed.groupBy("key", "file_id", "event_type", "disposition").agg(
+        F.count(F.lit(1)).alias("events"), F.max("page_number").cast("long").alias("max_page"))

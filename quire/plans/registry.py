@@ -35,6 +35,7 @@ QUERIES = {
     "stream_error_alarm": q.q_stream_error_alarm,
     "stream_event_intake": q.q_stream_event_intake,
     "document_lifecycle": q.q_document_lifecycle,
+    "chunk_fanout": q.q_chunk_fanout,
 }
 
 ORACLE = oracle_sql()
