@@ -47,11 +47,14 @@ def ensure_session_conf(spark: SparkSession) -> SparkSession:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and streaming checkpoints.
 
-    Read from ``spark.checkpoint.dir`` (what the cluster names). Only when it is unset, as in
-    local tests, a scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir`` (what the cluster names). Only when it is unset in local
+    mode (tests), a scratch folder is created and registered; on a cluster an unset setting is
+    an error, since a machine-local folder is not visible to other executors.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="quire-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
