@@ -510,3 +510,16 @@ Q["chunk_fanout"] = f"""
   FROM ({DOC_PAGES})
   GROUP BY tenant_id, file_id
 """
+
+
+Q["ready_documents_compat"] = f"""
+  SELECT file_id, processed_pages, total_pages, overall_status FROM (
+    SELECT file_id, count(page) AS processed_pages,
+      CAST(arg_max(total, (ts, seq)) FILTER (WHERE total IS NOT NULL) AS BIGINT) AS total_pages,
+      arg_max(status, (ts, seq)) FILTER (WHERE status IS NOT NULL) AS overall_status
+    FROM ({PROGRESS}) GROUP BY file_id)
+  WHERE processed_pages = total_pages AND total_pages > 0 AND overall_status = 'processing'
+"""
+
+Q["tenant_documents_compat"] = Q["tenant_documents"].replace(
+    "ORDER BY updated DESC, file_id ASC", "ORDER BY created DESC, file_id ASC")

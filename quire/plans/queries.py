@@ -448,3 +448,24 @@ def q_chunk_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_number", F.col("pageNumber").cast("int"))
     return parsed.groupBy("key", "file_id", "event_type", "disposition").agg(
         F.count(F.lit(1)).alias("events"), F.max("page_number").cast("long").alias("max_page"))
+
+
+# ------------------------------------------------------------------ literal (compat) forms
+
+def q_ready_documents_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 P6, literal counter: every page completion increments processed (replays
+    over-count), so documents with repeated completions never become ready."""
+    prog = document_progress(progress_log(table(spark, sf_dir, "events")), compat=True)
+    return prog.filter("ready").select("file_id", "processed_pages", "total_pages",
+                                       "overall_status")
+
+
+def q_tenant_documents_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2, literal order: the 50 documents of every tenant with the latest creation time
+    (the listing's sort key is written once at creation), ties by file id."""
+    log = status_change_log(table(spark, sf_dir, "events"))
+    st = fold(log, fields=("tenant_id", "overall_status"), counter=None)
+    top = documents_by_tenant(st, 50, compat=True)
+    return top.select("tenant_id", F.col("rank").cast("long").alias("rank"), "file_id",
+                      "overall_status", iso_utc("created_at").alias("created_at"),
+                      iso_utc("updated_at").alias("updated_at"))

@@ -36,6 +36,8 @@ QUERIES = {
     "stream_event_intake": q.q_stream_event_intake,
     "document_lifecycle": q.q_document_lifecycle,
     "chunk_fanout": q.q_chunk_fanout,
+    "ready_documents_compat": q.q_ready_documents_compat,
+    "tenant_documents_compat": q.q_tenant_documents_compat,
 }
 
 ORACLE = oracle_sql()
