@@ -442,7 +442,8 @@ def q_chunk_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken back in by the intake parser (other event types are ignored, not processed) and
     counted per routing key with the highest page number seen."""
     files = files_from_documents(table(spark, sf_dir, "documents"))
-    pages = split_pages(files, "text", "\n", keep=("file_id", "tenant_id"))
+    pages = spread_pages(split_pages(files, "text", "\n", keep=("file_id", "tenant_id"))
+                         .select("file_id", "tenant_id", "page_number"))
     wire = chunk_events(pages, now_col())
     parsed = parse_envelopes(wire, extra_fields=("pageNumber",)).withColumn(
         "page_number", F.col("pageNumber").cast("int"))
