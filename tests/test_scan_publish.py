@@ -120,3 +120,38 @@ def test_both_deployed_alarm_rules(spark):
     assert got == [("store-throttles", "2024-01-01T00:00:00.000Z", 6, True),
                    ("store-throttles", "2024-01-01T00:10:00.000Z", 5, False),
                    ("worker-errors", "2024-01-01T00:00:00.000Z", 11, True)]
+
+
+def test_change_images_exact_with_a_hot_document(spark):
+    """A third of all events belong to one document: the segmented scan must still give the
+    same images as a single window per document."""
+    from conftest import SF01
+    from quire.operators.log import change_images
+    from quire.plans.inputs import progress_log
+    ev = spark.read.parquet(f"{SF01}/events.parquet")
+    log = progress_log(ev).withColumn(
+        "file_id", F.when(F.col("seq") % 3 == 0, F.lit(-1)).otherwise(F.col("file_id")))
+    got = change_images(log, n_segments=12).select(
+        "file_id", "seq", "op", "old_processed", "old_total", "old_status", "new_processed",
+        "new_total", "new_status")
+    log.createOrReplaceTempView("hot_log")
+    want = spark.sql("""
+      WITH f AS (
+        SELECT *, CASE WHEN page IS NOT NULL AND row_number() OVER (
+            PARTITION BY file_id, page ORDER BY ts, seq) = 1 THEN 1 ELSE 0 END AS is_first
+        FROM hot_log),
+      s AS (
+        SELECT *, sum(is_first) OVER w AS new_processed,
+          last(total, true) OVER w AS new_total, last(status, true) OVER w AS new_status,
+          row_number() OVER (PARTITION BY file_id ORDER BY ts, seq) AS rn
+        FROM f WINDOW w AS (PARTITION BY file_id ORDER BY ts, seq
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+      SELECT file_id, seq, CASE WHEN rn = 1 THEN 'INSERT' ELSE 'MODIFY' END AS op,
+        new_processed - is_first AS old_processed,
+        lag(new_total) OVER p AS old_total, lag(new_status) OVER p AS old_status,
+        new_processed, new_total, new_status
+      FROM s WINDOW p AS (PARTITION BY file_id ORDER BY ts, seq)""")
+    assert got.count() == want.count() == ev.count()
+    assert got.exceptAll(want).count() == 0
+    hot = got.filter("file_id = -1").count()
+    assert hot > ev.count() // 4
