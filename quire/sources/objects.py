@@ -60,6 +60,17 @@ def write_catalog(files: DataFrame, path: str, mode: str = "append") -> None:
     files.write.mode(mode).partitionBy("tenant_id").parquet(path)
 
 
+def read_catalog(spark: SparkSession, path: str, tenant_id: str | None = None) -> DataFrame:
+    """The catalogue as a keyed store (S4 "overwrite on same key"): the latest record per file
+    by ``updated_at`` (a partial aggregate per file). With ``tenant_id`` only that tenant's
+    partition is read."""
+    from quire.operators.log import latest_per_key
+    df = spark.read.parquet(path)
+    if tenant_id is not None:
+        df = df.filter(F.col("tenant_id") == tenant_id)
+    return latest_per_key(df, ["file_id"], ["updated_at"])
+
+
 def write_manifests(manifests: DataFrame, path: str, fmt: str = "json") -> None:
     """Result manifests (S5), one row per document with its nested chunks, partitioned by
     tenant. JSON keeps ``analysis: null`` (``ignoreNullFields=false``). Rewriting the same

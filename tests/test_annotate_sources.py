@@ -134,3 +134,23 @@ def test_results_as_flat_tables(spark, tmpdir_path):
     one = read_result(spark, out, "f1", "t1").collect()
     assert len(one) == 1 and [c.status for c in one[0].chunks] == ["failed", "success"]
     assert read_result(spark, out, "f2").count() == 0  # failed documents have no manifest
+
+
+def test_catalog_overwrite_on_same_key(spark, tmpdir_path):
+    import datetime as dt
+    from quire.sources.objects import read_catalog
+    t0 = dt.datetime(2024, 1, 1)
+    path = os.path.join(tmpdir_path, "catalog")
+    first = spark.createDataFrame([("f1", "t1", "a.pdf", "uploaded", t0),
+                                   ("f2", "t2", "b.pdf", "uploaded", t0)],
+                                  "file_id string, tenant_id string, file_name string, "
+                                  "status string, updated_at timestamp")
+    write_catalog(first, path)
+    again = spark.createDataFrame([("f1", "t1", "a2.pdf", "uploaded", t0 + dt.timedelta(hours=1))],
+                                  first.schema)
+    write_catalog(again, path)
+    cur = {r.file_id: r.file_name for r in read_catalog(spark, path).collect()}
+    assert cur == {"f1": "a2.pdf", "f2": "b.pdf"}
+    plan = read_catalog(spark, path, "t1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tenant_id" in plan  # only t1's partition is listed
+    assert [r.file_id for r in read_catalog(spark, path, "t1").collect()] == ["f1"]
