@@ -50,8 +50,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     keys = TABLE_KEYS.get(name)
     if spread and keys:
-        n = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < n:
+        try:
+            n = spark.sparkContext.defaultParallelism
+            under_split = df.rdd.getNumPartitions() < n
+        except Exception:  # noqa: BLE001 - no RDD API (e.g. a remote session): leave as read
+            under_split = False
+        if under_split:
             df = df.repartition(n, *keys)
     return df
 
