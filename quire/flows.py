@@ -19,7 +19,6 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.keys import page_sk
 from quire.functions.lifecycle import (
     DEFAULT_BUCKET, DEFAULT_THRESHOLD_MB, WRITER_TTL_DAYS, iso_utc, ttl_stamp,
 )
@@ -172,8 +171,3 @@ def job_results(manifests: DataFrame, file_id: str) -> DataFrame:
 def tenant_jobs(files: DataFrame, tenant: str, k: int = 50) -> DataFrame:
     """Read side: a tenant's newest files (four columns and rank)."""
     return tenant_recent(files, k, tenant=tenant)
-
-
-def page_keys(pages: DataFrame) -> DataFrame:
-    """Page rows with their record keys (``PAGE#nnnn``)."""
-    return pages.withColumn("sk", page_sk("page_number"))

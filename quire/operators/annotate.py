@@ -69,15 +69,6 @@ def words(text) -> Column:
     return F.split(F.coalesce(_c(text), F.lit("")), WORD_SPLIT_RX, -1)
 
 
-def _whole_words_rx(words_list) -> str:
-    return r"(?<!\p{L})(?:" + "|".join(words_list) + r")(?!\p{L})"
-
-
-def word_count(lower_text: Column, words_list) -> Column:
-    """Occurrences of any of ``words_list`` as whole words (one regex pass over the text)."""
-    return F.size(F.regexp_extract_all(lower_text, F.lit(_whole_words_rx(words_list)), 0))
-
-
 # Both lists in one pattern: group 1 holds a positive word, and is empty for a negative one.
 _SENTIMENT_RX = (r"(?<!\p{L})(?:(" + "|".join(POSITIVE_WORDS) + r")|("
                  + "|".join(NEGATIVE_WORDS) + r"))(?!\p{L})")

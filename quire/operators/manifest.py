@@ -33,12 +33,6 @@ AGGREGATION_FAILED = "Aggregation failed: "
 INVALID_MESSAGE = AGGREGATION_FAILED + "page analysis is not valid JSON"
 
 
-def with_chunk_outcome(pages: DataFrame, analysis_col: str = "page_analysis") -> DataFrame:
-    """Add ``outcome`` and ``chunk_status`` for each page; the analysis is parsed once."""
-    return (with_outcome(pages, analysis_col, "outcome")
-            .withColumn("chunk_status", chunk_status("outcome")))
-
-
 def manifest_header(pages: DataFrame, keys: tuple[str, ...] = ("file_id", "tenant_id"),
                     analysis_col: str = "page_analysis") -> DataFrame:
     """One row per document: page rows found and the four outcome counts, plus the document

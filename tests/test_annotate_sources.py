@@ -154,3 +154,26 @@ def test_catalog_overwrite_on_same_key(spark, tmpdir_path):
     plan = read_catalog(spark, path, "t1")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(tenant_id" in plan  # only t1's partition is listed
     assert [r.file_id for r in read_catalog(spark, path, "t1").collect()] == ["f1"]
+
+
+def test_single_expression_annotation_matches_staged(spark):
+    from pyspark.sql import functions as F
+    from quire.operators.annotate import native_analysis, with_native_analysis
+    df = spark.createDataFrame([("Ein guter Tag. Sehr gut!",), ("bad bad good",), ("",)],
+                               "t string")
+    a = [r.j for r in df.select(F.to_json(native_analysis("t")).alias("j")).collect()]
+    b = [r.j for r in with_native_analysis(df, "t", "s").select(F.to_json("s").alias("j"))
+         .collect()]
+    assert a == b and json.loads(a[1])["sentiment"] == "negative"
+
+
+def test_decode_and_event_files(spark, tmpdir_path):
+    from quire.sources.events import write_events
+    from quire.sources.objects import decode_utf8
+    df = spark.createDataFrame([(bytearray("héllo".encode()),)], "content binary")
+    assert df.select(decode_utf8().alias("t")).first().t == "héllo"
+    out = os.path.join(tmpdir_path, "events")
+    wire = spark.createDataFrame([("k", '{"eventType":"x"}')], "key string, value string")
+    write_events(wire, path=out)
+    back = spark.read.schema("key string, value string").json(out).collect()
+    assert [(r.key, r.value) for r in back] == [("k", '{"eventType":"x"}')]

@@ -136,3 +136,14 @@ def test_stream_intake_quarantines_bad_records(spark, tmpdir_path):
     assert [got[i].disposition for i in (1, 2, 3, 4)] == ["process", "quarantine", "process",
                                                           "ignore"]
     assert got[1].bucket == "pdfs" and got[3].file_id == "f3"
+
+
+def test_records_behind_reports_each_source(spark, tmpdir_path):
+    from quire.streaming.completion import records_behind
+    parts = _split_events(spark, os.path.join(tmpdir_path, "staged"), parts=1)
+    out = run_folder(spark, "test_lag")
+    q = start_completion(progress_log(read_event_files(spark, parts[0])), out,
+                         f"{out}/_checkpoint")
+    q.awaitTermination()
+    lag = records_behind(q)
+    assert len(lag) == 1 and all(v >= 0 for v in lag.values())
