@@ -72,7 +72,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     master = master or os.environ.get("QUIRE_MASTER", "local[8]")
     b = (SparkSession.builder.master(master).appName(app_name)
          .config("spark.ui.enabled", "false")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # lineage-cut files are removed once nothing references them
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in {**REQUIRED_CONF, **SCALE_DEFAULTS, **(extra or {})}.items():
