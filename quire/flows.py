@@ -103,23 +103,25 @@ def process_documents(docs: DataFrame, now, annotator: Callable[[str], str] | No
         "file_id", "tenant_id", "page_number", "page_text", "page_analysis",
         F.lit(None).cast("array<string>").alias("chunk_ids"),
         t.alias("created_at"), t.alias("updated_at"), ttl_stamp(t, ttl_days).alias("ttl"))
-    # the progress rows need page numbers only: taken from the split, not the spread pages
-    heads = split.filter(F.col("page_number") == 1)
-    started = heads.select("file_id", t.alias("ts"), F.lit(0).cast("long").alias("seq"),
-                           F.lit(None).cast("int").alias("page"),
-                           F.lit(None).cast("int").alias("total"),
-                           F.lit("processing").alias("status"))
-    totals = heads.select("file_id", t.alias("ts"), F.lit(1).cast("long").alias("seq"),
-                          F.lit(None).cast("int").alias("page"),
-                          F.col("total_pages").cast("int").alias("total"),
-                          F.lit(None).cast("string").alias("status"))
-    done = split.select("file_id", t.alias("ts"),
-                        (F.col("page_number") + 1).cast("long").alias("seq"),
-                        F.col("page_number").alias("page"),
+    # progress rows need page numbers only: one pass over the split (not the spread pages)
+    # emits, per document, the status and total on its first page and a completion per page
+    row = "struct<seq:bigint,page:int,total:int,status:string>"
+    done_row = F.struct((F.col("page_number") + 1).cast("long").alias("seq"),
+                        F.col("page_number").cast("int").alias("page"),
                         F.lit(None).cast("int").alias("total"),
                         F.lit(None).cast("string").alias("status"))
+    start_row = F.struct(F.lit(0).cast("long").alias("seq"), F.lit(None).cast("int").alias("page"),
+                         F.lit(None).cast("int").alias("total"),
+                         F.lit("processing").alias("status"))
+    total_row = F.struct(F.lit(1).cast("long").alias("seq"), F.lit(None).cast("int").alias("page"),
+                         F.col("total_pages").cast("int").alias("total"),
+                         F.lit(None).cast("string").alias("status"))
+    rows = F.when(F.col("page_number") == 1, F.array(start_row, total_row, done_row)
+                  ).otherwise(F.array(done_row)).cast(f"array<{row}>")
+    progress = (split.select("file_id", t.alias("ts"), F.explode(rows).alias("r"))
+                .select("file_id", "ts", "r.seq", "r.page", "r.total", "r.status"))
     failed = document_errors(docs)
-    return Processed(page_rows, started.unionByName(totals).unionByName(done), failed)
+    return Processed(page_rows, progress, failed)
 
 
 def complete_documents(progress_log: DataFrame, pages: DataFrame, processed_at,
@@ -140,8 +142,9 @@ def complete_documents(progress_log: DataFrame, pages: DataFrame, processed_at,
                                                                         "total_pages")
     decided = guard(ready_docs, pages)
     go = decided.filter(F.col("action") == "assemble").select("file_id", "total_pages")
-    doc_pages = pages.join(go.select("file_id"), "file_id", "left_semi")
-    headers, chunks = manifest_parts(doc_pages, go, t)
+    # the pages of assembled documents carry their total, so the ready set is used once
+    doc_pages = pages.join(go, "file_id", "inner")
+    headers, chunks = manifest_parts(doc_pages, None, t)
     manifests = headers.filter(F.col("document_status") == "completed")
     closed = headers.select(
         "file_id", F.col("document_status").alias("overall_status"),

@@ -65,27 +65,31 @@ def manifest_chunks(pages: DataFrame, keys: tuple[str, ...] = ("file_id", "tenan
         chunk_status("outcome").alias("chunk_status"))
 
 
-def manifest_parts(pages: DataFrame, totals: DataFrame, processed_at,
+def manifest_parts(pages: DataFrame, totals: DataFrame | None, processed_at,
                    keys: tuple[str, ...] = ("file_id", "tenant_id"),
                    analysis_col: str = "page_analysis") -> tuple[DataFrame, DataFrame]:
     """The manifest as two flat tables: (headers, chunks).
 
     ``chunks`` is one row per page (``manifest_chunks``); ``headers`` is one row per document
-    with processed_at, total_pages (from ``totals``), the four counts, the document status and
-    the result key, aggregated partially from the chunks. Nothing gathers a document's pages
+    with processed_at, total_pages (from ``totals``, or, when ``totals`` is None, from a
+    ``total_pages`` column of the pages), the four counts, the document status and the result
+    key, aggregated partially from the chunks. Nothing gathers a document's pages
     into one row, so a document with a third of all pages is no bigger a problem than any
     other; nesting is left to ``nest_manifest`` for the documents a reader asks for.
     """
-    chunks = manifest_chunks(pages, keys, analysis_col)
+    group = keys if totals is not None else (*keys, "total_pages")
+    chunks = manifest_chunks(pages, group, analysis_col)
     processed_c = processed_at if not isinstance(processed_at, str) else F.lit(processed_at)
-    counts = chunks.groupBy(*keys).agg(
+    counts = chunks.groupBy(*group).agg(
         F.count_if(F.col("outcome") == OUTCOME_SUCCESS).alias("success_count"),
         F.count_if(F.col("outcome") == OUTCOME_FAILED).alias("failed_count"),
         F.count_if(F.col("outcome") == OUTCOME_MISSING).alias("missing_count"),
         F.count_if(F.col("outcome") == OUTCOME_INVALID).alias("invalid_count"))
     invalid = F.col("invalid_count") > 0
-    headers = (counts.join(totals.select("file_id", F.col("total_pages").cast("int")),
-                           "file_id", "left")
+    with_totals = (counts if totals is None else
+                   counts.join(totals.select("file_id", F.col("total_pages").cast("int")),
+                               "file_id", "left"))
+    headers = (with_totals.withColumn("total_pages", F.col("total_pages").cast("int"))
                .select(*keys, iso_utc(processed_c.cast("timestamp")).alias("processed_at"),
                        "total_pages", "success_count", "failed_count", "missing_count",
                        "invalid_count",
@@ -93,7 +97,7 @@ def manifest_parts(pages: DataFrame, totals: DataFrame, processed_at,
                        .alias("document_status"),
                        F.when(invalid, F.lit(INVALID_MESSAGE)).alias("error_message"),
                        F.when(~invalid, results_key("tenant_id", "file_id")).alias("result_key")))
-    return headers, chunks
+    return headers, chunks.drop("total_pages") if totals is None else chunks
 
 
 def nest_manifest(headers: DataFrame, chunks: DataFrame,
