@@ -16,7 +16,9 @@ instead computes running values in three steps, all on Spark:
    with the local values.
 
 Results are exact: the same as the single-window form on any data; segments only bound the
-work per task.
+work per task. Rows that tie on the leading order column always share a segment, so the bound
+holds only when that column has many distinct values (timestamps, ids); a leading column with
+a handful of values cannot split a hot key.
 """
 
 from __future__ import annotations
