@@ -133,3 +133,16 @@ def test_latest_per_key_and_single_table(spark):
 def test_schema_types_are_explicit():
     from quire import schemas
     assert isinstance(schemas.FILES, T.StructType) and "file_id" in schemas.FILES.fieldNames()
+
+
+def test_replay_fixture_exact(spark):
+    """Page 1 sent twice, page 2 once, total 2: processed 2 and ready; literal: 3, not ready."""
+    rows = [("a", None, 2, "processing"), ("a", 1, None, None), ("a", 1, None, None),
+            ("a", 2, None, None)]
+    df = spark.createDataFrame(
+        [(f, T0 + dt.timedelta(seconds=i), i, p, t, s) for i, (f, p, t, s) in enumerate(rows)],
+        "file_id string, ts timestamp, seq long, page int, total int, status string")
+    ours = document_progress(df).first()
+    lit = document_progress(df, compat=True).first()
+    assert (ours.processed_pages, ours.ready) == (2, True)
+    assert (lit.processed_pages, lit.ready) == (3, False)
