@@ -147,3 +147,23 @@ def test_records_behind_reports_each_source(spark, tmpdir_path):
     q.awaitTermination()
     lag = records_behind(q)
     assert len(lag) == 1 and all(v >= 0 for v in lag.values())
+
+
+def test_stream_replayed_file_changes_nothing(spark, tmpdir_path):
+    """The same events arrive twice (two copies of one file): the streamed ready set still
+    equals the batch result over the unique events."""
+    parts = _split_events(spark, os.path.join(tmpdir_path, "staged"), parts=1)
+    src = os.path.join(tmpdir_path, "in")
+    os.makedirs(src)
+    for copy in ("a", "b"):
+        for f in os.listdir(parts[0]):
+            if f.endswith(".parquet"):
+                os.link(os.path.join(parts[0], f), os.path.join(src, f"{copy}-{f}"))
+    out = run_folder(spark, "test_replay")
+    start_completion(progress_log(read_event_files(spark, src, max_files_per_trigger=1)), out,
+                     f"{out}/_checkpoint").awaitTermination()
+    streamed = current_status(spark, out).filter("ready").select("file_id")
+    batch = document_progress(progress_log(spark.read.parquet(f"{SF01}/events.parquet")))
+    want = batch.filter("ready").select("file_id")
+    assert streamed.count() == want.count() == 59
+    assert streamed.exceptAll(want).count() == 0
