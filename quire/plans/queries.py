@@ -76,8 +76,9 @@ def documents_pages_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_documents_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship (M1 -> M2 -> A1): documents split into pages, annotated natively, and reduced
-    to one manifest header per document with success / failed counts."""
+    """Flagship (M1 -> M2 -> A1): documents split into pages, annotated natively (pages chosen
+    by a fixed fault-drill rule on (file, page) get the failure placeholder), and reduced to one
+    manifest header per document with success / failed counts."""
     pages = documents_pages_annotated(spark, sf_dir)
     # total_pages is constant per document: a grouping key, not a join back
     head = manifest_header(pages, keys=("file_id", "tenant_id", "total_pages"))
@@ -299,7 +300,8 @@ def q_job_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_results_available(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose status row carries a result key (semi join) versus the rest (anti)."""
+    """Every file with ``available``: its status row carries a result key. The keys are
+    de-duplicated and joined once (left outer) instead of a semi and an anti join."""
     files = files_from_documents(table(spark, sf_dir, "documents"))
     status = status_from_labels(table(spark, sf_dir, "labels"))
     return results_available(files.select("file_id", "tenant_id"), status).select(
@@ -454,8 +456,9 @@ def q_chunk_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ literal (compat) forms
 
 def q_ready_documents_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2 P6, literal counter: every page completion increments processed (replays
-    over-count), so documents with repeated completions never become ready."""
+    """A2 P6, literal counter: every page completion increments processed, so a repeated
+    completion counts twice; a document can then pass its total and never be ready, or reach
+    it before all of its pages are done."""
     prog = document_progress(progress_log(table(spark, sf_dir, "events")), compat=True)
     return prog.filter("ready").select("file_id", "processed_pages", "total_pages",
                                        "overall_status")
