@@ -32,12 +32,23 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/quire/{name}/{uuid.uuid4().hex}"
 
 
-def progress_state(progress: DataFrame) -> DataFrame:
+def progress_state(progress: DataFrame, retention: str | None = None) -> DataFrame:
     """Stateful per-document progress over a stream of progress rows
     (file_id, ts, seq, page, total, status): distinct finished pages (first completion of each
-    page only), latest total, latest status."""
+    page only), latest total, latest status.
+
+    With ``retention`` (e.g. ``"90 days"``, the records' time to live) the de-duplication state
+    is bounded: an event-time watermark of that length lets Spark drop (document, page) keys
+    older than it (``dropDuplicatesWithinWatermark``). A completion replayed later than the
+    retention would count again, but by then its record has expired. Without it the state is
+    exact and unbounded."""
     pos = F.struct("ts", "seq")
-    firsts = progress.filter(F.col("page").isNotNull()).dropDuplicates(["file_id", "page"])
+    pages = progress.filter(F.col("page").isNotNull())
+    if retention:
+        firsts = (pages.withWatermark("ts", retention)
+                  .dropDuplicatesWithinWatermark(["file_id", "page"]))
+    else:
+        firsts = pages.dropDuplicates(["file_id", "page"])
     rest = progress.filter(F.col("page").isNull())
     return firsts.unionByName(rest).groupBy("file_id").agg(
         F.count("page").cast("long").alias("processed_pages"),
@@ -111,12 +122,13 @@ def _writer(out: str, pages: DataFrame | None, processed_at):
 def start_completion(progress: DataFrame, out: str, checkpoint: str,
                      available_now: bool = True, interval: str = "5 seconds",
                      pages: DataFrame | None = None,
-                     processed_at="1970-01-01 00:00:00") -> StreamingQuery:
+                     processed_at="1970-01-01 00:00:00",
+                     retention: str | None = None) -> StreamingQuery:
     """Start the completion query. ``available_now`` drains what is there and stops (replays,
     tests); otherwise a processing-time trigger of ``interval``. With a ``pages`` table
     (file_id, tenant_id, page_number, page_analysis), each batch also assembles the manifests
     of documents that became ready (``assemble_batch``)."""
-    w = (progress_state(progress).writeStream.outputMode("update")
+    w = (progress_state(progress, retention).writeStream.outputMode("update")
          .option("checkpointLocation", checkpoint)
          .foreachBatch(_writer(out, pages, processed_at)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)

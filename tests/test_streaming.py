@@ -167,3 +167,22 @@ def test_stream_replayed_file_changes_nothing(spark, tmpdir_path):
     want = batch.filter("ready").select("file_id")
     assert streamed.count() == want.count() == 59
     assert streamed.exceptAll(want).count() == 0
+
+
+def test_stream_completion_with_bounded_dedupe_state(spark, tmpdir_path):
+    """A retention-bounded dedupe gives the same result while replays stay within it."""
+    parts = _split_events(spark, os.path.join(tmpdir_path, "staged"), parts=2)
+    src = os.path.join(tmpdir_path, "in")
+    os.makedirs(src)
+    for i, p in enumerate(parts + parts[:1]):  # the first slice arrives twice
+        for f in os.listdir(p):
+            if f.endswith(".parquet"):
+                os.link(os.path.join(p, f), os.path.join(src, f"p{i}-{f}"))
+    out = run_folder(spark, "test_retention")
+    start_completion(progress_log(read_event_files(spark, src, max_files_per_trigger=1)), out,
+                     f"{out}/_checkpoint", retention="90 days").awaitTermination()
+    streamed = current_status(spark, out).filter("ready").select("file_id")
+    batch = document_progress(progress_log(spark.read.parquet(f"{SF01}/events.parquet")))
+    want = batch.filter("ready").select("file_id")
+    assert streamed.count() == want.count() == 59
+    assert streamed.exceptAll(want).count() == 0
