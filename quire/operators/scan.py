@@ -16,9 +16,8 @@ instead computes running values in three steps, all on Spark:
    with the local values.
 
 Results are exact: the same as the single-window form on any data; segments only bound the
-work per task. Rows that tie on the leading order column always share a segment, so the bound
-holds only when that column has many distinct values (timestamps, ids); a leading column with
-a handful of values cannot split a hot key.
+work per task. A heavy tie on the leading order column (many rows with one value) is split
+further on the second order column; only rows tying on both share a segment regardless.
 """
 
 from __future__ import annotations
@@ -63,16 +62,38 @@ def _bucket(x: Column, bounds: list[float]) -> Column:
 
 
 def segment_column(df: DataFrame, order: Sequence[str], n: int) -> Column:
-    """Deterministic segment number of each row along the leading order column."""
+    """Deterministic segment number of each row, non-decreasing in ``order``.
+
+    Segments come from approximate quantiles of the leading order column. A value that fills
+    several quantiles (a heavy tie, e.g. many rows with one timestamp) shows up repeatedly in
+    the quantile list; rows with such a value get their own slot, split further by quantiles of
+    the second order column. Slot layout inside one leading-column range: the range's boundary
+    value (heavy) first, in sub-segments, then the rest of the range.
+    """
     x = _order_scalar(df, order[0])
     if x is None or n <= 1:
         return F.lit(0)
     probs = [i / n for i in range(1, n)]
-    qs = df.select(x.alias("_ks_x")).approxQuantile("_ks_x", probs, 1.0 / (4 * n))
-    bounds = sorted({q for q in qs if q is not None})
+    qs = [q for q in df.select(x.alias("_ks_x")).approxQuantile("_ks_x", probs, 1.0 / (4 * n))
+          if q is not None]
+    bounds = sorted(set(qs))
     if not bounds:
         return F.lit(0)
-    return _bucket(x, bounds)
+    width = n + 2
+    base = _bucket(x, bounds) * F.lit(width)
+    heavy = sorted({q for q in qs if qs.count(q) > 1})
+    y = _order_scalar(df, order[1]) if len(order) > 1 else None
+    if not heavy or y is None:
+        return base
+    slot = F.lit(n + 1)  # rows above the range's boundary value
+    for v in heavy:
+        k = min(qs.count(v) + 1, n)
+        sub = (df.filter(x == F.lit(v)).select(y.alias("_ks_y"))
+               .approxQuantile("_ks_y", [i / k for i in range(1, k)], 1.0 / (4 * k)))
+        sub_bounds = sorted({q for q in sub if q is not None})
+        slot = F.when(x == F.lit(v), _bucket(y, sub_bounds) if sub_bounds else F.lit(0)
+                      ).otherwise(slot)
+    return base + slot
 
 
 def keyed_scan(df: DataFrame, key: str | Sequence[str], order: Sequence[str],

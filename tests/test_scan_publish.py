@@ -155,3 +155,25 @@ def test_change_images_exact_with_a_hot_document(spark):
     assert got.exceptAll(want).count() == 0
     hot = got.filter("file_id = -1").count()
     assert hot > ev.count() // 4
+
+
+def test_keyed_scan_splits_a_heavy_tie(spark):
+    """Half of all rows share one timestamp (and one key): the second order column splits them,
+    and the result still equals a single window."""
+    n = 4000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 40).alias("k"),
+        F.when(F.col("id") % 2 == 0, F.lit(1000)).otherwise(F.col("id")).alias("ts"),
+        F.col("id").alias("seq"), (F.col("id") % 7).alias("y"))
+    got = keyed_scan(df, "k", ["ts", "seq"], sums={"s": "y"}, n_segments=16)
+    w = Window.partitionBy("k").orderBy("ts", "seq")
+    want = df.select("k", "ts", "seq", F.row_number().over(w).alias("row_number"),
+                     F.sum("y").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    cols = ["k", "ts", "seq", "row_number", "s"]
+    assert got.select(*cols).exceptAll(want).count() == 0 and got.count() == n
+    seg = df.withColumn("seg", segment_column(df, ["ts", "seq"], 16))
+    biggest = seg.groupBy("k", "seg").count().agg(F.max("count")).first()[0]
+    assert biggest <= 2 * n // 16
+    # segments never decrease along the order
+    ordered = seg.orderBy("ts", "seq").select("seg").collect()
+    assert all(a.seg <= b.seg for a, b in zip(ordered, ordered[1:]))
