@@ -58,13 +58,15 @@ def accept_uploads(uploads: DataFrame, now, threshold_mb=DEFAULT_THRESHOLD_MB,
                    default_bucket: str = DEFAULT_BUCKET, carry: tuple[str, ...] = ()
                    ) -> Uploaded:
     """Flow 1. ``uploads``: tenant_id, file_name, file_size, has_file, optional file_id,
-    mime_type and bucket. Missing ids are derived deterministically from tenant, name and time.
+    request_id, mime_type and bucket. Missing ids are derived deterministically from tenant,
+    name, time, size and request id (identical requests are one upload).
     ``carry`` keeps request columns (e.g. the body) on the file records for the next flow.
     """
     t = _ts(now)
     v = validate_uploads(uploads.withColumn("uploaded_at", t), "has_file", "tenant_id")
     if "file_id" not in uploads.columns:
-        v = v.withColumn("file_id", file_id_for("tenant_id", "file_name", "uploaded_at"))
+        more = [c for c in ("file_size", "request_id") if c in uploads.columns]
+        v = v.withColumn("file_id", file_id_for("tenant_id", "file_name", "uploaded_at", *more))
     ok = v.filter("valid")
     rejected = v.filter(~F.col("valid")).select("file_id", "tenant_id", "file_name",
                                                 "reject_reason")

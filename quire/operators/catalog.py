@@ -32,11 +32,14 @@ def validate_uploads(uploads: DataFrame, has_file: Column | str = "has_file",
     return uploads.withColumn("reject_reason", reason).withColumn("valid", reason.isNull())
 
 
-def file_id_for(tenant_id, file_name, uploaded_at) -> Column:
-    """Deterministic upload id (P12): a hash of tenant, name and upload time, so a retried task
-    produces the same id (a random uuid would not)."""
-    return F.sha2(F.concat_ws("/", F.col(tenant_id), F.col(file_name),
-                              F.col(uploaded_at).cast("string")), 256)
+def file_id_for(tenant_id, file_name, uploaded_at, *more) -> Column:
+    """Deterministic upload id (P12): a hash of tenant, name, upload time and any further
+    identifying columns (size, a request id), so a retried task produces the same id (a random
+    uuid would not). Requests equal in all of them are one upload: a resent request maps to
+    the same id."""
+    parts = [F.col(tenant_id), F.col(file_name), F.col(uploaded_at).cast("string")]
+    parts += [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in more]
+    return F.sha2(F.concat_ws("/", *parts), 256)
 
 
 def catalog_files(uploads: DataFrame, now, threshold_mb=DEFAULT_THRESHOLD_MB,

@@ -71,3 +71,13 @@ def test_replayed_pages_give_the_same_manifest(spark):
     b = twice.manifests.drop("processed_at").collect()
     assert a == b and a[0].success_count == 2 and a[0].total_pages == 2
     assert twice.chunks.count() == 2
+
+
+def test_upload_ids_distinguish_requests(spark):
+    uploads = spark.createDataFrame(
+        [("t", "a.pdf", 10, True, "r1"), ("t", "a.pdf", 10, True, "r2"),
+         ("t", "a.pdf", 10, True, "r1")],
+        "tenant_id string, file_name string, file_size long, has_file boolean, "
+        "request_id string")
+    ids = [r.file_id for r in accept_uploads(uploads, NOW).files.collect()]
+    assert len(ids) == 3 and len(set(ids)) == 2  # r1 resent maps to the same id
