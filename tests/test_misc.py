@@ -98,3 +98,15 @@ def test_derived_status_and_failed_pages(spark):
     fp = {r.file_id: r.failed_pages for r in derive_failed_pages(st, pages).collect()}
     assert fp == {"a": 1, "b": 0}
     assert {r.failed_pages for r in derive_failed_pages(st, pages, compat=True).collect()} == {0}
+
+
+def test_spread_only_hot_documents(spark):
+    from quire.operators.pages import split_pages, spread_pages
+    docs = spark.createDataFrame([("big", "t", "\n".join(["x"] * 50)), ("small", "t", "a\nb")],
+                                 "file_id string, tenant_id string, text string")
+    pages = split_pages(docs)
+    both = spread_pages(pages, 4, hot_pages=10)
+    assert sorted((r.file_id, r.page_number) for r in both.collect()) == sorted(
+        (r.file_id, r.page_number) for r in pages.collect())
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(file_id" in plan and "Union" in plan
