@@ -116,6 +116,16 @@ def read_manifest(spark: SparkSession, path: str, file_id: str | None = None,
     return df if file_id is None else df.filter(F.col("file_id") == file_id)
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, buckets: int,
+                   key: str = "file_id") -> DataFrame:
+    """Write a table bucketed and sorted by ``key`` (an external table at ``path``) and return
+    it read back. Tables written with the same bucket count join on ``key`` without a shuffle
+    (status to files to pages), which pays when they are joined repeatedly."""
+    (df.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key)
+     .saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 def delete_objects(listing: DataFrame, deletions: DataFrame, key: str = "file_id") -> DataFrame:
     """Object deletion as a rewrite (U4): the listing minus the deleted keys (``left_anti``)."""
     return listing.join(deletions.select(key).distinct(), key, "left_anti")

@@ -177,3 +177,23 @@ def test_decode_and_event_files(spark, tmpdir_path):
     write_events(wire, path=out)
     back = spark.read.schema("key string, value string").json(out).collect()
     assert [(r.key, r.value) for r in back] == [("k", '{"eventType":"x"}')]
+
+
+def test_bucketed_tables_join_without_shuffle(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+    from quire.sources.objects import write_bucketed
+    a = spark.range(200).select(F.col("id").cast("string").alias("file_id"),
+                                (F.col("id") % 3).alias("x"))
+    b = spark.range(200).select(F.col("id").cast("string").alias("file_id"),
+                                (F.col("id") % 5).alias("y"))
+    ta = write_bucketed(a, "quire_test_a", os.path.join(tmpdir_path, "a"), 8)
+    tb = write_bucketed(b, "quire_test_b", os.path.join(tmpdir_path, "b"), 8)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = ta.join(tb, "file_id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.count() == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
