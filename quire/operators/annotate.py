@@ -160,18 +160,54 @@ def call_with_retry(fn: Callable[[str], str], text: str, retries: int = MAX_RETR
             return None, msg or type(e).__name__, attempts
 
 
-def _reply_partitions(fn, text_col, retries, delay, sleep):
+class _Pacer:
+    """At least ``interval`` seconds between the starts of successive requests of one task."""
+
+    def __init__(self, interval: float, sleep: Callable[[float], None]):
+        import threading
+        self.interval, self.sleep, self.next_at = interval, sleep, 0.0
+        self.lock = threading.Lock()
+
+    def wait(self) -> None:
+        if self.interval <= 0:
+            return
+        with self.lock:
+            now = time.monotonic()
+            start = max(now, self.next_at)
+            self.next_at = start + self.interval
+        if start > now:
+            self.sleep(start - now)
+
+
+def _reply_partitions(fn, text_col, retries, delay, sleep, concurrency=1, min_interval=0.0):
     def run(batches):
         import pandas as pd
-        for pdf in batches:
-            out = [call_with_retry(fn, t if t is not None else "", retries, delay, sleep)
-                   for t in pdf[text_col]]
-            res = pdf.copy()
-            res["reply"] = pd.Series([o[0] for o in out], index=pdf.index, dtype=object)
-            res["annotator_error"] = pd.Series([o[1] for o in out], index=pdf.index,
-                                               dtype=object)
-            res["attempts"] = pd.Series([o[2] for o in out], index=pdf.index, dtype="int32")
-            yield res
+        pacer = _Pacer(min_interval, sleep)
+
+        def one(t):
+            def paced(x):
+                pacer.wait()
+                return fn(x)
+            return call_with_retry(paced, t if t is not None else "", retries, delay, sleep)
+
+        pool = None
+        if concurrency > 1:
+            from concurrent.futures import ThreadPoolExecutor
+            pool = ThreadPoolExecutor(max_workers=concurrency)
+        try:
+            for pdf in batches:
+                texts = list(pdf[text_col])
+                out = list(pool.map(one, texts)) if pool else [one(t) for t in texts]
+                res = pdf.copy()
+                res["reply"] = pd.Series([o[0] for o in out], index=pdf.index, dtype=object)
+                res["annotator_error"] = pd.Series([o[1] for o in out], index=pdf.index,
+                                                   dtype=object)
+                res["attempts"] = pd.Series([o[2] for o in out], index=pdf.index,
+                                            dtype="int32")
+                yield res
+        finally:
+            if pool:
+                pool.shutdown(wait=True)
     return run
 
 
@@ -179,20 +215,25 @@ def annotate_with(pages: DataFrame, fn: Callable[[str], str], now,
                   key_cols: tuple[str, ...] = ("file_id", "page_number"),
                   text_col: str = "page_text", partitions: int | None = None,
                   retries: int = MAX_RETRIES, delay: float = FIRST_DELAY_S,
-                  sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+                  sleep: Callable[[float], None] = time.sleep, concurrency: int = 1,
+                  min_interval: float = 0.0) -> DataFrame:
     """Annotate pages with a caller-supplied ``fn(text) -> reply text``.
 
     With ``partitions`` the pages are hash-spread on ``key_cols`` first, so one long document
-    is worked on by many tasks. Rows pass through whole (no join back). The reply is cut to its
-    JSON and strictly parsed in the JVM; a rejected reply or an annotator error gives the
-    failure placeholder. Result: the input columns plus ``page_analysis`` and ``attempts``.
+    is worked on by many tasks. Rows pass through whole (no join back). Within a task,
+    ``concurrency`` requests may be in flight at once (threads; for a remote model, whose
+    calls wait on the network) and ``min_interval`` seconds separate request starts (pacing
+    against a rate limit). The reply is cut to its JSON and strictly parsed in the JVM; a
+    rejected reply or an annotator error gives the failure placeholder. Result: the input
+    columns plus ``page_analysis`` and ``attempts``.
     """
     spread = pages.repartition(partitions, *key_cols) if partitions else pages
     out_schema = T.StructType(list(spread.schema.fields) + [
         T.StructField("reply", T.StringType()), T.StructField("annotator_error", T.StringType()),
         T.StructField("attempts", T.IntegerType())])
-    replies = spread.mapInPandas(_reply_partitions(fn, text_col, retries, delay, sleep),
-                                 out_schema)
+    replies = spread.mapInPandas(
+        _reply_partitions(fn, text_col, retries, delay, sleep, concurrency, min_interval),
+        out_schema)
     parsed = with_reply_parsed(replies, "reply", "_an_parsed")
     ok = F.col("annotator_error").isNull() & F.col("_an_parsed").isNotNull()
     analysis = F.when(ok, compact_json("_an_parsed")).otherwise(failure_placeholder(now))

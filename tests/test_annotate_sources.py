@@ -197,3 +197,27 @@ def test_bucketed_tables_join_without_shuffle(spark, tmpdir_path):
         assert joined.count() == 200
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def _slow_annotator(text):
+    import time as _t
+    _t.sleep(0.05)
+    return '{"summary": "%s"}' % text
+
+
+def test_annotate_with_concurrency_and_pacing(spark):
+    import time as _t
+    pages = spark.createDataFrame([("f", i, f"p{i}") for i in range(1, 81)],
+                                  "file_id string, page_number int, page_text string")
+    t0 = _t.time()
+    out = annotate_with(pages.coalesce(1), _slow_annotator, "2024-02-01 00:00:00",
+                        concurrency=8).collect()
+    fast = _t.time() - t0
+    assert sorted(json.loads(r.page_analysis)["summary"] for r in out) == sorted(
+        f"p{i}" for i in range(1, 81))
+    assert fast < 3.0  # 80 calls of 50 ms in one task would take 4 s one at a time
+    paced = annotate_with(pages.limit(4).coalesce(1), _slow_annotator, "2024-02-01 00:00:00",
+                          min_interval=0.2)
+    t0 = _t.time()
+    assert paced.count() == 4
+    assert _t.time() - t0 >= 0.6  # three waits between four request starts
