@@ -199,23 +199,34 @@ def test_bucketed_tables_join_without_shuffle(spark, tmpdir_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
 
 
+_ACTIVE = {"now": 0}
+
+
 def _slow_annotator(text):
+    """Answers after 50 ms, reporting how many calls of this worker were in flight."""
+    import threading
     import time as _t
+    lock = _ACTIVE.setdefault("lock", threading.Lock())
+    with lock:
+        _ACTIVE["now"] += 1
+        active = _ACTIVE["now"]
     _t.sleep(0.05)
-    return '{"summary": "%s"}' % text
+    with lock:
+        _ACTIVE["now"] -= 1
+    return '{"summary": "%s", "active": %d}' % (text, active)
 
 
 def test_annotate_with_concurrency_and_pacing(spark):
     import time as _t
-    pages = spark.createDataFrame([("f", i, f"p{i}") for i in range(1, 81)],
+    pages = spark.createDataFrame([("f", i, f"p{i}") for i in range(1, 41)],
                                   "file_id string, page_number int, page_text string")
-    t0 = _t.time()
-    out = annotate_with(pages.coalesce(1), _slow_annotator, "2024-02-01 00:00:00",
-                        concurrency=8).collect()
-    fast = _t.time() - t0
-    assert sorted(json.loads(r.page_analysis)["summary"] for r in out) == sorted(
-        f"p{i}" for i in range(1, 81))
-    assert fast < 3.0  # 80 calls of 50 ms in one task would take 4 s one at a time
+    out = [json.loads(r.page_analysis) for r in annotate_with(
+        pages.coalesce(1), _slow_annotator, "2024-02-01 00:00:00", concurrency=8).collect()]
+    assert sorted(o["summary"] for o in out) == sorted(f"p{i}" for i in range(1, 41))
+    assert max(o["active"] for o in out) > 1  # several requests in flight in one task
+    one = [json.loads(r.page_analysis) for r in annotate_with(
+        pages.coalesce(1), _slow_annotator, "2024-02-01 00:00:00").collect()]
+    assert max(o["active"] for o in one) == 1
     paced = annotate_with(pages.limit(4).coalesce(1), _slow_annotator, "2024-02-01 00:00:00",
                           min_interval=0.2)
     t0 = _t.time()
