@@ -93,16 +93,18 @@ def accept_uploads(uploads: DataFrame, now, threshold_mb=DEFAULT_THRESHOLD_MB,
 def process_documents(docs: DataFrame, now, annotator: Callable[[str], str] | None = None,
                       sep: str = "\n", partitions: int | None = None,
                       ttl_days: int = WRITER_TTL_DAYS,
-                      hot_pages: int | None = None) -> Processed:
+                      hot_pages: int | None = None,
+                      annotator_options: dict | None = None) -> Processed:
     """Flow 2. ``docs``: file_id, tenant_id, text. Pages are spread over ``partitions`` tasks
     before annotation (with ``hot_pages``, only those of documents with at least that many
     pages; see ``spread_pages``); every page is stored (a failed annotation stores the
-    placeholder) and counts as processed."""
+    placeholder) and counts as processed. ``annotator_options`` go to ``annotate_with``
+    (retries, delay, concurrency, min_interval)."""
     t = _ts(now)
     split = split_pages(docs, "text", sep)
     pages = spread_pages(split, partitions, hot_pages=hot_pages)
     annotated = (annotate_native(pages, t) if annotator is None
-                 else annotate_with(pages, annotator, t))
+                 else annotate_with(pages, annotator, t, **(annotator_options or {})))
     page_rows = annotated.select(
         "file_id", "tenant_id", "page_number", "page_text", "page_analysis",
         F.lit(None).cast("array<string>").alias("chunk_ids"),
