@@ -81,3 +81,27 @@ def test_upload_ids_distinguish_requests(spark):
         "request_id string")
     ids = [r.file_id for r in accept_uploads(uploads, NOW).files.collect()]
     assert len(ids) == 3 and len(set(ids)) == 2  # r1 resent maps to the same id
+
+
+_SEEN = set()
+
+
+def _model_like(text):
+    """Rate-limits the first request for each text, then answers with a fenced JSON reply."""
+    if text not in _SEEN:
+        _SEEN.add(text)
+        raise RuntimeError("429 Too Many Requests")
+    return "```json\n{\"summary\": \"%s\"}\n```" % text.strip()
+
+
+def test_flow_with_a_callable_annotator(spark):
+    docs = spark.createDataFrame([("f1", "t", "One.\nTwo."), ("f2", "t", "Three.")],
+                                 "file_id string, tenant_id string, text string")
+    pr = process_documents(docs, NOW, annotator=_model_like, partitions=2,
+                           annotator_options={"delay": 0.0, "concurrency": 2})
+    got = {(r.file_id, r.page_number): json.loads(r.page_analysis)["summary"]
+           for r in pr.pages.collect()}
+    assert got == {("f1", 1): "One.", ("f1", 2): "Two.", ("f2", 1): "Three."}
+    done = complete_documents(pr.progress_log, pr.pages, NOW)
+    assert sorted((r.file_id, r.success_count) for r in done.manifests.collect()) == [
+        ("f1", 2), ("f2", 1)]
