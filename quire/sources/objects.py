@@ -32,12 +32,18 @@ def read_documents(spark: SparkSession, root: str, glob: str | None = None) -> D
     return _with_parts(r.load(root))
 
 
-def read_document_headers(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Object headers without content (S2): length and modification time only; the content
-    column is pruned, so bodies are not read."""
-    return read_documents(spark, root, glob).select(
+def read_document_headers(spark: SparkSession, root: str, glob: str | None = None,
+                          catalog: DataFrame | None = None) -> DataFrame:
+    """Object headers without content (S2): length and modification time; the content column
+    is pruned, so bodies are not read. The content type is what the writer recorded, not
+    something read from the file: with ``catalog`` it is joined on as ``content_type``."""
+    heads = read_documents(spark, root, glob).select(
         "path", "tenant_id", "file_id", "file_name", F.col("length").alias("content_length"),
         F.col("modificationTime").alias("last_modified"))
+    if catalog is not None:
+        heads = heads.join(catalog.select("file_id", F.col("mime_type").alias("content_type")),
+                           "file_id", "left")
+    return heads
 
 
 def read_document_texts(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:

@@ -91,6 +91,10 @@ def test_objects_round_trip(spark, tmpdir_path):
     assert {r.file_id: r.content_length for r in heads.collect()} == {"f1": 26, "f2": 17}
     texts = {r.file_id: r.text for r in read_document_texts(spark, root, "*.txt").collect()}
     assert texts["f2"] == "line one\nline two"
+    cat = spark.createDataFrame([("f1", "application/pdf")], "file_id string, mime_type string")
+    typed = {r.file_id: r.content_type
+             for r in read_document_headers(spark, root, catalog=cat).collect()}
+    assert typed == {"f1": "application/pdf", "f2": None}
     listing = read_document_headers(spark, root)
     gone = delete_objects(listing, listing.filter("file_id = 'f1'"))
     assert [r.file_id for r in gone.collect()] == ["f2"]
