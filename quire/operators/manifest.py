@@ -118,6 +118,23 @@ def nest_manifest(headers: DataFrame, chunks: DataFrame,
         "result_key")
 
 
+def manifest_documents(nested: DataFrame) -> DataFrame:
+    """The result document of each nested manifest row as JSON text (S5's ``results.json``):
+    ``{fileId, tenantId, processedAt, totalPages, successCount, failedCount, chunks:
+    [{pageNumber, analysis, status}]}``, with each analysis embedded as JSON (parsed, not a
+    string) and ``null`` kept. Returns tenant_id, file_id, result_key and ``json``."""
+    chunk = F.transform("chunks", lambda c: F.struct(
+        c["page_number"].alias("pageNumber"), F.try_parse_json(c["analysis"]).alias("analysis"),
+        c["status"].alias("status")))
+    doc = F.struct(
+        F.col("file_id").alias("fileId"), F.col("tenant_id").alias("tenantId"),
+        F.col("processed_at").alias("processedAt"), F.col("total_pages").alias("totalPages"),
+        F.col("success_count").alias("successCount"),
+        F.col("failed_count").alias("failedCount"), chunk.alias("chunks"))
+    return nested.select("tenant_id", "file_id", "result_key",
+                         F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
+
+
 def manifest_nested(pages: DataFrame, totals: DataFrame, processed_at,
                     keys: tuple[str, ...] = ("file_id", "tenant_id"),
                     analysis_col: str = "page_analysis") -> DataFrame:

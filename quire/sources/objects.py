@@ -113,6 +113,13 @@ def read_result(spark: SparkSession, path: str, file_id: str,
     return nest_manifest(h, c)
 
 
+def write_result_documents(docs: DataFrame, path: str) -> None:
+    """Result documents (``manifest_documents``) as text, one JSON document per line,
+    partitioned by tenant; the per-document key stays in the ``result_key`` column upstream."""
+    (docs.select("tenant_id", "json").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id").text(path))
+
+
 def read_manifest(spark: SparkSession, path: str, file_id: str | None = None,
                   fmt: str = "json") -> DataFrame:
     """Read manifests back (S6) with the fixed schema; with ``file_id`` at most one row."""

@@ -146,3 +146,29 @@ def test_replay_fixture_exact(spark):
     lit = document_progress(df, compat=True).first()
     assert (ours.processed_pages, ours.ready) == (2, True)
     assert (lit.processed_pages, lit.ready) == (3, False)
+
+
+def test_result_document_shape(spark):
+    from quire.operators.manifest import manifest_documents
+    pages = spark.createDataFrame([("d1", "t", 2, '{"summary":"x","entities":[]}'),
+                                   ("d1", "t", 1, None)],
+                                  "file_id string, tenant_id string, page_number int, "
+                                  "page_analysis string")
+    totals = spark.createDataFrame([("d1", 2)], "file_id string, total_pages int")
+    nested = manifest_nested(pages, totals, "2024-02-01 00:00:00")
+    row = manifest_documents(nested).first()
+    doc = json.loads(row.json)
+    assert row.result_key == "t/d1/results.json"
+    assert list(doc) == ["fileId", "tenantId", "processedAt", "totalPages", "successCount",
+                         "failedCount", "chunks"]
+    assert doc["processedAt"] == "2024-02-01T00:00:00.000Z" and doc["totalPages"] == 2
+    assert doc["chunks"] == [
+        {"pageNumber": 1, "analysis": None, "status": "success"},
+        {"pageNumber": 2, "analysis": {"entities": [], "summary": "x"}, "status": "success"}]
+    import os
+    import tempfile
+    from quire.sources.objects import write_result_documents
+    out = os.path.join(tempfile.mkdtemp(prefix="quire-test-"), "docs")
+    write_result_documents(manifest_documents(nested), out)
+    lines = spark.read.text(out).collect()
+    assert len(lines) == 1 and json.loads(lines[0].value) == doc
