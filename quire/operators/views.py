@@ -132,3 +132,22 @@ def derive_failed_pages(doc_status: DataFrame, pages: DataFrame, compat: bool =
     return (doc_status.join(failed, "file_id", "left")
             .withColumn("failed_pages", F.coalesce(F.col("_failed"), F.lit(0)))
             .drop("_failed"))
+
+
+def job_json(view: DataFrame) -> DataFrame:
+    """A job view row as the JSON a client reads: ``{fileId, fileName, status, progress:
+    {processed, total, failed}, timestamps: {uploaded, started, completed}, result}`` with
+    ``result`` null when there is no result key (nulls kept)."""
+    doc = F.struct(
+        F.col("file_id").alias("fileId"), F.col("file_name").alias("fileName"), "status",
+        "progress", "timestamps",
+        F.when(F.col("result").isNotNull(), F.struct(F.col("result.s3_key").alias("s3Key")))
+        .alias("result"))
+    return view.select("file_id", F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def tenant_listing_json(listing: DataFrame) -> DataFrame:
+    """A tenant listing row as ``{fileId, fileName, status, uploadedAt}`` JSON, with rank."""
+    doc = F.struct(F.col("file_id").alias("fileId"), F.col("file_name").alias("fileName"),
+                   "status", iso_utc("uploaded_at").alias("uploadedAt"))
+    return listing.select("tenant_id", "rank", F.to_json(doc).alias("json"))

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 
 from quire.operators.catalog import catalog_files, file_id_for, validate_uploads
 from quire.operators.log import point_get
@@ -110,3 +112,26 @@ def test_spread_only_hot_documents(spark):
         (r.file_id, r.page_number) for r in pages.collect())
     plan = both._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(file_id" in plan and "Union" in plan
+
+
+def test_view_json_shapes(spark):
+    import json
+    from quire.operators.views import job_json, job_view, tenant_listing_json, tenant_recent
+    status = spark.createDataFrame(
+        [("a", "t", "completed", 2, 2, 0, T0, T0, "t/a/results.json"),
+         ("b", "t", "processing", 1, 3, 0, T0, None, None)],
+        "file_id string, tenant_id string, overall_status string, processed_pages int, "
+        "total_pages int, failed_pages int, started_at timestamp, completed_at timestamp, "
+        "result_key string")
+    files = spark.createDataFrame([("a", "a.pdf", T0)],
+                                  "file_id string, file_name string, uploaded_at timestamp")
+    docs = {r.file_id: json.loads(r.json) for r in job_json(job_view(status, files)).collect()}
+    assert docs["a"]["result"] == {"s3Key": "t/a/results.json"}
+    assert docs["a"]["progress"] == {"processed": 2, "total": 2, "failed": 0}
+    assert docs["b"]["result"] is None and docs["b"]["fileName"] is None
+    assert list(docs["a"]) == ["fileId", "fileName", "status", "progress", "timestamps",
+                               "result"]
+    cat = files.withColumn("tenant_id", F.lit("t")).withColumn("status", F.lit("uploaded"))
+    one = json.loads(tenant_listing_json(tenant_recent(cat, 5)).first().json)
+    assert one == {"fileId": "a", "fileName": "a.pdf", "status": "uploaded",
+                   "uploadedAt": "2024-01-01T00:00:00.000Z"}
