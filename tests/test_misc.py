@@ -4,7 +4,6 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-
 from quire.operators.catalog import catalog_files, file_id_for, validate_uploads
 from quire.operators.log import point_get
 from quire.operators.pages import document_errors, join_items, prompt, with_page_keys
