@@ -34,8 +34,6 @@ FAILURE_TEXT = "Analysis failed"
 
 # Fixed values of the native rule set.
 SENTENCE_RX = r"[^.!?]+[.!?]*"        # a sentence: text up to and including its end marks
-WORD_SPLIT_RX = r"[^\p{L}]+"          # words are maximal runs of letters (any script)
-CAPITALISED_RX = r"^\p{Lu}"
 # A capitalised word: a maximal letter run whose first letter is upper case.
 ENTITY_RX = r"(?<!\p{L})\p{Lu}\p{L}*"
 TRIM_CHARS = " \t\n\r"
@@ -65,10 +63,6 @@ def sentences(text) -> Column:
     return F.filter(trimmed, lambda s: s != "")
 
 
-def words(text) -> Column:
-    return F.split(F.coalesce(_c(text), F.lit("")), WORD_SPLIT_RX, -1)
-
-
 # Both lists in one pattern: group 1 holds a positive word, and is empty for a negative one.
 _SENTIMENT_RX = (r"(?<!\p{L})(?:(" + "|".join(POSITIVE_WORDS) + r")|("
                  + "|".join(NEGATIVE_WORDS) + r"))(?!\p{L})")

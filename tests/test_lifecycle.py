@@ -77,3 +77,19 @@ def test_progress_percent(spark):
     df = spark.createDataFrame([(1, 3), (None, 4), (2, 0), (2, None)], "p int, t int")
     got = [r.v for r in df.select(progress_percent("p", "t").alias("v")).collect()]
     assert got == [33.33, 0.0, None, None]
+
+
+def test_index_keys_and_int_prefix(spark):
+    from quire.functions.keys import chunk_partition_key, file_index_keys, status_index_keys
+    from quire.functions.lifecycle import parse_int_prefix
+    df = spark.createDataFrame([("t", "f", "2024-01-01 00:00:00")], "t string, f string, ts string")
+    df = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    fk, fs = file_index_keys("t", "ts")
+    sk, ss = status_index_keys("t", "ts")
+    r = df.select(fk.alias("a"), fs.alias("b"), sk.alias("c"), ss.alias("d"),
+                  chunk_partition_key("t", "f").alias("e")).first()
+    assert (r.a, r.b) == ("TENANT#t", "FILE#2024-01-01T00:00:00.000Z")
+    assert (r.c, r.d, r.e) == ("TENANT#t#STATUS", "2024-01-01T00:00:00.000Z", "t#f")
+    nums = spark.createDataFrame([("10",), (" 7pages",), ("x1",), ("-3",)], "s string")
+    assert [x.v for x in nums.select(parse_int_prefix(F.col("s")).alias("v")).collect()] == [
+        10, 7, None, -3]
