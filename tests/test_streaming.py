@@ -186,3 +186,26 @@ def test_stream_completion_with_bounded_dedupe_state(spark, tmpdir_path):
     want = batch.filter("ready").select("file_id")
     assert streamed.count() == want.count() == 59
     assert streamed.exceptAll(want).count() == 0
+
+
+def test_stream_completion_on_rocksdb_state_store(spark, tmpdir_path):
+    """The production state store (RocksDB) gives the same result; set before a fresh start."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    prev = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state."
+                        "RocksDBStateStoreProvider")
+    try:
+        parts = _split_events(spark, os.path.join(tmpdir_path, "staged"), parts=2)
+        src = os.path.join(tmpdir_path, "in")
+        os.makedirs(src)
+        for i, p in enumerate(parts):
+            for f in os.listdir(p):
+                if f.endswith(".parquet"):
+                    os.link(os.path.join(p, f), os.path.join(src, f"p{i}-{f}"))
+        out = run_folder(spark, "test_rocksdb")
+        start_completion(progress_log(read_event_files(spark, src, max_files_per_trigger=1)),
+                         out, f"{out}/_checkpoint").awaitTermination()
+        streamed = current_status(spark, out).filter("ready").select("file_id")
+        assert streamed.count() == 59
+    finally:
+        spark.conf.set(key, prev)
