@@ -15,5 +15,12 @@ streaming   Structured Streaming forms (intake, completion trigger, error alarm)
 """
 
 from quire.session import build_session, ensure_session_conf, checkpoint_root
+from quire.flows import (
+    accept_uploads, complete_documents, job_results, job_status, process_documents, tenant_jobs,
+)
 
-__all__ = ["build_session", "ensure_session_conf", "checkpoint_root"]
+__all__ = [
+    "build_session", "ensure_session_conf", "checkpoint_root",
+    "accept_uploads", "process_documents", "complete_documents",
+    "job_status", "job_results", "tenant_jobs",
+]
