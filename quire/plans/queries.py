@@ -32,8 +32,8 @@ from quire.plans.inputs import (
     pages_from_conversations, progress_log, reply_kind, status_change_log, status_from_labels,
     table, uploads_from_documents, wire_events, wrap_reply,
 )
-from quire.session import checkpoint_root
-from quire.sources.events import WIRE_WITH_SEQ, read_event_files
+from quire.session import checkpoint_root, ensure_session_conf
+from quire.sources.events import DOCUMENTS, WIRE_WITH_SEQ, read_event_files
 from quire.streaming.alarm import final_windows, start_alarm
 from quire.streaming.completion import current_status, run_folder, start_completion
 from quire.streaming.intake import intake_table, start_intake
@@ -473,3 +473,29 @@ def q_tenant_documents_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("tenant_id", F.col("rank").cast("long").alias("rank"), "file_id",
                       "overall_status", iso_utc("created_at").alias("created_at"),
                       iso_utc("updated_at").alias("updated_at"))
+
+
+def q_stream_chunk_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST5 S8 ST1: documents arrive as a file stream; each micro-batch splits them into pages
+    and publishes one chunk-ready event per page (stateless, written per batch with
+    overwrite); the published events are read back through the intake parser and counted per
+    routing key (same result as ``chunk_fanout``)."""
+    out = run_folder(spark, "stream_chunk_fanout")
+    ensure_session_conf(spark)
+    docs = read_event_files(spark, sf_dir, schema=DOCUMENTS, glob="documents.parquet",
+                            max_files_per_trigger=1)
+    pages = split_pages(files_from_documents(docs), "text", "\\n",
+                        keep=("file_id", "tenant_id"))
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        chunk_events(batch, now_col()).write.mode("overwrite").parquet(
+            f"{out}/events/batch_id={batch_id}")
+
+    (pages.select("file_id", "tenant_id", "page_number").writeStream
+     .option("checkpointLocation", f"{out}/_checkpoint").foreachBatch(publish)
+     .trigger(availableNow=True).start().awaitTermination())
+    wire = spark.read.parquet(f"{out}/events")
+    parsed = parse_envelopes(wire, extra_fields=("pageNumber",)).withColumn(
+        "page_number", F.col("pageNumber").cast("int"))
+    return parsed.groupBy("key", "file_id", "event_type", "disposition").agg(
+        F.count(F.lit(1)).alias("events"), F.max("page_number").cast("long").alias("max_page"))

@@ -36,6 +36,7 @@ QUERIES = {
     "stream_event_intake": q.q_stream_event_intake,
     "document_lifecycle": q.q_document_lifecycle,
     "chunk_fanout": q.q_chunk_fanout,
+    "stream_chunk_fanout": q.q_stream_chunk_fanout,
     "ready_documents_compat": q.q_ready_documents_compat,
     "tenant_documents_compat": q.q_tenant_documents_compat,
 }
@@ -45,3 +46,4 @@ ORACLE = oracle_sql()
 ORACLE["stream_completion"] = ORACLE["ready_documents"]
 ORACLE["stream_error_alarm"] = ORACLE["error_alarm"]
 ORACLE["stream_event_intake"] = ORACLE["event_envelope"]
+ORACLE["stream_chunk_fanout"] = ORACLE["chunk_fanout"]

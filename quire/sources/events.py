@@ -18,6 +18,13 @@ EVENTS = T.StructType([
     T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
 ])
 
+# The driver's documents table layout, for reading it as a stream.
+DOCUMENTS = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
+    T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()),
+    T.StructField("n_chars", T.LongType()),
+])
+
 # Transport records: sequence number, routing key, envelope text.
 WIRE_WITH_SEQ = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("key", T.StringType()),
