@@ -61,39 +61,74 @@ def _bucket(x: Column, bounds: list[float]) -> Column:
     return build(0, len(bounds))
 
 
-def segment_column(df: DataFrame, order: Sequence[str], n: int) -> Column:
-    """Deterministic segment number of each row, non-decreasing in ``order``.
+# Above this many boundaries the segment is found by a JVM binary search (Spark ML's
+# Bucketizer) instead of a CASE tree, whose generated code grows with the boundary count.
+TREE_LIMIT = 256
 
-    Segments come from approximate quantiles of the leading order column. A value that fills
-    several quantiles (a heavy tie, e.g. many rows with one timestamp) shows up repeatedly in
-    the quantile list; rows with such a value get their own slot, split further by quantiles of
-    the second order column. Slot layout inside one leading-column range: the range's boundary
-    value (heavy) first, in sub-segments, then the rest of the range.
-    """
+
+def _segment_plan(df: DataFrame, order: Sequence[str], n: int):
+    """Boundaries of the leading order column and the slot expression for heavy ties.
+
+    Returns (x, bounds, slot, width) or None when no segmentation applies."""
     x = _order_scalar(df, order[0])
     if x is None or n <= 1:
-        return F.lit(0)
+        return None
     probs = [i / n for i in range(1, n)]
     qs = [q for q in df.select(x.alias("_ks_x")).approxQuantile("_ks_x", probs, 1.0 / (4 * n))
           if q is not None]
     bounds = sorted(set(qs))
     if not bounds:
-        return F.lit(0)
+        return None
     width = n + 2
-    base = _bucket(x, bounds) * F.lit(width)
+    slot = F.lit(0)
     heavy = sorted({q for q in qs if qs.count(q) > 1})
     y = _order_scalar(df, order[1]) if len(order) > 1 else None
-    if not heavy or y is None:
-        return base
-    slot = F.lit(n + 1)  # rows above the range's boundary value
-    for v in heavy:
-        k = min(qs.count(v) + 1, n)
-        sub = (df.filter(x == F.lit(v)).select(y.alias("_ks_y"))
-               .approxQuantile("_ks_y", [i / k for i in range(1, k)], 1.0 / (4 * k)))
-        sub_bounds = sorted({q for q in sub if q is not None})
-        slot = F.when(x == F.lit(v), _bucket(y, sub_bounds) if sub_bounds else F.lit(0)
-                      ).otherwise(slot)
-    return base + slot
+    if heavy and y is not None:
+        slot = F.lit(n + 1)  # rows above the range's boundary value
+        for v in heavy:
+            k = min(qs.count(v) + 1, n, TREE_LIMIT)
+            sub = (df.filter(x == F.lit(v)).select(y.alias("_ks_y"))
+                   .approxQuantile("_ks_y", [i / k for i in range(1, k)], 1.0 / (4 * k)))
+            sub_bounds = sorted({q for q in sub if q is not None})
+            slot = F.when(x == F.lit(v), _bucket(y, sub_bounds) if sub_bounds else F.lit(0)
+                          ).otherwise(slot)
+    return x, bounds, slot, width
+
+
+def segment_column(df: DataFrame, order: Sequence[str], n: int) -> Column:
+    """Deterministic segment number of each row, non-decreasing in ``order`` (CASE-tree form).
+
+    Segments come from approximate quantiles of the leading order column. A value that fills
+    several quantiles (a heavy tie, e.g. many rows with one timestamp) shows up repeatedly in
+    the quantile list; rows with such a value get their own slot, split further by quantiles of
+    the second order column. Slot layout inside one leading-column range: the range's boundary
+    value (heavy) first, in sub-segments, then the rest of the range.
+    """
+    plan = _segment_plan(df, order, n)
+    if plan is None:
+        return F.lit(0)
+    x, bounds, slot, width = plan
+    return _bucket(x, bounds) * F.lit(width) + slot
+
+
+def with_segments(df: DataFrame, order: Sequence[str], n: int, out: str,
+                  source: DataFrame | None = None) -> DataFrame:
+    """Add the segment column ``out`` (see ``segment_column``), boundaries taken from
+    ``source`` (default ``df``). Many boundaries use Spark ML's ``Bucketizer`` (a binary search
+    in the JVM); few use the CASE tree, which stays inside generated code."""
+    plan = _segment_plan(source if source is not None else df, order, n)
+    if plan is None:
+        return df.withColumn(out, F.lit(0))
+    x, bounds, slot, width = plan
+    if len(bounds) <= TREE_LIMIT:
+        return df.withColumn(out, _bucket(x, bounds) * F.lit(width) + slot)
+    from pyspark.ml.feature import Bucketizer
+    inf = float("inf")
+    staged = df.withColumn("_ks_xv", F.coalesce(x, F.lit(inf)))
+    found = Bucketizer(splits=[-inf, *bounds, inf], inputCol="_ks_xv", outputCol="_ks_b",
+                       handleInvalid="keep").transform(staged)
+    return (found.withColumn(out, F.col("_ks_b").cast("long") * F.lit(width) + slot)
+            .drop("_ks_xv", "_ks_b"))
 
 
 def keyed_scan(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
@@ -123,8 +158,7 @@ def keyed_scan(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
     for name, c in lasts.items():
         base = base.withColumn(f"_ks_lv_{name}", F.col(c) if isinstance(c, str) else c)
 
-    src = quantile_source if quantile_source is not None else base
-    seg = base.withColumn("_ks_seg", segment_column(src, order, n))
+    seg = with_segments(base, order, n, "_ks_seg", source=quantile_source)
 
     w = Window.partitionBy(*keys, "_ks_seg").orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -177,3 +177,18 @@ def test_keyed_scan_splits_a_heavy_tie(spark):
     # segments never decrease along the order
     ordered = seg.orderBy("ts", "seq").select("seg").collect()
     assert all(a.seg <= b.seg for a, b in zip(ordered, ordered[1:]))
+
+
+def test_keyed_scan_with_many_segments_uses_binary_search(spark):
+    n = 20000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 97).alias("k"),
+        ((F.col("id") * 7919) % n).alias("o"), (F.col("id") % 5).alias("y"))
+    got = keyed_scan(df, "k", ["o"], sums={"s": "y"}, n_segments=600)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "bucketizer" in plan.lower() or "UDF" in plan
+    w = Window.partitionBy("k").orderBy("o")
+    want = df.select("k", "o", F.row_number().over(w).alias("row_number"),
+                     F.sum("y").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    cols = ["k", "o", "row_number", "s"]
+    assert got.select(*cols).exceptAll(want).count() == 0 and got.count() == n
