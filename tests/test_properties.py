@@ -81,3 +81,30 @@ def test_results_do_not_depend_on_input_order(spark):
     fa = fold(status_change_log(ev), ["tenant_id", "overall_status"], "processed_pages")
     fb = fold(status_change_log(shuffled), ["tenant_id", "overall_status"], "processed_pages")
     assert fa.exceptAll(fb).count() == 0 and fb.exceptAll(fa).count() == 0
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 5), st.one_of(st.none(),
+                                                                           st.integers(0, 9))),
+                min_size=1, max_size=120),
+       st.integers(1, 9))
+def test_keyed_scan_equals_window(spark, rows, n_segments):
+    """Random keys, heavy ties on the leading order column, nulls in the carried value: the
+    segmented scan equals one window per key."""
+    from pyspark.sql import Window
+    from quire.operators.scan import keyed_scan
+    data = [(k, t, i, v) for i, (k, t, v) in enumerate(rows)]  # (t, i) unique per key
+    df = spark.createDataFrame(data, "k int, t int, i int, v int")
+    got = keyed_scan(df, "k", ["t", "i"], sums={"s": F.coalesce("v", F.lit(0))},
+                     lasts={"l": "v"}, n_segments=n_segments)
+    w = Window.partitionBy("k").orderBy("t", "i")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("k", "t", "i", F.row_number().over(w).alias("row_number"),
+                     F.sum(F.coalesce("v", F.lit(0))).over(upto).alias("s"),
+                     F.last("v", True).over(upto).alias("l"),
+                     F.last("v", True).over(before).alias("l_before"))
+    cols = ["k", "t", "i", "row_number", "s", "l", "l_before"]
+    a = sorted(tuple(r) for r in got.select(*cols).collect())
+    b = sorted(tuple(r) for r in want.select(*cols).collect())
+    assert a == b
