@@ -108,3 +108,53 @@ def test_keyed_scan_equals_window(spark, rows, n_segments):
     a = sorted(tuple(r) for r in got.select(*cols).collect())
     b = sorted(tuple(r) for r in want.select(*cols).collect())
     assert a == b
+
+
+ops = st.tuples(st.sampled_from(["put", "set", "inc", "delete"]),
+                st.dictionaries(st.sampled_from(["a", "b", "n"]), st.integers(0, 9).map(str),
+                                max_size=3))
+
+
+def _replay(seq):
+    """Direct replay of a key's operations on one record (the reference's semantics)."""
+    rec, created = None, None
+    for ts, (op, fields) in enumerate(seq):
+        if op == "put":
+            rec, created = {f: fields.get(f) for f in ("a", "b", "n")}, ts
+        elif op == "set":
+            if rec is None:
+                rec, created = {"a": None, "b": None, "n": None}, None
+            rec.update(fields)
+        elif op == "inc":
+            if rec is None:
+                rec, created = {"a": None, "b": None, "n": None}, None
+            rec["n"] = str(int(rec["n"] or 0) + 1)
+        else:
+            rec, created = None, None
+    if rec is None:
+        return None
+    return (rec["a"], rec["b"], None if rec["n"] is None else int(rec["n"]), created)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.dictionaries(st.sampled_from(["k1", "k2", "k3"]), st.lists(ops, min_size=1,
+                                                                     max_size=8), min_size=1))
+def test_fold_equals_replay(spark, logs):
+    import datetime as dt
+    from quire.operators.log import fold
+    t0 = dt.datetime(2024, 1, 1)
+    rows = []
+    for key, seq in logs.items():
+        for i, (op, fields) in enumerate(seq):
+            f = None if op in ("inc", "delete") else dict(fields)
+            if op == "set" and not f:
+                f = {}
+            rows.append((key, t0 + dt.timedelta(seconds=i), i, op, f,
+                         1 if op == "inc" else None))
+    log = spark.createDataFrame(rows, "file_id string, ts timestamp, seq long, op string, "
+                                      "fields map<string,string>, inc long")
+    got = {r.file_id: (r.a, r.b, r.n, None if r.created_at is None
+                       else int((r.created_at - t0).total_seconds()))
+           for r in fold(log, ["a", "b"], counter="n").collect()}
+    want = {k: v for k, v in ((k, _replay(seq)) for k, seq in logs.items()) if v is not None}
+    assert got == want
