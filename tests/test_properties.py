@@ -158,3 +158,39 @@ def test_fold_equals_replay(spark, logs):
            for r in fold(log, ["a", "b"], counter="n").collect()}
     want = {k: v for k, v in ((k, _replay(seq)) for k, seq in logs.items()) if v is not None}
     assert got == want
+
+
+analyses = st.one_of(
+    st.none(), st.just(""), st.just("null"), st.just("{broken"),
+    json_values.map(lambda v: json.dumps({"error": v, "summary": "s"})),
+    json_values.map(json.dumps))
+
+
+def _outcome_python(text):
+    if text is None or text == "":
+        return "missing"
+    if not _strict_python(text):
+        return "invalid"
+    v = json.loads(text)
+    if v is None:
+        return "invalid"
+    if isinstance(v, dict) and _js_truthy(v.get("error")):
+        return "failed"
+    return "success"
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.dictionaries(st.sampled_from(["d1", "d2", "d3"]), st.lists(analyses, min_size=1,
+                                                                     max_size=6), min_size=1))
+def test_manifest_counts_match_rules(spark, docs):
+    from quire.operators.manifest import manifest_header
+    rows = [(d, "t", i + 1, a) for d, lst in docs.items() for i, a in enumerate(lst)]
+    pages = spark.createDataFrame(rows, "file_id string, tenant_id string, page_number int, "
+                                        "page_analysis string")
+    got = {r.file_id: (r.success_count, r.failed_count, r.missing_count, r.invalid_count,
+                       r.document_status) for r in manifest_header(pages).collect()}
+    for d, lst in docs.items():
+        outs = [_outcome_python(a) for a in lst]
+        want = tuple(outs.count(o) for o in ("success", "failed", "missing", "invalid"))
+        status = "failed" if want[3] else "completed"
+        assert got[d] == (*want, status), (d, lst)
