@@ -194,3 +194,34 @@ def test_manifest_counts_match_rules(spark, docs):
         want = tuple(outs.count(o) for o in ("success", "failed", "missing", "invalid"))
         status = "failed" if want[3] else "completed"
         assert got[d] == (*want, status), (d, lst)
+
+
+noise = st.sampled_from(["", "Sure!\n", "```json\n", "\n```", " x ", "}", "{", "[", "]",
+                         "null", ",", "\n"])
+
+
+def _reply_python(reply):
+    """Cut from the first '{' to the last '}' across lines, else the whole reply; strict
+    parse. Returns the parsed value or the marker for a rejection."""
+    import re
+    m = re.search(r"\{[\s\S]*\}", reply)
+    cand = m.group(0) if m else reply
+    if not _strict_python(cand):
+        return "<rejected>"
+    return json.loads(cand)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(noise, json_values, noise), min_size=10, max_size=30))
+def test_reply_extraction_matches_rule(spark, parts):
+    from quire.functions.jsonrules import with_reply_parsed
+    replies = [a + json.dumps(v) + b for a, v, b in parts]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, r string")
+    got = {r.i: r.j for r in with_reply_parsed(df, "r", "v")
+           .select("i", F.to_json("v").alias("j")).collect()}
+    for i, r in enumerate(replies):
+        want = _reply_python(r)
+        if want == "<rejected>":
+            assert got[i] is None, r
+        else:
+            assert got[i] is not None and json.loads(got[i]) == want, r
