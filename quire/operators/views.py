@@ -108,7 +108,7 @@ def derive_file_status(files: DataFrame, doc_status: DataFrame, compat: bool = F
                        ) -> DataFrame:
     """File status as its declared meaning: the state of the file's document (left join; a
     file without a status row keeps its own). ``compat=True`` keeps the stored value, which the
-    pipeline never moves past ``uploaded``."""
+    upload flow never moves past ``uploaded``."""
     if compat:
         return files
     mapping = F.create_map(*[F.lit(x) for kv in FILE_STATE_OF.items() for x in kv])
