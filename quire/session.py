@@ -84,3 +84,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     ensure_session_conf(spark)
     checkpoint_root(spark)
     return spark
+
+
+def start_with_partitions(writer, spark: SparkSession, partitions: int | None):
+    """Start a streaming writer with ``partitions`` state partitions (fixed by the checkpoint at
+    the first start; later starts keep the checkpoint's number). The session setting is
+    changed only for the start call: a started query works on its own copy of the session."""
+    if not partitions:
+        return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    prev = spark.conf.get(key)
+    spark.conf.set(key, str(int(partitions)))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, prev)

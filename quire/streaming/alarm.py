@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quire.operators.log import latest_per_key
+from quire.session import start_with_partitions
 
 
 def error_windows(events: DataFrame, period: str, watermark: str, ts: str = "ts") -> DataFrame:
@@ -31,11 +32,12 @@ def _writer(out: str):
 
 
 def start_alarm(errors: DataFrame, out: str, checkpoint: str, period: str = "5 minutes",
-                watermark: str = "1 hour", available_now: bool = True) -> StreamingQuery:
+                watermark: str = "1 hour", available_now: bool = True,
+                state_partitions: int | None = None) -> StreamingQuery:
     w = (error_windows(errors, period, watermark).writeStream.outputMode("update")
          .option("checkpointLocation", checkpoint).foreachBatch(_writer(out)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
-    return w.start()
+    return start_with_partitions(w, errors.sparkSession, state_partitions)
 
 
 def final_windows(spark: SparkSession, out: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quire.functions.lifecycle import ready
 from quire.operators.log import latest_per_key
 from quire.operators.manifest import current_pages, guard, manifest_parts
-from quire.session import checkpoint_root
+from quire.session import checkpoint_root, start_with_partitions
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -123,7 +123,8 @@ def start_completion(progress: DataFrame, out: str, checkpoint: str,
                      available_now: bool = True, interval: str = "5 seconds",
                      pages: DataFrame | None = None,
                      processed_at="1970-01-01 00:00:00",
-                     retention: str | None = None) -> StreamingQuery:
+                     retention: str | None = None,
+                     state_partitions: int | None = None) -> StreamingQuery:
     """Start the completion query. ``available_now`` drains what is there and stops (replays,
     tests); otherwise a processing-time trigger of ``interval``. With a ``pages`` table
     (file_id, tenant_id, page_number, page_analysis), each batch also assembles the manifests
@@ -132,7 +133,7 @@ def start_completion(progress: DataFrame, out: str, checkpoint: str,
          .option("checkpointLocation", checkpoint)
          .foreachBatch(_writer(out, pages, processed_at)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
-    return w.start()
+    return start_with_partitions(w, progress.sparkSession, state_partitions)
 
 
 def current_status(spark: SparkSession, out: str) -> DataFrame:

@@ -209,3 +209,18 @@ def test_stream_completion_on_rocksdb_state_store(spark, tmpdir_path):
         assert streamed.count() == 59
     finally:
         spark.conf.set(key, prev)
+
+
+def test_state_partitions_are_fixed_at_first_start(spark, tmpdir_path):
+    parts = _split_events(spark, os.path.join(tmpdir_path, "staged"), parts=1)
+    out = run_folder(spark, "test_state_parts")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    start_completion(progress_log(read_event_files(spark, parts[0])), out, f"{out}/_checkpoint",
+                     state_partitions=3).awaitTermination()
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before  # session left as it was
+    state = os.path.join(f"{out}/_checkpoint".replace("file:", ""), "state")
+    ops = sorted(os.listdir(state))
+    assert ops and all(
+        sorted(d for d in os.listdir(os.path.join(state, op)) if d.isdigit()) == ["0", "1", "2"]
+        for op in ops)
+    assert current_status(spark, out).filter("ready").count() == 59
