@@ -373,13 +373,22 @@ def q_error_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ streaming
 
+def _state_partitions(spark: SparkSession) -> int | None:
+    """One state partition per core of the cluster (fixed at the first start)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - remote session: keep the session's setting
+        return None
+
+
 def q_stream_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S7 ST1 ST3 ST6: the events table read as a file stream (availableNow), per-document
     progress kept in streaming state, updates written exactly once per batch; result: the
     documents whose latest state is ready (same as ``ready_documents``)."""
     events = read_event_files(spark, sf_dir, glob="events.parquet", max_files_per_trigger=1)
     out = run_folder(spark, "stream_completion")
-    q = start_completion(progress_log(events), out, f"{out}/_checkpoint")
+    q = start_completion(progress_log(events), out, f"{out}/_checkpoint",
+                         state_partitions=_state_partitions(spark))
     q.awaitTermination()
     st = current_status(spark, out)
     return st.filter("ready").select("file_id", "processed_pages", "total_pages",
@@ -392,7 +401,8 @@ def q_stream_error_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_event_files(spark, sf_dir, glob="events.parquet", max_files_per_trigger=1)
     errors = events.filter(F.col("event_type") == "error")
     out = run_folder(spark, "stream_error_alarm")
-    q = start_alarm(errors, out, f"{out}/_checkpoint", period="6 hours", watermark="1 day")
+    q = start_alarm(errors, out, f"{out}/_checkpoint", period="6 hours", watermark="1 day",
+                    state_partitions=_state_partitions(spark))
     q.awaitTermination()
     w = final_windows(spark, out)
     return w.select(iso_utc("window_start_ts").alias("window_start"),
