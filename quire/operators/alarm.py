@@ -28,7 +28,8 @@ def windowed_counts(events: DataFrame, ts: str, period: str, value: Column | Non
 def alarm_states(counts: DataFrame, threshold: float) -> DataFrame:
     """Flatten windows and mark those strictly above ``threshold``."""
     return counts.select(
-        iso_utc(F.col("w.start")).alias("window_start"), iso_utc(F.col("w.end")).alias("window_end"),
+        iso_utc(F.col("w.start")).alias("window_start"),
+        iso_utc(F.col("w.end")).alias("window_end"),
         *[c for c in counts.columns if c not in ("w", "metric")],
         F.col("metric"), (F.col("metric") > F.lit(threshold)).alias("alarm"))
 

@@ -167,7 +167,8 @@ def keyed_scan(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
     for name in sums:
         local = local.withColumn(f"_ks_s_{name}", F.sum(f"_ks_sv_{name}").over(upto))
     for name in lasts:
-        local = (local.withColumn(f"_ks_l_{name}", F.last(f"_ks_lv_{name}", ignorenulls=True).over(upto))
+        last_upto = F.last(f"_ks_lv_{name}", ignorenulls=True).over(upto)
+        local = (local.withColumn(f"_ks_l_{name}", last_upto)
                  .withColumn(f"_ks_lb_{name}",
                              F.last(f"_ks_lv_{name}", ignorenulls=True).over(before)))
 

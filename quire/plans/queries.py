@@ -51,7 +51,8 @@ def _flat_analysis(df: DataFrame, analysis_col: str = "page_analysis") -> DataFr
             .withColumn("n_entities", F.coalesce(F.size(ents), F.lit(0)).cast("long"))
             .withColumn("entities", F.array_join(F.array_sort(ents), " "))
             .withColumn("n_key_points", F.coalesce(
-                F.size(F.try_variant_get(v, "$.keyPoints", "array<string>")), F.lit(0)).cast("long"))
+                F.size(F.try_variant_get(v, "$.keyPoints", "array<string>")), F.lit(0))
+                .cast("long"))
             .withColumn("sentiment", F.try_variant_get(v, "$.sentiment", "string"))
             .withColumn("error", F.try_variant_get(v, "$.error", "string"))
             .drop("_fa_v", "_fa_ents"))

@@ -100,7 +100,8 @@ def test_chunk_events(spark):
 
 def test_alarm_rules(spark):
     def run(offsets):
-        df = spark.createDataFrame([(T0 + dt.timedelta(seconds=s),) for s in offsets], "ts timestamp")
+        df = spark.createDataFrame([(T0 + dt.timedelta(seconds=s),) for s in offsets],
+                                   "ts timestamp")
         return [(r.metric, r.alarm) for r in error_alarm(df, "ts", "5 minutes", 10)
                 .orderBy("window_start").collect()]
     assert run(range(10)) == [(10, False)]
