@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from tools.oracle_check import TABLES, rows
+from tools.oracle_check import TABLES, rows, type_mismatches
 
 from conftest import SF001
 
@@ -25,8 +25,11 @@ def test_every_query_has_an_oracle():
 
 @pytest.mark.parametrize("key", KEYS)
 def test_query_matches_oracle(spark, con, key):
-    got = E.queries()[key](spark, SF001).toPandas()
-    want = con.sql(E.oracle_sql()[key]).df()
+    spark_df = E.queries()[key](spark, SF001)
+    rel = con.sql(E.oracle_sql()[key])
+    assert type_mismatches(spark_df, rel) == {}
+    got = spark_df.toPandas()
+    want = rel.df()
     gc, gr = rows(got)
     wc, wr = rows(want)
     assert gc == wc
