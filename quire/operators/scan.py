@@ -66,10 +66,19 @@ def _bucket(x: Column, bounds: list[float]) -> Column:
 TREE_LIMIT = 256
 
 
+# A leading-column value spanning at least this many quantiles is split on the second order
+# column (below it, a tie only makes its groups a few times the target size); at most this
+# many of the heaviest values are split.
+HEAVY_MIN = 4
+HEAVY_MAX = 32
+
+
 def _segment_plan(df: DataFrame, order: Sequence[str], n: int):
     """Boundaries of the leading order column and the slot expression for heavy ties.
 
-    Returns (x, bounds, slot, width) or None when no segmentation applies."""
+    Returns (x, bounds, slot, width) or None when no segmentation applies. Two jobs at most:
+    the quantiles of the leading column, and one grouped ``percentile_approx`` of the second
+    column over the heavy values (a partial aggregate; its result is bounded by ``n``)."""
     x = _order_scalar(df, order[0])
     if x is None or n <= 1:
         return None
@@ -81,17 +90,21 @@ def _segment_plan(df: DataFrame, order: Sequence[str], n: int):
         return None
     width = n + 2
     slot = F.lit(0)
-    heavy = sorted({q for q in qs if qs.count(q) > 1})
+    counts = {v: qs.count(v) for v in bounds}
+    heavy = sorted((v for v, c in counts.items() if c >= HEAVY_MIN),
+                   key=lambda v: -counts[v])[:HEAVY_MAX]
     y = _order_scalar(df, order[1]) if len(order) > 1 else None
     if heavy and y is not None:
+        k = min(max(counts[v] for v in heavy) + 1, n, TREE_LIMIT)
+        sub_probs = [i / k for i in range(1, k)]
+        subs = (df.filter(x.isin(*heavy)).groupBy(x.alias("_ks_hx"))
+                .agg(F.percentile_approx(y, sub_probs, max(10000, 4 * k)).alias("_ks_q"))
+                .collect())
         slot = F.lit(n + 1)  # rows above the range's boundary value
-        for v in heavy:
-            k = min(qs.count(v) + 1, n, TREE_LIMIT)
-            sub = (df.filter(x == F.lit(v)).select(y.alias("_ks_y"))
-                   .approxQuantile("_ks_y", [i / k for i in range(1, k)], 1.0 / (4 * k)))
-            sub_bounds = sorted({q for q in sub if q is not None})
-            slot = F.when(x == F.lit(v), _bucket(y, sub_bounds) if sub_bounds else F.lit(0)
-                          ).otherwise(slot)
+        for r in subs:
+            sub_bounds = sorted({q for q in (r["_ks_q"] or []) if q is not None})
+            slot = F.when(x == F.lit(r["_ks_hx"]),
+                          _bucket(y, sub_bounds) if sub_bounds else F.lit(0)).otherwise(slot)
     return x, bounds, slot, width
 
 
