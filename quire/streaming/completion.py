@@ -60,10 +60,14 @@ def progress_state(progress: DataFrame, retention: str | None = None) -> DataFra
 
 def _other_batches(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
     """Rows written by batches other than ``batch_id`` (None when nothing was written)."""
+    from pyspark.errors import AnalysisException
     try:
         df = spark.read.parquet(folder)
-    except Exception:  # noqa: BLE001 - folder not created yet
-        return None
+    except AnalysisException as e:  # folder not created yet, or nothing written to it
+        if any(m in str(e) for m in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA",
+                                     "Path does not exist")):
+            return None
+        raise
     return df.filter(F.col("batch_id") != batch_id)
 
 
