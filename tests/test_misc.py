@@ -134,3 +134,24 @@ def test_view_json_shapes(spark):
     one = json.loads(tenant_listing_json(tenant_recent(cat, 5)).first().json)
     assert one == {"fileId": "a", "fileName": "a.pdf", "status": "uploaded",
                    "uploadedAt": "2024-01-01T00:00:00.000Z"}
+
+
+def test_table_spreads_only_under_split_inputs(spark, tmpdir_path):
+    import os
+    from quire.plans.inputs import table
+    n = spark.sparkContext.defaultParallelism
+    docs = spark.range(0, 40 * n).select(
+        F.col("id").alias("doc_id"), F.lit("a\nb").alias("text"), F.lit("en").alias("lang"),
+        F.lit("s").alias("source"), F.lit(3).cast("long").alias("n_chars"))
+    docs.coalesce(1).write.parquet(os.path.join(tmpdir_path, "one", "documents.parquet"))
+    docs.repartition(2 * n).write.parquet(os.path.join(tmpdir_path, "many", "documents.parquet"))
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    one = table(spark, os.path.join(tmpdir_path, "one"), "documents", spread=True)
+    assert "hashpartitioning(doc_id" in plan(one) and one.count() == 40 * n
+    many = table(spark, os.path.join(tmpdir_path, "many"), "documents", spread=True)
+    # a scan already split over the cluster is returned as read: no added shuffle
+    assert many.rdd.getNumPartitions() >= n
+    assert "Exchange" not in plan(many) and many.count() == 40 * n
