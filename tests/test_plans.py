@@ -46,3 +46,17 @@ def test_status_views_never_read_text(spark):
 def test_no_pair_joins(spark, key):
     plan = _plan(spark, key)
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("key", ["chunk_batches", "change_images"])
+def test_row_windows_are_split_by_segment(spark, key):
+    # row-level windows run per (key, segment), so a hot key is spread over many tasks; only
+    # the per-segment summary (at most one row per segment and key) is windowed by key alone
+    lines = [ln for ln in _plan(spark, key).splitlines() if re.search(r"\bWindow \[", ln)]
+    assert lines
+    for ln in lines:
+        part = re.search(r"\], \[([^\]]*)\], \[", ln)
+        if "row_number()" in ln:
+            assert part and "_ks_seg" in part.group(1), ln
+        else:
+            assert "sum(_ks_seg_" in ln, ln
