@@ -155,3 +155,39 @@ def test_table_spreads_only_under_split_inputs(spark, tmpdir_path):
     # a scan already split over the cluster is returned as read: no added shuffle
     assert many.rdd.getNumPartitions() >= n
     assert "Exchange" not in plan(many) and many.count() == 40 * n
+
+
+def test_checkpoint_root_needs_a_shared_folder_on_a_cluster(spark):
+    import pytest
+    from quire.session import checkpoint_root
+
+    class Conf(dict):
+        def get(self, k, default=None):
+            return dict.get(self, k, default)
+
+        def set(self, k, v):
+            self[k] = v
+
+    class Context:
+        def __init__(self, master):
+            self.master, self.dir = master, None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def setCheckpointDir(self, d):
+            self.dir = d
+
+    class Session:
+        def __init__(self, master, conf):
+            self.conf, self.sparkContext = Conf(conf), Context(master)
+
+    # on a cluster an unset folder is an error, never a machine-local fallback
+    with pytest.raises(RuntimeError):
+        checkpoint_root(Session("yarn", {}))
+    # a folder the cluster names is used as is, and registered for RDD checkpoints
+    s = Session("yarn", {"spark.checkpoint.dir": "hdfs://nn/shared/ckpt/"})
+    assert checkpoint_root(s) == "hdfs://nn/shared/ckpt"
+    assert s.sparkContext.dir == "hdfs://nn/shared/ckpt/"
+    # the session under test keeps the folder it was given
+    assert checkpoint_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
