@@ -45,3 +45,15 @@ def field(name: str) -> Column:
 
 def from_row(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[field(c).alias(c) for c in columns])
+
+
+def join_spread(rows: DataFrame, info: DataFrame, keys: list[str], spread: str,
+                places: int = 64) -> DataFrame:
+    """``rows`` inner-joined with ``info`` (one row per key) without meeting a hot key in one task.
+
+    Rows of a key are spread over ``places`` by a hash of the column ``spread``; what is known of a
+    key goes to the places that have it, then to the rows there."""
+    rows = (rows.withColumn("_place", F.pmod(F.xxhash64(spread), F.lit(places)).cast("int"))
+            .repartition(*keys, "_place"))
+    near = rows.select(*keys, "_place").distinct().join(info, keys)
+    return rows.join(near, [*keys, "_place"]).drop("_place")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from quire.llm import exact_dedup, mixing
+from quire.llm import decontaminate, exact_dedup, mixing, near_join
 
 QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op4_near_join": near_join.op4_near_join,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE = {
     "op3_mix_sources": mixing.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
