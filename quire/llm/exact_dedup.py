@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.common import SPACE, as_row, bucket_count, field, from_row, table
+from quire.session import checkpoint_root
 
 MERGE_BITS = 4          # sixteen runs meet in one merge
 RUN_ROWS = 1 << 16      # rows of a leaf run, about
@@ -47,9 +48,10 @@ def _runs(rows: int) -> int:
 
 def _resolved(rows: DataFrame, runs: int) -> DataFrame:
     """rows: id, n_chars, key. Adds best (the entry that stays), group_size, nth (1 for the first
-    of repeated rows)."""
+    of repeated rows). The rows are checkpointed, so that the texts are read and digested once."""
+    checkpoint_root(rows.sparkSession)
     rows = (rows.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(runs)))
-            .repartition("run", "key"))
+            .repartition("run", "key").checkpoint())
     entry = F.struct((-F.col("n_chars")).alias("less"), F.col("id").isNull().alias("no_id"),
                      F.col("id"))
     levels = [rows.groupBy("run", "key").agg(F.min(entry).alias("best"),
