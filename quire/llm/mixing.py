@@ -50,7 +50,8 @@ def _seats(parties: DataFrame, by: list[str], votes: str, seats: Column, limit:
     p = (parties.withColumn("_k", seats)
          .withColumn("_n", F.count(F.lit(1)).over(group))
          .withColumn("_v", F.sum(votes).over(group))
-         .withColumn("_q", F.col(votes).cast("double") * F.col("_k") / F.col("_v"))
+         .withColumn("_q", F.when(F.col("_v") > 0, F.col(votes).cast("double") * F.col("_k")
+                                  / F.col("_v")).otherwise(0.0))
          .withColumn("_band", F.when(F.col("_k") > 0,
                                      F.col("_q") * F.col("_n") / (2.0 * F.col("_k"))).otherwise(0.0) + 1)
          .withColumn("_low", F.least(F.col(limit), F.greatest(
