@@ -30,8 +30,8 @@ SAMPLE_DOCS = 256
 SAMPLE_CHARS = 2048
 DICT_BYTES = 1 << 17
 BLOCK_CHARS = 1024
-LEVEL = 3
-MIN_MARGIN = 0.005
+LEVEL, SHORT_LEVEL = 3, 12     # a text of one block is compressed with more care
+MIN_MARGIN = 0.002
 UNKNOWN = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -68,21 +68,27 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for lang, parts in sorted(texts.items())}
 
 
+def _compressor(data: bytes, level: int, **more) -> zstandard.ZstdCompressor:
+    params = zstandard.ZstdCompressionParameters.from_level(
+        level, source_size=BLOCK_CHARS, dict_size=len(data), write_content_size=False,
+        write_checksum=False, write_dict_id=False, **more)
+    d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=params)
+
+
 @lru_cache(maxsize=4)
 def _compressors(model: tuple) -> list:
-    out = []
-    for _, data in model:
-        d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False,
-                                            write_checksum=False, write_dict_id=False))
-    return out
+    """Per language, in the model's order, a compressor for longer and one for short texts."""
+    return [(_compressor(data, LEVEL), _compressor(data, SHORT_LEVEL, min_match=3))
+            for _, data in model]
 
 
 def _sizes(text: str, compressors: list) -> list[int]:
     """Compressed bytes of the whole text per dictionary."""
     blocks = [text[i:i + BLOCK_CHARS].encode() for i in range(0, len(text), BLOCK_CHARS)]
-    return [sum(len(c.compress(b)) for b in blocks) for c in compressors]
+    short = len(blocks) == 1
+    return [sum(len(c[short].compress(b)) for b in blocks) for c in compressors]
 
 
 def _judge(text: str | None, langs: list[str], compressors: list,

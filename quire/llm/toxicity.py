@@ -5,8 +5,8 @@ The model has one weight per feature, shared by all thresholds, and ordered thre
 ``sum_k P(grade >= k)``.
 
 Features are the distinct words of a text and their first four and five letters, present or not.
-Those whose share in toxic texts exceeds that in clean ones by ``MIN_Z`` standard errors are kept,
-the ``MOST_FEATURES`` strongest; a text without any of them is as clean as can be.
+Those are kept that are ``LEAST_LIFT`` times as frequent among the features of toxic texts, beyond
+chance, the ``MOST_FEATURES`` strongest; a text without any of them is as clean as can be.
 
 Training uses a bounded sample of the labelled rows: the ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN``
 rows with the smallest hash of their id. Spark counts their features; the driver receives only
@@ -14,11 +14,12 @@ the kept features of the sampled rows and fits the weights with full-batch steps
 the same on every run. Prediction covers every row and whole texts.
 
 Where labels are yes or no, ``grades`` makes three grades of them: 0 clean, and among the toxic
-rows 1 for the half with fewer strong features per word and 2 for the rest.
+rows 1 for those with no more strong features than their median and 2 for the rest.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -33,10 +34,11 @@ from pyspark.sql import types as T
 from quire.llm.common import table
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4096, 12288
-MIN_Z, MIN_ROWS = 4.0, 3
+MIN_ROWS = 3
+LEAST_LIFT = 3.0
 MOST_FEATURES = 4096
 STRONG = 8.0
-STEPS, RATE, PENALTY = 400, 0.1, 1e-3
+STEPS, RATE, PENALTY = 600, 0.05, 1e-4
 CUT = 0.5
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -58,8 +60,6 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.record_batch({
             "id": b["id"], "toxic": b["toxic"],
-            "n_words": pa.array([len(_WORD.findall((x.as_py() or "").lower())) for x in b["text"]],
-                                pa.int64()),
             "features": pa.array([sorted(_features(x.as_py())) for x in b["text"]],
                                  pa.list_(pa.string()))})
 
@@ -77,28 +77,34 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return (docs.join(F.broadcast(chosen), "id").select("id", "toxic", "text")
             .mapInArrow(_featured, T.StructType([
                 T.StructField("id", kind), *T.StructType.fromDDL(
-                    "toxic boolean, n_words long, features array<string>").fields])))
+                    "toxic boolean, features array<string>").fields])))
 
 
-def _kept_features(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, tuple[int, int]]:
-    """feature: rows with it among toxic and clean ones; at most MOST_FEATURES."""
-    a, b = F.col("a"), F.col("b")
-    p = (a + b) / (n_toxic + n_clean)
-    z = (a / n_toxic - b / n_clean) / F.sqrt(p * (1 - p) * (1 / n_toxic + 1 / n_clean))
+def _kept_features(sample: DataFrame) -> dict[str, tuple[int, int]]:
+    """feature: rows with it among toxic and clean ones; at most MOST_FEATURES. Toxic rows hold the
+    part q of all features; a feature found in a of its n rows there must have a likelihood ratio
+    against q that no feature would reach by chance."""
     counts = (sample.select("toxic", F.explode("features").alias("f")).groupBy("f")
-              .agg(F.count(F.when(F.col("toxic"), 1)).alias("a"),
-                   F.count(F.when(~F.col("toxic"), 1)).alias("b"))
-              .where((a >= MIN_ROWS) & (p < 1)).withColumn("z", z)
-              .where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "f").limit(MOST_FEATURES))
-    return {r["f"]: (r["a"], r["b"]) for r in counts.collect()}
+              .agg(F.count(F.when(F.col("toxic"), 1)).cast("double").alias("a"),
+                   F.count(F.when(~F.col("toxic"), 1)).cast("double").alias("b")))
+    tested, in_toxic, in_clean = counts.agg(
+        F.count(F.when(F.col("a") + F.col("b") >= MIN_ROWS, 1)), F.sum("a"), F.sum("b")).first()
+    if not tested or not in_toxic or not in_clean:
+        return {}
+    a, b, q = F.col("a"), F.col("b"), in_toxic / (in_toxic + in_clean)
+    n = a + b
+    ratio = a * F.log(a / (n * q)) + F.when(b > 0, b * F.log(b / (n * (1 - q)))).otherwise(0.0)
+    best = (counts.where((n >= MIN_ROWS) & (a / in_toxic >= LEAST_LIFT * b / in_clean))
+            .withColumn("ratio", ratio).where(F.col("ratio") >= math.log(tested) + 1)
+            .orderBy(F.desc("ratio"), "f").limit(MOST_FEATURES))
+    return {r["f"]: (int(r["a"]), int(r["b"])) for r in best.collect()}
 
 
 def _fit(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_cols: int) -> tuple:
-    """Weights and thresholds; every grade weighs the same as a class. Adam steps on the whole
-    sample, the thresholds as a first one and logarithms of the gaps."""
+    """Weights and thresholds that lower the mean loss: Adam steps on the whole sample, the
+    thresholds as a first one and logarithms of the gaps."""
     top = int(grade.max())
-    share = np.bincount(grade, minlength=top + 1)
-    cost = 1.0 / (np.maximum(share, 1)[grade] * (share > 0).sum())
+    cost = 1.0 / len(grade)
     w = np.zeros(n_cols)
     t = np.concatenate(([0.0], np.zeros(top - 1)))
     par = np.concatenate((w, t))
@@ -142,13 +148,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
         if not n.get(True) or not n.get(False):
             return Model((), ())
-        kept = _kept_features(sample, n[True], n[False])
+        kept = _kept_features(sample)
         if not kept:
             return Model((), ())
         names = sorted(kept)
         at = {f: i for i, f in enumerate(names)}
         lit = F.array(*[F.lit(f) for f in names])
-        data = (sample.select("id", "toxic", "n_words",
+        data = (sample.select("id", "toxic",
                               F.array_intersect("features", lit).alias("features"))
                 .orderBy("id", "toxic").collect())
     finally:
@@ -158,18 +164,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = np.array([i for i, r in enumerate(data) for _ in r["features"]], dtype=np.int64)
     cols = np.array([at[f] for r in data for f in r["features"]], dtype=np.int64)
     toxic = np.array([r["toxic"] for r in data])
-    dense = np.array([sum(f in strong for f in r["features"]) / max(1, r["n_words"])
-                      for r in data])
-    w, cut = _fit(rows, cols, grades(toxic, dense), len(names))
+    marks = np.array([sum(f in strong for f in r["features"]) for r in data])
+    w, cut = _fit(rows, cols, grades(toxic, marks), len(names))
     return Model(tuple((f, float(x)) for f, x in zip(names, w, strict=True)),
                  tuple(float(x) for x in cut))
 
 
-def grades(toxic: np.ndarray, density: np.ndarray) -> np.ndarray:
-    """0 clean; 1 and 2 the less and the more dense half of the toxic rows."""
+def grades(toxic: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """0 clean; of the toxic rows 2 those with more marks than their median, 1 the others."""
     out = toxic.astype(np.int64)
     if toxic.any():
-        out[toxic & (density > np.median(density[toxic]))] = 2
+        out[toxic & (marks > np.median(marks[toxic]))] = 2
     return out
 
 

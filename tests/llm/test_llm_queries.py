@@ -158,12 +158,13 @@ def test_language_of_held_out_documents(spark):
 
 
 def test_toxicity_of_labelled_documents(spark):
-    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF01}/labels.parquet").collect()}
-    got = {r.doc_id: r for r in registry.QUERIES["op1_toxicity"](spark, SF01).collect()}
+    sf = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in registry.QUERIES["op1_toxicity"](spark, sf).collect()}
     toxic = [i for i, t in truth.items() if t]
     clean = [i for i, t in truth.items() if not t]
-    assert sum(got[i].toxic for i in toxic) >= 0.9 * len(toxic)
-    assert sum(got[i].toxic for i in clean) <= 0.02 * len(clean)
+    assert sum(got[i].toxic for i in toxic) >= 0.9 * len(toxic)     # some labels are wrong
+    assert sum(got[i].toxic for i in clean) <= 0.002 * len(clean)
     assert all(0 <= r.severity <= 2 and 0 <= r.grade <= 2 for r in got.values())
 
 
