@@ -9,6 +9,9 @@ that would duplicate an expensive expression).
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,3 +138,37 @@ def parse_reply(reply) -> Column:
 def compact_json(v) -> Column:
     """Compact JSON text of a VARIANT (the stored form of a page analysis)."""
     return F.to_json(_c(v))
+
+
+_JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+')
+
+
+def _indented(text: str | None) -> str | None:
+    """Valid JSON text with two spaces per level; numbers and strings stay as written."""
+    if text is None:
+        return None
+    out, depth = [], 0
+    tokens = _JSON_TOKEN.findall(text)
+    for i, t in enumerate(tokens):
+        if t in "{[":
+            empty = i + 1 < len(tokens) and tokens[i + 1] in "}]"
+            depth += not empty
+            out.append(t if empty else t + "\n" + "  " * depth)
+        elif t in "}]":
+            empty = i > 0 and tokens[i - 1] in "{["
+            depth -= not empty
+            out.append(t if empty else "\n" + "  " * depth + t)
+        elif t == ",":
+            out.append(",\n" + "  " * depth)
+        else:
+            out.append(": " if t == ":" else t)
+    return "".join(out)
+
+
+def indented_json(text) -> Column:
+    """JSON text with two-space indentation (the form a stored result object has)."""
+    @F.pandas_udf("string")
+    def indent(s: pd.Series) -> pd.Series:
+        return s.map(_indented, na_action="ignore")
+
+    return indent(_c(text))

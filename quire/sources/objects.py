@@ -9,11 +9,16 @@ never by file id, which would make one tiny file per document.
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions.jsonrules import indented_json
 from quire.functions.keys import path_parts
+from quire.operators.spread import semi_spread
 from quire.schemas import MANIFEST
 
 
@@ -41,8 +46,8 @@ def read_document_headers(spark: SparkSession, root: str, glob: str | None = Non
         "path", "tenant_id", "file_id", "file_name", F.col("length").alias("content_length"),
         F.col("modificationTime").alias("last_modified"))
     if catalog is not None:
-        heads = heads.join(catalog.select("file_id", F.col("mime_type").alias("content_type")),
-                           "file_id", "left")
+        kinds = catalog.groupBy("file_id").agg(F.max("mime_type").alias("content_type"))
+        heads = heads.join(kinds, "file_id", "left")
     return heads
 
 
@@ -68,36 +73,72 @@ def write_catalog(files: DataFrame, path: str, mode: str = "append") -> None:
 
 def read_catalog(spark: SparkSession, path: str, tenant_id: str | None = None) -> DataFrame:
     """The catalogue as a keyed store (S4 "overwrite on same key"): the latest record per file
-    by ``updated_at`` (a partial aggregate per file). With ``tenant_id`` only that tenant's
+    by ``updated_at``, ties by the whole record (a partial aggregate per file). With ``tenant_id`` only that tenant's
     partition is read."""
     from quire.operators.log import latest_per_key
     df = spark.read.parquet(path)
     if tenant_id is not None:
         df = df.filter(F.col("tenant_id") == tenant_id)
-    return latest_per_key(df, ["file_id"], ["updated_at"])
+    rest = [c for c in sorted(df.columns) if c not in ("file_id", "updated_at")]
+    return latest_per_key(df, ["file_id"], ["updated_at", *rest])
+
+
+def new_run_id() -> str:
+    """A run id that sorts after those of earlier runs."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
+def _write_run(df: DataFrame, path: str, run_id: str, fmt: str, **options: str) -> None:
+    """One run's rows in a folder of its own, partitioned by tenant. Only that folder is
+    overwritten, so a retried run replaces itself and no other run's results."""
+    w = df.write.mode("overwrite").partitionBy("tenant_id")
+    w.options(**options).format(fmt).save(f"{path}/run_id={run_id}")
 
 
-def write_manifests(manifests: DataFrame, path: str, fmt: str = "json") -> None:
-    """Result manifests (S5), one row per document with its nested chunks, partitioned by
-    tenant. JSON keeps ``analysis: null`` (``ignoreNullFields=false``). Rewriting the same
-    tenants replaces their results (dynamic partition overwrite)."""
-    w = (manifests.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("tenant_id"))
-    if fmt == "json":
-        w.option("ignoreNullFields", "false").json(path)
-    else:
-        w.parquet(path)
+def _latest_run(df: DataFrame) -> DataFrame:
+    """Of each document the rows of the last run that wrote it (run ids sort in run order)."""
+    last = df.groupBy("file_id").agg(F.max("run_id").alias("run_id"))
+    return df.join(last, ["file_id", "run_id"], "left_semi")
 
 
-def write_results(headers: DataFrame, chunks: DataFrame, path: str) -> None:
+def write_manifests(manifests: DataFrame, path: str, fmt: str = "json",
+                    run_id: str | None = None) -> str:
+    """Result manifests (S5), one row per document with its nested chunks. JSON keeps
+    ``analysis: null`` (``ignoreNullFields=false``). Every run writes its own folder; a document
+    written again replaces its earlier result for readers, other documents are not touched.
+    Returns the run id; give the same one again to retry a run."""
+    run_id = run_id or new_run_id()
+    options = {"ignoreNullFields": "false"} if fmt == "json" else {}
+    _write_run(manifests, path, run_id, fmt, **options)
+    return run_id
+
+
+def write_results(headers: DataFrame, chunks: DataFrame, path: str,
+                  run_id: str | None = None) -> str:
     """Results as two Parquet tables under ``path``: ``headers`` (one row per document) and
-    ``chunks`` (one row per page, clustered by document and page within each file), both
-    partitioned by tenant. Rewriting a tenant replaces its results (dynamic overwrite)."""
-    (headers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("tenant_id").parquet(f"{path}/headers"))
-    (chunks.sortWithinPartitions("file_id", "page_number").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id")
-     .parquet(f"{path}/chunks"))
+    ``chunks`` (one row per page, clustered by document and page within each file), one folder
+    per run. The chunks are written first: a run whose headers are missing is not read. Returns
+    the run id (see ``write_manifests``)."""
+    run_id = run_id or new_run_id()
+    _write_run(chunks.sortWithinPartitions("tenant_id", "file_id", "page_number"),
+               f"{path}/chunks", run_id, "parquet")
+    _write_run(headers, f"{path}/headers", run_id, "parquet")
+    return run_id
+
+
+def read_results(spark: SparkSession, path: str, tenant_id: str | None = None,
+                 file_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(headers, chunks) as a keyed store holds them: of each document the result of the last
+    run that wrote it. A tenant or file filter reaches the scan. The chunks are matched to their
+    header by document and run, spread over the pages of a document."""
+    h = spark.read.option("basePath", f"{path}/headers").parquet(f"{path}/headers")
+    c = spark.read.option("basePath", f"{path}/chunks").parquet(f"{path}/chunks")
+    for name, value in (("tenant_id", tenant_id), ("file_id", file_id)):
+        if value is not None:
+            h, c = h.filter(F.col(name) == value), c.filter(F.col(name) == value)
+    h, c = (df.withColumn("run_id", F.col("run_id").cast("string")) for df in (h, c))
+    h = _latest_run(h)
+    return h, semi_spread(c, h.select("file_id", "run_id"), ["file_id", "run_id"], "page_number")
 
 
 def read_result(spark: SparkSession, path: str, file_id: str,
@@ -105,28 +146,39 @@ def read_result(spark: SparkSession, path: str, file_id: str,
     """One document's result as a nested manifest row (S6): header and chunks filtered on the
     file id (and the tenant partition when given), then nested. No row when absent."""
     from quire.operators.manifest import nest_manifest
-    h = spark.read.parquet(f"{path}/headers").filter(F.col("file_id") == file_id)
-    c = spark.read.parquet(f"{path}/chunks").filter(F.col("file_id") == file_id)
-    if tenant_id is not None:
-        h = h.filter(F.col("tenant_id") == tenant_id)
-        c = c.filter(F.col("tenant_id") == tenant_id)
+    h, c = read_results(spark, path, tenant_id, file_id)
     return nest_manifest(h, c)
 
 
-def write_result_documents(docs: DataFrame, path: str) -> None:
-    """Result documents (``manifest_documents``) as text, one JSON document per line,
-    partitioned by tenant; the per-document key stays in the ``result_key`` column upstream."""
-    (docs.select("tenant_id", "json").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id").text(path))
+def write_result_documents(docs: DataFrame, path: str, run_id: str | None = None,
+                           indent: bool = False) -> str:
+    """Result documents (``manifest_documents``) with their object key (``result_key``, the
+    ``tenant/file/results.json`` they stand for), one folder per run. ``indent`` stores the text
+    with two-space indentation, as an object a person would open. Returns the run id."""
+    run_id = run_id or new_run_id()
+    text = indented_json("json") if indent else F.col("json")
+    _write_run(docs.select("tenant_id", "file_id", "result_key", text.alias("json")), path,
+               run_id, "parquet")
+    return run_id
+
+
+def read_result_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Of each document the text of the last run that wrote it: file_id, run_id, tenant_id,
+    result_key, json."""
+    docs = spark.read.parquet(path).withColumn("run_id", F.col("run_id").cast("string"))
+    return _latest_run(docs)
 
 
 def read_manifest(spark: SparkSession, path: str, file_id: str | None = None,
                   fmt: str = "json") -> DataFrame:
-    """Read manifests back (S6) with the fixed schema; with ``file_id`` at most one row."""
-    schema = T.StructType(list(MANIFEST.fields) + [T.StructField("result_key", T.StringType())])
+    """Read manifests back (S6) with the fixed schema, of each document the last run's; with
+    ``file_id`` at most one row."""
+    schema = T.StructType([*MANIFEST.fields, T.StructField("result_key", T.StringType()),
+                           T.StructField("run_id", T.StringType())])
     r = spark.read.schema(schema)
     df = r.json(path) if fmt == "json" else r.parquet(path)
-    return df if file_id is None else df.filter(F.col("file_id") == file_id)
+    df = df if file_id is None else df.filter(F.col("file_id") == file_id)
+    return _latest_run(df).drop("run_id")
 
 
 def write_bucketed(df: DataFrame, name: str, path: str, buckets: int,

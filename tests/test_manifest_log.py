@@ -167,8 +167,9 @@ def test_result_document_shape(spark):
         {"pageNumber": 2, "analysis": {"entities": [], "summary": "x"}, "status": "success"}]
     import os
     import tempfile
-    from quire.sources.objects import write_result_documents
+    from quire.sources.objects import read_result_documents, write_result_documents
     out = os.path.join(tempfile.mkdtemp(prefix="quire-test-"), "docs")
     write_result_documents(manifest_documents(nested), out)
-    lines = spark.read.text(out).collect()
-    assert len(lines) == 1 and json.loads(lines[0].value) == doc
+    back = read_result_documents(spark, out).collect()
+    assert len(back) == 1 and json.loads(back[0].json) == doc
+    assert back[0].result_key == "t/d1/results.json"
