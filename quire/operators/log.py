@@ -17,12 +17,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.keys import STATUS_SK, doc_pk, page_sk
 from quire.functions.lifecycle import ready
-from quire.operators.scan import keyed_scan
+from quire.operators.scan import keyed_scan, segment_column
 
 RESETS = ("put", "delete")
 
@@ -50,45 +50,65 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def fold(log: DataFrame, fields: Sequence[str], counter: str | None = None,
-         key: str = "file_id", order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+         key: str = "file_id", order: Sequence[str] = ("ts", "seq"),
+         n_segments: int | None = None) -> DataFrame:
     """Fold a change log into one row per live key.
 
     For each field: the value written by the latest row that touches it (a put or delete
-    touches every field; a set touches the fields it names). The counter is its latest
-    absolute value (put, delete or set) plus the increments after it; two partial aggregates
-    and one join of the increment rows only. Output: key, the fields (strings), the counter,
+    touches every field; a set touches the fields it names with a value, a null value is left
+    out as an undefined one is). The counter is its latest absolute value (put, delete or set)
+    plus the increments after it. Output: key, the fields (strings), the counter,
     ``created_at`` (latest put), ``updated_at`` (latest row), ``ops`` (rows folded).
+
+    With a counter the log is cut into order segments (see ``scan``): each (key, segment) is
+    summarised on its own, so a key with a third of the log is many small groups, and one pass
+    over the log is enough. Per key only its segment summaries meet.
     """
     pos = _pos(order)
     op = F.col("op")
     is_reset = op.isin(*RESETS)
-    aggs = [
-        F.max_by(op, pos).alias("_last_op"),
+
+    def touches(f: str) -> Column:
+        return is_reset | ((op == "set") & F.col("fields")[f].isNotNull())
+
+    when = {f: F.when(touches(f), pos) for f in fields}
+    value = {f: F.when(op != "delete", F.col("fields")[f]) for f in fields}
+    first = [
+        F.max(F.struct(pos.alias("p"), op.alias("v"))).alias("_last"),
         F.max(F.col(order[0])).alias("updated_at"),
-        F.max_by(F.when(op == "put", F.col(order[0])), F.when(is_reset, pos)).alias("created_at"),
+        F.max(F.when(is_reset, F.struct(pos.alias("p"), F.when(
+            op == "put", F.col(order[0])).alias("v")))).alias("_created"),
         F.count(F.lit(1)).alias("ops"),
+        *[F.max(F.when(when[f].isNotNull(), F.struct(when[f].alias("p"), value[f].alias("v"))))
+          .alias(f"_f_{f}") for f in fields],
     ]
-    for f in fields:
-        touched = is_reset | ((op == "set") & F.map_contains_key("fields", f))
-        value = F.when(op != "delete", F.col("fields")[f])
-        aggs.append(F.max_by(value, F.when(touched, pos)).alias(f))
-    if counter:
-        touched = is_reset | ((op == "set") & F.map_contains_key("fields", counter))
-        value = F.when(op != "delete", F.col("fields")[counter]).try_cast("long")
-        aggs.append(F.max_by(value, F.when(touched, pos)).alias("_abs_val"))
-        aggs.append(F.max(F.when(touched, pos)).alias("_abs_pos"))
-    state = log.groupBy(key).agg(*aggs)
+    again = [F.max("_last").alias("_last"), F.max("updated_at").alias("updated_at"),
+             F.max("_created").alias("_created"), F.sum("ops").alias("ops"),
+             *[F.max(f"_f_{f}").alias(f"_f_{f}") for f in fields]]
     if counter:
-        incs = log.filter(op == "inc").select(key, pos.alias("_pos"), F.col("inc"))
-        after = (incs.join(state.select(key, "_abs_pos"), key, "inner")
-                 .filter(F.col("_abs_pos").isNull() | (F.col("_pos") > F.col("_abs_pos")))
-                 .groupBy(key).agg(F.sum("inc").alias("_inc_after")))
-        state = state.join(after, key, "left")
-        value = (F.when(F.col("_inc_after").isNull(), F.col("_abs_val"))
-                 .otherwise(F.coalesce(F.col("_abs_val"), F.lit(0)) + F.col("_inc_after")))
-        state = state.withColumn(counter, value)
-    live = state.filter(F.col("_last_op") != "delete")
-    return live.drop(*[c for c in live.columns if c.startswith("_")])
+        rows = log.withColumn("_seg", segment_column(log, order, n_segments, [key]))
+        group = Window.partitionBy(key, "_seg")
+        rows = rows.withColumn("_abs", F.max(F.when(touches(counter), pos)).over(group))
+        number = F.when(op != "delete", F.col("fields")[counter]).try_cast("long")
+        late = (op == "inc") & F.coalesce(pos > F.col("_abs"), F.lit(True))
+        parts = rows.groupBy(key, "_seg").agg(
+            *first, F.max(F.when(touches(counter), F.struct(pos.alias("p"), number.alias("v"))))
+            .alias("_abs"), F.sum(F.when(late, F.col("inc"))).alias("_inc"))
+        # increments count from the segment of the key's last absolute value on
+        has = F.max(F.when(F.col("_abs").isNotNull(), F.col("_seg"))).over(Window.partitionBy(key))
+        parts = parts.withColumn("_inc", F.when(
+            F.coalesce(F.col("_seg") >= has, F.lit(True)), F.col("_inc")))
+        state = parts.groupBy(key).agg(*again, F.max("_abs").alias("_abs"),
+                                       F.sum("_inc").alias("_inc"))
+        state = state.withColumn(counter, F.when(
+            F.col("_inc").isNull(), F.col("_abs.v"))
+            .otherwise(F.coalesce(F.col("_abs.v"), F.lit(0)) + F.col("_inc")))
+    else:
+        state = log.groupBy(key).agg(*first)
+    live = state.filter(F.col("_last.v") != "delete")
+    extra = [counter] if counter else []
+    return live.select(key, "updated_at", F.col("_created.v").alias("created_at"), "ops",
+                       *[F.col(f"_f_{f}.v").alias(f) for f in fields], *extra)
 
 
 def document_progress(log: DataFrame, compat: bool = False) -> DataFrame:
@@ -111,11 +131,13 @@ def document_progress(log: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def first_completions(log: DataFrame) -> DataFrame:
-    """Mark each page completion that is the first for its (document, page)."""
+    """Mark each page completion that is the first for its (document, page). A completion is
+    matched by its full position: sequence numbers may start again in every run."""
     firsts = (log.filter(F.col("page").isNotNull())
               .groupBy("file_id", "page").agg(F.min(_pos()).alias("_first"))
-              .select("file_id", F.col("_first.seq").alias("seq"), F.lit(1).alias("is_first")))
-    return (log.join(firsts, ["file_id", "seq"], "left")
+              .select("file_id", F.col("_first.ts").alias("ts"), F.col("_first.seq").alias("seq"),
+                      "page", F.lit(1).alias("is_first")))
+    return (log.join(firsts, ["file_id", "ts", "seq", "page"], "left")
             .withColumn("is_first", F.coalesce(F.col("is_first"), F.lit(0))))
 
 

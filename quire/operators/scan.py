@@ -4,144 +4,111 @@ A plain ``Window.partitionBy(key).orderBy(...)`` sends every row of a key to one
 holding a third of the table becomes one task holding a third of the table. ``keyed_scan``
 instead computes running values in three steps, all on Spark:
 
-1. Segments: approximate quantiles of the leading order column over the *whole* table
-   (``approxQuantile``, one pass, a bounded list of values on the driver) cut the order axis into
-   ``n`` ranges of about equal row count. Every (key, segment) group therefore holds at most
-   about rows/n rows, however big the key: a key with a third of the rows spans about n/3
-   segments. The segment is a deterministic expression of the row (a binary CASE tree over the
-   boundaries, codegen-friendly), so every branch of the plan agrees on it.
+1. Segments: boundaries taken from a hash sample of the rows' whole order positions cut the order
+   axis into ``n`` ranges of about equal row count. A position is the tuple of all order columns,
+   compared as a window compares it (nulls first, each column in its own type), so many rows with
+   one leading value, nulls, large integers, decimals and strings are split like anything else.
+   The segment is a deterministic expression of the row (a binary search in a constant array), so
+   every branch of the plan agrees on it.
 2. Running values within (key, segment) with windows (one hash shuffle on (key, segment)).
 3. A per-(key, segment) summary gives each segment its carry-in from the earlier segments of
    the same key (a window over the small summary), joined back on (key, segment) and combined
    with the local values.
 
-Results are exact: the same as the single-window form on any data; segments only bound the
-work per task. A heavy tie on the leading order column (many rows with one value) is split
-further on the second order column; only rows tying on both share a segment regardless.
+Results are the same as the single-window form whatever the boundaries are; these only bound the
+work per task, and the sample only places them.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_SEGMENTS = 4096
+# A segment holds about this many rows at most (more segments on larger tables), and about so
+# many sampled positions decide each boundary.
+ROWS_PER_SEGMENT = 4_000_000
+SAMPLED_PER_SEGMENT = 16
 
 
-def _n_segments(df: DataFrame, n: int | None) -> int:
+def _segments_for(df: DataFrame, rows: int, n: int | None) -> int:
     if n:
         return max(1, int(n))
-    return min(MAX_SEGMENTS,
-               int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-def _order_scalar(df: DataFrame, col: str) -> Column | None:
-    """A numeric, order-preserving image of the leading order column (None if unsupported)."""
-    dt = df.schema[col].dataType
-    c = F.col(col)
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")),
+               math.ceil(rows / ROWS_PER_SEGMENT))
+
+
+def _comparable(df: DataFrame, col: str) -> tuple[Column, str] | None:
+    """An order-preserving image of a column in a type that JSON carries exactly, and its type
+    name; None for types without one."""
+    dt, c = df.schema[col].dataType, F.col(f"`{col}`")
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(c), "bigint"
+    if isinstance(dt, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', `{col}`)"), "bigint"
     if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    if isinstance(dt, T.NumericType):
-        return c.cast("double")
+        return F.unix_date(c), "int"
+    if isinstance(dt, T.BinaryType):
+        return F.hex(c), "string"
+    if isinstance(dt, (T.NumericType, T.StringType, T.BooleanType)):
+        return c, dt.simpleString()
     return None
 
 
-def _bucket(x: Column, bounds: list[float]) -> Column:
-    """Number of boundaries <= x, as a balanced CASE tree (O(log n) per row)."""
-    def build(lo: int, hi: int) -> Column:
-        if lo >= hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x < F.lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-    return build(0, len(bounds))
-
-
-# Above this many boundaries the segment is found by a JVM binary search (Spark ML's
-# Bucketizer) instead of a CASE tree, whose generated code grows with the boundary count.
-TREE_LIMIT = 256
-
+def _images(df: DataFrame, order: Sequence[str]) -> list[tuple[Column, str]]:
+    """Images of the leading order columns, up to the first without one."""
+    out = []
+    for col in order:
+        image = _comparable(df, col)
+        if image is None:
+            break
+        out.append(image)
+    return out
 
-# A leading-column value spanning at least this many quantiles is split on the second order
-# column (below it, a tie only makes its groups a few times the target size); at most this
-# many of the heaviest values are split.
-HEAVY_MIN = 4
-HEAVY_MAX = 32
 
+def segment_column(df: DataFrame, order: Sequence[str], n: int | None = None,
+                   keys: Sequence[str] = (), source: DataFrame | None = None) -> Column:
+    """Segment number of each row, non-decreasing in ``order``.
 
-def _segment_plan(df: DataFrame, order: Sequence[str], n: int):
-    """Boundaries of the leading order column and the slot expression for heavy ties.
-
-    Returns (x, bounds, slot, width) or None when no segmentation applies. Two jobs at most:
-    the quantiles of the leading column, and one grouped ``percentile_approx`` of the second
-    column over the heavy values (a partial aggregate; its result is bounded by ``n``)."""
-    x = _order_scalar(df, order[0])
-    if x is None or n <= 1:
-        return None
-    probs = [i / n for i in range(1, n)]
-    qs = [q for q in df.select(x.alias("_ks_x")).approxQuantile("_ks_x", probs, 1.0 / (4 * n))
-          if q is not None]
-    bounds = sorted(set(qs))
+    Two jobs over ``source`` (default ``df``): its row count, and a sample of about
+    ``SAMPLED_PER_SEGMENT`` positions per segment, picked by a hash of keys and position."""
+    source = source if source is not None else df
+    images = _images(source, order)
+    if not images or n == 1:
+        return F.lit(0)
+    rows = source.count()
+    n = _segments_for(source, rows, n)
+    names = [f"o{i}" for i in range(len(images))]
+    slots = 1 << 30
+    share = min(slots, math.ceil(slots * n * SAMPLED_PER_SEGMENT / max(1, rows)))
+    known = [k for k in keys if k in source.columns]
+    picked = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in known], *[c for c, _ in images]),
+                    F.lit(slots)) < share
+    sample = (source.where(picked).select(*[c.alias(x) for x, (c, _) in zip(names, images,
+                                                                          strict=True)])
+              .orderBy(*names).collect())
+    at = sorted({round(i * len(sample) / n) for i in range(1, n)} - {0, len(sample)})
+    bounds = [sample[i].asDict() for i in at]
     if not bounds:
-        return None
-    width = n + 2
-    slot = F.lit(0)
-    counts = {v: qs.count(v) for v in bounds}
-    heavy = sorted((v for v, c in counts.items() if c >= HEAVY_MIN),
-                   key=lambda v: -counts[v])[:HEAVY_MAX]
-    y = _order_scalar(df, order[1]) if len(order) > 1 else None
-    if heavy and y is not None:
-        k = min(max(counts[v] for v in heavy) + 1, n, TREE_LIMIT)
-        sub_probs = [i / k for i in range(1, k)]
-        subs = (df.filter(x.isin(*heavy)).groupBy(x.alias("_ks_hx"))
-                .agg(F.percentile_approx(y, sub_probs, max(10000, 4 * k)).alias("_ks_q"))
-                .collect())
-        slot = F.lit(n + 1)  # rows above the range's boundary value
-        for r in subs:
-            sub_bounds = sorted({q for q in (r["_ks_q"] or []) if q is not None})
-            slot = F.when(x == F.lit(r["_ks_hx"]),
-                          _bucket(y, sub_bounds) if sub_bounds else F.lit(0)).otherwise(slot)
-    return x, bounds, slot, width
-
-
-def segment_column(df: DataFrame, order: Sequence[str], n: int) -> Column:
-    """Deterministic segment number of each row, non-decreasing in ``order`` (CASE-tree form).
-
-    Segments come from approximate quantiles of the leading order column. A value that fills
-    several quantiles (a heavy tie, e.g. many rows with one timestamp) shows up repeatedly in
-    the quantile list; rows with such a value get their own slot, split further by quantiles of
-    the second order column. Slot layout inside one leading-column range: the range's boundary
-    value (heavy) first, in sub-segments, then the rest of the range.
-    """
-    plan = _segment_plan(df, order, n)
-    if plan is None:
         return F.lit(0)
-    x, bounds, slot, width = plan
-    return _bucket(x, bounds) * F.lit(width) + slot
-
-
-def with_segments(df: DataFrame, order: Sequence[str], n: int, out: str,
-                  source: DataFrame | None = None) -> DataFrame:
-    """Add the segment column ``out`` (see ``segment_column``), boundaries taken from
-    ``source`` (default ``df``). Many boundaries use Spark ML's ``Bucketizer`` (a binary search
-    in the JVM); few use the CASE tree, which stays inside generated code."""
-    plan = _segment_plan(source if source is not None else df, order, n)
-    if plan is None:
-        return df.withColumn(out, F.lit(0))
-    x, bounds, slot, width = plan
-    if len(bounds) <= TREE_LIMIT:
-        return df.withColumn(out, _bucket(x, bounds) * F.lit(width) + slot)
-    from pyspark.ml.feature import Bucketizer
-    inf = float("inf")
-    staged = df.withColumn("_ks_xv", F.coalesce(x, F.lit(inf)))
-    found = Bucketizer(splits=[-inf, *bounds, inf], inputCol="_ks_xv", outputCol="_ks_b",
-                       handleInvalid="keep").transform(staged)
-    return (found.withColumn(out, F.col("_ks_b").cast("long") * F.lit(width) + slot)
-            .drop("_ks_xv", "_ks_b"))
+    kinds = ", ".join(f"{x}: {kind}" for x, (_, kind) in zip(names, images, strict=True))
+    table = F.from_json(F.lit(json.dumps(bounds, default=str)), f"array<struct<{kinds}>>")
+    here = F.struct(*[c.alias(x) for x, (c, _) in zip(names, _images(df, order), strict=False)])
+
+    def halved(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        passed = F.element_at(table, mid + 1) <= here
+        return (F.when(s["lo"] >= s["hi"], s)
+                .when(passed, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi")))
+                .otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi"))))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    return F.aggregate(steps, start, halved, lambda s: s["lo"])
 
 
 def keyed_scan(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
@@ -151,9 +118,8 @@ def keyed_scan(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
                quantile_source: DataFrame | None = None) -> DataFrame:
     """Add running per-key values in ``order`` (ascending; ``order`` must be unique per key).
 
-    ``quantile_source`` is any cheaper DataFrame with the same leading order column and about
-    the same distribution (e.g. the raw log before enrichment joins); segment boundaries are
-    taken from it. Results are exact whatever the boundaries; they only affect balance.
+    ``quantile_source`` is any cheaper DataFrame with the same order columns and about the same
+    distribution (e.g. the raw log before enrichment joins); segment boundaries are taken from it.
 
     Adds ``row_number`` (1-based position within key) and, for every name in
     ``sums``: ``<name>`` = running sum up to and including the row, ``<name>_before`` = before it;
@@ -162,7 +128,6 @@ def keyed_scan(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
     keys = [key] if isinstance(key, str) else list(key)
     sums = dict(sums or {})
     lasts = dict(lasts or {})
-    n = _n_segments(df, n_segments)
     pos = F.struct(*[F.col(c) for c in order])
 
     base = df
@@ -171,7 +136,8 @@ def keyed_scan(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
     for name, c in lasts.items():
         base = base.withColumn(f"_ks_lv_{name}", F.col(c) if isinstance(c, str) else c)
 
-    seg = with_segments(base, order, n, "_ks_seg", source=quantile_source)
+    seg = base.withColumn("_ks_seg", segment_column(
+        base, order, n_segments, keys, quantile_source if quantile_source is not None else df))
 
     w = Window.partitionBy(*keys, "_ks_seg").orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
