@@ -5,9 +5,9 @@ analysis (summary, entities, keyPoints, sentiment) or the failure placeholder
 ``{"error":"Analysis failed","timestamp":...}``. A page is never dropped.
 
 * ``annotate_native`` — the default: a plain SQL rule set evaluated in the JVM (codegen, no
-  Python). It is a labelled stand-in for a model, not a model: summary = first sentence,
-  entities = distinct capitalised words, keyPoints = first three sentences, sentiment = sign of a
-  small word-list count.
+  Python). It is a labelled stand-in for a model, not a model: summary = the longest sentence
+  (the first of equals), entities = distinct capitalised words, keyPoints = all sentences,
+  sentiment = sign of a small word-list count.
 * ``annotate_with`` — any caller-supplied annotator (e.g. a model client) run through
   ``mapInPandas`` on Arrow batches, with the rate-limit retry rule and the per-page placeholder.
   Only the request runs in Python; reply extraction and validation run natively afterwards.
@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from quire.functions.jsonrules import compact_json, with_reply_parsed
 from quire.functions.lifecycle import iso_utc
+from quire.operators.pages import prompt
 
 # Fixed values of the rate-limit rule: retry only when the error message contains "429",
 # at most 3 retries, first wait 2 s, doubling each time.
@@ -37,7 +38,6 @@ SENTENCE_RX = r"[^.!?]+[.!?]*"        # a sentence: text up to and including its
 # A capitalised word: a maximal letter run whose first letter is upper case.
 ENTITY_RX = r"(?<!\p{L})\p{Lu}\p{L}*"
 TRIM_CHARS = " \t\n\r"
-KEY_POINTS = 3
 POSITIVE_WORDS = (
     "good", "great", "excellent", "happy", "love", "best", "success", "positive",
     "bon", "bonne", "heureux", "meilleur", "succès",
@@ -77,12 +77,14 @@ def sentiment_balance(lower_text: Column) -> Column:
 
 def _analysis_struct(text: Column, sents: Column, balance: Column) -> Column:
     entities = F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY_RX), 0))
+    longest = F.array_max(F.transform(sents, lambda s, i: F.struct(
+        F.length(s).alias("n"), (-i).alias("at"), s.alias("text"))))
     sentiment = (F.when(balance > 0, F.lit("positive")).when(balance < 0, F.lit("negative"))
                  .otherwise(F.lit("neutral")))
     return F.struct(
-        F.coalesce(F.get(sents, 0), F.lit("")).alias("summary"),
+        F.coalesce(longest["text"], F.lit("")).alias("summary"),
         entities.alias("entities"),
-        F.slice(sents, 1, KEY_POINTS).alias("keyPoints"),
+        sents.alias("keyPoints"),
         sentiment.alias("sentiment"),
     )
 
@@ -173,7 +175,8 @@ class _Pacer:
             self.sleep(start - now)
 
 
-def _reply_partitions(fn, text_col, retries, delay, sleep, concurrency=1, min_interval=0.0):
+def _reply_partitions(fn, text_col, retries, delay, sleep, concurrency=1, min_interval=0.0,
+                      batch=None):
     def run(batches):
         import pandas as pd
         pacer = _Pacer(min_interval, sleep)
@@ -184,6 +187,18 @@ def _reply_partitions(fn, text_col, retries, delay, sleep, concurrency=1, min_in
                 return fn(x)
             return call_with_retry(paced, t if t is not None else "", retries, delay, sleep)
 
+        def some(texts):
+            """One request for several pages; its failure is the failure of each."""
+            def paced(x):
+                pacer.wait()
+                replies = list(fn(x))
+                if len(replies) != len(x):
+                    raise ValueError(f"{len(replies)} replies to {len(x)} pages")
+                return replies
+            texts = [t if t is not None else "" for t in texts]
+            replies, error, attempts = call_with_retry(paced, texts, retries, delay, sleep)
+            return [(r, error, attempts) for r in replies or [None] * len(texts)]
+
         pool = None
         if concurrency > 1:
             from concurrent.futures import ThreadPoolExecutor
@@ -191,7 +206,11 @@ def _reply_partitions(fn, text_col, retries, delay, sleep, concurrency=1, min_in
         try:
             for pdf in batches:
                 texts = list(pdf[text_col])
-                out = list(pool.map(one, texts)) if pool else [one(t) for t in texts]
+                call = some if batch else one
+                work = ([texts[i:i + batch] for i in range(0, len(texts), batch)] if batch
+                        else texts)
+                out = list(pool.map(call, work)) if pool else [call(x) for x in work]
+                out = [r for rs in out for r in rs] if batch else out
                 res = pdf.copy()
                 res["reply"] = pd.Series([o[0] for o in out], index=pdf.index, dtype=object)
                 res["annotator_error"] = pd.Series([o[1] for o in out], index=pdf.index,
@@ -210,8 +229,11 @@ def annotate_with(pages: DataFrame, fn: Callable[[str], str], now,
                   text_col: str = "page_text", partitions: int | None = None,
                   retries: int = MAX_RETRIES, delay: float = FIRST_DELAY_S,
                   sleep: Callable[[float], None] = time.sleep, concurrency: int = 1,
-                  min_interval: float = 0.0) -> DataFrame:
-    """Annotate pages with a caller-supplied ``fn(text) -> reply text``.
+                  min_interval: float = 0.0, batch: int | None = None,
+                  prompted: bool = True) -> DataFrame:
+    """Annotate pages with a caller-supplied ``fn(prompt) -> reply text``, or, with ``batch``,
+    ``fn(list of up to batch prompts) -> list of replies``. ``prompted=False`` passes the page
+    text itself instead of the annotation prompt around it.
 
     With ``partitions`` the pages are hash-spread on ``key_cols`` first, so one long document
     is worked on by many tasks. Rows pass through whole (no join back). Within a task,
@@ -222,17 +244,19 @@ def annotate_with(pages: DataFrame, fn: Callable[[str], str], now,
     columns plus ``page_analysis`` and ``attempts``.
     """
     spread = pages.repartition(partitions, *key_cols) if partitions else pages
+    asked = "_an_request"
+    spread = spread.withColumn(asked, prompt(text_col) if prompted else F.col(text_col))
     out_schema = T.StructType(list(spread.schema.fields) + [
         T.StructField("reply", T.StringType()), T.StructField("annotator_error", T.StringType()),
         T.StructField("attempts", T.IntegerType())])
     replies = spread.mapInPandas(
-        _reply_partitions(fn, text_col, retries, delay, sleep, concurrency, min_interval),
+        _reply_partitions(fn, asked, retries, delay, sleep, concurrency, min_interval, batch),
         out_schema)
     parsed = with_reply_parsed(replies, "reply", "_an_parsed")
     ok = F.col("annotator_error").isNull() & F.col("_an_parsed").isNotNull()
     analysis = F.when(ok, compact_json("_an_parsed")).otherwise(failure_placeholder(now))
     return (parsed.withColumn("page_analysis", analysis)
-            .drop("reply", "annotator_error", "_an_parsed"))
+            .drop("reply", "annotator_error", "_an_parsed", asked))
 
 
 def store_replies(df: DataFrame, reply_col: str, now, out: str = "page_analysis") -> DataFrame:

@@ -52,23 +52,16 @@ def split_pages(docs: DataFrame, text_col: str = "text", sep: str = "\n",
 
 
 def spread_pages(pages: DataFrame, partitions: int | None = None,
-                 keys: tuple[str, ...] = ("file_id", "page_number"),
-                 hot_pages: int | None = None) -> DataFrame:
+                 keys: tuple[str, ...] = ("file_id", "page_number")) -> DataFrame:
     """Spread page rows over tasks before per-page work.
 
     All pages of a document are exploded in the task that read it, so one huge document would
-    be annotated by a single task. By default every page is hash-spread on (file, page) over
+    be annotated by a single task. Here every page is hash-spread on (file, page) over
     ``partitions`` tasks (default ``spark.sql.shuffle.partitions``; explicit, so adaptive
-    execution does not coalesce them back): one shuffle of the pages, which per-page
-    annotation work outweighs. With ``hot_pages`` only the pages of documents with at least that
-    many pages (the ``total_pages`` column of the split) are spread and the rest stay where they
-    were read; the two branches then each read the input, so this pays only when shuffling the
-    text costs more than reading it twice."""
+    execution does not coalesce them back): one shuffle of the pages, which per-page annotation
+    work outweighs. Rows that already are pages need no spreading."""
     n = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    if hot_pages is None or "total_pages" not in pages.columns:
-        return pages.repartition(n, *keys)
-    hot = F.col("total_pages") >= hot_pages
-    return pages.filter(~hot).unionByName(pages.filter(hot).repartition(n, *keys))
+    return pages.repartition(n, *keys)
 
 
 def document_errors(docs: DataFrame, text_col: str = "text",

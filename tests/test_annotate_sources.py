@@ -53,7 +53,7 @@ def test_annotate_with_map_in_pandas(spark):
         [("f", 1, "hello world"), ("f", 2, "boom"), ("f", 3, "cut it"), ("g", 1, "fine text")],
         "file_id string, page_number int, page_text string")
     out = annotate_with(pages, _annotator, "2024-02-01 00:00:00", partitions=3,
-                        sleep=lambda s: None)
+                        sleep=lambda s: None, prompted=False)
     got = {(r.file_id, r.page_number): json.loads(r.page_analysis) for r in out.collect()}
     assert got[("f", 1)] == {"summary": "hello", "entities": []}
     assert got[("f", 2)] == {"error": "Analysis failed", "timestamp": "2024-02-01T00:00:00.000Z"}
@@ -225,14 +225,82 @@ def test_annotate_with_concurrency_and_pacing(spark):
     pages = spark.createDataFrame([("f", i, f"p{i}") for i in range(1, 41)],
                                   "file_id string, page_number int, page_text string")
     out = [json.loads(r.page_analysis) for r in annotate_with(
-        pages.coalesce(1), _slow_annotator, "2024-02-01 00:00:00", concurrency=8).collect()]
+        pages.coalesce(1), _slow_annotator, "2024-02-01 00:00:00", concurrency=8,
+        prompted=False).collect()]
     assert sorted(o["summary"] for o in out) == sorted(f"p{i}" for i in range(1, 41))
     assert max(o["active"] for o in out) > 1  # several requests in flight in one task
     one = [json.loads(r.page_analysis) for r in annotate_with(
-        pages.coalesce(1), _slow_annotator, "2024-02-01 00:00:00").collect()]
+        pages.coalesce(1), _slow_annotator, "2024-02-01 00:00:00", prompted=False).collect()]
     assert max(o["active"] for o in one) == 1
     paced = annotate_with(pages.limit(4).coalesce(1), _slow_annotator, "2024-02-01 00:00:00",
+                          prompted=False,
                           min_interval=0.2)
     t0 = _t.time()
     assert paced.count() == 4
     assert _t.time() - t0 >= 0.6  # three waits between four request starts
+
+
+def _batch_annotator(prompts):
+    """Answers a list of prompts; refuses lists that hold the word boom."""
+    if any("boom" in p for p in prompts):
+        raise RuntimeError("500 server error")
+    assert all(p.startswith("Analyze the following text") for p in prompts)
+    return [json.dumps({"summary": f"{len(prompts)} in a batch"}) for _ in prompts]
+
+
+def test_annotate_with_a_batch_callable_gets_prompts(spark):
+    pages = spark.createDataFrame([("f", i, "boom" if i == 5 else f"text {i}") for i in range(6)],
+                                  "file_id string, page_number int, page_text string")
+    out = annotate_with(pages.coalesce(1), _batch_annotator, "2024-02-01 00:00:00", batch=2,
+                        delay=0.0)
+    got = {r.page_number: json.loads(r.page_analysis) for r in out.collect()}
+    assert [got[i].get("summary") for i in range(4)] == ["2 in a batch"] * 4
+    assert got[4]["error"] == got[5]["error"] == "Analysis failed"
+    assert out.columns == [*pages.columns, "attempts", "page_analysis"]
+
+
+def _headers(spark, rows):
+    from quire.operators.manifest import manifest_parts
+    pages = spark.createDataFrame(rows, "file_id string, tenant_id string, page_number int, "
+                                        "page_analysis string")
+    totals = pages.groupBy("file_id").count().withColumnRenamed("count", "total_pages")
+    return manifest_parts(pages, totals, "2024-02-01 00:00:00")
+
+
+def test_writing_a_document_leaves_others_of_its_tenant(spark, tmpdir_path):
+    from quire.operators.manifest import manifest_documents, nest_manifest
+    from quire.sources.objects import (
+        read_result, read_result_documents, read_results, write_result_documents, write_results)
+    out = os.path.join(tmpdir_path, "r")
+    a, b = _headers(spark, [("a", "t", 1, '{"v":1}')]), _headers(spark, [("b", "t", 1, '{"v":1}')])
+    write_results(*a, out, run_id="1")
+    write_results(*b, out, run_id="2")
+    assert {r.file_id for r in read_results(spark, out)[0].collect()} == {"a", "b"}
+    again = _headers(spark, [("a", "t", 1, '{"v":2}'), ("a", "t", 2, "nope")])
+    write_results(*again, out, run_id="3")
+    write_results(*again, out, run_id="3")      # a retry of the same run
+    headers, chunks = read_results(spark, out, tenant_id="t")
+    assert {r.file_id: (r.run_id, r.document_status) for r in headers.collect()} == {
+        "a": ("3", "failed"), "b": ("2", "completed")}
+    assert sorted((r.file_id, r.page_number) for r in chunks.collect()) == [
+        ("a", 1), ("a", 2), ("b", 1)]
+    assert read_result(spark, out, "a").count() == 0 and read_result(spark, out, "b").count() == 1
+    text = os.path.join(tmpdir_path, "text")
+    for run, parts in (("1", a), ("2", b)):
+        write_result_documents(manifest_documents(nest_manifest(*parts)), text, run, indent=True)
+    docs = {r.file_id: r for r in read_result_documents(spark, text).collect()}
+    assert docs["a"].result_key == "t/a/results.json"
+    assert docs["b"].json == json.dumps(json.loads(docs["b"].json), indent=2)
+    manifests = os.path.join(tmpdir_path, "m")
+    for run, parts in (("1", a), ("2", b), ("3", a)):
+        write_manifests(nest_manifest(*parts), manifests, run_id=run)
+    assert sorted(r.file_id for r in read_manifest(spark, manifests).collect()) == ["a", "b"]
+
+
+def test_indented_json_keeps_values_as_written(spark):
+    from quire.functions.jsonrules import indented_json
+    for text in ('{"a":[1.0,2e3,"x, {y}"],"b":{},"c":[],"d":null,"e":{"f":"\\"q\\""}}', "[]",
+                 '"s"', "[[1],[]]"):
+        got = spark.createDataFrame([(text,)], "t string").select(indented_json("t")).first()[0]
+        assert json.loads(got) == json.loads(text)
+    assert got == "[\n  [\n    1\n  ],\n  []\n]"
