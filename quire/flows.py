@@ -27,7 +27,8 @@ from quire.operators.catalog import catalog_files, file_id_for, validate_uploads
 from quire.operators.log import document_progress
 from quire.operators.manifest import current_pages, guard, manifest_parts
 from quire.operators.pages import document_errors, split_pages, spread_pages
-from quire.operators.publish import UPLOADED, envelope
+from quire.operators.publish import UPLOADED, envelope, typed_map
+from quire.operators.spread import semi_spread
 from quire.operators.views import job_view, tenant_recent
 
 class Uploaded(NamedTuple):
@@ -48,6 +49,7 @@ class Completed(NamedTuple):
     chunks: DataFrame          # their chunks, one row per page (nest with nest_manifest)
     status_updates: DataFrame  # (file_id, overall_status, completed_at, result_key, error)
     deferred: DataFrame        # ready documents still missing page rows
+    aggregating: DataFrame     # (file_id, overall_status, updated_at): set while assembling
 
 
 def _ts(now) -> Column:
@@ -79,11 +81,9 @@ def accept_uploads(uploads: DataFrame, now, threshold_mb=DEFAULT_THRESHOLD_MB,
     status_log = files.select("file_id", t.alias("ts"), F.lit(0).cast("long").alias("seq"),
                               F.lit("put").alias("op"), fields.alias("fields"),
                               F.lit(None).cast("long").alias("inc"))
-    data = F.create_map(
-        F.lit("fileId"), F.col("file_id"), F.lit("tenantId"), F.col("tenant_id"),
-        F.lit("fileName"), F.col("file_name"), F.lit("fileSize"),
-        F.col("file_size").cast("string"), F.lit("s3Key"), F.col("s3_key"),
-        F.lit("bucket"), F.col("s3_bucket"))
+    data = typed_map(fileId=F.col("file_id"), tenantId=F.col("tenant_id"),
+                     fileName=F.col("file_name"), fileSize=F.col("file_size"),
+                     s3Key=F.col("s3_key"), bucket=F.col("s3_bucket"))
     events = (files.filter(F.col("processing_type") == "async")
               .select(F.col("tenant_id").alias("key"),
                       envelope(F.lit(UPLOADED), data, t).alias("value")))
@@ -93,39 +93,31 @@ def accept_uploads(uploads: DataFrame, now, threshold_mb=DEFAULT_THRESHOLD_MB,
 def process_documents(docs: DataFrame, now, annotator: Callable[[str], str] | None = None,
                       sep: str = "\n", partitions: int | None = None,
                       ttl_days: int = WRITER_TTL_DAYS,
-                      hot_pages: int | None = None,
                       annotator_options: dict | None = None) -> Processed:
     """Flow 2. ``docs``: file_id, tenant_id, text. Pages are spread over ``partitions`` tasks
-    before annotation (with ``hot_pages``, only those of documents with at least that many
-    pages; see ``spread_pages``); every page is stored (a failed annotation stores the
+    before annotation (see ``spread_pages``); every page is stored (a failed annotation stores the
     placeholder) and counts as processed. ``annotator_options`` go to ``annotate_with``
     (retries, delay, concurrency, min_interval)."""
     t = _ts(now)
     split = split_pages(docs, "text", sep)
-    pages = spread_pages(split, partitions, hot_pages=hot_pages)
+    pages = spread_pages(split, partitions)
     annotated = (annotate_native(pages, t) if annotator is None
                  else annotate_with(pages, annotator, t, **(annotator_options or {})))
     page_rows = annotated.select(
         "file_id", "tenant_id", "page_number", "page_text", "page_analysis",
         F.lit(None).cast("array<string>").alias("chunk_ids"),
         t.alias("created_at"), t.alias("updated_at"), ttl_stamp(t, ttl_days).alias("ttl"))
-    # progress rows need page numbers only: one pass over the split (not the spread pages)
-    # emits, per document, the status and total on its first page and a completion per page
-    row = "struct<seq:bigint,page:int,total:int,status:string>"
-    done_row = F.struct((F.col("page_number") + 1).cast("long").alias("seq"),
-                        F.col("page_number").cast("int").alias("page"),
-                        F.lit(None).cast("int").alias("total"),
-                        F.lit(None).cast("string").alias("status"))
-    start_row = F.struct(F.lit(0).cast("long").alias("seq"), F.lit(None).cast("int").alias("page"),
-                         F.lit(None).cast("int").alias("total"),
-                         F.lit("processing").alias("status"))
-    total_row = F.struct(F.lit(1).cast("long").alias("seq"), F.lit(None).cast("int").alias("page"),
-                         F.col("total_pages").cast("int").alias("total"),
-                         F.lit(None).cast("string").alias("status"))
-    rows = F.when(F.col("page_number") == 1, F.array(start_row, total_row, done_row)
-                  ).otherwise(F.array(done_row)).cast(f"array<{row}>")
-    progress = (split.select("file_id", t.alias("ts"), F.explode(rows).alias("r"))
-                .select("file_id", "ts", "r.seq", "r.page", "r.total", "r.status"))
+    # progress needs page counts only: per document the status, the total and a row per page,
+    # without the text of any page
+    none = F.lit(None).cast("int")
+    counted = docs.select("file_id", F.size(F.split("text", sep, -1)).alias("n")).filter("n > 0")
+    step = F.col("seq") - 1
+    progress = (counted.select("file_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") + 1))
+                               .alias("seq"))
+                .select("file_id", t.alias("ts"), F.col("seq").cast("long").alias("seq"),
+                        F.when(step > 0, step).otherwise(none).alias("page"),
+                        F.when(step == 0, F.col("n")).otherwise(none).alias("total"),
+                        F.when(step < 0, F.lit("processing")).alias("status")))
     failed = document_errors(docs)
     return Processed(page_rows, progress, failed)
 
@@ -138,19 +130,19 @@ def complete_documents(progress_log: DataFrame, pages: DataFrame, processed_at,
     as a keyed store (last write per page wins), so replayed page writes change nothing; pass
     False when the pages are known to be one row per page."""
     t = _ts(processed_at)
-    # only what completion reads: page text never travels through the dedupe or the manifest
+    ready_docs = document_progress(progress_log).filter("ready").select("file_id",
+                                                                        "total_pages")
+    # only what completion reads, of the candidates: page text never travels through the dedupe
+    # or the manifest, and a candidate with very many pages is matched in many places
     cols = [c for c in ("file_id", "tenant_id", "page_number", "page_analysis", "updated_at")
             if c in pages.columns]
-    pages = pages.select(*cols)
+    pages = semi_spread(pages.select(*cols), ready_docs, ["file_id"], "page_number")
     if dedupe_pages:
         pages = current_pages(pages)
-    ready_docs = document_progress(progress_log).filter("ready").select("file_id",
-                                                                        "total_pages")
     decided = guard(ready_docs, pages)
     go = decided.filter(F.col("action") == "assemble").select("file_id", "total_pages")
-    # the pages of assembled documents carry their total, so the ready set is used once
-    doc_pages = pages.join(go, "file_id", "inner")
-    headers, chunks = manifest_parts(doc_pages, None, t)
+    # pages are reduced to one row per document before they meet the documents to assemble
+    headers, chunks = manifest_parts(pages, go, t, how="inner")
     manifests = headers.filter(F.col("document_status") == "completed")
     closed = headers.select(
         "file_id", F.col("document_status").alias("overall_status"),
@@ -161,8 +153,10 @@ def complete_documents(progress_log: DataFrame, pages: DataFrame, processed_at,
                                F.lit(None).cast("timestamp").alias("completed_at"),
                                F.lit(None).cast("string").alias("result_key"),
                                F.lit(None).cast("string").alias("error_message"))
-    done_chunks = chunks.join(manifests.select("file_id"), "file_id", "left_semi")
-    return Completed(manifests, done_chunks, closed.unionByName(reopened), deferred)
+    done_chunks = semi_spread(chunks, manifests, ["file_id"], "page_number")
+    aggregating = go.select("file_id", F.lit("aggregating").alias("overall_status"),
+                            t.alias("updated_at"))
+    return Completed(manifests, done_chunks, closed.unionByName(reopened), deferred, aggregating)
 
 
 def job_status(status: DataFrame, files: DataFrame, file_id: str | None = None,

@@ -18,7 +18,9 @@ Outcome rules (per stored analysis text):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.jsonrules import (
@@ -34,16 +36,20 @@ INVALID_MESSAGE = AGGREGATION_FAILED + "page analysis is not valid JSON"
 
 
 def manifest_header(pages: DataFrame, keys: tuple[str, ...] = ("file_id", "tenant_id"),
-                    analysis_col: str = "page_analysis") -> DataFrame:
+                    analysis_col: str = "page_analysis",
+                    totals: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """One row per document: page rows found and the four outcome counts, plus the document
-    status the aggregation ends in (``completed``, or ``failed`` when any page is invalid)."""
-    agg = (with_outcome(pages.select(*keys, analysis_col), analysis_col, "outcome")
+    status the aggregation ends in (``completed``, or ``failed`` when any page is invalid).
+    ``totals`` adds aggregates of the parsed analyses (VARIANT), parsed once per page."""
+    staged = with_parsed(pages.select(*keys, analysis_col), analysis_col, "_mh_parsed")
+    agg = (with_outcome(staged, analysis_col, "outcome", parsed="_mh_parsed")
            .groupBy(*keys)
            .agg(F.count(F.lit(1)).alias("pages_found"),
                 F.count_if(F.col("outcome") == OUTCOME_SUCCESS).alias("success_count"),
                 F.count_if(F.col("outcome") == OUTCOME_FAILED).alias("failed_count"),
                 F.count_if(F.col("outcome") == OUTCOME_MISSING).alias("missing_count"),
-                F.count_if(F.col("outcome") == OUTCOME_INVALID).alias("invalid_count")))
+                F.count_if(F.col("outcome") == OUTCOME_INVALID).alias("invalid_count"),
+                *[f(F.col("_mh_parsed")).alias(name) for name, f in (totals or {}).items()]))
     invalid = F.col("invalid_count") > 0
     return (agg.withColumn("document_status",
                            F.when(invalid, F.lit("failed")).otherwise(F.lit("completed")))
@@ -67,13 +73,15 @@ def manifest_chunks(pages: DataFrame, keys: tuple[str, ...] = ("file_id", "tenan
 
 def manifest_parts(pages: DataFrame, totals: DataFrame | None, processed_at,
                    keys: tuple[str, ...] = ("file_id", "tenant_id"),
-                   analysis_col: str = "page_analysis") -> tuple[DataFrame, DataFrame]:
+                   analysis_col: str = "page_analysis",
+                   how: str = "left") -> tuple[DataFrame, DataFrame]:
     """The manifest as two flat tables: (headers, chunks).
 
     ``chunks`` is one row per page (``manifest_chunks``); ``headers`` is one row per document
     with processed_at, total_pages (from ``totals``, or, when ``totals`` is None, from a
     ``total_pages`` column of the pages), the four counts, the document status and the result
-    key, aggregated partially from the chunks. Nothing gathers a document's pages
+    key, aggregated partially from the chunks; ``how="inner"`` keeps the headers of documents in
+    ``totals`` only. Nothing gathers a document's pages
     into one row, so a document with a third of all pages is no bigger a problem than any
     other; nesting is left to ``nest_manifest`` for the documents a reader asks for.
     """
@@ -88,7 +96,7 @@ def manifest_parts(pages: DataFrame, totals: DataFrame | None, processed_at,
     invalid = F.col("invalid_count") > 0
     with_totals = (counts if totals is None else
                    counts.join(totals.select("file_id", F.col("total_pages").cast("int")),
-                               "file_id", "left"))
+                               "file_id", how))
     headers = (with_totals.withColumn("total_pages", F.col("total_pages").cast("int"))
                .select(*keys, iso_utc(processed_c.cast("timestamp")).alias("processed_at"),
                        "total_pages", "success_count", "failed_count", "missing_count",
@@ -147,10 +155,13 @@ def manifest_nested(pages: DataFrame, totals: DataFrame, processed_at,
 
 def current_pages(pages: DataFrame, order: tuple[str, ...] = ("updated_at",)) -> DataFrame:
     """The page table as a keyed store sees it: a put replaces the earlier row for the same
-    (document, page), so replays never add pages. Last write wins by ``order`` (a partial
-    aggregate per page key; its groups are bounded by the number of rewrites of one page)."""
+    (document, page), so replays never add pages. Last write wins by ``order``, writes at one
+    time by the rest of the row (a partial aggregate per page key; its groups are bounded by the
+    number of rewrites of one page)."""
     from quire.operators.log import latest_per_key
-    return latest_per_key(pages, ["file_id", "page_number"], list(order))
+    rest = [c for c in sorted(pages.columns) if c not in ("file_id", "page_number", *order)
+            and pages.schema[c].dataType.typeName() not in ("map", "variant")]
+    return latest_per_key(pages, ["file_id", "page_number"], [*order, *rest])
 
 
 def page_counts(pages: DataFrame) -> DataFrame:

@@ -28,12 +28,20 @@ BATCH_TOO_LARGE = "Batch size cannot exceed 500 records"
 
 def merge_payload(base: Column, payload: Column) -> Column:
     """``{...base, ...payload}``: later keys overwrite (needs mapKeyDedupPolicy=LAST_WIN, set by
-    ``quire.session``), so a payload may replace ``fileId``."""
-    return F.map_concat(base, F.coalesce(payload, F.create_map().cast("map<string,string>")))
+    ``quire.session``), so a payload may replace ``fileId``. Both maps have one value type; a
+    null payload changes nothing."""
+    return F.when(payload.isNull(), base).otherwise(F.map_concat(base, payload))
+
+
+def typed_map(**values: Column) -> Column:
+    """A payload whose values keep their JSON type (a page number travels as a number)."""
+    pairs = [x for k, v in values.items() for x in (F.lit(k), v.cast("variant"))]
+    return F.create_map(*pairs)
 
 
 def envelope(event_type: Column, data: Column, ts: Column) -> Column:
-    """Envelope JSON text: eventType, data (string map), ISO timestamp, metadata.source."""
+    """Envelope JSON text: eventType, data (a map of strings, or of typed values), ISO timestamp,
+    metadata.source."""
     return F.to_json(F.struct(
         event_type.alias("eventType"), data.alias("data"), iso_utc(ts).alias("timestamp"),
         F.create_map(F.lit("source"), F.lit(SOURCE)).alias("metadata")))
@@ -107,9 +115,8 @@ def publish_report(records: DataFrame, outcomes: DataFrame, key: Sequence[str],
 
 def chunk_events(pages: DataFrame, ts: Column) -> DataFrame:
     """Fan-out of chunk-ready events, one per page (ST5): routing key ``tenant#file``."""
-    data = F.create_map(F.lit("fileId"), F.col("file_id").cast("string"),
-                        F.lit("tenantId"), F.col("tenant_id"),
-                        F.lit("pageNumber"), F.col("page_number").cast("string"))
+    data = typed_map(fileId=F.col("file_id").cast("string"), tenantId=F.col("tenant_id"),
+                     pageNumber=F.col("page_number"))
     return pages.select(
         F.concat(F.col("tenant_id"), F.lit("#"), F.col("file_id").cast("string")).alias("key"),
         envelope(F.lit(CHUNK_READY), data, ts).alias("value"))

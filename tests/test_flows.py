@@ -24,7 +24,9 @@ def test_upload_process_complete(spark):
     assert {r.reject_reason for r in up.rejected.collect()} == {
         "Tenant ID is required", "No file uploaded"}
     ev = up.events.collect()
-    assert len(ev) == 1 and json.loads(ev[0].value)["data"]["fileName"] == "big.txt"
+    data = json.loads(ev[0].value)["data"]
+    assert len(ev) == 1 and data["fileName"] == "big.txt"
+    assert data["fileSize"] == 11 * 1024 * 1024     # a number stays a number
     assert up.status_log.count() == 2
 
     texts = {"small.txt": "Alpha one. Beta two!\nGamma three?", "big.txt": "Delta.\n\nEpsilon."}
@@ -45,6 +47,8 @@ def test_upload_process_complete(spark):
     assert upd[small_id].result_key == f"t1/{small_id}/results.json"
     assert upd[big_id].overall_status == "processing"
     assert [r.file_id for r in done.deferred.collect()] == [big_id]
+    assert [(r.file_id, r.overall_status) for r in done.aggregating.collect()] == [
+        (small_id, "aggregating")]
     assert job_results(done.manifests, small_id).count() == 1
     newest = tenant_jobs(up.files, "t1", 1).collect()
     assert len(newest) == 1 and newest[0].file_id == min(small_id, big_id)  # same time: id order
@@ -98,7 +102,8 @@ def test_flow_with_a_callable_annotator(spark):
     docs = spark.createDataFrame([("f1", "t", "One.\nTwo."), ("f2", "t", "Three.")],
                                  "file_id string, tenant_id string, text string")
     pr = process_documents(docs, NOW, annotator=_model_like, partitions=2,
-                           annotator_options={"delay": 0.0, "concurrency": 2})
+                           annotator_options={"delay": 0.0, "concurrency": 2,
+                                              "prompted": False})
     got = {(r.file_id, r.page_number): json.loads(r.page_analysis)["summary"]
            for r in pr.pages.collect()}
     assert got == {("f1", 1): "One.", ("f1", 2): "Two.", ("f2", 1): "Three."}
