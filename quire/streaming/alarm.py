@@ -1,9 +1,9 @@
 """Streaming error alarm (ST8): tumbling-window counts with a watermark that bounds state.
 
 Same windows and rule as the batch form (``quire.operators.alarm``). Update mode: each batch
-emits the windows it changed; the final state of a window is its last update. Rows later than
-the watermark are dropped by Spark, so a replay must be time-ordered or use a watermark as wide
-as its disorder.
+emits the windows it changed; the final state of a window is its last update. Without a
+watermark (the default) no row is ever too late and the state is one count per window. With one,
+Spark drops rows later than it, and the state of old windows with them.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from quire.operators.log import latest_per_key
 from quire.session import start_with_partitions
 
 
-def error_windows(events: DataFrame, period: str, watermark: str, ts: str = "ts") -> DataFrame:
-    ev = events.withColumn("_ets", F.col(ts).cast("timestamp")).withWatermark("_ets", watermark)
+def error_windows(events: DataFrame, period: str, watermark: str | None = None,
+                  ts: str = "ts") -> DataFrame:
+    ev = events.withColumn("_ets", F.col(ts).cast("timestamp"))
+    ev = ev.withWatermark("_ets", watermark) if watermark else ev
     return ev.groupBy(F.window("_ets", period).alias("w")).agg(
         F.count(F.lit(1)).cast("long").alias("metric"))
 
@@ -32,7 +34,7 @@ def _writer(out: str):
 
 
 def start_alarm(errors: DataFrame, out: str, checkpoint: str, period: str = "5 minutes",
-                watermark: str = "1 hour", available_now: bool = True,
+                watermark: str | None = None, available_now: bool = True,
                 state_partitions: int | None = None) -> StreamingQuery:
     w = (error_windows(errors, period, watermark).writeStream.outputMode("update")
          .option("checkpointLocation", checkpoint).foreachBatch(_writer(out)))

@@ -24,6 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quire.functions.lifecycle import ready
 from quire.operators.log import latest_per_key
 from quire.operators.manifest import current_pages, guard, manifest_parts
+from quire.operators.spread import semi_spread
 from quire.session import checkpoint_root, start_with_partitions
 
 
@@ -39,9 +40,10 @@ def progress_state(progress: DataFrame, retention: str | None = None) -> DataFra
 
     With ``retention`` (e.g. ``"90 days"``, the records' time to live) the de-duplication state
     is bounded: an event-time watermark of that length lets Spark drop (document, page) keys
-    older than it (``dropDuplicatesWithinWatermark``). A completion replayed later than the
-    retention would count again, but by then its record has expired. Without it the state is
-    exact and unbounded."""
+    older than it (``dropDuplicatesWithinWatermark``). Spark then also drops completions that
+    arrive later than the retention, first ones included: choose it only where the records
+    themselves have expired by then. Without it (the default) nothing is dropped, and the state
+    holds a key per finished page."""
     pos = F.struct("ts", "seq")
     pages = progress.filter(F.col("page").isNotNull())
     if retention:
@@ -96,13 +98,13 @@ def assemble_batch(spark: SparkSession, out: str, batch_id: int, pages: DataFram
     cands = cands.dropDuplicates(["file_id"])
     cols = [c for c in ("file_id", "tenant_id", "page_number", "page_analysis", "updated_at")
             if c in pages.columns]
-    pages = pages.select(*cols)
+    pages = semi_spread(pages.select(*cols), cands, ["file_id"], "page_number")
     if dedupe_pages and "updated_at" in pages.columns:
         pages = current_pages(pages)
     decided = guard(cands, pages)
     go = decided.filter(F.col("action") == "assemble").select("file_id", "total_pages")
-    doc_pages = pages.join(go.select("file_id"), "file_id", "left_semi")
-    headers, chunks = manifest_parts(doc_pages, go, processed_at)
+    headers, chunks = manifest_parts(pages, go, processed_at, how="inner")
+    chunks = semi_spread(chunks, go, ["file_id"], "page_number")
     (headers.withColumn("batch_id", F.lit(batch_id).cast("long"))
      .write.mode("overwrite").parquet(f"{out}/results/batch_id={batch_id}"))
     (chunks.withColumn("batch_id", F.lit(batch_id).cast("long"))
@@ -119,20 +121,22 @@ def _writer(out: str, pages: DataFrame | None, processed_at):
          .withColumn("batch_id", F.lit(batch_id).cast("long"))
          .write.mode("overwrite").parquet(f"{out}/updates/batch_id={batch_id}"))
         if pages is not None:
-            assemble_batch(batch.sparkSession, out, batch_id, pages, processed_at)
+            at = F.current_timestamp() if processed_at is None else processed_at
+            assemble_batch(batch.sparkSession, out, batch_id, pages, at)
     return write
 
 
 def start_completion(progress: DataFrame, out: str, checkpoint: str,
                      available_now: bool = True, interval: str = "5 seconds",
                      pages: DataFrame | None = None,
-                     processed_at="1970-01-01 00:00:00",
+                     processed_at=None,
                      retention: str | None = None,
                      state_partitions: int | None = None) -> StreamingQuery:
     """Start the completion query. ``available_now`` drains what is there and stops (replays,
     tests); otherwise a processing-time trigger of ``interval``. With a ``pages`` table
     (file_id, tenant_id, page_number, page_analysis), each batch also assembles the manifests
-    of documents that became ready (``assemble_batch``)."""
+    of documents that became ready (``assemble_batch``), stamped with ``processed_at`` or, when
+    that is None, with the time of the batch."""
     w = (progress_state(progress, retention).writeStream.outputMode("update")
          .option("checkpointLocation", checkpoint)
          .foreachBatch(_writer(out, pages, processed_at)))
@@ -152,13 +156,22 @@ def fired(spark: SparkSession, out: str) -> DataFrame:
     return ups.groupBy("file_id").agg(F.min("batch_id").alias("fired_batch"))
 
 
-def records_behind(query: StreamingQuery) -> dict[str, float]:
+def records_behind(query: StreamingQuery) -> dict[str, float | None]:
     """Lag per source from the last progress report (ST7): offsets behind the newest record
-    where the source reports it (Kafka), else the rows still pending in the last batch."""
+    where the source reports it (Kafka), else None."""
     p = query.lastProgress or {}
     out = {}
     for src in p.get("sources", []):
         m = src.get("metrics") or {}
         lag = m.get("maxOffsetsBehindLatest") or m.get("avgOffsetsBehindLatest")
-        out[src.get("description", "source")] = float(lag) if lag is not None else 0.0
+        out[src.get("description", "source")] = float(lag) if lag is not None else None
     return out
+
+
+def millis_behind(spark: SparkSession, out: str, now=None) -> int | None:
+    """Milliseconds from the newest record taken in to ``now`` (default: the present), as the
+    updates tell (ST7); None before the first record."""
+    at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    newest = F.max(F.col("last_ts").cast("timestamp"))
+    ups = spark.read.parquet(f"{out}/updates")
+    return ups.agg(F.unix_millis(at) - F.unix_millis(newest)).first()[0]
