@@ -30,34 +30,10 @@ CATALOG_EPOCH = "2023-09-01 00:00:00"
 TENANTS = 20
 
 
-# Natural keys of the driver's tables, used to spread under-split inputs deterministically.
-TABLE_KEYS = {
-    "documents": ("doc_id",), "conversations": ("conv_id", "turn"), "events": ("event_id",),
-    "lineitem": ("l_orderkey", "l_linenumber"), "labels": ("doc_id",),
-}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """Read one of the driver's tables.
-
-    A Parquet row group is the smallest unit Spark can split, so a table written as a single
-    row group scans in one task. When the scan yields fewer partitions than the cluster's
-    parallelism and ``spread`` is asked for (CPU-heavy per-row work follows), the rows are
-    hash-spread on the table's key (column pruning and filters still reach the scan below the
-    exchange). Large inputs, split into many tasks already, are returned untouched: no extra
-    shuffle at scale."""
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Read one of the driver's tables."""
     ensure_session_conf(spark)
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    keys = TABLE_KEYS.get(name)
-    if spread and keys:
-        try:
-            n = spark.sparkContext.defaultParallelism
-            under_split = df.rdd.getNumPartitions() < n
-        except Exception:  # noqa: BLE001 - no RDD API (e.g. a remote session): leave as read
-            under_split = False
-        if under_split:
-            df = df.repartition(n, *keys)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def now_col() -> Column:
@@ -234,7 +210,8 @@ def wire_events(events: DataFrame) -> DataFrame:
     name, object key and a bucket that is empty when k%3 = 0; when k%7 = 0 the payload also
     carries its own fileId), clicks are chunk-ready events of page k%4+1, the rest are status
     events. Every 101st record arrives truncated (transport damage)."""
-    from quire.operators.publish import CHUNK_READY, UPLOADED, envelope, merge_payload
+    from quire.operators.publish import (
+        CHUNK_READY, UPLOADED, envelope, merge_payload, typed_map)
     log = events_as_log(events)
     et, k, seq = F.col("event_type"), F.col("k"), F.col("seq")
     fid = F.col("file_id").cast("string")
@@ -242,16 +219,51 @@ def wire_events(events: DataFrame) -> DataFrame:
     name = F.concat(F.lit("doc-"), fid, F.lit(".pdf"))
     etype = (F.when(et == "signup", F.lit(UPLOADED)).when(et == "click", F.lit(CHUNK_READY))
              .otherwise(F.lit("document.status")))
-    upload = F.create_map(
-        F.lit("fileName"), name, F.lit("s3Key"), F.concat_ws("/", tenant, fid, name),
-        F.lit("bucket"), F.when(k % 3 == 0, F.lit("")).otherwise(F.lit("bucket-a")))
-    upload = F.when(k % 7 == 0, F.map_concat(upload, F.create_map(
-        F.lit("fileId"), F.concat(F.lit("override-"), seq.cast("string"))))).otherwise(upload)
-    payload = (F.when(et == "signup", upload)
-               .when(et == "click", F.create_map(F.lit("pageNumber"), (k % 4 + 1).cast("string")))
-               .otherwise(F.create_map(F.lit("status"), et)))
-    data = merge_payload(F.create_map(F.lit("fileId"), fid, F.lit("tenantId"), tenant), payload)
+    upload = typed_map(fileName=name, s3Key=F.concat_ws("/", tenant, fid, name),
+                       bucket=F.when(k % 3 == 0, F.lit("")).otherwise(F.lit("bucket-a")))
+    override = typed_map(fileId=F.concat(F.lit("override-"), seq.cast("string")))
+    payload = (F.when(et == "signup", F.when(k % 7 == 0, F.map_concat(upload, override))
+                      .otherwise(upload))
+               .when(et == "click", typed_map(pageNumber=(k % 4 + 1)))
+               .otherwise(typed_map(status=et)))
+    data = merge_payload(typed_map(fileId=fid, tenantId=tenant), payload)
     value = envelope(etype, data, F.col("ts"))
     value = F.when(seq % 101 == 0, F.regexp_replace(value, r"\}$", "")).otherwise(value)
     key = F.when(et == "click", F.concat(tenant, F.lit("#"), fid)).otherwise(tenant)
     return log.select("seq", key.alias("key"), value.alias("value"))
+
+
+def replayed(log: DataFrame, days: int = 40) -> DataFrame:
+    """A progress log and its replay: every row again ``days`` later under the same sequence
+    number, as a second run numbers its rows from the start again."""
+    again = log.withColumn("ts", F.col("ts") + F.make_dt_interval(days=F.lit(days)))
+    return log.unionByName(again)
+
+
+def recorded_totals(pages: DataFrame) -> DataFrame:
+    """Totals recorded per document: the pages there are, and one more (not yet stored) where the
+    first page is longer than 80 characters."""
+    late = F.max(F.when((F.col("page_number") == 1) & (F.length("page_text") > 80), 1)
+                 .otherwise(0))
+    return pages.groupBy("file_id").agg(
+        (F.count(F.lit(1)) + late).cast("int").alias("total_pages"))
+
+
+def drilled_annotator(request: str) -> str:
+    """A stand-in annotator for drills, by the length of the request: a multiple of 5 is a server
+    error, a multiple of 7 is always over the rate limit, else the first ``length % 3`` attempts
+    are over it."""
+    n = len(request)
+    if n % 5 == 0:
+        raise RuntimeError("500 server error")
+    tried = _TRIED.get(request, 0)
+    if n % 7 == 0 or tried < n % 3:
+        _TRIED[request] = tried + 1
+        if n % 7 == 0 and _TRIED[request] > 3:
+            _TRIED.pop(request)
+        raise RuntimeError("429 Too Many Requests")
+    _TRIED.pop(request, None)
+    return 'Sure:\n```json\n{"summary": "%d characters", "entities": []}\n```' % n
+
+
+_TRIED: dict[str, int] = {}     # attempts of the request in hand, per Python worker

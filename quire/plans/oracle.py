@@ -7,7 +7,19 @@ shape), the same rule appears here verbatim.
 
 from __future__ import annotations
 
-from quire.operators.annotate import NEGATIVE_WORDS, POSITIVE_WORDS
+# Fixed values of the native rule set, written out here on their own.
+POSITIVE_WORDS = (
+    "good", "great", "excellent", "happy", "love", "best", "success", "positive",
+    "bon", "bonne", "heureux", "meilleur", "succès",
+    "gut", "glücklich", "beste", "erfolg",
+    "bueno", "buena", "feliz", "mejor", "éxito",
+)
+NEGATIVE_WORDS = (
+    "bad", "poor", "terrible", "sad", "hate", "worst", "failure", "negative",
+    "mauvais", "mauvaise", "triste", "pire", "échec",
+    "schlecht", "traurig", "schlimm", "fehler",
+    "malo", "mala", "peor", "fracaso",
+)
 
 
 def _sql_list(words) -> str:
@@ -16,13 +28,15 @@ def _sql_list(words) -> str:
 
 WS = "' ' || chr(9) || chr(10) || chr(13)"
 
-# Native rule set over a column ``page_text`` of relation ``{src}``; adds summary, entities
-# (distinct capitalised words), key_points (first three sentences), sentiment.
+# Native rule set over a column ``page_text`` of relation ``{src}``; adds summary (the longest
+# sentence), entities (distinct capitalised words), key_points (all sentences), sentiment.
 NATIVE = f"""
   SELECT *,
-    coalesce(sents[1], '') AS summary,
+    coalesce(sents[list_position(list_transform(sents, lambda s: length(s)),
+                                 list_max(list_transform(sents, lambda s: length(s))))], '')
+      AS summary,
     list_distinct(list_filter(ws, lambda w: regexp_matches(w, '^\\p{{Lu}}'))) AS entities,
-    sents[1:3] AS key_points,
+    sents AS key_points,
     CASE WHEN npos > nneg THEN 'positive' WHEN nneg > npos THEN 'negative' ELSE 'neutral' END
       AS sentiment
   FROM (
@@ -87,6 +101,18 @@ CONV_STORED = f"""
   FROM (SELECT *, json_type(CASE WHEN json_valid(cand) THEN cand END) AS vtype FROM c)
 """
 
+PROMPT = """
+    'Analyze the following text from a single page of a document and provide a structured '
+    || 'JSON response.' || chr(10)
+    || 'The JSON should include:' || chr(10)
+    || '1. "summary": A brief summary of the page content.' || chr(10)
+    || '2. "entities": A list of key entities (people, organizations, locations, etc.) '
+    || 'mentioned on this page.' || chr(10)
+    || '3. "keyPoints": A list of main points discussed on this page.' || chr(10)
+    || '4. "sentiment": The overall sentiment of the text.' || chr(10) || chr(10)
+    || 'Text:' || chr(10) || coalesce(page_text, '') || chr(10) || chr(10)
+    || 'Return ONLY the JSON object.' || chr(10)"""
+
 Q: dict[str, str] = {}
 
 Q["split_pages"] = f"""
@@ -96,13 +122,19 @@ Q["split_pages"] = f"""
 """
 
 Q["documents_manifest"] = f"""
+  WITH p AS ({DOC_PAGES}), n AS ({NATIVE.replace('{src}', 'p')}),
+  f AS (SELECT *, (doc_id * 7 + page_number) % 11 = 0 AS fault FROM n)
   SELECT file_id, tenant_id, CAST(total_pages AS BIGINT) AS total_pages,
          count(*) AS pages_found,
-         CAST(count_if((doc_id * 7 + page_number) % 11 <> 0) AS BIGINT) AS success_count,
-         CAST(count_if((doc_id * 7 + page_number) % 11 = 0) AS BIGINT) AS failed_count,
+         CAST(count_if(NOT fault) AS BIGINT) AS success_count,
+         CAST(count_if(fault) AS BIGINT) AS failed_count,
          CAST(0 AS BIGINT) AS missing_count, CAST(0 AS BIGINT) AS invalid_count,
-         'completed' AS document_status
-  FROM ({DOC_PAGES})
+         'completed' AS document_status,
+         CAST(sum(CASE WHEN fault THEN 0 ELSE len(entities) END) AS BIGINT) AS entities,
+         CAST(sum(CASE WHEN fault THEN 0 ELSE len(key_points) END) AS BIGINT) AS key_points,
+         CAST(count_if(NOT fault AND sentiment = 'positive') AS BIGINT) AS positive_pages,
+         CAST(count_if(NOT fault AND sentiment = 'negative') AS BIGINT) AS negative_pages
+  FROM f
   GROUP BY file_id, tenant_id, total_pages
 """
 
@@ -110,16 +142,7 @@ Q["page_prompt"] = f"""
   SELECT file_id, page_number,
     CAST(length(pr) AS BIGINT) AS prompt_chars, md5(pr) AS prompt_md5
   FROM (SELECT file_id, page_number,
-    'Analyze the following text from a single page of a document and provide a structured '
-    || 'JSON response.' || chr(10)
-    || 'The JSON should include:' || chr(10)
-    || '1. "summary": A brief summary of the page content.' || chr(10)
-    || '2. "entities": A list of key entities (people, organizations, locations, etc.) '
-    || 'mentioned on this page.' || chr(10)
-    || '3. "keyPoints": A list of main points discussed on this page.' || chr(10)
-    || '4. "sentiment": The overall sentiment of the text.' || chr(10) || chr(10)
-    || 'Text:' || chr(10) || coalesce(page_text, '') || chr(10) || chr(10)
-    || 'Return ONLY the JSON object.' || chr(10) AS pr
+    {PROMPT} AS pr
   FROM ({CONV_PAGES}))
 """
 
@@ -163,19 +186,18 @@ Q["document_manifest"] = f"""
 Q["manifest_chunks"] = f"""
   SELECT file_id, tenant_id, page_number, printf('PAGE#%04d', page_number) AS page_key,
     outcome, CASE WHEN outcome = 'failed' THEN 'failed' ELSE 'success' END AS chunk_status,
-    outcome <> 'missing' AS has_analysis
+    outcome <> 'missing' AS has_analysis,
+    CASE WHEN accepted THEN summary END AS summary,
+    CAST(CASE WHEN accepted THEN len(entities) ELSE 0 END AS BIGINT) AS n_entities
   FROM ({CONV_STORED})
 """
 
 Q["deferred_documents"] = f"""
-  WITH t AS (SELECT file_id, CAST(count(*) AS BIGINT) AS total_pages
-             FROM ({CONV_PAGES}) GROUP BY file_id),
-  s AS (SELECT file_id, count(*) AS pages_found FROM ({CONV_PAGES})
-        WHERE NOT (conv_id % 5 = 0 AND turn = 1) GROUP BY file_id)
-  SELECT t.file_id, t.total_pages, CAST(coalesce(s.pages_found, 0) AS BIGINT) AS pages_found,
-    CASE WHEN coalesce(s.pages_found, 0) < t.total_pages THEN 'deferred' ELSE 'assemble' END
-      AS action
-  FROM t LEFT JOIN s ON t.file_id = s.file_id
+  SELECT file_id, pages_found + late AS total_pages, pages_found,
+    CASE WHEN late > 0 THEN 'deferred' ELSE 'assemble' END AS action
+  FROM (SELECT file_id, count(*) AS pages_found,
+          max(CASE WHEN page_number = 1 AND length(page_text) > 80 THEN 1 ELSE 0 END)::BIGINT AS late
+        FROM ({CONV_PAGES}) GROUP BY file_id)
 """
 
 
@@ -413,7 +435,7 @@ Q["job_view"] = f"""
     round(CAST(CASE WHEN s.status = 'completed' THEN total ELSE s.doc_id % (total + 1) END
                AS DOUBLE) * 100.0 / total, 2) AS percent
   FROM ({LABEL_STATUS}) s
-  LEFT JOIN ({FILES}) f ON s.file_id = f.file_id AND f.doc_id % 7 <> 0
+  LEFT JOIN ({FILES}) f ON s.file_id = f.file_id
 """
 
 Q["results_available"] = f"""
@@ -448,7 +470,8 @@ Q["event_envelope"] = f"""
          THEN tenant || '/' || fid || '/doc-' || fid || '.pdf' END AS s3_key,
     CASE WHEN NOT bad AND event_type = 'signup'
          THEN CASE WHEN k % 3 = 0 THEN 'pdfs' ELSE 'bucket-a' END
-    END AS bucket
+    END AS bucket,
+    CASE WHEN NOT bad AND event_type = 'click' THEN 'BIGINT' END AS page_number_type
   FROM (SELECT *, CAST(file_id AS VARCHAR) AS fid,
           'src' || CAST(user_id % 20 AS VARCHAR) AS tenant, seq % 101 = 0 AS bad
         FROM ({EVENT_LOG}))
@@ -523,3 +546,60 @@ Q["ready_documents_compat"] = f"""
 
 Q["tenant_documents_compat"] = Q["tenant_documents"].replace(
     "ORDER BY updated DESC, file_id ASC", "ORDER BY created DESC, file_id ASC")
+
+
+# A rewrite of the documents that had a failed page leaves every page annotated; those were
+# written by run 2, the others by run 1.
+Q["result_round_trip"] = f"""
+  SELECT file_id, tenant_id, CASE WHEN bool_or(fault) THEN '2' ELSE '1' END AS run_id,
+    count(*) AS total_pages, count(*) AS success_count, CAST(0 AS BIGINT) AS failed_count,
+    count(*) AS chunks, tenant_id || '/' || file_id || '/results.json' AS result_key
+  FROM (SELECT *, (conv_id * 7 + turn) % 11 = 0 AS fault FROM ({CONV_PAGES}))
+  GROUP BY file_id, tenant_id
+"""
+
+TWICE = f"""
+  SELECT * FROM ({PROGRESS})
+  UNION ALL
+  SELECT file_id, ts + INTERVAL 40 DAY AS ts, seq, page, total, status FROM ({PROGRESS})
+"""
+
+Q["replayed_progress"] = f"""
+  SELECT file_id, max(new_processed) AS processed, count(*) AS changes,
+    CAST(count_if(rn > 1
+      AND coalesce(new_processed = new_total AND new_total > 0 AND new_status = 'processing', false)
+      AND NOT coalesce(old_processed = old_total AND old_total > 0 AND old_status = 'processing',
+                       false)) AS BIGINT) AS transitions
+  FROM ({CHANGES.replace(PROGRESS, TWICE)})
+  GROUP BY file_id
+"""
+
+Q["annotate_callable"] = f"""
+  SELECT file_id, page_number,
+    CAST(CASE WHEN n % 5 = 0 THEN 1 WHEN n % 7 = 0 THEN 4 ELSE n % 3 + 1 END AS BIGINT) AS attempts,
+    CASE WHEN n % 5 = 0 OR n % 7 = 0 THEN 'failed' ELSE 'success' END AS chunk_status,
+    CASE WHEN n % 5 <> 0 AND n % 7 <> 0 THEN CAST(n AS VARCHAR) || ' characters' END AS summary,
+    CASE WHEN n % 5 = 0 OR n % 7 = 0 THEN 'Analysis failed' END AS error
+  FROM (SELECT file_id, page_number, length({PROMPT}) AS n FROM ({CONV_PAGES}))
+"""
+
+Q["failed_documents"] = f"""
+  SELECT CAST(doc_id AS VARCHAR) AS file_id, source AS tenant_id, 'failed' AS overall_status,
+    CAST(NULL AS VARCHAR) AS error_message
+  FROM documents WHERE text IS NULL
+  UNION ALL
+  SELECT file_id, tenant_id, 'failed', 'Aggregation failed: page analysis is not valid JSON'
+  FROM ({CONV_STORED}) GROUP BY file_id, tenant_id HAVING count_if(outcome = 'invalid') > 0
+"""
+
+Q["upload_ids"] = f"""
+  SELECT file_id, sha256(concat_ws('/', tenant_id, file_name,
+    strftime(uploaded_at, '%Y-%m-%d %H:%M:%S'))) AS upload_id
+  FROM ({FILES})
+"""
+
+Q["point_get"] = f"""
+  SELECT file_id, 'src1' AS tenant_id, status AS overall_status,
+    'src1/' || file_id || '/results.json' AS result_key
+  FROM ({LABEL_STATUS}) WHERE doc_id % 20 = 1 AND status = 'completed'
+"""

@@ -15,25 +15,30 @@ from quire.functions.jsonrules import chunk_status, with_outcome, with_parsed
 from quire.functions.keys import doc_pk, file_pk, page_sk
 from quire.functions.lifecycle import iso_utc, ready, ttl_stamp
 from quire.operators.alarm import error_alarm
-from quire.operators.annotate import annotate_native, store_replies, with_native_analysis
-from quire.operators.catalog import catalog_files, object_exists, retention, validate_uploads
+from quire.operators.annotate import (
+    annotate_native, annotate_with, store_replies, with_native_analysis,
+)
+from quire.operators.catalog import (
+    catalog_files, file_id_for, object_exists, retention, validate_uploads,
+)
 from quire.operators.log import (
     change_images, completion_edges, document_progress, first_completions, fold,
-    modify_status_changes, page_changes, single_table,
+    modify_status_changes, page_changes, point_get, single_table,
 )
-from quire.operators.manifest import guard, manifest_chunks, manifest_header
-from quire.operators.pages import prompt, split_pages, spread_pages
+from quire.operators.manifest import guard, manifest_chunks, manifest_header, manifest_parts
+from quire.operators.pages import document_errors, prompt, split_pages
 from quire.operators.publish import (
     chunk_events, number_in_batches, parse_envelopes, publish_report,
 )
 from quire.operators.views import documents_by_tenant, job_view, results_available, tenant_recent
 from quire.plans.inputs import (
-    annotation_fault, event_tenant, events_as_log, files_from_documents, now_col,
+    annotation_fault, drilled_annotator, recorded_totals, replayed, event_tenant, events_as_log, files_from_documents, now_col,
     pages_from_conversations, progress_log, reply_kind, status_change_log, status_from_labels,
     table, uploads_from_documents, wire_events, wrap_reply,
 )
 from quire.session import checkpoint_root, ensure_session_conf
 from quire.sources.events import DOCUMENTS, WIRE_WITH_SEQ, read_event_files
+from quire.sources.objects import read_results, write_results
 from quire.streaming.alarm import final_windows, start_alarm
 from quire.streaming.completion import current_status, run_folder, start_completion
 from quire.streaming.intake import intake_table, start_intake
@@ -71,21 +76,36 @@ def q_split_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents_pages_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files_from_documents(table(spark, sf_dir, "documents"))
-    pages = spread_pages(split_pages(files, "text", "\n", keep=("file_id", "tenant_id")))
+    # spread before the split: documents are fewer rows than pages
+    pages = split_pages(files.select("file_id", "tenant_id", "text").repartition("file_id"),
+                        "text", "\n", keep=("file_id", "tenant_id"))
     fault = ((F.col("file_id").cast("long") * 7 + F.col("page_number")) % 11) == 0
     return annotate_native(pages, now_col(), "page_text", fail=fault)
 
 
+def _length_of(v, member: str):
+    """Length of an array member of a parsed analysis, 0 where there is none."""
+    return F.coalesce(F.size(F.try_variant_get(v, f"$.{member}", "array<string>")),
+                      F.lit(0)).cast("long")
+
+
 def q_documents_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship (M1 -> M2 -> A1): documents split into pages, annotated natively (pages chosen
     by a fixed fault-drill rule on (file, page) get the failure placeholder), and reduced to one
     manifest header per document with success / failed counts."""
     pages = documents_pages_annotated(spark, sf_dir)
     # total_pages is constant per document: a grouping key, not a join back
-    head = manifest_header(pages, keys=("file_id", "tenant_id", "total_pages"))
-    return head.select("file_id", "tenant_id", F.col("total_pages").cast("long"),
-                       "pages_found", "success_count", "failed_count", "missing_count",
-                       "invalid_count", "document_status")
+    head = manifest_header(pages, keys=("file_id", "tenant_id", "total_pages"), totals={
+        "entities": lambda v: F.sum(_length_of(v, "entities")),
+        "key_points": lambda v: F.sum(_length_of(v, "keyPoints")),
+        "positive_pages": lambda v: F.count_if(
+            F.try_variant_get(v, "$.sentiment", "string") == "positive"),
+        "negative_pages": lambda v: F.count_if(
+            F.try_variant_get(v, "$.sentiment", "string") == "negative")})
+    return head.select(
+        "file_id", "tenant_id", F.col("total_pages").cast("long"), "pages_found",
+        "success_count", "failed_count", "missing_count", "invalid_count", "document_status",
+        "entities", "key_points", "positive_pages", "negative_pages")
 
 
 # ------------------------------------------------------------------ conversations -> pages
@@ -99,7 +119,7 @@ def q_page_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_pages_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spread_pages(pages_from_conversations(table(spark, sf_dir, "conversations")))
+    pages = pages_from_conversations(table(spark, sf_dir, "conversations"))
     return annotate_native(pages, now_col(), "page_text",
                            fail=annotation_fault("conv_id", "turn"))
 
@@ -117,7 +137,7 @@ def conversation_pages_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as stored after a model round trip: the native analysis travels as a reply of one
     of eight shapes, is cut and strictly parsed (M4), and the result or the placeholder is
     stored. System turns store no analysis."""
-    pages = spread_pages(pages_from_conversations(table(spark, sf_dir, "conversations")))
+    pages = pages_from_conversations(table(spark, sf_dir, "conversations"))
     replies = (with_native_analysis(pages, "page_text", "_analysis")
                .withColumn("_analysis_json", F.to_json("_analysis"))
                .withColumn("reply_kind", reply_kind("conv_id", "turn")))
@@ -149,20 +169,19 @@ def q_manifest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = conversation_pages_stored(spark, sf_dir)
     ch = manifest_chunks(pages, keys=("file_id", "tenant_id"))
     return ch.select("file_id", "tenant_id", "page_number", "page_key", "outcome",
-                     "chunk_status", F.col("analysis").isNotNull().alias("has_analysis"))
+                     "chunk_status", F.col("analysis").isNotNull().alias("has_analysis"),
+                     F.get_json_object("analysis", "$.summary").alias("summary"),
+                     F.coalesce(F.json_array_length(F.get_json_object("analysis", "$.entities")),
+                                F.lit(0)).cast("long").alias("n_entities"))
 
 
 def q_deferred_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3 ST4: documents whose stored pages are fewer than their recorded total are deferred.
 
-    Totals are recorded at split time (all turns); the page store misses the second page of
-    every fifth conversation (a drill rule), so those documents must wait."""
-    conv = table(spark, sf_dir, "conversations")
-    totals = (pages_from_conversations(conv).groupBy("file_id")
-              .agg(F.count(F.lit(1)).cast("int").alias("total_pages")))
-    stored = pages_from_conversations(conv).filter(
-        ~(((F.col("conv_id") % 5) == 0) & (F.col("turn") == 1)))
-    return guard(totals, stored).select("file_id", F.col("total_pages").cast("long"),
+    Totals are recorded at split time; for some documents one more page is recorded than is
+    stored yet (``recorded_totals``), so those must wait."""
+    stored = pages_from_conversations(table(spark, sf_dir, "conversations"))
+    return guard(recorded_totals(stored), stored).select("file_id", F.col("total_pages").cast("long"),
                                         "pages_found", "action")
 
 
@@ -284,11 +303,9 @@ def q_tenant_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_job_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Job view per status row, left-joined to file records (files whose id is
-    divisible by 7 have no record), flattened."""
+    """Job view per status row, left-joined to file records, flattened."""
     status = status_from_labels(table(spark, sf_dir, "labels"))
-    files = files_from_documents(table(spark, sf_dir, "documents").filter(
-        (F.col("doc_id") % 7) != 0))
+    files = files_from_documents(table(spark, sf_dir, "documents"))
     v = job_view(status, files)
     return v.select("file_id", "file_name", "status",
                     F.col("progress.processed").cast("long").alias("processed"),
@@ -323,14 +340,22 @@ def q_single_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ events, batches, alarms
 
+def _with_page_type(parsed: DataFrame) -> DataFrame:
+    """The JSON type a page number travelled with (null where there is none)."""
+    page = F.try_variant_get(F.try_parse_json("value"), "$.data.pageNumber", "variant")
+    return parsed.withColumn("page_number_type", F.when(
+        F.col("disposition") != "quarantine", F.schema_of_variant(page)))
+
+
 def q_event_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Envelopes built (payload merged over fileId/tenantId, later keys win),
     then taken in: strict parse, uploads processed, others ignored, broken ones quarantined,
     empty bucket replaced by the default."""
-    wire = wire_events(table(spark, sf_dir, "events", spread=True))
+    wire = wire_events(table(spark, sf_dir, "events"))
     parsed = parse_envelopes(wire)
-    return parsed.select("seq", "key", "event_type", "disposition", "file_id", "tenant_id",
-                         "s3_key", "bucket")
+    return _with_page_type(parsed).select(
+        "seq", "key", "event_type", "disposition", "file_id", "tenant_id", "s3_key", "bucket",
+        "page_number_type")
 
 
 def q_chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,7 +411,7 @@ def q_stream_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S7 ST1 ST3 ST6: the events table read as a file stream (availableNow), per-document
     progress kept in streaming state, updates written exactly once per batch; result: the
     documents whose latest state is ready (same as ``ready_documents``)."""
-    events = read_event_files(spark, sf_dir, glob="events.parquet", max_files_per_trigger=1)
+    events = read_event_files(spark, sf_dir, glob="events.parquet")
     out = run_folder(spark, "stream_completion")
     q = start_completion(progress_log(events), out, f"{out}/_checkpoint",
                          state_partitions=_state_partitions(spark))
@@ -397,12 +422,12 @@ def q_stream_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stream_error_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST8 A5: error events per 6-hour window from the event stream (watermark one day), last
+    """ST8 A5: error events per 6-hour window from the event stream (no row is too late), last
     update per window, alarm when above 10."""
-    events = read_event_files(spark, sf_dir, glob="events.parquet", max_files_per_trigger=1)
+    events = read_event_files(spark, sf_dir, glob="events.parquet")
     errors = events.filter(F.col("event_type") == "error")
     out = run_folder(spark, "stream_error_alarm")
-    q = start_alarm(errors, out, f"{out}/_checkpoint", period="6 hours", watermark="1 day",
+    q = start_alarm(errors, out, f"{out}/_checkpoint", period="6 hours",
                     state_partitions=_state_partitions(spark))
     q.awaitTermination()
     w = final_windows(spark, out)
@@ -417,12 +442,12 @@ def q_stream_event_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     parse, uploads processed, others ignored, broken ones quarantined (same result as
     ``event_envelope``)."""
     out = run_folder(spark, "stream_event_intake")
-    wire_events(table(spark, sf_dir, "events", spread=True)).write.json(f"{out}/wire")
-    stream = read_event_files(spark, f"{out}/wire", schema=WIRE_WITH_SEQ, fmt="json",
-                              max_files_per_trigger=4)
+    wire_events(table(spark, sf_dir, "events")).write.json(f"{out}/wire")
+    stream = read_event_files(spark, f"{out}/wire", schema=WIRE_WITH_SEQ, fmt="json")
     start_intake(stream, out, f"{out}/_checkpoint").awaitTermination()
-    return intake_table(spark, out).select("seq", "key", "event_type", "disposition", "file_id",
-                                           "tenant_id", "s3_key", "bucket")
+    return _with_page_type(intake_table(spark, out)).select(
+        "seq", "key", "event_type", "disposition", "file_id", "tenant_id", "s3_key", "bucket",
+        "page_number_type")
 
 
 # ------------------------------------------------------------------ the three flows together
@@ -438,10 +463,11 @@ def q_document_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = accept_uploads(requests, now_col(), threshold_mb=ROUTE_THRESHOLD_MB, carry=("text",))
     docs = up.files.select("file_id", "tenant_id", "text")
     pr = process_documents(docs, now_col())
-    # the page table is written once (shared checkpoint folder), as a page store would be;
-    # completion then reads it instead of re-annotating for each of its uses
-    checkpoint_root(spark)
-    pages = pr.pages.checkpoint(eager=True)
+    # the page table is written once (shared folder), as a page store would be; completion then
+    # reads the columns it needs instead of re-annotating for each of its uses
+    store = f"{run_folder(spark, 'document_lifecycle')}/pages"
+    pr.pages.write.parquet(store)
+    pages = spark.read.parquet(store)
     # one processing run: exactly one row per page, no replays to collapse
     done = complete_documents(pr.progress_log, pages, now_col(), dedupe_pages=False)
     return (done.manifests.join(up.files.select("file_id", "processing_type"), "file_id")
@@ -455,8 +481,8 @@ def q_chunk_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken back in by the intake parser (other event types are ignored, not processed) and
     counted per routing key with the highest page number seen."""
     files = files_from_documents(table(spark, sf_dir, "documents"))
-    pages = spread_pages(split_pages(files, "text", "\n", keep=("file_id", "tenant_id"))
-                         .select("file_id", "tenant_id", "page_number"))
+    pages = (split_pages(files, "text", "\n", keep=("file_id", "tenant_id"))
+             .select("file_id", "tenant_id", "page_number"))
     wire = chunk_events(pages, now_col())
     parsed = parse_envelopes(wire, extra_fields=("pageNumber",)).withColumn(
         "page_number", F.col("pageNumber").cast("int"))
@@ -493,8 +519,7 @@ def q_stream_chunk_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     routing key (same result as ``chunk_fanout``)."""
     out = run_folder(spark, "stream_chunk_fanout")
     ensure_session_conf(spark)
-    docs = read_event_files(spark, sf_dir, schema=DOCUMENTS, glob="documents.parquet",
-                            max_files_per_trigger=1)
+    docs = read_event_files(spark, sf_dir, schema=DOCUMENTS, glob="documents.parquet")
     pages = split_pages(files_from_documents(docs), "text", "\\n",
                         keep=("file_id", "tenant_id"))
 
@@ -510,3 +535,76 @@ def q_stream_chunk_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_number", F.col("pageNumber").cast("int"))
     return parsed.groupBy("key", "file_id", "event_type", "disposition").agg(
         F.count(F.lit(1)).alias("events"), F.max("page_number").cast("long").alias("max_page"))
+
+
+# ------------------------------------------------------------------ stored results, failures, runs
+
+def q_result_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written by two runs that share tenants, and read back. The first run stores
+    every document with its failed annotations, the second annotates the documents that had one
+    again; of each document the last run's result counts, all others stay as they were."""
+    folder = run_folder(spark, "result_round_trip")
+    totals = (pages_from_conversations(table(spark, sf_dir, "conversations")).groupBy("file_id")
+              .agg(F.count(F.lit(1)).cast("int").alias("total_pages")))
+    first, chunks = manifest_parts(conversation_pages_annotated(spark, sf_dir), totals, now_col())
+    write_results(first, chunks, folder, run_id="1")
+    failed = read_results(spark, folder)[0].filter("failed_count > 0").select("file_id")
+    again = annotate_native(
+        pages_from_conversations(table(spark, sf_dir, "conversations"))
+        .join(failed, "file_id", "left_semi"), now_col(), "page_text")
+    second, chunks = manifest_parts(again, totals, now_col(), how="inner")
+    write_results(second, chunks, folder, run_id="2")
+    headers, stored = read_results(spark, folder)
+    pages = stored.groupBy("file_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return headers.join(pages, "file_id").select(
+        "file_id", "tenant_id", "run_id", F.col("total_pages").cast("long").alias("total_pages"),
+        "success_count", "failed_count", "chunks", "result_key")
+
+
+def q_replayed_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W3 ST3 under replay: a log whose rows come again in a second run with the same sequence
+    numbers; per document the pages processed at the end, and how often it became ready."""
+    log = replayed(progress_log(table(spark, sf_dir, "events")))
+    images = change_images(log)
+    edges = completion_edges(modify_status_changes(images)).groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("transitions"))
+    last = images.groupBy("file_id").agg(F.max("new_processed").alias("processed"),
+                                         F.count(F.lit(1)).alias("changes"))
+    return last.join(edges, "file_id", "left").select(
+        "file_id", "processed", "changes",
+        F.coalesce("transitions", F.lit(0)).cast("long").alias("transitions"))
+
+
+def q_annotate_callable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's annotator gets the prompt of every page, with the rate-limit
+    retries and the placeholder for what fails."""
+    pages = pages_from_conversations(table(spark, sf_dir, "conversations"))
+    done = annotate_with(pages, drilled_annotator, now_col(), delay=0.0)
+    return _flat_analysis(done).select(
+        "file_id", "page_number", F.col("attempts").cast("long").alias("attempts"),
+        chunk_status("outcome").alias("chunk_status"), "summary", "error")
+
+
+def q_failed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7 A1: documents that end as failed: those without a text to split, and those with a page
+    whose stored analysis is not valid JSON."""
+    unsplit = document_errors(files_from_documents(table(spark, sf_dir, "documents"))).select(
+        "file_id", "tenant_id", "overall_status", F.lit(None).cast("string").alias("error_message"))
+    heads = manifest_header(conversation_pages_stored(spark, sf_dir))
+    invalid = heads.filter("document_status = 'failed'").select(
+        "file_id", "tenant_id", F.col("document_status").alias("overall_status"), "error_message")
+    return unsplit.unionByName(invalid)
+
+
+def q_upload_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File ids derived from the request, the same for the same request."""
+    files = files_from_documents(table(spark, sf_dir, "documents"))
+    named = files.withColumn("upload_id", file_id_for("tenant_id", "file_name", "uploaded_at"))
+    return named.select("file_id", "upload_id")
+
+
+def q_point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status rows of one tenant and status, an equality filter on a keyed table."""
+    status = status_from_labels(table(spark, sf_dir, "labels"))
+    return point_get(status, tenant_id="src1", overall_status="completed").select(
+        "file_id", "tenant_id", "overall_status", "result_key")

@@ -39,6 +39,12 @@ QUERIES = {
     "stream_chunk_fanout": q.q_stream_chunk_fanout,
     "ready_documents_compat": q.q_ready_documents_compat,
     "tenant_documents_compat": q.q_tenant_documents_compat,
+    "result_round_trip": q.q_result_round_trip,
+    "replayed_progress": q.q_replayed_progress,
+    "annotate_callable": q.q_annotate_callable,
+    "failed_documents": q.q_failed_documents,
+    "upload_ids": q.q_upload_ids,
+    "point_get": q.q_point_get,
 }
 
 ORACLE = oracle_sql()

@@ -101,18 +101,6 @@ def test_derived_status_and_failed_pages(spark):
     assert {r.failed_pages for r in derive_failed_pages(st, pages, compat=True).collect()} == {0}
 
 
-def test_spread_only_hot_documents(spark):
-    from quire.operators.pages import split_pages, spread_pages
-    docs = spark.createDataFrame([("big", "t", "\n".join(["x"] * 50)), ("small", "t", "a\nb")],
-                                 "file_id string, tenant_id string, text string")
-    pages = split_pages(docs)
-    both = spread_pages(pages, 4, hot_pages=10)
-    assert sorted((r.file_id, r.page_number) for r in both.collect()) == sorted(
-        (r.file_id, r.page_number) for r in pages.collect())
-    plan = both._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(file_id" in plan and "Union" in plan
-
-
 def test_view_json_shapes(spark):
     import json
     from quire.operators.views import job_json, job_view, tenant_listing_json, tenant_recent
@@ -136,27 +124,6 @@ def test_view_json_shapes(spark):
                    "uploadedAt": "2024-01-01T00:00:00.000Z"}
 
 
-def test_table_spreads_only_under_split_inputs(spark, tmpdir_path):
-    import os
-    from quire.plans.inputs import table
-    n = spark.sparkContext.defaultParallelism
-    docs = spark.range(0, 40 * n).select(
-        F.col("id").alias("doc_id"), F.lit("a\nb").alias("text"), F.lit("en").alias("lang"),
-        F.lit("s").alias("source"), F.lit(3).cast("long").alias("n_chars"))
-    docs.coalesce(1).write.parquet(os.path.join(tmpdir_path, "one", "documents.parquet"))
-    docs.repartition(2 * n).write.parquet(os.path.join(tmpdir_path, "many", "documents.parquet"))
-
-    def plan(df):
-        return df._jdf.queryExecution().executedPlan().toString()
-
-    one = table(spark, os.path.join(tmpdir_path, "one"), "documents", spread=True)
-    assert "hashpartitioning(doc_id" in plan(one) and one.count() == 40 * n
-    many = table(spark, os.path.join(tmpdir_path, "many"), "documents", spread=True)
-    # a scan already split over the cluster is returned as read: no added shuffle
-    assert many.rdd.getNumPartitions() >= n
-    assert "Exchange" not in plan(many) and many.count() == 40 * n
-
-
 def test_checkpoint_root_needs_a_shared_folder_on_a_cluster(spark):
     import pytest
     from quire.session import checkpoint_root
