@@ -3,7 +3,7 @@
 Dynamic programming over the bytes of a pre-token: the encoding of a prefix ends in token ``t``
 exactly if ``t`` follows the last token of the encoding of what is before it, that is if the two
 joined encode to just these two. So one pass finds, for every prefix, its last token and its
-count. Pre-tokens repeat, so their counts are kept (``KEPT`` pre-tokens at most; then afresh).
+count. Pre-tokens repeat, so their totals are kept (``KEPT`` at most; then afresh).
 
 The counts of a text's prefixes are those of its pre-tokens added up, with three exceptions at the
 cut: a run of white space that ends the prefix is one pre-token, a contraction cut in its middle
@@ -19,7 +19,7 @@ from itertools import accumulate
 import numpy as np
 import regex
 
-KEPT = 1 << 18
+KEPT = 1 << 20
 
 # The published pre-token pattern of the vocabulary.
 PRETOKEN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -35,6 +35,20 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+class _Totals(dict):
+    """Tokens per pre-token, found when first asked for."""
+
+    def __init__(self, find) -> None:
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        self[word] = n = self.find(word.encode())[-1]
+        return n
+
+
 class PrefixCounts:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -49,20 +63,21 @@ class PrefixCounts:
         raw = lambda s: bytes(stand[c] for c in s)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
-        self.tokens = {bytes([b]) for b in range(256)} | {a + b for a, b in self.rank}
-        self.longest = max(map(len, self.tokens))
+        made = [*(bytes([b]) for b in range(256)), *(a + b for a, b in self.rank)]
+        self.number = {t: i for i, t in enumerate(dict.fromkeys(made))}
+        self.token = list(self.number)
+        self.longest = max(map(len, self.token))
         self.specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = (regex.compile("|".join(map(regex.escape, self.specials)))
                         if self.specials else None)
         self.split = regex.compile(PRETOKEN).findall
-        self.follows: dict[tuple[bytes, bytes], bool] = {}
-        self.kept: dict[str, tuple[int, ...]] = {}
-
-    def _may_follow(self, a: bytes, b: bytes) -> bool:
-        """Does a + b encode to a, b? Merges by rank, leftmost first."""
-        known = self.follows.get((a, b))
-        if known is not None:
-            return known
+        self.follows: dict[int, bool] = {}
+        self.totals = _Totals(self._of_bytes)
+
+    def _may_follow(self, m: int, n: int) -> bool:
+        """Do the tokens numbered m and n, joined, encode to just these two? Merges by rank,
+        leftmost first. The answer is kept in ``follows``."""
+        a, b = self.token[m], self.token[n]
         parts = [bytes([x]) for x in a + b]
         while len(parts) > 1:
             ranks = [self.rank.get(p, 1 << 60) for p in zip(parts, parts[1:], strict=False)]
@@ -73,37 +88,37 @@ class PrefixCounts:
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         if len(self.follows) >= KEPT:
             self.follows.clear()
-        self.follows[a, b] = out = parts == [a, b]
+        self.follows[m * len(self.token) + n] = out = parts == [a, b]
         return out
 
     def _of_bytes(self, word: bytes) -> list[int]:
         """Tokens of word[:i] for i from 0."""
-        last, count, tokens = [b""], [0], self.tokens
+        number, follows, size = self.number, self.follows, len(self.token)
+        last, count = [0], [0]
         for i in range(1, len(word) + 1):
             for j in range(max(0, i - self.longest), i):
-                t = word[j:i]
-                if t in tokens and (not j or self._may_follow(last[j], t)):
-                    last.append(t)
-                    count.append(count[j] + 1)
-                    break
+                t = number.get(word[j:i])
+                if t is None:
+                    continue
+                if j:
+                    ok = follows.get(last[j] * size + t)
+                    if not (self._may_follow(last[j], t) if ok is None else ok):
+                        continue
+                last.append(t)
+                count.append(count[j] + 1)
+                break
         return count
 
-    def of_pretoken(self, word: str) -> tuple[int, ...]:
+    def of_pretoken(self, word: str) -> list[int]:
         """Tokens of word[:i] for i from 0, as if it were one pre-token."""
-        known = self.kept.get(word)
-        if known is None:
-            if len(self.kept) >= KEPT:
-                self.kept.clear()
-            raw = word.encode()
-            count = self._of_bytes(raw)
-            if len(raw) > len(word):
-                count = [count[i] for i in accumulate((len(c.encode()) for c in word), initial=0)]
-            self.kept[word] = known = tuple(count)
-        return known
+        raw = word.encode()
+        count = self._of_bytes(raw)
+        if len(raw) > len(word):
+            return [count[i] for i in accumulate((len(c.encode()) for c in word), initial=0)]
+        return count
 
     def _plain_total(self, text: str) -> int:
-        one = self.of_pretoken
-        return sum(one(w)[-1] for w in self.split(text))
+        return sum(map(self.totals.__getitem__, self.split(text)))
 
     def _parts(self, text: str) -> list[tuple[bool, str]]:
         """(is special, string) pieces in order."""
@@ -157,8 +172,7 @@ class PrefixCounts:
             c = self.prefixes(text)
             return int(c[-1]), int(np.flatnonzero(c <= limit)[-1])
         words = self.split(text)
-        one = self.of_pretoken
-        counts = [one(w)[-1] for w in words]
+        counts = list(map(self.totals.__getitem__, words))
         total = sum(counts)
         if total <= limit:
             return total, len(text)
