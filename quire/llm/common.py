@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # ASCII white space, as the contracts spell it: space and U+0009 to U+000D.
@@ -57,3 +58,29 @@ def join_spread(rows: DataFrame, info: DataFrame, keys: list[str], spread: str,
             .repartition(*keys, "_place"))
     near = rows.select(*keys, "_place").distinct().join(info, keys)
     return rows.join(near, [*keys, "_place"]).drop("_place")
+
+
+def lowest_hashes(rows: DataFrame, group: str, key: str, limits: dict | int) -> DataFrame:
+    """Of every group (named in ``limits``, or any where that is a number) the rows with the
+    smallest hash of their key, at most and nearly always so many; (group, key, nr), nr from 1.
+
+    The groups are few (labels, languages): they are counted first, and a bound on the hash leaves
+    about twice the rows wanted, so the ranking sees a bounded number of rows per group however
+    many the table has."""
+    span = 1 << 40
+    counts = {r[group]: r["count"] for r in rows.groupBy(group).count().collect()}
+    if isinstance(limits, int):
+        limits = dict.fromkeys(counts, limits)
+    counts = {g: n for g, n in counts.items() if g in limits}
+    if not counts:
+        return rows.select(group, key, F.lit(0).alias("nr")).limit(0)
+    bounds = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (
+        g, min(span, 2 * span * limits[g] // n))])
+    most = F.create_map(*[F.lit(x) for g in counts for x in (g, limits[g])])
+    h = F.pmod(F.xxhash64(key), F.lit(span))
+    order = W.partitionBy(group).orderBy("_h", key)
+    return (rows.select(group, key, h.alias("_h"))
+            .where(F.col("_h") < F.element_at(bounds, F.col(group)))
+            .withColumn("nr", F.row_number().over(order))
+            .where(F.col("nr") <= F.element_at(most, F.col(group)))
+            .select(group, key, "nr"))

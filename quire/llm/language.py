@@ -5,8 +5,8 @@ dictionary. A text is cut into blocks, every block is compressed with every dict
 language whose dictionary gives the smallest sum wins. Where the runner-up is nearly as small the
 text is rejected.
 
-Training: per language the ``SAMPLE_DOCS`` rows with the smallest hash of their id, of each the
-first ``SAMPLE_CHARS`` letters and spaces, at most ``DICT_BYTES`` in all. These bounds fix the size
+Training: per language at most ``SAMPLE_DOCS`` rows, those with the smallest hash of their id, of
+each the first ``SAMPLE_CHARS`` letters and spaces, at most ``DICT_BYTES`` in all. These bounds fix the size
 of what reaches the driver and of what is broadcast (the number of languages times
 ``DICT_BYTES``). Prediction reads whole texts and nothing but the text.
 """
@@ -20,11 +20,10 @@ from functools import lru_cache
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import table
+from quire.llm.common import lowest_hashes, table
 
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 2048
@@ -54,11 +53,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     give an empty model."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"),
                      F.col(f"`{text_col}`").alias("text")).where("lang is not null")
-    first = W.partitionBy("lang").orderBy("h", "id")
-    # few columns are ranked; the ids chosen are at most SAMPLE_DOCS a language
-    chosen = (rows.select("lang", "id", F.xxhash64("id").alias("h"))
-              .withColumn("nr", F.row_number().over(first)).where(F.col("nr") <= SAMPLE_DOCS)
-              .select("lang", "id", "nr"))
+    # the ids chosen are at most SAMPLE_DOCS a language
+    chosen = lowest_hashes(rows, "lang", "id", SAMPLE_DOCS)
     sample = (rows.where("text is not null").join(F.broadcast(chosen), ["lang", "id"])
               .select("lang", "nr", F.substring("text", 1, 4 * SAMPLE_CHARS).alias("text")))
     texts: dict[str, list] = {}
