@@ -8,8 +8,8 @@ Features are the distinct words of a text and their first four and five letters,
 Those are kept that are ``LEAST_LIFT`` times as frequent among the features of toxic texts, beyond
 chance, the ``MOST_FEATURES`` strongest; a text without any of them is as clean as can be.
 
-Training uses a bounded sample of the labelled rows: the ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN``
-rows with the smallest hash of their id. Spark counts their features; the driver receives only
+Training uses a bounded sample of the labelled rows: at most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN``
+rows, those with the smallest hash of their id. Spark counts their features; the driver receives only
 the kept features of the sampled rows and fits the weights with full-batch steps, so the fit is
 the same on every run. Prediction covers every row and whole texts.
 
@@ -27,11 +27,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import table
+from quire.llm.common import lowest_hashes, table
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4096, 12288
 MIN_ROWS = 3
@@ -66,13 +65,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The sampled rows: id, toxic, n_words, features."""
-    order = W.partitionBy("toxic").orderBy("h", "id")
-    chosen = (labels.where("id is not null and toxic is not null")
-              .withColumn("h", F.xxhash64("id"))
-              .withColumn("nr", F.row_number().over(order))
-              .where(F.col("nr") <= F.when(F.col("toxic"), SAMPLE_TOXIC).otherwise(SAMPLE_CLEAN))
-              .where(F.col("nr") <= max(SAMPLE_TOXIC, SAMPLE_CLEAN))
-              .select("id", "toxic"))
+    chosen = lowest_hashes(labels.where("id is not null and toxic is not null"), "toxic", "id",
+                           {True: SAMPLE_TOXIC, False: SAMPLE_CLEAN}).select("id", "toxic")
     kind = docs.schema["id"].dataType
     return (docs.join(F.broadcast(chosen), "id").select("id", "toxic", "text")
             .mapInArrow(_featured, T.StructType([
