@@ -5,7 +5,8 @@ payload may be a third of all rows). Every task then streams its rows into one a
 record a gzip member, and returns the index: file, offset, length, URL and digest per record. The
 index is committed by Spark; a file of a failed attempt is in no index, so it is never read.
 
-Reading: selected index rows are sorted by file and offset over all tasks; a task joins ranges that
+Reading: selected index rows are sorted by file and offset over tasks that read about
+``TASK_READ`` bytes each (index rows are small, so their size says little); a task joins ranges that
 lie close to reads of at most ``MOST_READ`` bytes and takes the records out of them.
 
 Archives are files in a folder that all executors reach, opened through pyarrow's file systems by
@@ -15,6 +16,7 @@ URI (local paths, file://, and the object stores that pyarrow supports).
 from __future__ import annotations
 
 import hashlib
+import math
 import posixpath
 import uuid
 import zlib
@@ -33,6 +35,7 @@ from quire.session import checkpoint_root
 LEAST_REVISIT = 100
 NEAR = 1 << 16
 MOST_READ = 1 << 23
+TASK_READ = 1 << 25     # bytes of archive that a task reads, about
 GZIP_LEVEL = 5
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")      # the URL name space of RFC 4122
@@ -206,8 +209,10 @@ def read_archives(index: DataFrame, folder: str, near: int = NEAR,
             "url string, payload_bytes long, payload_digest string, record_type string").fields,
         T.StructField("refers_to", kind),
         *T.StructType.fromDDL("refers_urn string, payload string").fields])
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, math.ceil(total / TASK_READ))
     return (index.select("id", "url", "refers_to", "file", "offset", "length")
-            .repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+            .repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
             .mapInArrow(_reader(folder, near, most), schema))
 
 
