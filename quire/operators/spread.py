@@ -15,18 +15,22 @@ from pyspark.sql import functions as F
 PLACES = 16
 
 
-def _placed(rows: DataFrame, known: DataFrame, spread: str) -> tuple[DataFrame, DataFrame]:
+def _placed(rows: DataFrame, known: DataFrame, keys: Sequence[str],
+            spread: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their place. The key rows are dealt out after they are repeated, so that
+    their real size decides whether they are broadcast."""
+    known = known.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1))))
     return (rows.withColumn("_place", F.pmod(F.xxhash64(spread), F.lit(PLACES)).cast("int")),
-            known.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1)))))
+            known.repartition(*keys, "_place"))
 
 
 def semi_spread(rows: DataFrame, known: DataFrame, keys: Sequence[str], spread: str) -> DataFrame:
     """Rows whose key is in ``known``."""
-    a, b = _placed(rows, known.select(*keys).distinct(), spread)
+    a, b = _placed(rows, known.select(*keys).distinct(), keys, spread)
     return a.join(b, [*keys, "_place"], "left_semi").drop("_place")
 
 
 def join_spread(rows: DataFrame, known: DataFrame, keys: Sequence[str], spread: str) -> DataFrame:
     """Inner join of rows to ``known``, which has one row per key."""
-    a, b = _placed(rows, known, spread)
+    a, b = _placed(rows, known, keys, spread)
     return a.join(b, [*keys, "_place"]).drop("_place")

@@ -28,6 +28,9 @@ from quire.operators.spread import semi_spread
 from quire.session import checkpoint_root, start_with_partitions
 
 
+COMPACT_EVERY = 16      # batches
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run under the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/quire/{name}/{uuid.uuid4().hex}"
@@ -60,41 +63,66 @@ def progress_state(progress: DataFrame, retention: str | None = None) -> DataFra
         F.max("ts").alias("last_ts"))
 
 
-def _other_batches(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
-    """Rows written by batches other than ``batch_id`` (None when nothing was written)."""
+def _read(spark: SparkSession, folder: str) -> DataFrame | None:
+    """What is under ``folder``; None when nothing was written there."""
     from pyspark.errors import AnalysisException
     try:
-        df = spark.read.parquet(folder)
-    except AnalysisException as e:  # folder not created yet, or nothing written to it
+        return spark.read.parquet(folder)
+    except AnalysisException as e:
         if any(m in str(e) for m in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA",
                                      "Path does not exist")):
             return None
         raise
-    return df.filter(F.col("batch_id") != batch_id)
+
+
+def _waiting(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
+    """Documents deferred by the batch before this one. A batch writes all that still wait, so
+    no older batch has to be read."""
+    last = _read(spark, f"{out}/deferred/batch_id={batch_id - 1}")
+    if last is None and batch_id > 0:       # a batch number was left out
+        older = _read(spark, f"{out}/deferred")
+        if older is not None:
+            number = older.filter(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
+            last = None if number is None else older.filter(F.col("batch_id") == number)
+    return last
+
+
+def _finished(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
+    """Ids of the documents finished before this batch: the last compacted list and the results
+    of the batches since (partition-pruned)."""
+    number = batch_id // COMPACT_EVERY * COMPACT_EVERY - 1
+    compacted = _read(spark, f"{out}/finished/batch_id={number}") if number >= 0 else None
+    since = _read(spark, f"{out}/results")
+    if since is not None:
+        since = since.filter((F.col("batch_id") < batch_id) & (
+            F.col("batch_id") > (number if compacted is not None else -1))).select("file_id")
+    parts = [x.select("file_id") for x in (compacted, since) if x is not None]
+    return parts[0].union(parts[-1]).distinct() if parts else None
 
 
 def assemble_batch(spark: SparkSession, out: str, batch_id: int, pages: DataFrame,
                    processed_at, dedupe_pages: bool = True) -> None:
     """Assemble the documents that are ready in this batch (ST3, ST4, ST6).
 
-    Candidates are the documents that turned up ready in this batch plus those deferred by
-    earlier batches; documents finished by any other batch are skipped. The guard compares page
+    Candidates are the documents that turned up ready in this batch plus those deferred by the
+    batch before; documents finished by an earlier batch are skipped. The guard compares page
     rows with the total: complete documents get their manifest header written under
     ``results/batch_id=<id>`` and their chunks under ``result_chunks/batch_id=<id>`` (flat,
-    one row per page), the rest under ``deferred/batch_id=<id>`` (retried next batch).
+    one row per page), the rest under ``deferred/batch_id=<id>`` (retried next batch). Every
+    ``COMPACT_EVERY`` batches the finished ids are written as one list, so a batch reads its own
+    updates, what waits, that list and few small results, not the history.
     Everything is written with overwrite, so replaying the batch rewrites the same output.
     """
-    mine = spark.read.parquet(f"{out}/updates/batch_id={batch_id}").filter("ready")
-    cands = mine.select("file_id", "total_pages")
-    deferred = _other_batches(spark, f"{out}/deferred", batch_id)
-    if deferred is not None:
-        # a deferred document stays a candidate only while its latest state is still ready
-        latest = current_status(spark, out).filter("ready").select("file_id", "total_pages")
-        cands = cands.unionByName(latest.join(deferred.select("file_id").distinct(), "file_id",
-                                              "left_semi"))
-    done = _other_batches(spark, f"{out}/results", batch_id)
+    mine = spark.read.parquet(f"{out}/updates/batch_id={batch_id}")
+    cands = mine.filter("ready").select("file_id", "total_pages")
+    waiting = _waiting(spark, out, batch_id)
+    if waiting is not None:
+        # one with an update in this batch is a candidate only if it still is ready
+        cands = cands.unionByName(waiting.select("file_id", "total_pages").join(
+            mine.select("file_id"), "file_id", "left_anti"))
+    done = _finished(spark, out, batch_id)
     if done is not None:
-        cands = cands.join(done.select("file_id"), "file_id", "left_anti")
+        cands = cands.join(done, "file_id", "left_anti")
     cands = cands.dropDuplicates(["file_id"])
     cols = [c for c in ("file_id", "tenant_id", "page_number", "page_analysis", "updated_at")
             if c in pages.columns]
@@ -113,6 +141,12 @@ def assemble_batch(spark: SparkSession, out: str, batch_id: int, pages: DataFram
     (decided.filter(F.col("action") == "deferred").select("file_id", "total_pages", "pages_found")
      .withColumn("batch_id", F.lit(batch_id).cast("long"))
      .write.mode("overwrite").parquet(f"{out}/deferred/batch_id={batch_id}"))
+    if (batch_id + 1) % COMPACT_EVERY == 0:
+        ended = _read(spark, f"{out}/results/batch_id={batch_id}")
+        ids = [x.select("file_id") for x in (done, ended) if x is not None]
+        if ids:
+            (ids[0].union(ids[-1]).distinct().sortWithinPartitions("file_id")
+             .write.mode("overwrite").parquet(f"{out}/finished/batch_id={batch_id}"))
 
 
 def _writer(out: str, pages: DataFrame | None, processed_at):

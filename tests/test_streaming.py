@@ -280,3 +280,35 @@ def test_replaying_a_batch_assembly_is_idempotent(spark, tmpdir_path):
     after = sorted(tuple(r) for r in spark.read.parquet(f"{out}/results")
                    .select("file_id", "batch_id", "success_count").collect())
     assert before == after and len({f for f, _, _ in after}) == len(after)
+
+
+def test_batches_assemble_from_compacted_lists(spark, monkeypatch):
+    """Six batches, compacted every second one: every document is assembled once although it
+    turns up again, a deferred one when its page arrives, one no longer ready is dropped; the
+    updates of older batches are not needed."""
+    from quire.streaming import completion as C
+    monkeypatch.setattr(C, "COMPACT_EVERY", 2)
+    out = run_folder(spark, "test_compact")
+    store = spark.createDataFrame([(f"d{i}", "t", 1, '{"s":1}') for i in range(6)],
+                                  "file_id string, tenant_id string, page_number int, "
+                                  "page_analysis string")
+    late = spark.createDataFrame([("late", "t", 1, '{"s":1}')], store.schema)
+
+    def batch(b, rows):
+        (spark.createDataFrame([(f, 1, r, b) for f, r in rows],
+                               "file_id string, total_pages long, ready boolean, batch_id long")
+         .write.mode("overwrite").parquet(f"{out}/updates/batch_id={b}"))
+        pages = store.unionByName(late) if b >= 3 else store
+        C.assemble_batch(spark, out, b, pages, "2024-02-01 00:00:00")
+
+    batch(0, [("d0", True), ("late", True), ("gone", True)])
+    batch(1, [("d1", True), ("d0", True), ("gone", False)])
+    for b in range(2, 6):
+        batch(b, [(f"d{b}", True), (f"d{b - 2}", True)])
+    batch(5, [("d5", True), ("d3", True)])      # a replay
+    got = sorted((r.file_id, r.batch_id) for r in spark.read.parquet(f"{out}/results").collect())
+    assert got == [("d0", 0), ("d1", 1), ("d2", 2), ("d3", 3), ("d4", 4), ("d5", 5), ("late", 3)]
+    ids = [r.file_id for r in spark.read.parquet(f"{out}/finished/batch_id=5").collect()]
+    assert sorted(ids) == ["d0", "d1", "d2", "d3", "d4", "d5", "late"]
+    assert {r.file_id for r in spark.read.parquet(f"{out}/deferred/batch_id=1").collect()} == {
+        "late"}
