@@ -233,6 +233,15 @@ def wire_events(events: DataFrame) -> DataFrame:
     return log.select("seq", key.alias("key"), value.alias("value"))
 
 
+def receipts_from_orders(orders: DataFrame) -> DataFrame:
+    """orders -> the transport's receipts in the order they came: tenant (of the customer),
+    order key, and an error code for orders in progress (status P)."""
+    return orders.select(
+        event_tenant("o_custkey").alias("tenant_id"), "o_orderkey",
+        F.when(F.col("o_orderstatus") == "P", F.lit("ProvisionedThroughputExceededException"))
+        .alias("error_code"))
+
+
 def replayed(log: DataFrame, days: int = 40) -> DataFrame:
     """A progress log and its replay: every row again ``days`` later under the same sequence
     number, as a second run numbers its rows from the start again."""

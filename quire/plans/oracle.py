@@ -489,15 +489,18 @@ Q["chunk_batches"] = """
 """
 
 Q["publish_report"] = f"""
-  SELECT tenant_id, batch_id, count(*) AS records,
-    CAST(count(*) - count_if(bad) AS BIGINT) AS success_count,
-    CAST(count_if(bad) AS BIGINT) AS failed_count,
-    CAST(NULL AS VARCHAR) AS error
-  FROM (
+  WITH r AS (
     SELECT 'src' || CAST(user_id % 20 AS VARCHAR) AS tenant_id,
-      (row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, seq) - 1) // 500 AS batch_id,
-      event_type = 'error' AND value > 40 AS bad
-    FROM ({EVENT_LOG}))
+      row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, seq) - 1 AS pos
+    FROM ({EVENT_LOG})),
+  o AS (
+    SELECT 'src' || CAST(o_custkey % 20 AS VARCHAR) AS tenant_id, o_orderstatus = 'P' AS bad,
+      row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) - 1 AS pos
+    FROM orders)
+  SELECT tenant_id, pos // 500 AS batch_id, count(*) AS records,
+    CAST(count(*) - count_if(coalesce(bad, false)) AS BIGINT) AS success_count,
+    CAST(count_if(coalesce(bad, false)) AS BIGINT) AS failed_count, CAST(NULL AS VARCHAR) AS error
+  FROM r LEFT JOIN o USING (tenant_id, pos)
   GROUP BY tenant_id, batch_id
 """
 
@@ -513,7 +516,7 @@ Q["error_alarm"] = f"""
 
 
 Q["document_lifecycle"] = f"""
-  WITH p AS ({DOC_PAGES}),
+  WITH d AS ({DOC_PAGES}), p AS ({NATIVE.replace('{src}', 'd')}),
   f AS (SELECT * FROM ({FILES}) WHERE NOT (doc_id % 17 = 0 OR doc_id % 13 IN (0, 1)))
   SELECT f.file_id, f.tenant_id,
     CASE WHEN f.file_size >= 0.00390625 * 1048576 THEN 'async' ELSE 'sync' END
@@ -521,7 +524,8 @@ Q["document_lifecycle"] = f"""
     CAST(max(p.total_pages) AS BIGINT) AS total_pages,
     CAST(count(*) AS BIGINT) AS success_count, CAST(0 AS BIGINT) AS failed_count,
     CAST(0 AS BIGINT) AS missing_count,
-    f.tenant_id || '/' || f.file_id || '/results.json' AS result_key
+    f.tenant_id || '/' || f.file_id || '/results.json' AS result_key,
+    CAST(sum(len(p.entities)) AS BIGINT) AS entities
   FROM f JOIN p ON p.file_id = f.file_id
   GROUP BY f.file_id, f.tenant_id, f.file_size
 """

@@ -33,10 +33,10 @@ from quire.operators.publish import (
 from quire.operators.views import documents_by_tenant, job_view, results_available, tenant_recent
 from quire.plans.inputs import (
     annotation_fault, drilled_annotator, recorded_totals, replayed, event_tenant, events_as_log, files_from_documents, now_col,
-    pages_from_conversations, progress_log, reply_kind, status_change_log, status_from_labels,
+    pages_from_conversations, progress_log, receipts_from_orders, reply_kind, status_change_log, status_from_labels,
     table, uploads_from_documents, wire_events, wrap_reply,
 )
-from quire.session import checkpoint_root, ensure_session_conf
+from quire.session import ensure_session_conf
 from quire.sources.events import DOCUMENTS, WIRE_WITH_SEQ, read_event_files
 from quire.sources.objects import read_results, write_results
 from quire.streaming.alarm import final_windows, start_alarm
@@ -372,19 +372,15 @@ def q_chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_publish_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenant's events published in batches of 500; the per-record outcome
-    (an error code for throttled records: error events with value > 40) is matched back by
-    batch position and totalled per batch."""
+    """Every tenant's events in publish batches of 500; the transport's receipts (rows
+    of orders), numbered in the order they came, are matched by batch position and totalled per
+    batch. A record without a receipt counts as accepted."""
     log = events_as_log(table(spark, sf_dir, "events")).withColumn(
         "tenant_id", event_tenant("user_id"))
-    # the numbered records are what was sent: written once to the shared checkpoint folder, so
-    # the outcome match (a join on position) does not number them a second time
-    checkpoint_root(spark)
-    recs = number_in_batches(log, "tenant_id", ["ts", "seq"]).checkpoint(eager=True)
-    outcomes = recs.select("tenant_id", "batch_id", "batch_index", F.when(
-        (F.col("event_type") == "error") & (F.col("value") > 40),
-        F.lit("ProvisionedThroughputExceededException")).alias("error_code"))
-    totals, _failed = publish_report(recs.drop("error_code"), outcomes, ["tenant_id"])
+    recs = number_in_batches(log.select("tenant_id", "ts", "seq"), "tenant_id", ["ts", "seq"])
+    outcomes = number_in_batches(receipts_from_orders(table(spark, sf_dir, "orders")),
+                                 "tenant_id", ["o_orderkey"])
+    totals, _failed = publish_report(recs, outcomes, ["tenant_id"])
     return totals.select("tenant_id", "batch_id", "records", "success_count", "failed_count",
                          "error")
 
@@ -470,10 +466,14 @@ def q_document_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(store)
     # one processing run: exactly one row per page, no replays to collapse
     done = complete_documents(pr.progress_log, pages, now_col(), dedupe_pages=False)
+    # what the assembled chunks say
+    said = done.chunks.groupBy("file_id").agg(F.sum(F.json_array_length(
+        F.get_json_object("analysis", "$.entities"))).cast("long").alias("entities"))
     return (done.manifests.join(up.files.select("file_id", "processing_type"), "file_id")
+            .join(said, "file_id")
             .select("file_id", "tenant_id", "processing_type",
                     F.col("total_pages").cast("long").alias("total_pages"),
-                    "success_count", "failed_count", "missing_count", "result_key"))
+                    "success_count", "failed_count", "missing_count", "result_key", "entities"))
 
 
 def q_chunk_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
