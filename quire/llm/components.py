@@ -18,7 +18,8 @@ def _with_least(edges: DataFrame) -> DataFrame:
     """edges u, v: adds m, the least of u and all its v."""
     least = (edges.groupBy("u").agg(F.min("v").alias("m"))
              .select("u", F.least("u", "m").alias("m"),
-                     F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+                     F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+             .repartition("u", "salt"))
     return (edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
             .join(least, ["u", "salt"]).select("u", "v", "m"))
 
