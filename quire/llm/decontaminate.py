@@ -120,7 +120,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                                                  " words string, fp long").fields])
     rows = (ids.mapInArrow(_document_rows(sorted(sizes), bits), schema)
             .withColumn("salt", F.pmod(F.xxhash64("uid", "id"), F.lit(SALTS)).cast("int")))
-    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # never broadcast: the planner does not see that the windows are repeated
+    known = (known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+             .hint("merge"))
     found = F.col("items").isNotNull()
     united = F.expr("""aggregate(hits, struct(0L as n, 0L as reach), (u, h) -> struct(
         u.n + greatest(0L, h.start + h.size - greatest(u.reach, h.start)) as n,
@@ -140,9 +142,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no window of the benchmark, with all their columns. A row is
-    judged by its id and word count, so rows that share an id but not a text are told apart only
-    if their lengths differ; ids are expected to be unique."""
+    """The rows of ``docs`` that hold no window of the benchmark, with all their columns. Rows that
+    share an id stay or go together."""
     bad = (contamination(docs, benchmark, id_col, text_col).where("contaminated")
            .select(F.col(f"`{id_col}`").alias("bad")).distinct())
     rows = as_row(docs).withColumn("id", field(id_col))
