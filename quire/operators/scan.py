@@ -99,16 +99,17 @@ def segment_column(df: DataFrame, order: Sequence[str], n: int | None = None,
     table = F.from_json(F.lit(json.dumps(bounds, default=str)), f"array<struct<{kinds}>>")
     here = F.struct(*[c.alias(x) for x, (c, _) in zip(names, _images(df, order), strict=False)])
 
-    def halved(s: Column, _: Column) -> Column:
-        mid = F.shiftright(s["lo"] + s["hi"], 1)
-        passed = F.element_at(table, mid + 1) <= here
-        return (F.when(s["lo"] >= s["hi"], s)
-                .when(passed, F.struct((mid + 1).alias("lo"), s["hi"].alias("hi")))
-                .otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi"))))
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
-    return F.aggregate(steps, start, halved, lambda s: s["lo"])
+    count = len(bounds)
+    strides = F.array(*[F.lit(1 << k) for k in reversed(range(count.bit_length()))])
+
+    def nearer(here: Column) -> Column:
+        """Boundaries not after ``here``: binary search by halving strides."""
+        return F.aggregate(strides, F.lit(0), lambda a, d: F.when(
+            (a + d <= count) & (F.element_at(table, F.least(a + d, F.lit(count))) <= here),
+            a + d).otherwise(a))
+
+    # a one-element transform, so that the position is put together once a row
+    return F.element_at(F.transform(F.array(here), nearer), 1)
 
 
 def keyed_scan(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
