@@ -466,9 +466,9 @@ def q_document_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(store)
     # one processing run: exactly one row per page, no replays to collapse
     done = complete_documents(pr.progress_log, pages, now_col(), dedupe_pages=False)
-    # what the assembled chunks say
-    said = done.chunks.groupBy("file_id").agg(F.sum(F.json_array_length(
-        F.get_json_object("analysis", "$.entities"))).cast("long").alias("entities"))
+    # what the stored analyses of the assembled documents say
+    said = pages.groupBy("file_id").agg(F.sum(F.json_array_length(
+        F.get_json_object("page_analysis", "$.entities"))).cast("long").alias("entities"))
     return (done.manifests.join(up.files.select("file_id", "processing_type"), "file_id")
             .join(said, "file_id")
             .select("file_id", "tenant_id", "processing_type",
