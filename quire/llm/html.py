@@ -143,21 +143,32 @@ def _furniture(node: Node, inside: bool) -> bool:
     return bool(words & FURNITURE) or (not inside and bool(words & HEADER))
 
 
-def _hash(node: Node) -> int:
-    """Sets and returns the hash of the subtree: tag, names, text and children."""
-    h = hashlib.blake2b(f"{node.tag}|{node.names}".encode(), digest_size=8)
-    for c in node.children:
-        if isinstance(c, str):
-            if not c.isspace():
+def _hash(root: Node) -> None:
+    """Sets the hash of every subtree: tag, names, text and children."""
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo += [c for c in n.children if isinstance(c, Node)]
+    for n in reversed(order):       # children before their parents
+        h = hashlib.blake2b(f"{n.tag}|{n.names}".encode(), digest_size=8)
+        for c in n.children:
+            if isinstance(c, Node):
+                h.update(b"e" + c.hash.to_bytes(8, "little", signed=True))
+            elif not c.isspace():
                 h.update(b"t" + " ".join(c.split()).encode("utf-8", "surrogatepass"))
-        else:
-            h.update(b"e" + _hash(c).to_bytes(8, "little", signed=True))
-    node.hash = int.from_bytes(h.digest(), "little", signed=True)
-    return node.hash
+        n.hash = int.from_bytes(h.digest(), "little", signed=True)
 
 
 def _has_text(node: Node) -> bool:
-    return any(not c.isspace() if isinstance(c, str) else _has_text(c) for c in node.children)
+    todo = [node]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, Node):
+                todo.append(c)
+            elif not c.isspace():
+                return True
+    return False
 
 
 def _roots(root: Node) -> tuple[list[Node], bool]:
@@ -209,24 +220,21 @@ def main_text(page: str, template: set[int]) -> str:
         _hash(root)
     roots, inside = _roots(root)
     out: list[str] = []
-
-    def walk(n: Node) -> None:
-        for c in n.children:
-            if isinstance(c, str):
-                out.append(c)
-            elif c.tag in VOID:
-                if c.tag in ("br", "hr"):
-                    out.append(" ")
-            elif not _furniture(c, inside) and not (
-                    c.hash in template and c.tag not in INLINE and _template_kind(c, inside)):
-                if c.tag in INLINE:
-                    walk(c)
-                else:
-                    out.append(" ")
-                    walk(c)
-                    out.append(" ")
-
-    for n in roots:
-        walk(n)
-        out.append(" ")
+    todo: list[Node | str] = []
+    for n in reversed(roots):
+        todo += [" ", *reversed(n.children)]
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.tag in VOID:
+            if c.tag in ("br", "hr"):
+                out.append(" ")
+        elif not _furniture(c, inside) and not (
+                c.hash in template and c.tag not in INLINE and _template_kind(c, inside)):
+            if c.tag in INLINE:
+                todo += reversed(c.children)
+            else:
+                out.append(" ")
+                todo += [" ", *reversed(c.children)]
     return " ".join("".join(out).split())

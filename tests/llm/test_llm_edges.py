@@ -312,6 +312,17 @@ def test_main_text_rules():
     assert main_text("<main><p>x</p></main><p>y</p>", set()) == "x"
 
 
+def test_deep_nesting_keeps_the_whole_text(spark):
+    n = 5000
+    want = " ".join(f"t{i}" for i in range(n))
+    rows = [(j, "http://deep.example/", head + "".join(f"<{tag}>t{i} " for i in range(n)))
+            for j, (head, tag) in enumerate([("", "font"), ("", "a name=x"), ("", "div"),
+                                             ("<article>", "span"), ("<main>", "div")])]
+    rows.append((9, "http://deep.example/", "<article>" + "<div>" * n + want))
+    got = {r.page_id: r.text for r in extraction.extract_text(pages(spark, rows)).collect()}
+    assert got == dict.fromkeys([0, 1, 2, 3, 4, 9], want)
+
+
 def test_site_templates_go_and_articles_stay(spark):
     rows = [(i, f"http://one.example/{i}",
              f"<body><div class=q1>Same box on all pages</div><div><p>Own text {i}</p>"
