@@ -1,8 +1,9 @@
 """Main text of web pages, with site templates removed.
 
 1. Tasks parse whole pages and give the hashes of the element subtrees that could be template.
-2. Spark counts, per host, the pages that hold a subtree (partial aggregation). A subtree on at
-   least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages is template.
+2. Spark counts, per host, the different pages that hold a subtree (partial aggregation; what a
+   different page is, see ``extract_text``). A subtree on at least ``MIN_PAGES`` pages and
+   ``MIN_SHARE`` of the host's pages is template.
 3. The templates a page holds go back to it (spread, since a template of a large host is on very
    many pages), and its text is taken without them.
 
@@ -29,12 +30,11 @@ MIN_SHARE = 0.2
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [sorted(candidates(x.as_py() or "")) for x in b["html"]]
-        row = [i for i, s in enumerate(found) for _ in s]
+        found = [candidates(x.as_py() or "") for x in b["html"]]
         yield pa.record_batch({
-            "uid": b["uid"].take(pa.array(row, pa.int64())),
-            "host": b["host"].take(pa.array(row, pa.int64())),
-            "subtree": pa.array([h for s in found for h in s], pa.int64())})
+            "uid": b["uid"], "host": b["host"],
+            "content": pa.array([c for _, c in found], pa.int64()),
+            "subtrees": pa.array([sorted(s) for s, _ in found], pa.list_(pa.int64()))})
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,23 +47,28 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def site_templates(subtrees: DataFrame, pages: DataFrame, min_pages: int = MIN_PAGES,
                    min_share: float = MIN_SHARE) -> DataFrame:
-    """subtrees: uid, host, subtree; pages: host. The (host, subtree) pairs that are template."""
-    often = (subtrees.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
+    """subtrees: host, subtree, page; pages: host, page. The (host, subtree) pairs that are
+    template; rows with the same ``page`` count once. Both counts are first reduced to one row per
+    different page, so a host's rows are spread."""
+    often = (subtrees.select("host", "subtree", "page").distinct()
+             .groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
              .where(F.col("n") >= min_pages))
-    of_host = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
+    of_host = (pages.select("host", "page").distinct()
+               .groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")))
     return (often.join(of_host, "host").where(F.col("n") >= min_share * F.col("n_pages"))
             .select("host", "subtree"))
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
                  html_col: str = "html", min_pages: int = MIN_PAGES,
-                 min_share: float = MIN_SHARE) -> DataFrame:
+                 min_share: float = MIN_SHARE, copies_count: bool = True) -> DataFrame:
     """One row per row of ``df``: the id, url, text, n_chars (code points).
 
     A null or empty page, and one without article text, gives an empty text. The host is the
     authority of the url in lower case; a null url or one without an authority is one more host
-    (empty). Rows that repeat count as pages of their own. White space of any kind becomes one
-    space. Broken markup never fails. Other columns are not read.
+    (empty). Rows that repeat, and copies of a page under other urls, count as pages of their own
+    if ``copies_count``; else pages of a host with the same text are one, so copies of one page
+    support no template. White space of any kind becomes one space. Broken markup never fails. Other columns are not read.
     """
     checkpoint_root(df.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url_col}`"), F.lit("")),
@@ -71,10 +76,16 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     pages = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"),
                       F.col(f"`{html_col}`").alias("html"), host.alias("host"))
     pages = pages.withColumn("uid", F.xxhash64("id", "url", "html"))
-    subtrees = pages.select("uid", "host", "html").mapInArrow(
-        _subtrees, "uid long, host string, subtree long").checkpoint()
-    templates = site_templates(subtrees, pages, min_pages, min_share)
-    held = (join_spread(subtrees, templates, ["host", "subtree"], "uid")
+    found = pages.select("uid", "host", "html").mapInArrow(
+        _subtrees, "uid long, host string, content long, subtrees array<long>")
+    if copies_count:
+        found = found.withColumn("page", F.monotonically_increasing_id())
+    else:
+        found = found.withColumnRenamed("content", "page")
+    found = found.select("uid", "host", "page", "subtrees").checkpoint()
+    subtrees = found.select("uid", "host", "page", F.explode("subtrees").alias("subtree"))
+    templates = site_templates(subtrees, found, min_pages, min_share)
+    held = (join_spread(subtrees.drop("page"), templates, ["host", "subtree"], "uid")
             .groupBy("uid").agg(F.collect_set("subtree").alias("template")))
     types = [T.StructField("id", pages.schema["id"].dataType),
              T.StructField("url", pages.schema["url"].dataType),
@@ -85,5 +96,5 @@ def extract_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main text of all of ``pages``."""
-    return extract_text(table(spark, sf_dir, "pages"))
+    """Main text of all of ``pages``; copies of a page support no template."""
+    return extract_text(table(spark, sf_dir, "pages"), copies_count=False)

@@ -189,9 +189,10 @@ def _roots(root: Node) -> tuple[list[Node], bool]:
     return [root], False
 
 
-def candidates(page: str) -> set[int]:
+def candidates(page: str) -> tuple[set[int], int]:
     """Hashes of the subtrees that may turn out to be template: what the rules leave, but for the
-    articles and main themselves, the elements around them, and in them running text."""
+    articles and main themselves, the elements around them, and in them running text. And the hash
+    of the page's text before templates go."""
     root = parse(page)
     _hash(root)
     roots, inside = _roots(root)
@@ -204,7 +205,8 @@ def candidates(page: str) -> set[int]:
                 if c.tag not in INLINE and c.tag not in VOID and _template_kind(c, inside):
                     out.add(c.hash)
                 todo.append(c)
-    return out
+    text = _text(roots, inside, set()).encode("utf-8", "surrogatepass")
+    return out, int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
 def _template_kind(node: Node, inside: bool) -> bool:
@@ -218,7 +220,10 @@ def main_text(page: str, template: set[int]) -> str:
     root = parse(page)
     if template:
         _hash(root)
-    roots, inside = _roots(root)
+    return _text(*_roots(root), template)
+
+
+def _text(roots: list[Node], inside: bool, template: set[int]) -> str:
     out: list[str] = []
     todo: list[Node | str] = []
     for n in reversed(roots):

@@ -339,6 +339,23 @@ def test_site_templates_go_and_articles_stay(spark):
     assert extraction.extract_text(pages(spark, [])).count() == 0
 
 
+def test_copies_of_a_page_support_no_template(spark, tmp_path):
+    """A print view, query strings and mirrors of an article leave its own containers alone."""
+    article = ("<article><div class=entry><p>Story {0}.</p><ul><li>Point {0}</ul><table><td>Cell {0}"
+               "</table></div>{1}</article>")
+    plain = "<body><div><p>Plain story.</p><p>Second.</p></div></body>"
+    rows = [(i, f"http://one.example/a?{i}", article.format("A", "")) for i in range(8)]
+    rows += [(10 + i, None, plain) for i in range(8)]
+    rows += [(20 + i, f"http://two.example/{i % 6}", article.format(i % 6, "<div>Box</div>"))
+             for i in range(12)]
+    pages(spark, rows).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in extraction.op6_html_text(spark, str(tmp_path)).collect()}
+    assert all(got[i] == "Story A. Point A Cell A" for i in range(8))
+    assert all(got[10 + i] == "Plain story. Second." for i in range(8))
+    # six different pages, each twice: the box is on all of them
+    assert all(got[20 + i] == "Story {0}. Point {0} Cell {0}".format(i % 6) for i in range(12))
+
+
 def test_toxicity_edges(spark, some, none):
     rude = ["you idiot moron", "what a stupid idiot", "moron and idiot here", "stupid moron you"]
     rows = [(i, f"{passage(20, i)} {'nice day' if i % 5 else rude[i // 5 % 4]}", "en", "s")
