@@ -30,7 +30,9 @@ SAMPLE_CHARS = 2048
 DICT_BYTES = 1 << 17
 BLOCK_CHARS = 1024
 LEVEL, SHORT_LEVEL = 3, 12     # a text of one block is compressed with more care
-MIN_MARGIN = 0.002
+# On documents, 99 of 100 texts (100 characters or more) of a learned language have margins above
+# 0.05; random letters (300 or more) and nine of ten texts of a language not learned have less.
+MIN_MARGIN = 0.04
 UNKNOWN = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")

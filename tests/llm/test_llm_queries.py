@@ -9,6 +9,7 @@ import sys
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
@@ -157,6 +158,25 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_what_no_dictionary_knows_is_rejected(spark):
+    """Random letters and a language left out of training go, learned languages stay."""
+    table = spark.read.parquet(f"{SF01}/documents.parquet").where("length(text) >= 300")
+    letters = np.random.default_rng(7)
+    noise = spark.createDataFrame(
+        [(i, "".join(letters.choice(list("abcdefghijklmnopqrstuvwxyz    "), 300 + 7 * i)))
+         for i in range(100)], "doc_id long, text string")
+    out = "fr"
+    model = language.fit(language.learned_from(table.where(f"lang != '{out}'")))
+    kept = language.keep_identified(table, model).groupBy("lang").count().collect()
+    kept = {r.lang: r["count"] for r in kept}
+    for r in table.where("lang is not null").groupBy("lang").count().collect():
+        if r.lang == out:
+            assert kept.get(out, 0) <= 0.1 * r["count"]
+        else:
+            assert kept[r.lang] >= 0.98 * r["count"]
+    assert language.keep_identified(noise, model).count() <= 2
+
+
 def test_toxicity_of_labelled_documents(spark):
     sf = "/root/testdata/sf0.1"
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
