@@ -6,9 +6,11 @@ language whose dictionary gives the smallest sum wins. Where the runner-up is ne
 text is rejected.
 
 Training: per language at most ``SAMPLE_DOCS`` rows, those with the smallest hash of their id, of
-each the first ``SAMPLE_CHARS`` letters and spaces, at most ``DICT_BYTES`` in all. These bounds fix the size
-of what reaches the driver and of what is broadcast (the number of languages times
-``DICT_BYTES``). Prediction reads whole texts and nothing but the text.
+each a piece at an offset hashed from the id. Pieces are cut to one length at which all sampled rows
+of the language fit ``DICT_BYTES``. With very many languages each gets a smaller sample and
+dictionary, ``MODEL_BYTES`` in all, which bounds what the driver holds and broadcasts; what still
+grows with their number is a row of counts each (thousands of languages, not millions). Prediction
+reads whole texts and nothing but the text.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from quire.llm.common import lowest_hashes, table
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 2048
 DICT_BYTES = 1 << 17
+MODEL_BYTES = 1 << 25
 BLOCK_CHARS = 1024
 LEVEL, SHORT_LEVEL = 3, 12     # a text of one block is compressed with more care
 # On documents, 99 of 100 texts (100 characters or more) of a learned language have margins above
@@ -55,15 +58,40 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     give an empty model."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"),
                      F.col(f"`{text_col}`").alias("text")).where("lang is not null")
+    langs = max(1, rows.select("lang").distinct().count())
+    size = min(DICT_BYTES, MODEL_BYTES // langs)
+    docs = max(1, min(SAMPLE_DOCS, SAMPLE_DOCS * size // DICT_BYTES))
     # the ids chosen are at most SAMPLE_DOCS a language
-    chosen = lowest_hashes(rows, "lang", "id", SAMPLE_DOCS)
+    chosen = lowest_hashes(rows, "lang", "id", docs)
+    window, at = 4 * SAMPLE_CHARS, F.xxhash64("id", F.lit("piece"))
+    start = F.pmod(at, F.greatest(F.lit(1), F.length("text") - window + 1)).cast("int") + 1
     sample = (rows.where("text is not null").join(F.broadcast(chosen), ["lang", "id"])
-              .select("lang", "nr", F.substring("text", 1, 4 * SAMPLE_CHARS).alias("text")))
+              .select("lang", "nr", at.alias("at"),
+                      F.col("text").substr(start, F.lit(window)).alias("text")))
     texts: dict[str, list] = {}
     for r in sample.toLocalIterator():
-        texts.setdefault(r["lang"], []).append((r["nr"], _letters(r["text"])[:SAMPLE_CHARS]))
-    return {lang: " ".join(t for _, t in sorted(parts)).encode()[-DICT_BYTES:]
-            for lang, parts in sorted(texts.items())}
+        letters = _letters(r["text"])
+        texts.setdefault(r["lang"], []).append(
+            (r["nr"], _piece(letters, r["at"], SAMPLE_CHARS).encode(), r["at"]))
+    return {lang: _dictionary(sorted(parts), size) for lang, parts in sorted(texts.items())}
+
+
+def _piece(text: str | bytes, at: int, most: int) -> str | bytes:
+    """At most ``most`` of the text, from an offset given by the hash ``at``."""
+    start = (at >> 20) % max(1, len(text) - most + 1)
+    return text[start:start + most]
+
+
+def _dictionary(parts: list[tuple[int, bytes, int]], size: int) -> bytes:
+    """Pieces of all parts, space-joined, of the greatest length at which they fit ``size``."""
+    low, high = 0, max(len(p) for _, p, _ in parts)
+    while low < high:
+        mid = (low + high + 1) // 2
+        if sum(min(len(p), mid) + 1 for _, p, _ in parts) <= size + 1:
+            low = mid
+        else:
+            high = mid - 1
+    return b" ".join(_piece(p, at, low) for _, p, at in parts)
 
 
 def _compressor(data: bytes, level: int, **more) -> zstandard.ZstdCompressor:

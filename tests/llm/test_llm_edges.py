@@ -186,6 +186,24 @@ def test_language_edges(spark, none):
     assert alone[2].lang_pred == "en" and alone[2].score == 1
 
 
+def test_dictionaries_take_every_sampled_row_beyond_its_opening(spark, monkeypatch):
+    opening = " ".join("abcdefghij"[i % 10] * (1 + i % 7) for i in range(2000))
+    word = lambda i: "".join("klmnopqrst"[int(c)] for c in f"{i:03d}")
+    rows = [(i, f"{opening} {(word(i) + ' ') * 5000}", "en", "s") for i in range(200)]
+    model = language.fit(docs(spark, rows))
+    assert len(model["en"]) <= language.DICT_BYTES
+    assert sum(word(i).encode() in model["en"] for i in range(200)) >= 100
+    boilerplate = sum(model["en"].count(c) for c in b"abcdefghij")
+    assert boilerplate < 0.6 * len(model["en"])
+    # every sampled row has a piece, whatever the number of languages
+    rows = [(i, f"{word(i)} " * 2000, "en", "s") for i in range(200)]
+    model = language.fit(docs(spark, rows))
+    assert all(word(i).encode() in model["en"] for i in range(200))
+    monkeypatch.setattr(language, "MODEL_BYTES", 1 << 17)
+    model = language.fit(docs(spark, [(i, t, f"l{i % 50}", s) for i, t, _, s in rows]))
+    assert len(model) == 50 and 0 < sum(map(len, model.values())) <= 1 << 17
+
+
 def library():
     import public_tokenizers
     from tokenizers import Tokenizer
