@@ -4,7 +4,9 @@ Rules (what a page template is made of is decided elsewhere, from counts per hos
 
 * Script, style and other non-text elements, navigation, footers, asides, forms and elements whose
   class, id or role names a menu, header, footer, sidebar, notice, advert, form or reader comment
-  are left out. A header or a heading group inside an article is part of the article.
+  are left out. A header or a heading group inside an article is part of the article, and names
+  there count on containers only (not on headings, paragraphs, cells, list items and inline
+  elements): whole class or role words, and of ids those of reader comments.
   An element around the first article or main is not judged by its names.
 * If any article element is left, the text is that of the articles; else that of main; else that
   of the body.
@@ -40,6 +42,10 @@ FURNITURE = set("nav navbar navigation menu submenu breadcrumb breadcrumbs sideb
                 " reply replies footer share sharing social related recommended recommendations"
                 " pagination pager toolbar widget complementary contentinfo skip search alert"
                 " masthead topbar colophon copyright".split())
+# Inside articles: words that may stand beside one of FURNITURE in a class, and ids of reader comments
+FRAME = set("area bar block box buttons container content form group inner item items label links"
+            " list outer section slot unit wrap wrapper".split())
+COMMENT_IDS = {"comments", "respond", "disqus_thread"}
 HEADER = {"header", "head"}
 CONTENT = {"article", "main"}
 TEXT_KINDS = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody thead figcaption"
@@ -49,6 +55,7 @@ _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\
                   r"|[!?][^>]*(?:>|\Z)|/?[a-zA-Z][^>]*(>|\Z))", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?",
                    re.I)
+_NAMED = re.compile(r"(?:^| )(class|id|role)=(.*?)(?= (?:class|id|role|hidden|aria-hidden)=|\Z)", re.S)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -140,7 +147,24 @@ def _furniture(node: Node, inside: bool) -> bool:
         return True
     values = re.sub(r"(^| )[a-z-]+=", " ", node.names)
     words = {w.lower() for w in _PARTS.findall(values)}
-    return bool(words & FURNITURE) or (not inside and bool(words & HEADER))
+    if not inside:
+        return bool(words & (FURNITURE | HEADER))
+    return _named_inside(node)
+
+
+def _named_inside(node: Node) -> bool:
+    if node.tag in INLINE or (node.tag in TEXT_KINDS and node.tag != "article"):
+        return False
+    for key, value in _NAMED.findall(node.names):
+        for token in value.split():
+            if key == "id":
+                if token.lower() in COMMENT_IDS:
+                    return True
+                continue
+            words = {w.lower() for w in _PARTS.findall(token)}
+            if words & FURNITURE and words <= FURNITURE | FRAME:
+                return True
+    return False
 
 
 def _hash(root: Node) -> None:

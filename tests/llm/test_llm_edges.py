@@ -341,6 +341,14 @@ def test_deep_nesting_keeps_the_whole_text(spark):
     assert got == dict.fromkeys([0, 1, 2, 3, 4, 9], want)
 
 
+def test_names_inside_an_article_judge_containers_only():
+    page = """<article><section id="related-work"><h2 id="how-search-works">How</h2><p class="notice">
+    One.</p></section><div class="search-theory">Two.</div><span class="alert">Three.</span>
+    <div class="post tag-login">Four.</div><div class="share-buttons">x</div><div role="search">x</div>
+    <div id="comments">x</div><ul class="menu"><li>x</ul></article>"""
+    assert main_text(page, set()) == "How One. Two. Three. Four."
+
+
 def test_site_templates_go_and_articles_stay(spark):
     rows = [(i, f"http://one.example/{i}",
              f"<body><div class=q1>Same box on all pages</div><div><p>Own text {i}</p>"
