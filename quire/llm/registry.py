@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quire.llm import (decontaminate, exact_dedup, extraction, language, mixing, near_join, pii,
-                       tokens, toxicity, warc)
+                       tokens, topk, toxicity, trie, warc, whitening)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_language_id": language.op8_language_id,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_prefix_trie": trie.op11_prefix_trie,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_exact_topk": topk.op13_exact_topk,
 }
 
 ORACLE = {
@@ -23,4 +26,6 @@ ORACLE = {
     "op5_warc": warc.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_prefix_trie": trie.ORACLE,
+    "op13_exact_topk": topk.ORACLE,
 }
