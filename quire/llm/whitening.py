@@ -156,7 +156,7 @@ def _identity_error(done: DataFrame, f: Fit, k: int) -> float | None:
         mean[r["i"]] = r["s"] / f.n
 
     def rows(b: pa.RecordBatch) -> np.ndarray:
-        z = b["z"].flatten().to_numpy().reshape(len(b), k)
+        z = b["z"].flatten().to_numpy(zero_copy_only=False).reshape(len(b), k)
         return (z - mean)[:, steep]
 
     got = _covariance(done.select("z", "weight"), f.n, len(steep), rows)

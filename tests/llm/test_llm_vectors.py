@@ -144,7 +144,7 @@ def test_whitening_edges(spark):
     line = whitening.whiten(vectors(spark, [(i, [float(i), 1.0, 2.0 * i]) for i in range(9)])).collect()
     assert all(r.whitened[0] is not None and r.whitened[1:] == [None, None] for r in line)
     assert line[0].identity_error < 1e-9
-    big = whitening.whiten(vectors(spark, [(i, [1e17 * i, -1e17 * i * i]) for i in range(5)])).collect()
+    big = whitening.whiten(vectors(spark, [(i, [1e15 * i, -1e15 * i * i]) for i in range(5)])).collect()
     assert max(r.deviation for r in big) > 2**63 and big[0].identity_error < 1e-4
 
 
