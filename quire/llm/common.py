@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ASCII white space, as the contracts spell it: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
@@ -35,6 +37,15 @@ def hex_bucket(hex_digest: Column, n: int | Column) -> Column:
     return F.conv(F.substring(hex_digest, 1, 8), 16, 10).cast("bigint") % n
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there. Shuffle files of what came before
+    stay on the executors' disks until the driver collects its garbage, so it is asked to."""
+    out = df.checkpoint()
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def as_row(df: DataFrame) -> DataFrame:
     """All columns as one struct ``row``, so that helper columns cannot clash with them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
@@ -60,27 +71,24 @@ def join_spread(rows: DataFrame, info: DataFrame, keys: list[str], spread: str,
     return rows.join(near, [*keys, "_place"]).drop("_place")
 
 
-def lowest_hashes(rows: DataFrame, group: str, key: str, limits: dict | int) -> DataFrame:
+def sample_rows(rows: DataFrame, group: str, key: list[str], limits: dict | int) -> DataFrame:
     """Of every group (named in ``limits``, or any where that is a number) the rows with the
-    smallest hash of their key, at most and nearly always so many; (group, key, nr), nr from 1.
+    smallest hash of ``key``, at most and nearly always so many of different key; with nr, from 1.
 
-    The groups are few (labels, languages): they are counted first, and a bound on the hash leaves
-    about twice the rows wanted, so the ranking sees a bounded number of rows per group however
-    many the table has."""
+    Rows of equal key count once, so repeated rows take one place. The groups are few (labels,
+    languages): their different keys are counted first, and a bound on the hash leaves about twice
+    the rows wanted, so the ranking sees a bounded number of rows per group however many the table
+    has."""
     span = 1 << 40
-    counts = {r[group]: r["count"] for r in rows.groupBy(group).count().collect()}
-    if isinstance(limits, int):
-        limits = dict.fromkeys(counts, limits)
-    counts = {g: n for g, n in counts.items() if g in limits}
-    if not counts:
-        return rows.select(group, key, F.lit(0).alias("nr")).limit(0)
-    bounds = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (
-        g, min(span, 2 * span * limits[g] // n))])
-    most = F.create_map(*[F.lit(x) for g in counts for x in (g, limits[g])])
-    h = F.pmod(F.xxhash64(key), F.lit(span))
-    order = W.partitionBy(group).orderBy("_h", key)
-    return (rows.select(group, key, h.alias("_h"))
-            .where(F.col("_h") < F.element_at(bounds, F.col(group)))
-            .withColumn("nr", F.row_number().over(order))
-            .where(F.col("nr") <= F.element_at(most, F.col(group)))
-            .select(group, key, "nr"))
+    rows = rows.withColumn("_h", F.pmod(F.xxhash64(*key), F.lit(span)))
+    found = rows.groupBy(group).agg(F.approx_count_distinct("_h", 0.02).alias("n")).collect()
+    most = {r[group]: limits if isinstance(limits, int) else limits.get(r[group], 0) for r in found}
+    bounds = [(g, min(span, span * (2 * most[g] + 64) // max(1, r["n"])), most[g])
+              for r in found if most[g := r[group]]]
+    here = T.StructType([rows.schema[group], T.StructField("_bound", T.LongType()),
+                         T.StructField("_most", T.IntegerType())])
+    order = W.partitionBy(group).orderBy("_h")
+    return (rows.join(F.broadcast(rows.sparkSession.createDataFrame(bounds, here)), group)
+            .where("_h < _bound").dropDuplicates([group, "_h"])
+            .withColumn("nr", F.row_number().over(order)).where("nr <= _most")
+            .drop("_h", "_bound", "_most"))

@@ -5,8 +5,8 @@ dictionary. A text is cut into blocks, every block is compressed with every dict
 language whose dictionary gives the smallest sum wins. Where the runner-up is nearly as small the
 text is rejected.
 
-Training: per language at most ``SAMPLE_DOCS`` rows, those with the smallest hash of their id, of
-each a piece at an offset hashed from the id. Pieces are cut to one length at which all sampled rows
+Training: per language at most ``SAMPLE_DOCS`` rows with a letter, those with the smallest hash of
+their id and text (rows that agree in both count once), of each a piece at a hashed offset. Pieces are cut to one length at which all sampled rows
 of the language fit ``DICT_BYTES``. With very many languages each gets a smaller sample and
 dictionary, ``MODEL_BYTES`` in all, which bounds what the driver holds and broadcasts; what still
 grows with their number is a row of counts each (thousands of languages, not millions). Prediction
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import lowest_hashes, table
+from quire.llm.common import sample_rows, table
 
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 2048
@@ -54,22 +54,21 @@ def held_out(id_col: Column) -> Column:
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang") -> Model:
-    """Dictionary per language from the rows of ``df`` with a language and a text. No such rows
-    give an empty model."""
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"),
-                     F.col(f"`{text_col}`").alias("text")).where("lang is not null")
+    """Dictionary per language from the rows of ``df`` with a language and a text with a letter; ids
+    may be null or repeat. No such rows give an empty model."""
+    text = F.col(f"`{text_col}`")
+    rows = (df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"),
+                      text.alias("text")).where(text.rlike(r"\p{L}")).where("lang is not null"))
     langs = max(1, rows.select("lang").distinct().count())
     size = min(DICT_BYTES, MODEL_BYTES // langs)
     docs = max(1, min(SAMPLE_DOCS, SAMPLE_DOCS * size // DICT_BYTES))
-    # the ids chosen are at most SAMPLE_DOCS a language
-    chosen = lowest_hashes(rows, "lang", "id", docs)
-    window, at = 4 * SAMPLE_CHARS, F.xxhash64("id", F.lit("piece"))
+    window, at = 4 * SAMPLE_CHARS, F.xxhash64("id", F.lit("piece"), "text")
     start = F.pmod(at, F.greatest(F.lit(1), F.length("text") - window + 1)).cast("int") + 1
-    sample = (rows.where("text is not null").join(F.broadcast(chosen), ["lang", "id"])
+    sample = (sample_rows(rows, "lang", ["id", "text"], docs)
               .select("lang", "nr", at.alias("at"),
                       F.col("text").substr(start, F.lit(window)).alias("text")))
     texts: dict[str, list] = {}
-    for r in sample.toLocalIterator():
+    for r in sample.toLocalIterator():      # at most SAMPLE_DOCS pieces a language
         letters = _letters(r["text"])
         texts.setdefault(r["lang"], []).append(
             (r["nr"], _piece(letters, r["at"], SAMPLE_CHARS).encode(), r["at"]))
@@ -153,7 +152,8 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     A text that is null or has no letter, and any text where nothing was learned, is 'und' with
     score 0 and rejected. A tie goes to the language first in code-point order and is rejected. A
-    single language learned has no runner-up: score and margin are 1. Other columns are not read.
+    single language learned has no runner-up: score and margin are 1. Long texts are compressed
+    whole, block by block. Other columns are not read.
     """
     ids = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"),
                     F.coalesce(held_out(F.col(f"`{id_col}`")), F.lit(False)).alias("held_out"))

@@ -8,13 +8,14 @@ Features are the distinct words of a text and their first four and five letters,
 Those are kept that are ``LEAST_LIFT`` times as frequent among the features of toxic texts, beyond
 chance, the ``MOST_FEATURES`` strongest; a text without any of them is as clean as can be.
 
-Training uses a bounded sample of the labelled rows: at most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN``
-rows, those with the smallest hash of their id. Spark counts their features; the driver receives only
+Training uses a bounded sample of the labelled ids: at most ``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN``
+ids, those with the smallest hash, and one document of each. Spark counts their features; the driver receives only
 the kept features of the sampled rows and fits the weights with full-batch steps, so the fit is
 the same on every run. Prediction covers every row and whole texts.
 
 Where labels are yes or no, ``grades`` makes three grades of them: 0 clean, and among the toxic
-rows 1 for those with no more strong features than their median and 2 for the rest.
+rows 1 for those whose evidence is no more than the median and 2 for the rest. A row's evidence is
+its score under a yes/no model fitted without it (two halves, each scored by the other's model).
 """
 
 from __future__ import annotations
@@ -30,13 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import lowest_hashes, table
+from quire.llm.common import sample_rows, table
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4096, 12288
 MIN_ROWS = 3
 LEAST_LIFT = 3.0
 MOST_FEATURES = 4096
-STRONG = 8.0
 STEPS, RATE, PENALTY = 600, 0.05, 1e-4
 CUT = 0.5
 
@@ -64,11 +64,14 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The sampled rows: id, toxic, n_words, features."""
-    chosen = lowest_hashes(labels.where("id is not null and toxic is not null"), "toxic", "id",
-                           {True: SAMPLE_TOXIC, False: SAMPLE_CLEAN}).select("id", "toxic")
+    """The sampled rows: id, toxic, features."""
+    chosen = sample_rows(labels.where("id is not null and toxic is not null"), "toxic", ["id"],
+                         {True: SAMPLE_TOXIC, False: SAMPLE_CLEAN}).select("id", "toxic")
     kind = docs.schema["id"].dataType
-    return (docs.join(F.broadcast(chosen), "id").select("id", "toxic", "text")
+    # of documents that share an id one, picked on the map side, so the sample keeps its bound
+    return (docs.join(F.broadcast(chosen), "id").groupBy("id", "toxic")
+            .agg(F.min_by("text", F.struct(F.col("text").isNull(), F.xxhash64("text"))).alias("text"))
+            .select("id", "toxic", "text")
             .mapInArrow(_featured, T.StructType([
                 T.StructField("id", kind), *T.StructType.fromDDL(
                     "toxic boolean, features array<string>").fields])))
@@ -132,7 +135,8 @@ def _fit(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, n_cols: int) ->
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         toxic_col: str = "toxic") -> Model:
     """A model from labelled documents. Labels without a document, and null labels, don't count; a
-    label that repeats counts each time. Without rows of both kinds, or features that tell them
+    label that repeats counts once (an id may be labelled both ways), and of documents that share an
+    id one counts. Long texts are read whole. Without rows of both kinds, or features that tell them
     apart, the model has no weights and finds nothing."""
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     labels = labels.select(F.col(f"`{id_col}`").alias("id"),
@@ -153,22 +157,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 .orderBy("id", "toxic").collect())
     finally:
         sample.unpersist()
-    strong = {f for f, (a, b) in kept.items()
-              if a / n[True] >= STRONG * (b + 0.5) / n[False]}
     rows = np.array([i for i, r in enumerate(data) for _ in r["features"]], dtype=np.int64)
     cols = np.array([at[f] for r in data for f in r["features"]], dtype=np.int64)
     toxic = np.array([r["toxic"] for r in data])
-    marks = np.array([sum(f in strong for f in r["features"]) for r in data])
-    w, cut = _fit(rows, cols, grades(toxic, marks), len(names))
+    w, cut = _fit(rows, cols, grades(toxic, _evidence(rows, cols, toxic, len(names))), len(names))
     return Model(tuple((f, float(x)) for f, x in zip(names, w, strict=True)),
                  tuple(float(x) for x in cut))
 
 
-def grades(toxic: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """0 clean; of the toxic rows 2 those with more marks than their median, 1 the others."""
+def _evidence(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, n_cols: int) -> np.ndarray:
+    """Per row its score under a yes/no model fitted on the other half of the rows."""
+    out = np.zeros(len(toxic))
+    # every other row of either kind, so that both halves have both
+    half = np.empty(len(toxic), dtype=np.int64)
+    for kind in (True, False):
+        half[toxic == kind] = np.arange((toxic == kind).sum()) % 2
+    for side in (0, 1):
+        fit_on, score = np.flatnonzero(half != side), half == side
+        if not toxic[fit_on].any() or toxic[fit_on].all():
+            continue
+        at = np.full(len(toxic), -1)
+        at[fit_on] = np.arange(len(fit_on))
+        keep = at[rows] >= 0
+        w, _ = _fit(at[rows[keep]], cols[keep], toxic[fit_on].astype(np.int64), n_cols)
+        x = np.bincount(rows, weights=w[cols], minlength=len(toxic))
+        out[score] = x[score]
+    return out
+
+
+def grades(toxic: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+    """0 clean; of the toxic rows 2 those with more evidence than their median, 1 the others."""
     out = toxic.astype(np.int64)
     if toxic.any():
-        out[toxic & (marks > np.median(marks[toxic]))] = 2
+        out[toxic & (evidence > np.median(evidence[toxic]))] = 2
     return out
 
 
