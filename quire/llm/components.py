@@ -1,6 +1,6 @@
 """Connected components of an edge table by large-star and small-star rounds (DataFrame only).
 
-Every round is a partial aggregation and a salted join, so a hub with very many edges is spread;
+Every round is a partial aggregation and a spread join, so a hub with very many edges is no task;
 the edges are checkpointed once a round, in the cluster's checkpoint folder, and only a count and
 a checksum come to the driver."""
 
@@ -9,19 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import cut
 from quire.session import checkpoint_root
 
-SALTS = 16
+PLACES = 16
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """edges u, v: adds m, the least of u and all its v."""
-    least = (edges.groupBy("u").agg(F.min("v").alias("m"))
-             .select("u", F.least("u", "m").alias("m"),
-                     F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-             .repartition("u", "salt"))
-    return (edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-            .join(least, ["u", "salt"]).select("u", "v", "m"))
+    """edges u, v: adds m, the least of u and all its v. The edges of a node lie in ``PLACES``
+    places; what is known of it goes to those that have any."""
+    spread = (edges.withColumn("place", F.pmod(F.xxhash64("v"), F.lit(PLACES)).cast("int"))
+              .repartition("u", "place"))
+    here = spread.groupBy("u", "place").agg(F.min("v").alias("m"))
+    least = here.groupBy("u").agg(F.min("m").alias("m")).select("u", F.least("u", "m").alias("m"))
+    there = here.select("u", "place").join(least, "u")
+    return spread.join(there, ["u", "place"]).select("u", "v", "m")
 
 
 def _round(edges: DataFrame) -> DataFrame:
@@ -38,11 +40,11 @@ def components(edges: DataFrame) -> DataFrame:
     component) for every node but the labels themselves. No edges give no rows."""
     checkpoint_root(edges.sparkSession)
     edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges = edges.distinct().checkpoint()
+    edges = cut(edges.distinct())
     seen = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or now[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
         seen = now
-        edges = _round(edges).checkpoint()
+        edges = cut(_round(edges))

@@ -3,15 +3,21 @@
 A run hangs every set in a tree: at a node, a set ``x`` goes into the child of each of its shingles
 whose hash (seeded by the node) is below ``1 / (0.8 |x|)``. Two sets of Jaccard similarity 0.8
 share at least 0.8 of the larger one's shingles, so at each level they are expected to share a
-child at least once, while unlike sets part. Nodes of two to ``BUCKET_LIMIT`` sets are compared by
-brute force; larger ones are split once more, and what is left of them is compared whole, in
-blocks. Runs repeat until the chance of missing a pair at the threshold, whatever the depth, is
-below ``1 - recall``.
-
-1. ``_sketch``: equal sets become one text; a text carries its nodes, not its shingles.
-2. Nodes are counted (hot nodes by salted partial sums); single ones are dropped.
-3. A pair that meets in several buckets belongs to the smallest. From the lists of buckets alone it
-   is known which texts a bucket still has to compare, and only their shingles are fetched.
+child at least once, while unlike sets part. Nodes of more than ``BUCKET_LIMIT`` sets are split
+again, down to ``MOST_DEPTH``, where only sets that share most shingles are still together; the rest
+are buckets, compared by brute force. Runs repeat until the chance of missing a pair at the
+threshold at that depth is below ``1 - recall``.
+
+1. ``_sketch``: equal sets become one text; a text carries the first nodes of all runs. Nodes are
+   counted, those of one text dropped. The children of large nodes are made level by level, from the
+   texts in them alone: a task finds a text's path again from the large nodes' bit filters.
+2. Near copies share most of their buckets. Where half of a bucket's texts have the same largest
+   bucket, that is where they are gathered: one group instead of many buckets with the same texts,
+   if its pairs are no more than theirs. Buckets whose texts all are in one group are dropped.
+3. A pair that meets in several buckets belongs to its group, else to the smallest. From the lists
+   of buckets and one-bit minhash signatures it is known which texts a bucket still has to compare,
+   and only their shingles are fetched. A signature passes over a pair at the threshold with a
+   probability below a hundredth of ``1 - recall``.
 4. Buckets verify exact similarities and give per text its links and one edge towards the least
    text it is linked with there; components of the edges are the classes.
 
@@ -24,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.bitfilter import bits_for, collect_bits, may_hold
-from quire.llm.common import as_row, field, from_row, join_spread, table
+from quire.llm.common import as_row, cut, field, from_row, join_spread, table
 from quire.llm.components import components
 from quire.llm.words import Words, grams, mix64, numbers, words_of
 from quire.session import checkpoint_root
@@ -41,16 +48,32 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 BUCKET_LIMIT = 64
-BLOCK = 512
-SALTS = 16
+MOST_DEPTH = 4
+BLOCK = 1024
 LEAST_SHINGLES = 4      # smaller sets are equal or below any threshold over 0.75
+SIGNATURE = 128         # bits
 _MATRIX = 1 << 18
 
 
-def runs_for(recall: float) -> int:
-    """Runs after which a pair at the threshold is missed with probability below 1 - recall: it
-    parts within two levels of one run with probability exp(exp(-1) - 1) at most."""
-    return math.ceil(math.log(1 - recall) / (math.exp(-1) - 1))
+def runs_for(recall: float, depth: int) -> int:
+    """Runs after which a pair at the threshold is missed with probability below 1 - recall: the
+    number of children it shares is nearly a Poisson number of mean one, so it parts within one
+    level with probability exp(-1), within one more with exp(that - 1), and so on."""
+    parts = 0.0
+    for _ in range(depth):
+        parts = math.exp(parts - 1)
+    return math.ceil(math.log(1 - recall) / math.log(parts))
+
+
+def most_unlike(threshold: float, chance: float) -> int:
+    """Bits in which the signatures of a pair at the threshold differ at most, but for ``chance``:
+    each differs with probability (1 - threshold) / 2."""
+    p, tail = (1 - threshold) / 2, 0.0
+    for n in range(SIGNATURE, -1, -1):
+        tail += math.comb(SIGNATURE, n) * p**n * (1 - p)**(SIGNATURE - n)
+        if tail > chance:
+            return n
+    return 0
 
 
 def shingles(w: Words, i: int, k: int) -> np.ndarray:
@@ -78,15 +101,20 @@ def _chosen(s: np.ndarray, at: np.ndarray, least: np.uint64) -> tuple[np.ndarray
     return np.concatenate(ups), np.concatenate(kids)
 
 
-def _paths(s: np.ndarray, threshold: float, roots: np.ndarray) -> tuple[list, list, list]:
-    if len(s) < LEAST_SHINGLES:
-        return [], [], []
-    least = np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(s)))))
-    _, nodes = _chosen(s, roots, least)
-    if not len(nodes):
-        return [], [], []
-    up, kids = _chosen(s, nodes, least)
-    return nodes, kids, nodes[up]
+_ODD = numbers(SIGNATURE, 9) | np.uint64(1)
+
+
+def _signature(s: np.ndarray) -> tuple[int, int]:
+    """One bit of the smallest product of a shingle with each of ``SIGNATURE`` odd numbers."""
+    low = np.full(SIGNATURE, np.iinfo(np.uint64).max)
+    step = _MATRIX // SIGNATURE
+    for a in range(0, len(s), step):
+        np.minimum(low, (s[a:a + step, None] * _ODD).min(axis=0), out=low)
+    return tuple(np.packbits((mix64(low) & np.uint64(1)).astype(np.uint8)).view(np.int64).tolist())
+
+
+def _least(s: np.ndarray, threshold: float) -> np.uint64:
+    return np.uint64(min(2**64 - 1, int(2**64 / (threshold * len(s)))))
 
 
 def _longs(parts: list) -> pa.Array:
@@ -95,23 +123,113 @@ def _longs(parts: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _sketch(k: int, threshold: float, runs: int) -> Callable:
-    roots = numbers(runs, 7)
-
+def _sketch(k: int, threshold: float, roots: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for w in words_of(b["text"]):
                 n = w.hi - w.lo
-                k1, k2, nodes, kids, ups = [], [], [], [], []
+                k1, k2, s1, s2, nodes = [], [], [], [], []
                 for i in range(n):
                     s = shingles(w, i, k)
                     a, z = _key(s) if len(s) else (None, None)
-                    x, y, u = _paths(s, threshold, roots)
-                    k1.append(a), k2.append(z), nodes.append(x), kids.append(y), ups.append(u)
+                    k1.append(a), k2.append(z)
+                    a, z = _signature(s)
+                    s1.append(a), s2.append(z)
+                    nodes.append(_chosen(s, roots, _least(s, threshold))[1]
+                                 if len(s) >= LEAST_SHINGLES else [])
                 yield pa.record_batch({
                     "id": b["id"].slice(w.lo, n), "k1": pa.array(k1, pa.int64()),
-                    "k2": pa.array(k2, pa.int64()), "nodes": _longs(nodes), "kids": _longs(kids),
-                    "ups": _longs(ups)})
+                    "k2": pa.array(k2, pa.int64()), "s1": pa.array(s1, pa.int64()),
+                    "s2": pa.array(s2, pa.int64()), "nodes": _longs(nodes)})
+
+    return run
+
+
+def _held(held: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    return nodes[may_hold(held, nodes)] if len(nodes) else nodes
+
+
+def _children(k: int, threshold: float, roots: np.ndarray, large: list, wanted) -> Callable:
+    """Children of the large nodes of the last level, for the texts in them; ``large`` holds a bit
+    filter of each level's large nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b["h"].to_numpy()
+            keep = np.flatnonzero(may_hold(wanted.value, h.view(np.uint64)))
+            for w in words_of(b["text"].take(pa.array(keep))):
+                out: list[list] = [[], [], [], []]
+                for i in range(w.hi - w.lo):
+                    s = shingles(w, i, k)
+                    if len(s) < LEAST_SHINGLES:
+                        continue
+                    at, least = roots, _least(s, threshold)
+                    for level in large:
+                        at = _held(level.value, np.unique(_chosen(s, at, least)[1]))
+                        if not len(at):
+                            break
+                    if not len(at):
+                        continue
+                    kids = _chosen(s, at, least)[1].view(np.int64)
+                    for c, v in zip(out[1:], (*_key(s), h[keep[w.lo + i]]), strict=True):
+                        c.append(np.full(len(kids), v))
+                    out[0].append(kids)
+                if out[0]:
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in out],
+                                          names=["node", "k1", "k2", "h"])
+
+    return run
+
+
+def _rows_held(bits) -> Callable:
+    """(node, k1, k2, h) for the nodes of a text that are in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            off, val = _lists(b, "nodes")
+            row = np.repeat(np.arange(len(b)), np.diff(off))
+            val = val[off[0]:off[-1]]
+            keep = may_hold(bits.value, val.view(np.uint64)) if len(val) else np.zeros(0, bool)
+            at = pa.array(row[keep])
+            yield pa.record_batch({"node": pa.array(val[keep]), "k1": b["k1"].take(at),
+                                   "k2": b["k2"].take(at), "h": b["h"].take(at)})
+
+    return run
+
+
+def _members(bits, schema_of_row: list[str]) -> Callable:
+    """A row per text, bucket (of its group, and those in the filter) and block pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            off, flat = b["buckets"].offsets.to_numpy(), b["buckets"].values
+            num, n = flat.field("bucket").to_numpy(), flat.field("n").to_numpy()
+            group, size = (b[c].fill_null(0).to_numpy() for c in ("grp", "grp_n"))
+            there = b["grp"].is_valid().to_numpy(zero_copy_only=False)
+            key = b["k1"].to_numpy()
+            rows, lists, out = [], [], [[], [], [], []]
+            for i in range(len(b)):
+                own = num[off[i]:off[i + 1]]
+                keep = may_hold(bits.value, own.view(np.uint64) << np.uint64(1))
+                own, sizes = own[keep], n[off[i]:off[i + 1]][keep]
+                if there[i]:
+                    own, sizes = np.append(own, int(group[i])), np.append(sizes, int(size[i]))
+                for bucket, m in zip(own.tolist(), sizes.tolist(), strict=True):
+                    blocks = -(-m // BLOCK)
+                    mine = int(key[i]) % blocks
+                    for other in range(blocks):
+                        rows.append(i)
+                        lists.append(own)
+                        for c, v in zip(out, (bucket, min(mine, other), max(mine, other), mine),
+                                        strict=True):
+                            c.append(v)
+            if rows:
+                at = pa.array(rows)
+                cols = dict(zip(("bucket", "lo", "hi", "block"),
+                                (pa.array(c, pa.int64()) for c in out), strict=True))
+                cols |= {c: b[c].take(at) for c in ("k1", "k2", "s1", "s2", "h", "rep", "copies")}
+                cols["buckets"] = _longs(lists)
+                yield pa.record_batch([cols[c] for c in schema_of_row], names=schema_of_row)
 
     return run
 
@@ -155,47 +273,51 @@ def _lists(t: pa.Table, c: str) -> tuple[np.ndarray, np.ndarray]:
     return col.offsets.to_numpy(), col.values.to_numpy()
 
 
-def _open_pairs(bucket: int, block: np.ndarray, lo: int, hi: int,
-                lists: list[np.ndarray]) -> np.ndarray:
-    """Boolean matrix: the pairs that belong to this bucket and block pair."""
+def _open_pairs(bucket: int, block: np.ndarray, lo: int, hi: int, lists: list[np.ndarray],
+                signs: tuple[np.ndarray, np.ndarray], unlike: int) -> np.ndarray:
+    """Boolean matrix: the pairs that belong to this bucket and block pair and whose signatures
+    differ in at most ``unlike`` bits."""
     n = len(lists)
-    mine = np.ones((n, n), dtype=bool)
+    mine = sum(np.bitwise_count(x[:, None] ^ x[None, :]) for x in signs) <= unlike
     if lo != hi:
-        mine = (block[:, None] == lo) & (block[None, :] == hi)
+        mine &= (block[:, None] == lo) & (block[None, :] == hi)
     else:
         mine = np.triu(mine, 1)
     earlier = [x[x < bucket] for x in lists]
     flat = np.concatenate(earlier)
     if len(flat):
         who = np.repeat(np.arange(n), [len(x) for x in earlier])
-        _, inv, cnt = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = cnt > 1
-        if shared.any():
-            col = np.cumsum(shared) - 1
-            pick = shared[inv]
-            m = np.zeros((n, int(shared.sum())), dtype=np.float32)
-            m[who[pick], col[inv[pick]]] = 1
-            mine &= (m @ m.T) == 0
+        order = np.lexsort((who, flat))
+        flat, who = flat[order], who[order]
+        edge = np.concatenate(([0], np.flatnonzero(flat[1:] != flat[:-1]) + 1, [len(flat)]))
+        for i in np.flatnonzero(np.diff(edge) > 1):
+            both = who[edge[i]:edge[i + 1]]
+            mine[np.ix_(both, both)] = False
     return mine
 
 
-def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _needed(unlike: int) -> Callable:
     """Of every bucket's members those that have a pair left to compare there."""
-    for t, los, his in _in_order(batches, ["bucket", "lo", "hi"]):
-        if not len(los):
-            continue
-        bucket, blk = t["bucket"].to_numpy(), t["block"].to_numpy()
-        a, z = t["lo"].to_numpy(), t["hi"].to_numpy()
-        off, val = _lists(t, "buckets")
-        keep = []
-        for lo, hi in zip(los, his, strict=True):
-            if hi - lo < 2:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, los, his in _in_order(batches, ["bucket", "lo", "hi"]):
+            if not len(los):
                 continue
-            own = [val[off[i]:off[i + 1]] for i in range(lo, hi)]
-            mine = _open_pairs(bucket[lo], blk[lo:hi], a[lo], z[lo], own)
-            keep.append(lo + np.flatnonzero(mine.any(axis=0) | mine.any(axis=1)))
-        if keep:
-            yield from t.take(pa.array(np.concatenate(keep))).to_batches()
+            bucket, blk, a, z = (t[c].to_numpy() for c in ("bucket", "block", "lo", "hi"))
+            signs = [t[c].to_numpy().view(np.uint64) for c in ("s1", "s2")]
+            off, val = _lists(t, "buckets")
+            keep = []
+            for lo, hi in zip(los, his, strict=True):
+                if hi - lo < 2:
+                    continue
+                own = [val[off[i]:off[i + 1]] for i in range(lo, hi)]
+                mine = _open_pairs(bucket[lo], blk[lo:hi], a[lo], z[lo], own,
+                                   [x[lo:hi] for x in signs], unlike)
+                keep.append(lo + np.flatnonzero(mine.any(axis=0) | mine.any(axis=1)))
+            if keep:
+                yield from t.take(pa.array(np.concatenate(keep))).to_batches()
+
+    return run
 
 
 def _overlaps(sets: list[np.ndarray], wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -221,12 +343,13 @@ def _overlaps(sets: list[np.ndarray], wanted: np.ndarray) -> Iterator[tuple[int,
         yield i, np.bincount(posting[at], minlength=len(sets))
 
 
-def _verified(threshold: float) -> Callable:
+def _verified(threshold: float, unlike: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, los, his in _in_order(batches, ["bucket", "lo", "hi"]):
             if not len(los):
                 continue
             col = {c: t[c].to_numpy() for c in ("bucket", "lo", "hi", "block", "k1", "k2", "copies")}
+            signs = [t[c].to_numpy().view(np.uint64) for c in ("s1", "s2")]
             off, val = _lists(t, "buckets")
             soff, sval = _lists(t, "s")
             at, links, to = [], [], []
@@ -243,7 +366,8 @@ def _verified(threshold: float) -> Callable:
                 sets = [sval[soff[i]:soff[i + 1]] for i in own]
                 size = np.array([len(s) for s in sets])
                 mine = _open_pairs(col["bucket"][lo], col["block"][own], col["lo"][lo],
-                                   col["hi"][lo], [val[off[i]:off[i + 1]] for i in own])
+                                   col["hi"][lo], [val[off[i]:off[i + 1]] for i in own],
+                                   [x[own] for x in signs], unlike)
                 least = np.minimum(size[:, None], size[None, :])
                 mine &= least >= threshold * (size[:, None] + size[None, :] - least) - 1e-9
                 n, copies = np.zeros(len(own), dtype=np.int64), col["copies"][own]
@@ -271,13 +395,62 @@ def _verified(threshold: float) -> Callable:
     return run
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """rows node, k1, k2: adds n, the rows of the node, where there are two at least."""
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("k1", "k2"), F.lit(SALTS)).cast("int"))
-    rows = rows.repartition("node", "salt")
-    some = rows.groupBy("node", "salt").agg(F.count(F.lit(1)).alias("c"))
-    n = some.groupBy("node").agg(F.sum("c").alias("n")).where("n > 1")
-    return rows.join(some.select("node", "salt").join(n, "node"), ["node", "salt"]).drop("salt")
+def _filter(spark: SparkSession, values: DataFrame, column: str):
+    """A broadcast bit filter of a bounded size over a column of hashes."""
+    return spark.sparkContext.broadcast(collect_bits(values, column, bits_for(values.count())))
+
+
+def _with_size(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows node, k1, ..: those whose node is in ``sizes``, with its size n; hot nodes are spread."""
+    return join_spread(rows, sizes, ["node"], "k1")
+
+
+def _buckets(spark: SparkSession, ids: DataFrame, texts: DataFrame, shingle: int, threshold: float,
+             roots: np.ndarray, limit: int) -> DataFrame:
+    """bucket, n, k1, k2: the buckets of every text that shares one."""
+    sizes = cut(texts.select(F.explode("nodes").alias("node")).groupBy("node")
+                .agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    rows = texts.select("nodes", "k1", "k2", F.xxhash64("rep").alias("h")).mapInArrow(
+        _rows_held(_filter(spark, sizes, "node")), "node long, k1 long, k2 long, h long")
+    level = cut(_with_size(rows, sizes))
+    done, large = [], []
+    for depth in range(1, MOST_DEPTH + 1):
+        done.append(level.where(F.col("n") <= limit))
+        level = level.where(F.col("n") > limit)
+        ups = level.select("node", "n").distinct().checkpoint()
+        if depth == MOST_DEPTH or ups.isEmpty():
+            done.append(level)
+            break
+        large.append(_filter(spark, ups, "node"))
+        wanted = _filter(spark, level.select("h").distinct().checkpoint(), "h")
+        kids = cut(ids.select(F.xxhash64("id").alias("h"), "text")
+                .mapInArrow(_children(shingle, threshold, roots, list(large), wanted),
+                            "node long, k1 long, k2 long, h long")
+                .groupBy("node", "k1", "k2").agg(F.min("h").alias("h")))
+        sizes = cut(kids.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        level = cut(_with_size(kids, sizes))
+    out = [d.select(F.shiftrightunsigned("node", 1).alias("bucket"), "n", "k1", "k2") for d in done]
+    return reduce(lambda a, b: a.union(b), out)
+
+
+def _gathered(lists: DataFrame) -> DataFrame:
+    """lists: k1, .., buckets (array of n, bucket), first (the largest). Adds grp and grp_n (null where there is
+    none): the group a text is gathered in, numbered below all buckets."""
+    by_first = (lists.select(F.explode("buckets.bucket").alias("bucket"), "first")
+                .groupBy("bucket", "first").agg(F.count(F.lit(1)).alias("c")))
+    of = (by_first.groupBy("bucket").agg(
+        F.sum("c").alias("n"), F.max(F.struct("c", "first")).alias("top"),
+        F.sum(F.when(F.col("first") == F.col("bucket"), F.col("c")).otherwise(0)).alias("firsts"))
+        .where(F.col("top.c") * 2 >= F.col("n"))
+        .select("bucket", "n", "firsts", F.col("top.first").alias("to")).checkpoint())
+    fits = (of.groupBy("to").agg(F.sum("firsts").alias("size"),
+                                 F.sum(F.col("n") * F.col("n")).alias("pairs"))
+            .where(F.col("size") * F.col("size") <= F.col("pairs")).select("to", "size"))
+    to = of.where("firsts > 0").join(fits, "to").select(
+        F.col("bucket").alias("first"), (-1 - F.col("to")).alias("grp"),
+        F.col("size").alias("grp_n"))
+    every = lists.select("first").distinct().join(to, "first", "left")
+    return join_spread(lists, every, ["first"], "k1")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -288,51 +461,51 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Words are runs of letters, digits and non-ASCII characters, lower-cased. A text of one to four
     words is one shingle; a text without words, or null, is a class of its own without links. Equal
-    shingle sets are links (similarity 1). A null id is allowed; rows that share an id share its
-    class. An empty table gives an empty result. Other columns are not read.
+    shingle sets are links (similarity 1), so repeated rows are compared once, however many; a long
+    text is one set and needs memory for its shingles. A null id is allowed; rows that share an id
+    share its class. An empty table gives an empty result. Other columns are not read.
     """
     spark = df.sparkSession
     checkpoint_root(spark)
     ids = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    id_type = ids.schema["id"].dataType
-    sketch = ids.mapInArrow(_sketch(shingle, threshold, runs_for(recall)), T.StructType([
-        T.StructField("id", id_type), *T.StructType.fromDDL(
-            "k1 long, k2 long, nodes array<long>, kids array<long>, ups array<long>").fields]))
-    sketch = sketch.checkpoint()
+    id_field = T.StructField("id", ids.schema["id"].dataType)
+    roots = numbers(runs_for(recall, MOST_DEPTH), 7)
+    unlike = most_unlike(threshold, (1 - recall) / 100)
+    sketch = ids.mapInArrow(_sketch(shingle, threshold, roots), T.StructType([
+        id_field, *T.StructType.fromDDL("k1 long, k2 long, s1 long, s2 long, nodes array<long>").fields])).checkpoint()
     key = ["k1", "k2"]
-    texts = (sketch.where("k1 is not null").groupBy(*key)
+    texts = cut(sketch.where("k1 is not null").groupBy(*key)
              .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"),
-                  F.first("nodes").alias("nodes"), F.first("kids").alias("kids"),
-                  F.first("ups").alias("ups")))
-    first = _counted(texts.select(F.explode("nodes").alias("node"), *key)).checkpoint()
-    kids = (first.where(F.col("n") > bucket_limit).select(F.col("node").alias("up"), *key)
-            .join(texts.select(*key, F.arrays_zip("kids", "ups").alias("kids")), key)
-            .select(*key, F.explode(F.expr("transform(filter(kids, x -> x.ups = up), x -> x.kids)"))
-                    .alias("node")))
-    buckets = (first.where(F.col("n") <= bucket_limit).select("node", *key, "n")
-               .union(_counted(kids.distinct().select("node", *key)).select("node", *key, "n")))
-    buckets = buckets.select(F.col("node").alias("bucket"), *key, "n").checkpoint()
-    lists = (buckets.groupBy(*key).agg(F.collect_list("bucket").alias("buckets"))
-             .join(texts.select(*key, "rep", "copies"), key))
-    blocks = F.ceil(F.col("n") / BLOCK)
-    members = (buckets.join(lists, key)
-               .withColumn("block", F.pmod(F.xxhash64(*key), blocks))
-               .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-               .select("bucket", F.least("block", "other").alias("lo"),
-                       F.greatest("block", "other").alias("hi"), "block", *key, "rep", "copies",
-                       "buckets"))
+                  F.first("s1").alias("s1"), F.first("s2").alias("s2"),
+                  F.first("nodes").alias("nodes")))
+    buckets = _buckets(spark, ids, texts, shingle, threshold, roots, bucket_limit)
+    lists = cut(buckets.groupBy(*key)
+             .agg(F.collect_list(F.struct("n", "bucket")).alias("buckets"))
+             .join(texts.drop("nodes"), key)
+             .withColumn("h", F.xxhash64("rep"))
+             .withColumn("first", F.array_max("buckets")["bucket"]))
+    lists = cut(_gathered(lists))
+    # a bucket whose texts are all in one group has nothing left to compare
+    left = (lists.select(F.explode("buckets.bucket").alias("bucket"), "grp").groupBy("bucket")
+            .agg(F.min("grp").alias("a"), F.max("grp").alias("z"),
+                 F.count_if(F.col("grp").isNull()).alias("free"))
+            .where("free > 0 or a != z").select(F.shiftleft("bucket", 1).alias("bucket"))).checkpoint()
+    rep = T.StructField("rep", id_field.dataType)
+    row = T.StructType([
+        *T.StructType.fromDDL("bucket long, lo long, hi long, block long, k1 long, k2 long,"
+                              " s1 long, s2 long, h long").fields, rep,
+        *T.StructType.fromDDL("copies long, buckets array<long>").fields])
+    members = lists.mapInArrow(_members(_filter(spark, left, "bucket"), row.names), row)
     task = ["bucket", "lo", "hi"]
-    needed = (members.repartition(*task).sortWithinPartitions(*task)
-              .mapInArrow(_needed, members.schema)).checkpoint()
-    wanted = needed.select(F.xxhash64("rep").alias("h")).distinct()
-    count = wanted.count()
-    bits = spark.sparkContext.broadcast(collect_bits(wanted, "h", bits_for(count)))
+    needed = cut(members.repartition(*task).sortWithinPartitions(*task)
+                 .mapInArrow(_needed(unlike), row))
+    bits = _filter(spark, needed.select("h").distinct(), "h")
     sets = (ids.select(F.xxhash64("id").alias("h"), "text")
             .mapInArrow(_sets(shingle, bits), "k1 long, k2 long, s array<long>"))
-    found = (needed.join(sets, key).repartition(*task).sortWithinPartitions(*task)
-             .mapInArrow(_verified(threshold), T.StructType([
-                 *T.StructType.fromDDL("k1 long, k2 long, links long").fields,
-                 T.StructField("rep", id_type), T.StructField("to_rep", id_type)]))).checkpoint()
+    found = cut(needed.drop("h").join(sets, key).repartition(*task).sortWithinPartitions(*task)
+             .mapInArrow(_verified(threshold, unlike), T.StructType([
+                 *T.StructType.fromDDL("k1 long, k2 long, links long").fields, rep,
+                 T.StructField("to_rep", id_field.dataType)])))
     links = found.groupBy(*key).agg(F.sum("links").alias("links"))
     label = components(found.where("rep is not null and to_rep is not null")
                        .select(F.col("rep").alias("u"), F.col("to_rep").alias("v")))
