@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from quire.llm.bitfilter import bits_for, collect_bits, may_hold
 from quire.llm.common import as_row, field, from_row, table
+from quire.llm.vectors import in_parts, repeated
 from quire.llm.words import grams, lowest, windows_in_rows, words_of
 
 GRAM, WINDOW = 5, 10
@@ -64,10 +65,11 @@ def _document_rows(sizes: list[int], bits) -> Callable:
     """Per document one row with start null, and one per window that may be in the benchmark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = bits.value
+        held, seen = bits.value, 0
         for b in batches:
             for w in words_of(b["text"]):
                 n = w.hi - w.lo
+                seen += n
                 uid = np.array([int.from_bytes(hashlib.md5(w.row(i)).digest()[:8], "little",
                                                signed=True) for i in range(n)], dtype=np.int64)
                 rows, starts, lens, texts = [np.arange(n)], [np.full(n, -1)], [np.zeros(n)], [""] * n
@@ -91,7 +93,9 @@ def _document_rows(sizes: list[int], bits) -> Callable:
                     "start": pa.array(start, mask=start < 0),
                     "size": pa.array(np.concatenate(lens).astype(np.int32)),
                     "words": pa.array(texts, pa.string()),
-                    "fp": pa.array(np.concatenate(prints))})
+                    "fp": pa.array(np.concatenate(prints)),
+                    # by the row's place in its task, so that equal rows are spread as well
+                    "salt": pa.array(((seen + row) % SALTS).astype(np.int32))})
 
     return run
 
@@ -104,8 +108,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items (those ids).
 
     A null or empty text has no words and no hits; an item without words has no window. An item id
-    that repeats counts once; a null item id reads 'null'. Repeated documents each get a row. An
-    empty benchmark leaves every document clean. Other columns are not read.
+    that repeats counts once; a null item id reads 'null'. Repeated documents each get a row and are
+    matched once per task and salt. Long texts are read whole. An empty benchmark leaves every
+    document clean. Other columns are not read.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("null"))
@@ -117,9 +122,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ids = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([T.StructField("id", ids.schema["id"].dataType),
                            *T.StructType.fromDDL("uid long, n_words long, start long, size int,"
-                                                 " words string, fp long").fields])
-    rows = (ids.mapInArrow(_document_rows(sorted(sizes), bits), schema)
-            .withColumn("salt", F.pmod(F.xxhash64("uid", "id"), F.lit(SALTS)).cast("int")))
+                                                 " words string, fp long, salt int").fields])
+    rows = ids.mapInArrow(_document_rows(sorted(sizes), bits), schema)
     # never broadcast: the planner does not see that the windows are repeated
     known = (known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
              .hint("merge"))
@@ -127,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     united = F.expr("""aggregate(hits, struct(0L as n, 0L as reach), (u, h) -> struct(
         u.n + greatest(0L, h.start + h.size - greatest(u.reach, h.start)) as n,
         greatest(u.reach, h.start + h.size) as reach), u -> u.n)""")
-    return (rows.join(known, ["fp", "words", "salt"], "left")
+    counted = (rows.join(known, ["fp", "words", "salt"], "left")
             .groupBy("id", "uid", "n_words")
             .agg(F.count(F.when(F.col("start").isNull(), 1)).alias("copies"),
                  F.array_sort(F.collect_set(F.when(found, F.struct("start", "size")))).alias("hits"),
@@ -135,9 +139,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             .select(F.col("id").alias(id_col), "n_words", united.alias("n_hit"),
                     F.size("items").cast("bigint").alias("n_items"),
                     F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-                    (F.size("hits") > 0).alias("contaminated"), "items",
-                    F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-            .drop("copy"))
+                    (F.size("hits") > 0).alias("contaminated"), "items", "copies"))
+    return repeated(in_parts(counted)).drop("copies")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",

@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.common import SPACE, bucket_count, hex_bucket, md5_of, table
+from quire.llm.vectors import PART, in_parts
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -104,7 +105,8 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Sources are taken in code-point order, null last, with weights 5, 2, 1 repeating; a null
     source is a source of its own, apart from the empty name. Null and empty texts have size 0 and
-    nothing is taken of them. Repeated rows count as rows of their own. Reruns agree, whatever the
+    nothing is taken of them; long texts are counted whole. Repeated rows count as rows of their own,
+    but are ranked as one entry. Reruns agree, whatever the
     partitioning: every choice is a function of the ids, the sizes and ``seed``. An empty table
     gives an empty result. Other columns are not read.
     """
@@ -114,10 +116,12 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = (df.select(F.col(f"`{id_col}`").alias("id"), src.isNull().alias("src_null"),
                       F.coalesce(src.cast("string"), F.lit("")).alias("src"),
                       word_count(F.col(f"`{text_col}`")).alias("size"))
+            # rows that agree in all of these are one entry, made on the map side
+            .groupBy("id", "src_null", "src", "size").agg(F.count(F.lit(1)).alias("copies"))
             .withColumn("at", md5_of(seed, F.col("id")))
             .withColumn("shard", hex_bucket(F.col("at"), shards))
             .repartition(*key))
-    by_shard = rows.groupBy(*key).agg(F.sum("size").alias("words"))
+    by_shard = rows.groupBy(*key).agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
     by_shard = by_shard.withColumn("blocks", F.when(F.col("words") > 0, F.greatest(
         F.lit(1), F.round(F.col("words") / block_words))).otherwise(0).cast("bigint"))
     sources = _targets(by_shard.groupBy("src_null", "src")
@@ -146,9 +150,13 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 .withColumn("c", F.expr("(greatest(last - n, 0) * words) div n"))
                 .select(*key, "source_size", "target", "passes", "a", "b", "c"))
     line = W.partitionBy(*key).orderBy("at", "size", "id").rowsBetween(W.unboundedPreceding, 0)
-    return (rows.withColumn("end", F.sum("size").over(line))
-            .withColumn("start", F.col("end") - F.col("size"))
-            .join(of_shard, key)
+    entries = (rows.withColumn("end", F.sum(F.col("size") * F.col("copies")).over(line))
+               .join(of_shard, key))
+    nth = F.col("part") * PART + F.col("nth")
+    return (in_parts(entries)
+            .withColumn("nth", F.explode(F.expr("sequence(0L, share - 1)")))
+            .withColumn("start", F.col("end") - F.col("size") * (F.col("copies") - nth))
+            .withColumn("end", F.col("start") + F.col("size"))
             .select(F.col("id").alias(id_col), "size", "source_size", "target",
                     F.expr("passes * size + greatest(0, least(end, b) - greatest(start, a))"
                            " + greatest(0, least(end, c) - start)").alias("taken"),

@@ -25,11 +25,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.common import join_spread, table
+from quire.llm.vectors import in_parts
 from quire.session import checkpoint_root
 
 LEAST_REVISIT = 100
@@ -41,7 +41,7 @@ DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")      # the URL name space of RFC 4122
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _INDEX = ("file string, offset long, length long, url string, payload_digest string, "
-          "payload_bytes long, record_type string")
+          "payload_bytes long, record_type string, refers string")
 
 
 def _urn(record_id) -> str:
@@ -94,11 +94,11 @@ def _writer(folder: str) -> Callable:
                     data = z.compress(_record(row)) + z.flush()
                     out.write(data)
                     index.append((path, offset, len(data), row["url"], row["digest"],
-                                  row["bytes"], row["type"]))
+                                  row["bytes"], row["type"], row["refers"]))
                     offset += len(data)
                 cols = list(zip(*index, strict=True))
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(),
-                         pa.string())
+                         pa.string(), pa.string())
                 names = [c.split()[0] for c in _INDEX.split(", ")]
                 yield pa.record_batch({"id": b["id"], "refers_to": b["refers_id"]}
                                       | {n: pa.array(c, k) for n, c, k in
@@ -117,7 +117,7 @@ def _reader(folder: str, near: int, most: int) -> Callable:
         for b in batches:
             if store is None:
                 store, root = fs.FileSystem.from_uri(folder)
-            rows = b.select(["file", "offset", "length"]).to_pylist()
+            rows = b.select(["file", "offset", "length", "refers"]).to_pylist()
             types, digests, sizes, texts, refs, i = [], [], [], [], [], 0
             while i < len(rows):
                 file, begin = rows[i]["file"], rows[i]["offset"]
@@ -137,6 +137,8 @@ def _reader(folder: str, near: int, most: int) -> Callable:
                     full = fields["WARC-Type"] == "response"
                     if full and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"damaged payload in {file} at {r['offset']}")
+                    if fields.get("WARC-Refers-To") != (r["refers"] and _urn(r["refers"])):
+                        raise ValueError(f"index and record differ in {file} at {r['offset']}")
                     types.append(fields["WARC-Type"])
                     digests.append(digest)
                     sizes.append(len(payload) if full else int(fields["X-Payload-Length"]))
@@ -163,34 +165,39 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
     The payload is the html in UTF-8; null is empty. Of rows with equal payloads of at least
     ``least_revisit`` bytes the one with the smallest id (null last) is a response and the others
-    are revisits of it; of rows that repeat that id one is the response. Smaller payloads are all
-    responses. A null url is an empty target. An empty table gives an empty index.
+    are revisits of it; of rows that repeat that id the one with the smallest url is the response.
+    Smaller payloads are all responses. A null url is an empty target; long payloads are one record.
+    An empty table gives an empty index.
     """
     html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
-    checkpoint_root(df.sparkSession)
-    names = (df.select(F.col(f"`{id_col}`").alias("id"), F.sha2(html, 256).alias("digest"),
-                       F.octet_length(html).cast("bigint").alias("bytes")).checkpoint())
-    first = (names.where(F.col("bytes") >= least_revisit).groupBy("digest")
-             .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id")).alias("first"),
-                  F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"))
-    key = F.concat_ws(":", "digest", F.col("id").cast("string"))
-    again = (join_spread(names, first, ["digest"], "id")
-             .select(key.alias("key"), F.col("first.id").alias("refers_id"),
-                     F.lit(True).alias("again")).distinct())
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"),
-                     F.col(f"`{html_col}`").alias("html"), F.sha2(html, 256).alias("digest"),
-                     F.octet_length(html).cast("bigint").alias("bytes"))
-    # join and window on one key, so that the pages are shuffled once
-    rows = (rows.withColumn("key", key).join(again, "key", "left")
-            .withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("url"))))
-    first_again = F.col("id").eqNullSafe(F.col("refers_id")) & (F.col("nth") == 1)
-    revisit = F.col("again").isNotNull() & ~first_again
-    rows = rows.select("id", "url", "html", "digest", "bytes",
-                       F.when(revisit, "revisit").otherwise("response").alias("type"),
-                       F.when(revisit, F.col("refers_id")).alias("refers_id"),
-                       F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("name"),
-                       F.when(revisit, F.coalesce(F.col("refers_id").cast("string"),
-                                                  F.lit("null"))).alias("refers"))
+    pages = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"),
+                      html.alias("html"), F.sha2(html, 256).alias("digest"),
+                      F.octet_length(html).cast("bigint").alias("bytes"))
+    pages = pages.withColumn("key", F.md5(F.concat(F.to_json(F.struct("id", "url")), "digest")))
+    # equal rows are one entry, made on the map side
+    entry = F.struct(F.col("id").isNull().alias("no_id"), "id", F.col("url").isNull().alias("no_url"),
+                     "url")
+    names = (pages.groupBy("key", "digest", "bytes")
+             .agg(F.count(F.lit(1)).alias("n"), F.first(entry).alias("entry")))
+    some = names.where(F.col("bytes") >= least_revisit)
+    first = (some.groupBy("digest").agg(F.min("entry").alias("first"), F.sum("n").alias("n"))
+             .where("n > 1").select("digest", "first"))
+    again = (join_spread(some.select("key", "digest", "entry"), first, ["digest"], "key")
+             .select("key", F.col("first.id").alias("refers_id"), F.lit(True).alias("again"),
+                     F.col("entry").eqNullSafe(F.col("first")).alias("is_first")))
+    # aggregate and join on one key, so that the pages are shuffled once
+    rows = (pages.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first(F.struct(
+        "id", "url", "html", "digest", "bytes")).alias("p"))
+            .join(again, "key", "left").select("copies", "p.*", "refers_id", "again", "is_first"))
+    copy = (F.col("part") == 0) & (F.col("nth") == 1) & F.col("is_first")
+    revisit = F.col("again").isNotNull() & ~copy
+    rows = (in_parts(rows).withColumn("nth", F.explode(F.expr("sequence(1L, share)")))
+            .select("id", "url", "html", "digest", "bytes",
+                    F.when(revisit, "revisit").otherwise("response").alias("type"),
+                    F.when(revisit, F.col("refers_id")).alias("refers_id"),
+                    F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("name"),
+                    F.when(revisit, F.coalesce(F.col("refers_id").cast("string"),
+                                               F.lit("null"))).alias("refers")))
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType),
                            T.StructField("refers_to", rows.schema["id"].dataType),
                            *T.StructType.fromDDL(_INDEX).fields])
@@ -202,7 +209,7 @@ def read_archives(index: DataFrame, folder: str, near: int = NEAR,
                   most: int = MOST_READ) -> DataFrame:
     """The records of the given index rows (any selection), read back from the archives: id, url,
     payload_bytes, payload_digest, record_type, refers_to, refers_urn, payload (null for a
-    revisit). The digest of every payload read is checked."""
+    revisit). The digest of every payload read, and what a revisit refers to, is checked."""
     kind = index.schema["id"].dataType
     schema = T.StructType([
         T.StructField("id", kind), *T.StructType.fromDDL(
@@ -211,7 +218,7 @@ def read_archives(index: DataFrame, folder: str, near: int = NEAR,
         *T.StructType.fromDDL("refers_urn string, payload string").fields])
     total = index.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, math.ceil(total / TASK_READ))
-    return (index.select("id", "url", "refers_to", "file", "offset", "length")
+    return (index.select("id", "url", "refers_to", "refers", "file", "offset", "length")
             .repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
             .mapInArrow(_reader(folder, near, most), schema))
 
