@@ -4,12 +4,14 @@ Rules (what a page template is made of is decided elsewhere, from counts per hos
 
 * Script, style and other non-text elements, navigation, footers, asides, forms and elements whose
   class, id or role names a menu, header, footer, sidebar, notice, advert, form or reader comment
-  are left out. A header or a heading group inside an article is part of the article, and names
-  there count on containers only (not on headings, paragraphs, cells, list items and inline
-  elements): whole class or role words, and of ids those of reader comments.
+  are left out. A name counts as a whole: ``sidebar-inner`` names a sidebar, ``has-sidebar`` and
+  ``search-algorithms`` don't. A header or a heading group inside an article is part of the article,
+  and names there count on containers only (not on headings, paragraphs, cells, list items and
+  inline elements), of ids only those of reader comments.
   An element around the first article or main is not judged by its names.
 * If any article element is left, the text is that of the articles; else that of main; else that
-  of the body.
+  of the body. Articles that hold the smaller part of main (of the body, where there is no main) are
+  teasers or inserts, and main (the body) is read.
 * Line breaks and block elements part words; other elements don't.
 """
 
@@ -18,10 +20,12 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 # Element names of the HTML standard, and usual names of page furniture.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+FOREIGN = {"svg", "math"}
 RAW = set("script style noscript template iframe svg math textarea title select object canvas"
           " audio video noframes noembed xmp".split())
 DROPPED = set("head nav footer aside form button dialog menu fieldset label datalist".split())
@@ -42,16 +46,21 @@ FURNITURE = set("nav navbar navigation menu submenu breadcrumb breadcrumbs sideb
                 " reply replies footer share sharing social related recommended recommendations"
                 " pagination pager toolbar widget complementary contentinfo skip search alert"
                 " masthead topbar colophon copyright".split())
-# Inside articles: words that may stand beside one of FURNITURE in a class, and ids of reader comments
-FRAME = set("area bar block box buttons container content form group inner item items label links"
-            " list outer section slot unit wrap wrapper".split())
+# words that may stand beside one of FURNITURE in a name; and ids of reader comments
+FRAME = set("area articles bar block body bottom box buttons col column container content entry fixed"
+            " form global group holder inner inline item items label left links list main outer page"
+            " panel post posts primary region right row secondary section site slot small stack sticky"
+            " stories top unit wide wrap wrapper zone".split())
+BODY_FIRST = {"content", "main", "page", "body"}    # content-sidebar is a layout, not a sidebar
 COMMENT_IDS = {"comments", "respond", "disqus_thread"}
 HEADER = {"header", "head"}
 CONTENT = {"article", "main"}
 TEXT_KINDS = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody thead figcaption"
                  " html body article main".split())
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+# attributes: a value may be quoted; a quote anywhere else is a character like any other
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)"
+                  r"((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?|[\"'])*+)>"
                   r"|[!?][^>]*(?:>|\Z)|/?[a-zA-Z][^>]*(>|\Z))", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?",
                    re.I)
@@ -73,6 +82,12 @@ def parse(page: str) -> Node:
     element ends with its parent, a tag cut off by the end of the page is left out."""
     root = Node("#root")
     stack = [root]
+    open_tags: Counter[str] = Counter()
+
+    def cut(depth: int) -> None:
+        open_tags.subtract(n.tag for n in stack[depth:])
+        del stack[depth:]
+
     at, size, seen = 0, len(page), False
     while at < size:
         m = _TAG.search(page, at)
@@ -87,46 +102,52 @@ def parse(page: str) -> Node:
         tag = m[2].lower()
         if m[1]:
             if tag in ("p", "br"):
-                _close_p(stack) if tag == "p" else stack[-1].children.append(Node("br"))
-                continue
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
-                del stack[depth:]
+                if tag == "br":
+                    stack[-1].children.append(Node("br"))
+                elif open_tags["p"] > 0:
+                    cut(_open_p(stack))
+            elif open_tags[tag] > 0:
+                cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
-        if tag in ENDS_P:
-            _close_p(stack)
-        if tag in CLOSES:
-            _close(stack, CLOSES[tag], STOPS[tag])
+        if tag in ENDS_P and open_tags["p"] > 0:
+            cut(_open_p(stack))
+        if tag in CLOSES and any(open_tags[t] > 0 for t in CLOSES[tag]):
+            cut(_ended(stack, CLOSES[tag], STOPS[tag]))
         node = Node(tag, _names(m[3]))
         stack[-1].children.append(node)
         if tag in CONTENT and not seen and not any(n.tag in DROPPED for n in stack):
             seen = True
             for n in stack:
                 n.holds = True
+        if tag in FOREIGN and m[3].endswith("/"):
+            continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else size
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID:       # in HTML only these close themselves, whatever a slash says
             stack.append(node)
+            open_tags[tag] += 1
     return root
 
 
-def _close_p(stack: list[Node]) -> None:
+def _open_p(stack: list[Node]) -> int:
+    """Where the stack is to be cut so that an open paragraph ends."""
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag == "p":
-            del stack[i:]
-            return
+            return i
         if stack[i].tag not in INLINE:
-            return
+            break
+    return len(stack)
 
 
-def _close(stack: list[Node], tags: set[str], stops: set[str]) -> None:
+def _ended(stack: list[Node], tags: set[str], stops: set[str]) -> int:
+    """Where the stack is to be cut so that the innermost of ``tags`` ends, if no stop is nearer."""
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in stops:
-            return
+            break
         if stack[i].tag in tags:
-            del stack[i:]
-            return
+            return i
+    return len(stack)
 
 
 def _names(attributes: str) -> str:
@@ -145,26 +166,17 @@ def _furniture(node: Node, inside: bool) -> bool:
         return False
     if re.search(r"(^| )(aria-hidden=true|hidden=)", node.names):
         return True
-    values = re.sub(r"(^| )[a-z-]+=", " ", node.names)
-    words = {w.lower() for w in _PARTS.findall(values)}
-    if not inside:
-        return bool(words & (FURNITURE | HEADER))
-    return _named_inside(node)
+    if inside and (node.tag in INLINE or (node.tag in TEXT_KINDS and node.tag != "article")):
+        return False
+    return any(token.lower() in COMMENT_IDS if inside and key == "id" else _names_furniture(
+        token, FURNITURE if inside else FURNITURE | HEADER)
+               for key, value in _NAMED.findall(node.names) for token in value.split())
 
 
-def _named_inside(node: Node) -> bool:
-    if node.tag in INLINE or (node.tag in TEXT_KINDS and node.tag != "article"):
-        return False
-    for key, value in _NAMED.findall(node.names):
-        for token in value.split():
-            if key == "id":
-                if token.lower() in COMMENT_IDS:
-                    return True
-                continue
-            words = {w.lower() for w in _PARTS.findall(token)}
-            if words & FURNITURE and words <= FURNITURE | FRAME:
-                return True
-    return False
+def _names_furniture(token: str, furniture: set[str]) -> bool:
+    words = [w.lower() for w in _PARTS.findall(token) if len(w) > 1]
+    return (bool(furniture.intersection(words)) and words[0] not in BODY_FIRST
+            and all(w in furniture or w in FRAME for w in words))
 
 
 def _hash(root: Node) -> None:
@@ -195,22 +207,33 @@ def _has_text(node: Node) -> bool:
     return False
 
 
+def _outermost(root: Node, kind: str) -> list[Node]:
+    found: list[Node] = []
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        if n is not root and (n.tag == kind or (kind == "main" and "role=main" in n.names)):
+            if not _furniture(n, True) and _has_text(n):
+                found.append(n)
+                continue
+        if n is root or not _furniture(n, False):
+            todo += [c for c in reversed(n.children) if isinstance(c, Node)]
+    return found
+
+
 def _roots(root: Node) -> tuple[list[Node], bool]:
     """The elements whose text counts, and whether they are articles or main."""
-    for kind in ("article", "main"):
-        found: list[Node] = []
-        todo = [root]
-        while todo:
-            n = todo.pop()
-            if n.tag == kind or (kind == "main" and "role=main" in n.names):
-                if not _furniture(n, True) and _has_text(n):
-                    found.append(n)
-                    continue
-            if not _furniture(n, False):
-                todo += [c for c in reversed(n.children) if isinstance(c, Node)]
-        if found:
-            return found, True
-    return [root], False
+    articles, mains = _outermost(root, "article"), _outermost(root, "main")
+    if not articles:
+        return (mains, True) if mains else ([root], False)
+    size = len(_text(articles, True, set()))
+    if mains:
+        inner = [a for m in mains for a in _outermost(m, "article")]
+        if inner and 2 * len(_text(inner, True, set())) < len(_text(mains, True, set())):
+            return mains, True
+    elif 2 * size < len(_text([root], False, set())):
+        return [root], False
+    return articles, True
 
 
 def candidates(page: str) -> tuple[set[int], int]:
