@@ -6,17 +6,21 @@ functions only.
 2. Candidates are strings shaped like a kind that the base pattern or check leaves out: a masked
    mail address, an IPv6 address, a card number without valid check digit or length, a telephone
    number without country code.
-3. A lexical pattern is the word before an entity, with the entity's kind. Its confidence is the
-   part of all the word's occurrences in the corpus that an instance follows. A pattern with
+3. A lexical pattern is what stands around an entity, with the entity's kind: the last one, two or
+   three tokens before it, or the one after it. A token is a word in lower case or a single other
+   character, so ``Tel:415`` has the tokens ``tel`` and ``:`` before it. A pattern's confidence is
+   the part of all its occurrences in the corpus that an instance belongs to. A pattern with
    ``MIN_SUPPORT`` different instances and a confidence of ``MIN_CONFIDENCE`` is trusted.
-4. A candidate value becomes an instance when the trusted patterns it occurs with make it likely
-   enough (noisy or of their confidences). Patterns and instances are scored in turn, ``ROUNDS``
-   times, so identifiers found in one round support patterns in the next.
-
-Texts are read twice: once for entities, once to count words. What goes on after that are rows of
-entities, without texts. A document's positions are running sums of pieces and matches, so a text
-with very many entities costs in proportion to them. A word that very many entities follow is
-spread by their values before it meets its score.
+4. A candidate value becomes an instance when the trusted patterns before or after it make it likely
+   enough (noisy or of the best of either side). Patterns and instances are scored in turn,
+   ``ROUNDS`` times, so identifiers found in one round support patterns in the next.
+
+Texts are read twice: once for entities, once to count the patterns that have enough instances and a
+candidate (tokens that end no such pattern are dropped before anything is counted). What goes on
+after that are rows of entities, without texts; tokens travel whole, patterns as hashes. A
+document's positions are running sums of pieces and matches, so a text with very many entities costs
+in proportion to them. A pattern that very many entities have is spread by their values before it
+meets its score.
 """
 
 from __future__ import annotations
@@ -25,14 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACE, join_spread, table
+from quire.llm.common import join_spread, table
 from quire.session import checkpoint_root
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.5
-CONTEXT_CHARS = 64
+FEW = 1 << 16           # tokens that may be broadcast
+TOKEN = r"(?:[\p{L}\p{M}\p{N}_]++|[^\s\p{L}\p{M}\p{N}_])"
 
 # The base patterns. Look-behinds and possessive marks change no match; they keep a
 # search linear in the length of the text.
@@ -63,9 +68,19 @@ def _valid(kind: Column, text: Column) -> Column:
             .when(kind == "phone", n.between(8, 15)).otherwise(True))
 
 
+def _around(piece: Column) -> Column:
+    """Of a piece between matches: its length, its last three tokens (last first), its first."""
+    low = F.lower(piece)
+    back = F.reverse(low)
+    last = [F.reverse(F.regexp_extract(back, r"\A\s*+" + (TOKEN + r"\s*+") * i + f"({TOKEN})", 1))
+            for i in range(3)]
+    return F.struct(F.length(piece).alias("n"), F.array(*last).alias("last"),
+                    F.regexp_extract(low, rf"\A\s*+({TOKEN})", 1).alias("first"))
+
+
 def _hits(text: Column) -> Column:
     """Array of (kind, base, matches, pieces) over the kinds that match; pieces are what lies
-    before each match: its length and its end."""
+    before, between and after the matches."""
     digit, none = text.rlike("[0-9]"), F.lit(None)
     may = {("email", True): text.contains("@"), ("phone", True): text.contains("+") & digit,
            ("email", False): text.rlike(r"[(\[]at[)\]]"), ("ip", False): text.contains(":") & digit}
@@ -74,8 +89,7 @@ def _hits(text: Column) -> Column:
         for kind in KINDS:
             p = F.lit(patterns[kind])
             matches = F.when(may.get((kind, base), digit), F.regexp_extract_all(text, p, F.lit(0)))
-            pieces = F.transform(F.split(text, patterns[kind], -1), lambda x: F.struct(
-                F.length(x).alias("n"), F.substring(x, -CONTEXT_CHARS, CONTEXT_CHARS).alias("end")))
+            pieces = F.transform(F.split(text, patterns[kind], -1), _around)
             out.append(F.when(F.size(matches) > 0, F.struct(
                 F.lit(kind).alias("kind"), F.lit(base).alias("base"), matches.alias("matches"),
                 pieces.alias("pieces"))).otherwise(none))
@@ -84,14 +98,15 @@ def _hits(text: Column) -> Column:
 
 def _entities(found: DataFrame) -> DataFrame:
     """found: rid, hits. A row per entity and per candidate that no entity overlaps: rid, kind,
-    base, start, end (code points, end exclusive), value, word (the one before, lower-cased)."""
+    base, start, end (code points, end exclusive), value, l1, l2, l3 (tokens before it), r1."""
     line = W.partitionBy("rid", "kind", "base").orderBy("nr").rowsBetween(W.unboundedPreceding, 0)
+    piece = lambda i: F.get("h.pieces", i)
     rows = (found.select("rid", F.explode("hits").alias("h"))
             .select("rid", "h.kind", "h.base", F.posexplode(F.transform("h.matches", lambda m, i: (
-                F.struct(m.alias("value"), F.get("h.pieces", i).alias("piece")))))
-                .alias("nr", "z"))
-            .select("rid", "kind", "base", "nr", F.col("z.value").alias("value"),
-                    F.col("z.piece.n").alias("gap"), F.col("z.piece.end").alias("ahead"))
+                F.struct(m.alias("value"), piece(i)["n"].alias("gap"), piece(i)["last"].alias("l"),
+                         piece(i + 1)["first"].alias("r1"))))).alias("nr", "z"))
+            .select("rid", "kind", "base", "nr", "z.value", "z.gap", "z.r1",
+                    *[F.get("z.l", F.lit(i)).alias(f"l{i + 1}") for i in range(3)])
             .repartition("rid")
             .withColumn("end", F.sum(F.col("gap") + F.length("value")).over(line))
             .withColumn("start", F.col("end") - F.length("value"))
@@ -103,39 +118,73 @@ def _entities(found: DataFrame) -> DataFrame:
         order.rangeBetween(0, W.unboundedFollowing))
     free = (F.coalesce(F.col("reach") <= F.col("start"), F.lit(True))
             & F.coalesce(F.col("next") >= F.col("end"), F.lit(True)))
-    word = F.lower(F.regexp_extract("ahead", rf"([^\x20\x09-\x0D]+){SPACE}+$", 1))
     return (rows.withColumn("reach", reach).withColumn("next", ahead)
             .where(F.col("base") | free)
-            .select("rid", "kind", "base", "start", "end", "value", word.alias("word")))
-
-
-def _discovered(entities: DataFrame, words: DataFrame, rounds: int, min_support: int,
+            .select("rid", "kind", "base", "start", "end", "value", "l1", "l2", "l3", "r1"))
+
+
+def _patterns(l1: Column, l2: Column, l3: Column, r1: Column) -> Column:
+    """Array of (side, token that ends it, number) of the patterns around something."""
+    some = lambda x: F.coalesce(x, F.lit("")) != ""
+    each = [("l", l1, some(l1), (l1,)), ("l", l1, some(l2), (l2, l1)),
+            ("l", l1, some(l3), (l3, l2, l1)), ("r", r1, some(r1), (r1,))]
+    return F.array_compact(F.array(*[F.when(there, F.struct(
+        F.lit(side).alias("side"), token.alias("token"),
+        F.xxhash64(F.lit(f"{side}{len(parts)}"), *parts).alias("pattern")))
+        for side, token, there, parts in each]))
+
+
+def _occurrences(text: DataFrame, wanted: DataFrame) -> DataFrame:
+    """pattern, total: how often the wanted patterns (token, pattern) occur in the texts."""
+    tokens = wanted.select(F.col("token").alias("t")).distinct().checkpoint()
+    # an array of one, exploded: the tokens of a text are found once
+    rows = (text.select(F.explode(F.array(F.regexp_extract_all(
+        F.lower("text"), F.lit(TOKEN), F.lit(0)))).alias("a"))
+        .select(F.inline(F.arrays_zip(
+            F.col("a").alias("t"), F.concat(F.array(F.lit("")), F.col("a")).alias("p1"),
+            F.concat(F.array(F.lit(""), F.lit("")), F.col("a")).alias("p2")))))
+    if tokens.count() <= FEW:
+        rows = rows.join(F.broadcast(tokens), "t").withColumn("n", F.lit(1).cast("bigint"))
+    else:
+        rows = rows.groupBy("t", "p1", "p2").agg(F.count(F.lit(1)).alias("n")).join(tokens, "t")
+    found = rows.select("n", F.explode(_patterns(*map(F.col, ("t", "p1", "p2", "t")))).alias("x"))
+    return (found.groupBy("x.pattern").agg(F.sum("n").alias("total"))
+            .join(wanted.select("pattern").distinct(), "pattern"))
+
+
+def _discovered(entities: DataFrame, text: DataFrame, rounds: int, min_support: int,
                 min_confidence: float) -> DataFrame:
-    """(kind, value) of the candidates that become instances. words: word, total."""
-    edges = (entities.where("word != ''").groupBy("word", "kind", "value", "base")
-             .agg(F.count(F.lit(1)).alias("n")))
-    # a word is worth counting if enough seeds follow it, or candidates do
-    supported = (edges.groupBy("word", "kind").agg(F.count(F.lit(1)).alias("values"))
-                 .where(F.col("values") >= min_support).select("word").distinct())
-    totals = words.join(supported, "word", "left_semi")
-    edges = join_spread(edges.checkpoint(), totals, ["word"], "value").checkpoint()
-    likely = edges.where("base").select("kind", "value", F.lit(1.0).alias("score")).distinct()
+    """(kind, value) of the candidates that become instances."""
+    edges = (entities.select("kind", "value", "base", F.explode(_patterns(
+        *map(F.col, ("l1", "l2", "l3", "r1")))).alias("x"))
+        .groupBy("x.side", "x.token", "x.pattern", "kind", "value", "base")
+        .agg(F.count(F.lit(1)).alias("n"))).checkpoint()
+    # a pattern is worth counting if it has enough instances and a candidate
+    wanted = (edges.groupBy("pattern", "kind", "token")
+              .agg(F.count(F.lit(1)).alias("values"), F.max(~F.col("base")).alias("more"))
+              .where((F.col("values") >= min_support) & F.col("more"))
+              .select("token", "pattern").distinct().checkpoint())
+    totals = _occurrences(text, wanted).checkpoint()
+    edges = join_spread(edges.drop("token"), totals, ["pattern"], "value").checkpoint()
+    seeds = (entities.where("base").select("kind", "value", F.lit(1.0).alias("score")).distinct()
+             .checkpoint())
+    likely = seeds
     for _ in range(rounds):
         known = edges.join(likely, ["kind", "value"])
-        pattern = (known.groupBy("word", "kind")
+        trusted = (known.groupBy("pattern", "kind")
                    .agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("raw"),
                         F.countDistinct("value").alias("values"))
                    .withColumn("confidence", F.least(F.lit(1.0), F.col("raw")))
                    .where((F.col("values") >= min_support)
                           & (F.col("confidence") >= min_confidence))
-                   .select("word", "kind", "confidence"))
-        trusted = join_spread(edges.where("not base").select("word", "kind", "value"), pattern,
-                              ["word", "kind"], "value")
-        miss = F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("confidence")))))
-        new = (trusted.groupBy("kind", "value").agg((1 - miss).alias("score"))
+                   .select("pattern", "kind", "confidence"))
+        met = join_spread(edges.where("not base").select("pattern", "side", "kind", "value"),
+                          trusted, ["pattern", "kind"], "value")
+        best = [F.coalesce(F.max(F.when(F.col("side") == side, F.col("confidence"))), F.lit(0.0))
+                for side in "lr"]
+        new = (met.groupBy("kind", "value").agg((1 - (1 - best[0]) * (1 - best[1])).alias("score"))
                .where(F.col("score") >= min_confidence))
-        likely = (edges.where("base").select("kind", "value", F.lit(1.0).alias("score")).distinct()
-                  .union(new).groupBy("kind", "value").agg(F.max("score").alias("score"))
+        likely = (seeds.union(new).groupBy("kind", "value").agg(F.max("score").alias("score"))
                   .checkpoint())
     return likely.select("kind", "value")
 
@@ -147,17 +196,15 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     by kind as in ``KINDS``, then start), where ``base`` tells the fixed patterns from what context
     discovered. Positions are code points, the end exclusive.
 
-    A null or empty text has none. Repeated rows each get a row, and count as often in the scores.
-    An empty table gives an empty result. Other columns are not read.
+    A null or empty text has none; long texts are searched whole. Repeated rows each get a row, and
+    count as often in the scores. An empty table gives an empty result. Other columns are not read.
     """
     checkpoint_root(df.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     found = (df.select(F.monotonically_increasing_id().alias("rid"),
                        F.col(f"`{id_col}`").alias("id"), _hits(text).alias("hits")).checkpoint())
     entities = _entities(found).checkpoint()
-    words = (df.select(F.explode(F.split(F.lower(text), SPACE + "+")).alias("word"))
-             .where("word != ''").groupBy("word").agg(F.count(F.lit(1)).alias("total")))
-    new = _discovered(entities, words, rounds, min_support, min_confidence)
+    new = _discovered(entities, df.select(text.alias("text")), rounds, min_support, min_confidence)
     added = entities.where("not base").join(new, ["kind", "value"], "left_semi")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     cols = ["rid", "kind", "base", "start", "end", "value"]
