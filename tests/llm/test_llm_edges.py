@@ -7,12 +7,13 @@ import sys
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from quire.llm import (bpe, components, decontaminate, exact_dedup, extraction,  # noqa: E402
-                       language, mixing, near_join, pii, tokens, toxicity, warc)
+from quire.llm import (bpe, common, components, decontaminate, exact_dedup,  # noqa: E402
+                       extraction, language, mixing, near_join, pii, tokens, toxicity, warc)
 from quire.llm.html import main_text  # noqa: E402
 from quire.session import checkpoint_root  # noqa: E402
 
@@ -355,13 +356,17 @@ def test_site_templates_go_and_articles_stay(spark):
              "<p>Shared last line.</p></div></body>") for i in range(12)]
     rows += [(100, "http://two.example/1", rows[0][2]), (101, None, None), (102, "", "<b>x"),
              (103, "http://three.example/a", "<article><p>Shared</p></article>" * 2)]
-    rows += [(200 + i, f"HTTP://Four.example:80/{i}", "<article><h1>Same</h1><p>Same all.</p><div>"
-              "Box</div></article>") for i in range(9)]
+    rows += [(200 + i, f"HTTP://Four.example:80/{i}", f"<article><h1>Same</h1><p>Same all.</p><p>{i}</p>"
+              "<div>Box</div></article>") for i in range(9)]
+    # copies of one page support no template
+    rows += [(300 + i, f"http://five.example/{i}", "<article><p>Same all.</p><div>Box</div></article>")
+             for i in range(9)]
     got = {r.page_id: r.text for r in extraction.extract_text(pages(spark, rows)).collect()}
     assert all(got[i] == f"Own text {i}" for i in range(12))
     assert got[100] == "Same box on all pages Own text 0 Shared last line."
     assert got[101] == "" and got[102] == "x" and got[103] == "Shared Shared"
-    assert all(got[200 + i] == "Same Same all." for i in range(9))
+    assert all(got[200 + i] == f"Same Same all. {i}" for i in range(9))
+    assert all(got[300 + i] == "Same all. Box" for i in range(9))
     assert extraction.extract_text(pages(spark, [])).count() == 0
 
 
@@ -422,3 +427,246 @@ def test_words_follow_the_pattern():
             want = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
             a, z = w.first[i - w.lo], w.first[i - w.lo + 1]
             assert [w.text(j, j + 1).decode() for j in range(a, z)] == want
+
+
+def _talk(i, words):
+    return " ".join(words[(i * 7 + j * j) % len(words)] for j in range(40))
+
+
+EN = [f"the{c}tion{d}ing" for c in "abcdefgh" for d in "rstuvw"]
+FR = [f"le{c}eux{d}ment" for c in "ijklmnop" for d in "aeiouy"]
+
+
+def test_language_learns_from_null_and_repeated_ids(spark):
+    good = [(i, _talk(i, EN), "en", "a") for i in range(400)]
+    odd = [(None, _talk(i, FR), "fr", "a") for i in range(300)]     # ids unknown
+    assert set(language.fit(docs(spark, good + odd))) == {"en", "fr"}
+    empty = [(i, None, "fr", "a") for i in range(4000)] + [
+        (i, "12 34", "fr", "a") for i in range(4000, 5000)] + [
+        (i, _talk(i, FR), "fr", "a") for i in range(5000, 5003)]
+    assert len(language.fit(docs(spark, good + empty))["fr"]) > 500
+    one = [(77, _talk(i % 900, FR), "fr", "a") for i in range(2000)]  # one id, many texts
+    model = language.fit(docs(spark, good + one))
+    assert len(model["fr"]) > 20_000
+    same = [(77, _talk(1, FR), "fr", "a")] * 10_000 + [(i, _talk(i, FR), "fr", "a") for i in range(90)]
+    model = language.fit(docs(spark, good + same).repartition(4))
+    assert len(model["fr"]) > 10_000
+    got = language.identify(docs(spark, [(1, _talk(5, EN), None, "a"), (2, _talk(6, FR), None, "a")]),
+                            model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "en", 2: "fr"}
+
+
+def test_sample_rows_is_bounded_and_counts_equal_rows_once(spark):
+    rows = spark.range(20_000).selectExpr("id % 2 = 0 AS g", "if(id < 9000, 1, id) AS id")
+    got = common.sample_rows(rows, "g", ["id"], {True: 100, False: 50}).collect()
+    assert sorted(r.nr for r in got if r.g) == list(range(1, 101))
+    assert sorted(r.nr for r in got if not r.g) == list(range(1, 51))
+    assert len({(r.g, r.id) for r in got}) == 150
+    assert common.sample_rows(rows.where("id < 0"), "g", ["id"], 5).count() == 0
+
+
+def test_toxicity_sample_keeps_its_bound_where_an_id_repeats(spark):
+    rows = [(7, f"text {i}", "en", "a") for i in range(5000)] + [
+        (i, "good words here", "en", "a") for i in range(100, 300)]
+    labels = spark.createDataFrame([(7, 1), (7, 1), (None, 1)] + [(i, 0) for i in range(100, 300)],
+                                   "id long, flag int").selectExpr("id", "flag > 0 AS toxic")
+    sample = toxicity._sample(docs(spark, rows).select(F.col("doc_id").alias("id"), "text"), labels)
+    assert sample.count() == 201
+
+
+def test_toxicity_of_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 0
+    all_docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(all_docs, labels.where(~held))
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
+    got = (toxicity.severity(all_docs, model).join(labels.where(held).selectExpr(
+        "doc_id", "toxic AS label"), "doc_id").collect())
+    bad = [r for r in got if r.label]
+    good = [r for r in got if not r.label]
+    assert len(bad) > 20 and sum(r.toxic for r in bad) >= 0.8 * len(bad)   # some labels are wrong
+    assert sum(r.toxic for r in good) <= 0.01 * len(good)
+
+
+@pytest.mark.parametrize("page,text", [
+    ('<div class="layout has-sidebar"><p>Real text</p></div>', "Real text"),
+    ('<div class="post share-enabled"><p>Real text</p></div>', "Real text"),
+    ('<article><p>A</p></article><div class="post-sidebar">B</div>', "A"),
+    ("<main><p>Real body of the page</p><section><article>teaser</article></section></main>",
+     "Real body of the page teaser"),
+    ("<body><p>Real body of the page</p><section><article>teaser</article></section></body>",
+     "Real body of the page teaser"),
+    ("<main><h2>T</h2><article>The longer article</article></main>", "The longer article"),
+    ("<section id=search-algorithms><p>Found</p></section>", "Found"),
+    ("<section id=search><p>Box</p></section><p>Found</p>", "Found"),
+    ("<p title=it's>hello</p><p>don't</p>", "hello don't"),
+    ('<p title="a>b" x=\'c>d\'>hello</p>', "hello"),
+    ("<nav id=a/><a href=/x>menu</a></nav><p>text</p>", "text"),
+    ("<p>a <svg/>b</p>", "a b"), ("<p>a<svg><path d='M0'/></svg>b</p>", "ab"),
+    ('<div class="content-sidebar"><p>Text</p></div><div class="sidebar-inner">x</div>', "Text"),
+    ('<article><div class="share-buttons">x</div><p id="share">y</p></article>', "y"),
+])
+def test_main_text_of_ordinary_markup(page, text):
+    assert main_text(page, set()) == text
+
+
+def test_unmatched_end_tags_cost_no_search():
+    import time
+
+    n = 20_000
+    begin = time.time()
+    assert main_text("<div>" * n + "x" + "</span>" * n + "<b>" * n + "<p>" * 9, set()) == "x"
+    assert main_text("<p>long " + "words and <i>more</i> " * 200_000, set()).count("more") == 200_000
+    assert time.time() - begin < 20
+
+
+def test_a_box_on_few_pages_of_a_large_host_goes_and_no_article_text_does(spark):
+    def page(i):
+        box = "<div><p>Join our list</p></div>" if i % 100 == 0 else ""
+        return (f"<body><article><p>Text {i}.</p><p>Shared paragraph.</p>{box}<p>End {i}.</p>"
+                "</article></body>")
+    rows = [(i, f"http://big.example/{i}", page(i)) for i in range(1200)]
+    got = {r.page_id: r.text for r in extraction.extract_text(pages(spark, rows)).collect()}
+    assert all(got[i] == f"Text {i}. Shared paragraph. End {i}." for i in range(1200))
+
+
+# a third of all rows is one row, or has no id
+HOT = [(i, passage(40, i), "en", "abc"[i % 3]) for i in range(700)] + [
+    (5, passage(40, 9999), "en", "a")] * 300 + [(None, passage(30, 7000 + i % 7), "fr", None)
+                                               for i in range(300)]
+
+
+def test_hot_rows_in_dedup_mixing_and_decontamination(spark):
+    df = docs(spark, HOT).repartition(5)
+    got = exact_dedup.exact_groups(df).collect()
+    assert len(got) == len(HOT) and sum(r.kept for r in got) == 708
+    assert {r.group_size for r in got if r.doc_id == 5} == {1, 300}
+    assert sum(r.kept for r in got if r.doc_id is None) == 7
+    kept = exact_dedup.keep_one(df).collect()
+    assert len(kept) == 708 and len({r.text for r in kept}) == 708
+    mixed = mixing.mix_sources(df).collect()
+    assert len(mixed) == len(HOT)
+    for source in "abc":
+        rows = [r for r in mixed if r.source == source]
+        assert abs(sum(r.taken for r in rows) - rows[0].target) < 0.05 * rows[0].target + 64
+    hot = [r.taken for r in mixed if r.doc_id == 5 and r["size"] == 40]
+    assert all(0 <= t <= 120 for t in hot) and len(hot) == 301
+    bench = spark.createDataFrame([("x", passage(40, 9999)), ("y", passage(10, 7003))],
+                                  "item_id string, text string")
+    found = decontaminate.contamination(df, bench).collect()
+    assert len(found) == len(HOT)
+    assert sum(r.contaminated for r in found) == 300 + sum(
+        1 for r in HOT if r[0] is None and "w7003x" in r[1])
+
+
+def test_hot_rows_in_archives_and_pages(spark, tmp_path):
+    same = "<article><p>" + passage(40) + "</p></article>"
+    rows = [(i, f"http://a.example/{i}", f"<p>{passage(30, i)}</p>") for i in range(200)]
+    rows += [(7, "http://b.example/", same)] * 150 + [(None, f"http://c.example/{i}", same)
+                                                     for i in range(150)]
+    df = pages(spark, rows).repartition(4)
+    folder = f"file://{tmp_path}/warc"
+    got = warc.read_archives(warc.write_archives(df, folder), folder).collect()
+    assert len(got) == len(rows)
+    assert sum(r.record_type == "response" for r in got) == 201
+    assert {r.refers_to for r in got if r.record_type == "revisit"} == {7}
+    texts = extraction.extract_text(df).collect()
+    assert len(texts) == len(rows) and sum(r.text == passage(40) for r in texts) == 300
+
+
+TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]")
+
+
+def discovered_brute(texts, rounds=3, support=3, least=0.5):
+    """Candidate values that context makes instances, counted text by text."""
+    from collections import Counter, defaultdict
+
+    def contexts(before, after):
+        t = TOKEN.findall(before.lower())[-3:]
+        out = [("l", tuple(t[-i:])) for i in (1, 2, 3) if len(t) >= i]
+        return out + [("r", (x[0],)) for x in [TOKEN.findall(after.lower())] if x]
+
+    corpus, edges = Counter(), Counter()
+    for text in texts:
+        t = TOKEN.findall(text.lower())
+        for i in range(len(t)):
+            corpus.update([("r", (t[i],))] + [("l", tuple(t[i - k + 1:i + 1]))
+                                              for k in (1, 2, 3) if i - k + 1 >= 0])
+        spans = []
+        for base, patterns in ((True, pii.BASE), (False, pii.CANDIDATE)):
+            for kind, p in patterns.items():
+                ms = list(regex.finditer(p, text))
+                for n, m in enumerate(ms):
+                    v, digits = m[0], regex.sub("[^0-9]", "", m[0])
+                    if base and kind == "ip" and max(map(int, v.split("."))) > 255:
+                        continue
+                    if base and kind == "card" and not (16 <= len(digits) <= 19 and luhn(digits)):
+                        continue
+                    if base and kind == "phone" and not 8 <= len(digits) <= 15:
+                        continue
+                    before = text[ms[n - 1].end() if n else 0:m.start()]
+                    after = text[m.end():ms[n + 1].start() if n + 1 < len(ms) else len(text)]
+                    spans.append((base, kind, m.start(), m.end(), v, contexts(before, after)))
+        for base, kind, a, z, v, cs in spans:
+            if base or not any(b and a < z2 and a2 < z for b, _, a2, z2, _, _ in spans):
+                edges.update((c, kind, v, base) for c in cs)
+    values = defaultdict(set)
+    for c, kind, v, base in edges:
+        values[c, kind].add((v, base))
+    wanted = {c for (c, kind), vs in values.items()
+              if len(vs) >= support and any(not b for _, b in vs)}
+    seeds = {(kind, v): 1.0 for _, kind, v, base in edges if base}
+    likely = dict(seeds)
+    for _ in range(rounds):
+        raw, held = defaultdict(float), defaultdict(set)
+        for (c, kind, v, _), n in edges.items():
+            if c in wanted and (kind, v) in likely:
+                raw[c, kind] += n * likely[kind, v]
+                held[c, kind].add(v)
+        trusted = {p: min(1.0, x / corpus[p[0]]) for p, x in raw.items()
+                   if len(held[p]) >= support and min(1.0, x / corpus[p[0]]) >= least}
+        best = defaultdict(lambda: {"l": 0.0, "r": 0.0})
+        for (c, kind, v, base) in edges:
+            if not base and (c, kind) in trusted:
+                best[kind, v][c[0]] = max(best[kind, v][c[0]], trusted[c, kind])
+        likely = dict(seeds)
+        for p, b in best.items():
+            score = 1 - (1 - b["l"]) * (1 - b["r"])
+            if score >= least:
+                likely[p] = max(likely.get(p, 0), score)
+    return {p for p in likely if p not in seeds}
+
+
+def luhn(d):
+    twice = [sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))]
+    return sum(twice) % 10 == 0
+
+
+def test_context_finds_what_the_patterns_leave(spark):
+    label = "x" * 70
+    texts = [f"Now my phone number is +1 415 555 {2000 + i}, thanks" for i in range(30)]
+    texts += [f"Tel:+49 30 555 {1000 + i}." for i in range(12)]
+    texts += [f"please dial: +44 20 7946 {1100 + i} today" for i in range(9)]
+    texts += [f"{label} +1 212 555 {3000 + i}" for i in range(10)]
+    texts += [f"write to a{i}@b{i}.org or call" for i in range(6)]
+    texts += ["the phone number is 415 555 2671", "Tel:415 555 2672", "dial: 415 555 2673",
+              f"{label} 415 555 2674", "a score is 415 555 9999 points", "at 222 333 4444",
+              "write to jo (at) x (dot) com or call", None, "", "is it at the place"] + [
+        f"this is {w} and that is {w}" for w in "abcdefgh" * 5]
+    df = docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]).repartition(3)
+    got = {(e.kind, e.value) for r in pii.find_personal_data(df).collect() for e in r.entities
+           if not e.base}
+    assert {("phone", f"415 555 267{i}") for i in (1, 2, 3, 4)} <= got
+    assert ("email", "jo (at) x (dot) com") in got
+    assert ("phone", "415 555 9999") not in got and ("phone", "222 333 4444") not in got
+    assert got == discovered_brute([t or "" for t in texts])
+
+
+def test_added_spans_equal_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {(e.kind, e.value) for r in pii.find_personal_data(df).collect() for e in r.entities}
+    texts = [r.text or "" for r in df.collect()]
+    added = {(e.kind, e.value) for r in pii.find_personal_data(df).collect()
+             for e in r.entities if not e.base}
+    assert added == discovered_brute(texts) and added <= got
