@@ -607,3 +607,78 @@ Q["point_get"] = f"""
     'src1/' || file_id || '/results.json' AS result_key
   FROM ({LABEL_STATUS}) WHERE doc_id % 20 = 1 AND status = 'completed'
 """
+
+
+Q["status_fold_incremental"] = Q["status_fold"]
+
+Q["tenant_recent_maintained"] = f"""
+  SELECT tenant_id, rank, file_id, file_name, strftime(uploaded_at, {ISO}) AS uploaded_at
+  FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id
+                                     ORDER BY uploaded_at DESC, file_id ASC) AS rank
+        FROM ({FILES}) WHERE doc_id % 5 <> 1)
+  WHERE rank <= 50
+"""
+
+Q["point_get_keys"] = f"""
+  SELECT file_id, 'src' || CAST(doc_id % 20 AS VARCHAR) AS tenant_id, status AS overall_status,
+    CASE WHEN status = 'completed'
+      THEN 'src' || CAST(doc_id % 20 AS VARCHAR) || '/' || file_id || '/results.json'
+    END AS result_key
+  FROM ({LABEL_STATUS}) WHERE doc_id % 97 = 0 AND doc_id IN (SELECT doc_id FROM documents)
+"""
+
+# Runs 9 and 10 instead of 1 and 2; the killed run is not there.
+Q["result_commits"] = f"""
+  SELECT file_id, tenant_id, CASE WHEN bool_or(fault) THEN '10' ELSE '9' END AS run_id,
+    count(*) AS total_pages, count(*) AS success_count, CAST(0 AS BIGINT) AS failed_count,
+    count(*) AS chunks, tenant_id || '/' || file_id || '/results.json' AS result_key
+  FROM (SELECT *, (conv_id * 7 + turn) % 11 = 0 AS fault FROM ({CONV_PAGES}))
+  GROUP BY file_id, tenant_id
+"""
+
+Q["annotate_resumable"] = Q["annotate_callable"]
+
+Q["publish_retries"] = f"""
+  WITH RECURSIVE w AS (
+    SELECT 'src' || CAST(user_id % 20 AS VARCHAR) AS tenant_id, ts, seq, 1 AS attempt,
+      (row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, seq) - 1) % 500 AS place
+    FROM ({EVENT_LOG})
+    UNION ALL
+    SELECT tenant_id, ts, seq, attempt + 1,
+      (row_number() OVER (PARTITION BY tenant_id ORDER BY ts, seq) - 1) % 500
+    FROM w WHERE attempt < 4 AND (place + 3 * attempt) % 4 = 0)
+  SELECT seq, tenant_id, CAST(attempt AS BIGINT) AS attempts,
+    CASE WHEN (place + 3 * attempt) % 4 = 0 THEN 'dead' ELSE 'sent' END AS status
+  FROM w WHERE attempt = 4 OR (place + 3 * attempt) % 4 <> 0
+"""
+
+Q["alarm_transitions"] = f"""
+  WITH c AS (SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM events
+             WHERE event_type = 'error' GROUP BY 1),
+  axis AS (SELECT unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM c),
+  s AS (SELECT axis.h, coalesce(n, 0) AS metric, row_number() OVER (ORDER BY axis.h) AS nr,
+               CASE WHEN coalesce(n, 0) > 2 THEN 'ALARM' ELSE 'OK' END AS to_state
+        FROM axis LEFT JOIN c ON c.h = axis.h),
+  e AS (SELECT *, lag(to_state, 1, 'OK') OVER (ORDER BY nr) AS from_state FROM s)
+  SELECT strftime(h, {ISO}) AS window_start, CAST(metric AS BIGINT) AS metric, from_state, to_state,
+    CAST(nr - lag(nr, 1, 1) OVER (ORDER BY nr) AS BIGINT) AS lasted
+  FROM e WHERE from_state <> to_state
+"""
+Q["stream_alarm_transitions"] = Q["alarm_transitions"]
+
+Q["retention_applied"] = f"""
+  SELECT file_id, tenant_id, CASE WHEN uploaded_at + INTERVAL 90 DAY <= TIMESTAMP '2024-02-01'
+                                  THEN 'archived' ELSE 'kept' END AS state
+  FROM ({FILES})
+"""
+
+Q["split_pages_large"] = """
+  SELECT file_id, CAST(generate_subscripts(parts, 1) AS INTEGER) AS page_number,
+    CAST(len(parts) AS INTEGER) AS total_pages, CAST(length(unnest(parts)) AS BIGINT) AS page_chars,
+    md5(unnest(parts)) AS page_md5
+  FROM (SELECT md5(coalesce(source, '')) AS file_id,
+          string_split(string_agg(text, chr(10) ORDER BY doc_id) || chr(10), chr(10)) AS parts
+        FROM documents WHERE text IS NOT NULL GROUP BY source)
+"""
+
+Q["stream_change_images"] = Q["change_images"]

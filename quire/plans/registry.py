@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quire.plans import kept
 from quire.plans import queries as q
 from quire.plans.oracle import oracle_sql
 
@@ -45,6 +46,17 @@ QUERIES = {
     "failed_documents": q.q_failed_documents,
     "upload_ids": q.q_upload_ids,
     "point_get": q.q_point_get,
+    "stream_change_images": kept.q_stream_change_images,
+    "status_fold_incremental": kept.q_status_fold_incremental,
+    "tenant_recent_maintained": kept.q_tenant_recent_maintained,
+    "point_get_keys": kept.q_point_get_keys,
+    "result_commits": kept.q_result_commits,
+    "annotate_resumable": kept.q_annotate_resumable,
+    "publish_retries": kept.q_publish_retries,
+    "alarm_transitions": kept.q_alarm_transitions,
+    "stream_alarm_transitions": kept.q_stream_alarm_transitions,
+    "retention_applied": kept.q_retention_applied,
+    "split_pages_large": kept.q_split_pages_large,
 }
 
 ORACLE = oracle_sql()

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from quire.functions.jsonrules import indented_json
 from quire.functions.keys import path_parts
 from quire.operators.spread import semi_spread
+from quire.sources.commits import latest_by, read_runs, write_run
 from quire.schemas import MANIFEST
 
 
@@ -84,61 +85,49 @@ def read_catalog(spark: SparkSession, path: str, tenant_id: str | None = None) -
 
 
 def new_run_id() -> str:
-    """A run id that sorts after those of earlier runs."""
+    """A run id of its own. The order of runs is that of their commits, whatever their ids."""
     return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
 
-def _write_run(df: DataFrame, path: str, run_id: str, fmt: str, **options: str) -> None:
-    """One run's rows in a folder of its own, partitioned by tenant. Only that folder is
-    overwritten, so a retried run replaces itself and no other run's results."""
-    w = df.write.mode("overwrite").partitionBy("tenant_id")
-    w.options(**options).format(fmt).save(f"{path}/run_id={run_id}")
-
-
-def _latest_run(df: DataFrame) -> DataFrame:
-    """Of each document the rows of the last run that wrote it (run ids sort in run order)."""
-    last = df.groupBy("file_id").agg(F.max("run_id").alias("run_id"))
-    return df.join(last, ["file_id", "run_id"], "left_semi")
-
-
 def write_manifests(manifests: DataFrame, path: str, fmt: str = "json",
                     run_id: str | None = None) -> str:
     """Result manifests (S5), one row per document with its nested chunks. JSON keeps
-    ``analysis: null`` (``ignoreNullFields=false``). Every run writes its own folder; a document
-    written again replaces its earlier result for readers, other documents are not touched.
-    Returns the run id; give the same one again to retry a run."""
+    ``analysis: null`` (``ignoreNullFields=false``). Every run writes a folder of its own and then
+    its commit record (``commits``); a document written again replaces its earlier result for
+    readers, other documents are not touched. Returns the run id; give the same one again to retry
+    a run."""
     run_id = run_id or new_run_id()
     options = {"ignoreNullFields": "false"} if fmt == "json" else {}
-    _write_run(manifests, path, run_id, fmt, **options)
+    write_run(manifests.sparkSession, path, run_id, {"manifests": manifests}, fmt, ["tenant_id"],
+              **options)
     return run_id
 
 
 def write_results(headers: DataFrame, chunks: DataFrame, path: str,
                   run_id: str | None = None) -> str:
     """Results as two Parquet tables under ``path``: ``headers`` (one row per document) and
-    ``chunks`` (one row per page, clustered by document and page within each file), one folder
-    per run. The chunks are written first: a run whose headers are missing is not read. Returns
-    the run id (see ``write_manifests``)."""
+    ``chunks`` (one row per page, clustered by document and page within each file). One commit
+    record names both, so readers see a run whole or not at all. Returns the run id (see
+    ``write_manifests``)."""
     run_id = run_id or new_run_id()
-    _write_run(chunks.sortWithinPartitions("tenant_id", "file_id", "page_number"),
-               f"{path}/chunks", run_id, "parquet")
-    _write_run(headers, f"{path}/headers", run_id, "parquet")
+    ordered = chunks.sortWithinPartitions("tenant_id", "file_id", "page_number")
+    write_run(headers.sparkSession, path, run_id, {"chunks": ordered, "headers": headers},
+              partition_by=["tenant_id"])
     return run_id
 
 
 def read_results(spark: SparkSession, path: str, tenant_id: str | None = None,
                  file_id: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(headers, chunks) as a keyed store holds them: of each document the result of the last
-    run that wrote it. A tenant or file filter reaches the scan. The chunks are matched to their
-    header by document and run, spread over the pages of a document."""
-    h = spark.read.option("basePath", f"{path}/headers").parquet(f"{path}/headers")
-    c = spark.read.option("basePath", f"{path}/chunks").parquet(f"{path}/chunks")
+    """(headers, chunks) as a keyed store holds them: of each document the result of the run that
+    committed it last. A tenant or file filter reaches the scan. The chunks are matched to their
+    header by document and commit, spread over the pages of a document."""
+    h, c = read_runs(spark, path, "headers"), read_runs(spark, path, "chunks")
     for name, value in (("tenant_id", tenant_id), ("file_id", file_id)):
         if value is not None:
             h, c = h.filter(F.col(name) == value), c.filter(F.col(name) == value)
-    h, c = (df.withColumn("run_id", F.col("run_id").cast("string")) for df in (h, c))
-    h = _latest_run(h)
-    return h, semi_spread(c, h.select("file_id", "run_id"), ["file_id", "run_id"], "page_number")
+    h = latest_by(h, "file_id")
+    c = semi_spread(c, h.select("file_id", "commit_seq"), ["file_id", "commit_seq"], "page_number")
+    return h.drop("commit_seq"), c.drop("commit_seq")
 
 
 def read_result(spark: SparkSession, path: str, file_id: str,
@@ -153,32 +142,29 @@ def read_result(spark: SparkSession, path: str, file_id: str,
 def write_result_documents(docs: DataFrame, path: str, run_id: str | None = None,
                            indent: bool = False) -> str:
     """Result documents (``manifest_documents``) with their object key (``result_key``, the
-    ``tenant/file/results.json`` they stand for), one folder per run. ``indent`` stores the text
+    ``tenant/file/results.json`` they stand for), committed run by run. ``indent`` stores the text
     with two-space indentation, as an object a person would open. Returns the run id."""
     run_id = run_id or new_run_id()
     text = indented_json("json") if indent else F.col("json")
-    _write_run(docs.select("tenant_id", "file_id", "result_key", text.alias("json")), path,
-               run_id, "parquet")
+    docs = docs.select("tenant_id", "file_id", "result_key", text.alias("json"))
+    write_run(docs.sparkSession, path, run_id, {"documents": docs}, partition_by=["tenant_id"])
     return run_id
 
 
 def read_result_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Of each document the text of the last run that wrote it: file_id, run_id, tenant_id,
+    """Of each document the text of the run that committed it last: file_id, run_id, tenant_id,
     result_key, json."""
-    docs = spark.read.parquet(path).withColumn("run_id", F.col("run_id").cast("string"))
-    return _latest_run(docs)
+    return latest_by(read_runs(spark, path, "documents"), "file_id").drop("commit_seq")
 
 
 def read_manifest(spark: SparkSession, path: str, file_id: str | None = None,
                   fmt: str = "json") -> DataFrame:
-    """Read manifests back (S6) with the fixed schema, of each document the last run's; with
-    ``file_id`` at most one row."""
-    schema = T.StructType([*MANIFEST.fields, T.StructField("result_key", T.StringType()),
-                           T.StructField("run_id", T.StringType())])
-    r = spark.read.schema(schema)
-    df = r.json(path) if fmt == "json" else r.parquet(path)
+    """Read manifests back (S6) with the fixed schema, of each document that of the last commit;
+    with ``file_id`` at most one row."""
+    schema = T.StructType([*MANIFEST.fields, T.StructField("result_key", T.StringType())])
+    df = read_runs(spark, path, "manifests", fmt, schema)
     df = df if file_id is None else df.filter(F.col("file_id") == file_id)
-    return _latest_run(df).drop("run_id")
+    return latest_by(df, "file_id").drop("run_id", "commit_seq")
 
 
 def write_bucketed(df: DataFrame, name: str, path: str, buckets: int,
