@@ -36,7 +36,7 @@ def commits(spark: SparkSession, root: str) -> list[dict]:
     """The commit rows of ``root`` in commit order."""
     schema = T.StructType([*COMMIT.fields, T.StructField("seq", T.LongType())])
     try:
-        rows = spark.read.schema(schema).json(f"{root}/commits").orderBy("seq").collect()
+        rows = spark.read.schema(schema).parquet(f"{root}/commits").orderBy("seq").collect()
     except AnalysisException as e:
         if nothing_there(e):
             return []
@@ -58,7 +58,7 @@ def commit(spark: SparkSession, root: str, run_id: str, attempt: str, tables: Se
     seq = max([c["seq"] for c in commits(spark, root)], default=-1) + 1
     while True:
         try:
-            row.coalesce(1).write.mode("errorifexists").json(f"{root}/commits/seq={seq}")
+            row.coalesce(1).write.mode("errorifexists").parquet(f"{root}/commits/seq={seq}")
             return seq
         except AnalysisException as e:
             if "PATH_ALREADY_EXISTS" not in str(e):
