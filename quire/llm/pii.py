@@ -36,7 +36,7 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.5
-FEW = 1 << 16           # tokens that may be broadcast
+FEW = 1 << 12           # tokens that may be a filter
 TOKEN = r"(?:[\p{L}\p{M}\p{N}_]++|[^\s\p{L}\p{M}\p{N}_])"
 
 # The base patterns. Look-behinds and possessive marks change no match; they keep a
@@ -137,14 +137,15 @@ def _patterns(l1: Column, l2: Column, l3: Column, r1: Column) -> Column:
 def _occurrences(text: DataFrame, wanted: DataFrame) -> DataFrame:
     """pattern, total: how often the wanted patterns (token, pattern) occur in the texts."""
     tokens = wanted.select(F.col("token").alias("t")).distinct().checkpoint()
+    few = [r["t"] for r in tokens.limit(FEW + 1).collect()]
     # an array of one, exploded: the tokens of a text are found once
     rows = (text.select(F.explode(F.array(F.regexp_extract_all(
         F.lower("text"), F.lit(TOKEN), F.lit(0)))).alias("a"))
         .select(F.inline(F.arrays_zip(
             F.col("a").alias("t"), F.concat(F.array(F.lit("")), F.col("a")).alias("p1"),
             F.concat(F.array(F.lit(""), F.lit("")), F.col("a")).alias("p2")))))
-    if tokens.count() <= FEW:
-        rows = rows.join(F.broadcast(tokens), "t").withColumn("n", F.lit(1).cast("bigint"))
+    if len(few) <= FEW:
+        rows = rows.where(F.col("t").isin(few)).withColumn("n", F.lit(1).cast("bigint"))
     else:
         rows = rows.groupBy("t", "p1", "p2").agg(F.count(F.lit(1)).alias("n")).join(tokens, "t")
     found = rows.select("n", F.explode(_patterns(*map(F.col, ("t", "p1", "p2", "t")))).alias("x"))
