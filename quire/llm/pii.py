@@ -36,7 +36,7 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.5
-FEW = 1 << 12           # tokens that may be a filter
+FEW = 1 << 13           # wanted patterns that may be a filter
 TOKEN = r"(?:[\p{L}\p{M}\p{N}_]++|[^\s\p{L}\p{M}\p{N}_])"
 
 # The base patterns. Look-behinds and possessive marks change no match; they keep a
@@ -123,33 +123,52 @@ def _entities(found: DataFrame) -> DataFrame:
             .select("rid", "kind", "base", "start", "end", "value", "l1", "l2", "l3", "r1"))
 
 
+def _each_pattern(l1: Column, l2: Column, l3: Column, r1: Column) -> list[tuple]:
+    """The patterns around something: side, token that ends it, whether it is there, number."""
+    parts = [("l", l1, l1, (l1,)), ("l", l1, l2, (l2, l1)), ("l", l1, l3, (l3, l2, l1)),
+             ("r", r1, r1, (r1,))]
+    return [(side, token, F.coalesce(first, F.lit("")) != "",
+             F.xxhash64(F.lit(f"{side}{len(words)}"), *words))
+            for side, token, first, words in parts]
+
+
 def _patterns(l1: Column, l2: Column, l3: Column, r1: Column) -> Column:
     """Array of (side, token that ends it, number) of the patterns around something."""
-    some = lambda x: F.coalesce(x, F.lit("")) != ""
-    each = [("l", l1, some(l1), (l1,)), ("l", l1, some(l2), (l2, l1)),
-            ("l", l1, some(l3), (l3, l2, l1)), ("r", r1, some(r1), (r1,))]
     return F.array_compact(F.array(*[F.when(there, F.struct(
-        F.lit(side).alias("side"), token.alias("token"),
-        F.xxhash64(F.lit(f"{side}{len(parts)}"), *parts).alias("pattern")))
-        for side, token, there, parts in each]))
+        F.lit(side).alias("side"), token.alias("token"), number.alias("pattern")))
+        for side, token, there, number in _each_pattern(l1, l2, l3, r1)]))
 
 
 def _occurrences(text: DataFrame, wanted: DataFrame) -> DataFrame:
-    """pattern, total: how often the wanted patterns (token, pattern) occur in the texts."""
-    tokens = wanted.select(F.col("token").alias("t")).distinct().checkpoint()
-    few = [r["t"] for r in tokens.limit(FEW + 1).collect()]
+    """pattern, total: how often the wanted patterns (token, pattern) occur in the texts.
+
+    Where they are few, a place in a text is reduced to the wanted patterns it ends. The longest of
+    them tells the others, so there are no more different places than wanted patterns, and they
+    are counted before they are listed pattern by pattern."""
+    few = wanted.select("token", "pattern").limit(FEW + 1).collect()
     # an array of one, exploded: the tokens of a text are found once
     rows = (text.select(F.explode(F.array(F.regexp_extract_all(
         F.lower("text"), F.lit(TOKEN), F.lit(0)))).alias("a"))
         .select(F.inline(F.arrays_zip(
             F.col("a").alias("t"), F.concat(F.array(F.lit("")), F.col("a")).alias("p1"),
             F.concat(F.array(F.lit(""), F.lit("")), F.col("a")).alias("p2")))))
+    around = _each_pattern(*map(F.col, ("t", "p1", "p2", "t")))
+    count = F.count(F.lit(1)).alias("n")
     if len(few) <= FEW:
-        rows = rows.where(F.col("t").isin(few)).withColumn("n", F.lit(1).cast("bigint"))
+        numbers = ", ".join(str(r["pattern"]) for r in few) or "null"
+        places = [f"x{i}" for i in range(len(around))]
+        rows = (rows.where(F.col("t").isin(list({r["token"] for r in few})))
+                .select(*[F.when(there, number).alias(x)
+                          for x, (_, _, there, number) in zip(places, around, strict=True)])
+                .selectExpr(*[f"if({x} in ({numbers}), {x}, null) as {x}" for x in places])
+                .groupBy(*places).agg(count))
+        each = F.array_compact(F.array(*places))
     else:
-        rows = rows.groupBy("t", "p1", "p2").agg(F.count(F.lit(1)).alias("n")).join(tokens, "t")
-    found = rows.select("n", F.explode(_patterns(*map(F.col, ("t", "p1", "p2", "t")))).alias("x"))
-    return (found.groupBy("x.pattern").agg(F.sum("n").alias("total"))
+        tokens = wanted.select(F.col("token").alias("t")).distinct()
+        rows = rows.groupBy("t", "p1", "p2").agg(count).join(tokens, "t")
+        each = F.array_compact(F.array(*[F.when(there, number) for _, _, there, number in around]))
+    return (rows.select("n", F.explode(each).alias("pattern"))
+            .groupBy("pattern").agg(F.sum("n").alias("total"))
             .join(wanted.select("pattern").distinct(), "pattern"))
 
 
