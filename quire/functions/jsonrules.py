@@ -39,10 +39,9 @@ def strict_json(text) -> Column:
     ``quire.session``).
     """
     t = _c(text)
-    v = F.try_parse_json(t)
     one = F.json_array_length(F.concat(F.lit("["), t, F.lit("]"))) == 1
     two = F.json_array_length(F.concat(F.lit("["), t, F.lit(",0]"))) == 2
-    return F.when(v.isNotNull() & F.coalesce(one & two, F.lit(False)), v)
+    return F.when(F.coalesce(one & two, F.lit(False)), F.try_parse_json(t))
 
 
 def truthy(v) -> Column:

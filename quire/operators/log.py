@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.keys import STATUS_SK, doc_pk, page_sk
 from quire.functions.lifecycle import ready
-from quire.operators.scan import keyed_scan, segment_column
+from quire.operators.scan import keyed_scan, with_segment
 
 RESETS = ("put", "delete")
 
@@ -86,7 +86,7 @@ def fold(log: DataFrame, fields: Sequence[str], counter: str | None = None,
              F.max("_created").alias("_created"), F.sum("ops").alias("ops"),
              *[F.max(f"_f_{f}").alias(f"_f_{f}") for f in fields]]
     if counter:
-        rows = log.withColumn("_seg", segment_column(log, order, n_segments, [key]))
+        rows = with_segment(log, "_seg", order, n_segments, [key])
         group = Window.partitionBy(key, "_seg")
         rows = rows.withColumn("_abs", F.max(F.when(touches(counter), pos)).over(group))
         number = F.when(op != "delete", F.col("fields")[counter]).try_cast("long")

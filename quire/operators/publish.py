@@ -9,7 +9,7 @@ partial aggregate.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +39,19 @@ def typed_map(**values: Column) -> Column:
     return F.create_map(*pairs)
 
 
+def merge_fields(*payloads: Mapping[str, Column]) -> Column:
+    """``{...first, ...second}`` as a struct, where the names of the fields are known: of each name
+    the last value that is not null counts, and ``envelope`` leaves out names without one."""
+    values: dict[str, list[Column]] = {}
+    for payload in payloads:
+        for name, value in payload.items():
+            values.setdefault(name, []).insert(0, value)
+    return F.struct(*[F.coalesce(*v).alias(name) for name, v in values.items()])
+
+
 def envelope(event_type: Column, data: Column, ts: Column) -> Column:
-    """Envelope JSON text: eventType, data (a map of strings, or of typed values), ISO timestamp,
-    metadata.source."""
+    """Envelope JSON text: eventType, data (a struct whose null fields are left out, or a map of
+    strings or of typed values), ISO timestamp, metadata.source."""
     return F.to_json(F.struct(
         event_type.alias("eventType"), data.alias("data"), iso_utc(ts).alias("timestamp"),
         F.create_map(F.lit("source"), F.lit(SOURCE)).alias("metadata")))
@@ -49,33 +59,40 @@ def envelope(event_type: Column, data: Column, ts: Column) -> Column:
 
 def parse_envelopes(wire: DataFrame, value_col: str = "value",
                     default_bucket: str = DEFAULT_BUCKET,
-                    extra_fields: tuple[str, ...] = ()) -> DataFrame:
+                    extra_fields: tuple[str, ...] = (),
+                    typed_fields: tuple[str, ...] = ()) -> DataFrame:
     """Intake of raw events (P4, P5): strict parse; ``disposition`` is ``quarantine`` for text
     that is not a JSON envelope (or an upload without a data object), ``process`` for
     ``document.uploaded``, ``ignore`` for any other type. One bad record never stops the rest.
     Adds event_type, file_id, tenant_id, s3_key and bucket (empty or absent -> default), plus
-    one string column per name in ``extra_fields`` (other members of ``data``)."""
-    staged = (wire.withColumn("_pe_v", strict_json(value_col))
-              .withColumn("_pe_data", F.try_variant_get(F.col("_pe_v"), "$.data", "variant")))
-    v, data = F.col("_pe_v"), F.col("_pe_data")
-    et = F.try_variant_get(v, "$.eventType", "string")
-    is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    data_obj = F.coalesce(F.schema_of_variant(data).startswith("OBJECT"), F.lit(False))
+    one string column per name in ``extra_fields`` (other members of ``data``), and for every name
+    in ``typed_fields`` the JSON type it travelled with as ``<name>_type`` (null where absent)."""
+    v, data, et = F.col("_pe_v"), F.col("_pe_data"), F.col("_pe_type")
+    upload = et == UPLOADED
 
     def field(name):
         return F.try_variant_get(data, f"$.{name}", "string")
 
+    # what is used more than once is a column of its own, so that it is read once a row
+    staged = (wire.withColumn("_pe_v", strict_json(value_col))
+              .withColumns({"_pe_data": F.try_variant_get(v, "$.data", "variant"),
+                            "_pe_type": F.try_variant_get(v, "$.eventType", "string")})
+              .withColumn("_pe_bucket", F.when(upload, field("bucket"))))
+    # a strict parse that starts with a brace is an object
+    is_obj = v.isNotNull() & F.col(value_col).rlike(r"^[ \t\r\n]*\{")
+    data_obj = F.coalesce(F.schema_of_variant(data).startswith("OBJECT"), F.lit(False))
     disposition = (F.when(~is_obj, F.lit("quarantine"))
-                   .when((et == UPLOADED) & ~data_obj, F.lit("quarantine"))
-                   .when(et == UPLOADED, F.lit("process"))
+                   .when(upload & ~data_obj, F.lit("quarantine"))
+                   .when(upload, F.lit("process"))
                    .otherwise(F.lit("ignore")))
-    upload = et == UPLOADED
     return staged.select(
         *wire.columns, et.alias("event_type"), disposition.alias("disposition"),
         field("fileId").alias("file_id"), field("tenantId").alias("tenant_id"),
         F.when(upload, field("s3Key")).alias("s3_key"),
-        F.when(upload, or_default(field("bucket"), default_bucket)).alias("bucket"),
-        *[field(name).alias(name) for name in extra_fields])
+        F.when(upload, or_default(F.col("_pe_bucket"), default_bucket)).alias("bucket"),
+        *[field(name).alias(name) for name in extra_fields],
+        *[F.schema_of_variant(F.try_variant_get(data, f"$.{name}", "variant"))
+          .alias(f"{name}_type") for name in typed_fields])
 
 
 def number_in_batches(records: DataFrame, key: str | Sequence[str], order: Sequence[str],
@@ -115,8 +132,9 @@ def publish_report(records: DataFrame, outcomes: DataFrame, key: Sequence[str],
 
 def chunk_events(pages: DataFrame, ts: Column) -> DataFrame:
     """Fan-out of chunk-ready events, one per page (ST5): routing key ``tenant#file``."""
-    data = typed_map(fileId=F.col("file_id").cast("string"), tenantId=F.col("tenant_id"),
-                     pageNumber=F.col("page_number"))
+    data = F.struct(F.col("file_id").cast("string").alias("fileId"),
+                    F.col("tenant_id").alias("tenantId"),
+                    F.col("page_number").alias("pageNumber"))
     return pages.select(
         F.concat(F.col("tenant_id"), F.lit("#"), F.col("file_id").cast("string")).alias("key"),
         envelope(F.lit(CHUNK_READY), data, ts).alias("value"))

@@ -8,7 +8,7 @@ instead computes running values in three steps, all on Spark:
    axis into ``n`` ranges of about equal row count. A position is the tuple of all order columns,
    compared as a window compares it (nulls first, each column in its own type), so many rows with
    one leading value, nulls, large integers, decimals and strings are split like anything else.
-   The segment is a deterministic expression of the row (a binary search in a constant array), so
+   The segment is a deterministic function of the row (a binary search in constant arrays), so
    every branch of the plan agrees on it.
 2. Running values within (key, segment) with windows (one hash shuffle on (key, segment)).
 3. A per-(key, segment) summary gives each segment its carry-in from the earlier segments of
@@ -70,46 +70,52 @@ def _images(df: DataFrame, order: Sequence[str]) -> list[tuple[Column, str]]:
     return out
 
 
-def segment_column(df: DataFrame, order: Sequence[str], n: int | None = None,
-                   keys: Sequence[str] = (), source: DataFrame | None = None) -> Column:
-    """Segment number of each row, non-decreasing in ``order``.
+def _boundaries(df: DataFrame, images: Sequence[tuple[Column, str]], n: int | None,
+                keys: Sequence[str]) -> list[dict]:
+    """Positions where segments 1, 2, .. start, in order.
 
-    Two jobs over ``source`` (default ``df``): its row count, and a sample of about
-    ``SAMPLED_PER_SEGMENT`` positions per segment, picked by a hash of keys and position."""
-    source = source if source is not None else df
-    images = _images(source, order)
-    if not images or n == 1:
-        return F.lit(0)
-    rows = source.count()
-    n = _segments_for(source, rows, n)
-    names = [f"o{i}" for i in range(len(images))]
+    Two jobs over ``df``: its row count, and a sample of about ``SAMPLED_PER_SEGMENT`` positions
+    per segment, picked by a hash of keys and position (sorted in one task, being that few)."""
+    rows = df.count()
+    n = _segments_for(df, rows, n)
     slots = 1 << 30
     share = min(slots, math.ceil(slots * n * SAMPLED_PER_SEGMENT / max(1, rows)))
-    known = [k for k in keys if k in source.columns]
-    picked = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in known], *[c for c, _ in images]),
-                    F.lit(slots)) < share
-    sample = (source.where(picked).select(*[c.alias(x) for x, (c, _) in zip(names, images,
-                                                                          strict=True)])
-              .orderBy(*names).collect())
+    known = [F.col(f"`{k}`") for k in keys if k in df.columns]
+    picked = F.pmod(F.xxhash64(*known, *[c for c, _ in images]), F.lit(slots)) < share
+    names = [f"o{i}" for i in range(len(images))]
+    sample = (df.where(picked).select(*[c.alias(x) for x, (c, _) in zip(names, images,
+                                                                      strict=True)])
+              .repartition(1).sortWithinPartitions(*names).collect())
     at = sorted({round(i * len(sample) / n) for i in range(1, n)} - {0, len(sample)})
-    bounds = [sample[i].asDict() for i in at]
-    if not bounds:
-        return F.lit(0)
-    kinds = ", ".join(f"{x}: {kind}" for x, (_, kind) in zip(names, images, strict=True))
-    table = F.from_json(F.lit(json.dumps(bounds, default=str)), f"array<struct<{kinds}>>")
-    here = F.struct(*[c.alias(x) for x, (c, _) in zip(names, _images(df, order), strict=False)])
+    return [sample[i].asDict() for i in at]
 
-    count = len(bounds)
-    strides = F.array(*[F.lit(1 << k) for k in reversed(range(count.bit_length()))])
 
-    def nearer(here: Column) -> Column:
-        """Boundaries not after ``here``: binary search by halving strides."""
-        return F.aggregate(strides, F.lit(0), lambda a, d: F.when(
-            (a + d <= count) & (F.element_at(table, F.least(a + d, F.lit(count))) <= here),
-            a + d).otherwise(a))
+def with_segment(df: DataFrame, name: str, order: Sequence[str], n: int | None = None,
+                 keys: Sequence[str] = (), source: DataFrame | None = None) -> DataFrame:
+    """Add ``name``, the segment number of each row, non-decreasing in ``order``.
 
-    # a one-element transform, so that the position is put together once a row
-    return F.element_at(F.transform(F.array(here), nearer), 1)
+    Boundaries come from ``source`` (default ``df``). A binary search of one projection per halving
+    of the stride, which Spark compiles; each holds only the boundaries it can compare with, so
+    together they hold every boundary once."""
+    source = source if source is not None else df
+    images = _images(source, order)
+    bounds = _boundaries(source, images, n, keys) if images and n != 1 else []
+    out = df.withColumn(name, F.lit(0))
+    if not bounds:
+        return out
+    fields = [f"o{i}" for i in range(len(images))]
+    kinds = ", ".join(f"{x}: {kind}" for x, (_, kind) in zip(fields, images, strict=True))
+    at = F.col("_segment_at")
+    out = out.withColumn("_segment_at", F.struct(*[
+        c.alias(x) for x, (c, _) in zip(fields, _images(df, order), strict=False)]))
+    for k in reversed(range(len(bounds).bit_length())):
+        # here the number is a multiple of 2 ** (k + 1): is boundary number + 2 ** k passed?
+        mids = bounds[(1 << k) - 1::1 << (k + 1)]
+        table = F.from_json(F.lit(json.dumps(mids, default=str)), f"array<struct<{kinds}>>")
+        passed = F.get(table, F.shiftright(name, k + 1)) <= at
+        out = out.withColumn(name, F.when(passed, F.col(name) + F.lit(1 << k))
+                             .otherwise(F.col(name)))
+    return out.drop("_segment_at")
 
 
 def keyed_scan(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
@@ -137,8 +143,8 @@ def keyed_scan(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
     for name, c in lasts.items():
         base = base.withColumn(f"_ks_lv_{name}", F.col(c) if isinstance(c, str) else c)
 
-    seg = base.withColumn("_ks_seg", segment_column(
-        base, order, n_segments, keys, quantile_source if quantile_source is not None else df))
+    seg = with_segment(base, "_ks_seg", order, n_segments, keys,
+                       quantile_source if quantile_source is not None else df)
 
     w = Window.partitionBy(*keys, "_ks_seg").orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -210,8 +210,7 @@ def wire_events(events: DataFrame) -> DataFrame:
     name, object key and a bucket that is empty when k%3 = 0; when k%7 = 0 the payload also
     carries its own fileId), clicks are chunk-ready events of page k%4+1, the rest are status
     events. Every 101st record arrives truncated (transport damage)."""
-    from quire.operators.publish import (
-        CHUNK_READY, UPLOADED, envelope, merge_payload, typed_map)
+    from quire.operators.publish import CHUNK_READY, UPLOADED, envelope, merge_fields
     log = events_as_log(events)
     et, k, seq = F.col("event_type"), F.col("k"), F.col("seq")
     fid = F.col("file_id").cast("string")
@@ -219,14 +218,15 @@ def wire_events(events: DataFrame) -> DataFrame:
     name = F.concat(F.lit("doc-"), fid, F.lit(".pdf"))
     etype = (F.when(et == "signup", F.lit(UPLOADED)).when(et == "click", F.lit(CHUNK_READY))
              .otherwise(F.lit("document.status")))
-    upload = typed_map(fileName=name, s3Key=F.concat_ws("/", tenant, fid, name),
-                       bucket=F.when(k % 3 == 0, F.lit("")).otherwise(F.lit("bucket-a")))
-    override = typed_map(fileId=F.concat(F.lit("override-"), seq.cast("string")))
-    payload = (F.when(et == "signup", F.when(k % 7 == 0, F.map_concat(upload, override))
-                      .otherwise(upload))
-               .when(et == "click", typed_map(pageNumber=(k % 4 + 1)))
-               .otherwise(typed_map(status=et)))
-    data = merge_payload(typed_map(fileId=fid, tenantId=tenant), payload)
+    upload = et == "signup"
+    payload = {
+        "fileName": F.when(upload, name),
+        "s3Key": F.when(upload, F.concat_ws("/", tenant, fid, name)),
+        "bucket": F.when(upload, F.when(k % 3 == 0, F.lit("")).otherwise(F.lit("bucket-a"))),
+        "fileId": F.when(upload & (k % 7 == 0), F.concat(F.lit("override-"), seq.cast("string"))),
+        "pageNumber": F.when(et == "click", k % 4 + 1),
+        "status": F.when(~et.isin("signup", "click"), et)}
+    data = merge_fields({"fileId": fid, "tenantId": tenant}, payload)
     value = envelope(etype, data, F.col("ts"))
     value = F.when(seq % 101 == 0, F.regexp_replace(value, r"\}$", "")).otherwise(value)
     key = F.when(et == "click", F.concat(tenant, F.lit("#"), fid)).otherwise(tenant)

@@ -352,10 +352,10 @@ def q_event_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     then taken in: strict parse, uploads processed, others ignored, broken ones quarantined,
     empty bucket replaced by the default."""
     wire = wire_events(table(spark, sf_dir, "events"))
-    parsed = parse_envelopes(wire)
-    return _with_page_type(parsed).select(
+    parsed = parse_envelopes(wire, typed_fields=("pageNumber",))
+    return parsed.select(
         "seq", "key", "event_type", "disposition", "file_id", "tenant_id", "s3_key", "bucket",
-        "page_number_type")
+        F.col("pageNumber_type").alias("page_number_type"))
 
 
 def q_chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:

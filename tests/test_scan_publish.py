@@ -1,16 +1,17 @@
 """Skew-safe keyed scan, batching, publish report, intake, alarms."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.operators.alarm import error_alarm
 from quire.operators.publish import (
-    BATCH_TOO_LARGE, chunk_events, envelope, merge_payload, number_in_batches, parse_envelopes,
-    publish_report,
+    BATCH_TOO_LARGE, chunk_events, envelope, merge_fields, merge_payload, number_in_batches,
+    parse_envelopes, publish_report, typed_map,
 )
-from quire.operators.scan import keyed_scan, segment_column
+from quire.operators.scan import keyed_scan, with_segment
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -36,7 +37,7 @@ def test_keyed_scan_matches_window_under_skew(spark):
     assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
     assert got.count() == n
     # the hot key is spread: no (key, segment) group holds more than ~n/16 * 2 rows
-    seg = df.withColumn("seg", segment_column(df, ["o"], 16))
+    seg = with_segment(df, "seg", ["o"], 16)
     biggest = seg.groupBy("k", "seg").count().agg(F.max("count")).first()[0]
     assert biggest <= 2 * n // 16
 
@@ -172,7 +173,7 @@ def test_keyed_scan_splits_a_heavy_tie(spark):
                      F.sum("y").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
     cols = ["k", "ts", "seq", "row_number", "s"]
     assert got.select(*cols).exceptAll(want).count() == 0 and got.count() == n
-    seg = df.withColumn("seg", segment_column(df, ["ts", "seq"], 16))
+    seg = with_segment(df, "seg", ["ts", "seq"], 16)
     biggest = seg.groupBy("k", "seg").count().agg(F.max("count")).first()[0]
     assert biggest <= 2 * n // 16
     # segments never decrease along the order
@@ -222,7 +223,7 @@ def test_many_tied_values_are_all_split(spark):
     """100 leading values of 400 rows each in one key: no group above twice the target."""
     df = spark.range(40_000).select(F.lit(1).alias("k"), (F.col("id") % 100).alias("o"),
                                     F.col("id").alias("i"), F.lit(1).alias("y"))
-    seg = df.withColumn("seg", segment_column(df, ["o", "i"], 400, ["k"]))
+    seg = with_segment(df, "seg", ["o", "i"], 400, ["k"])
     assert seg.groupBy("k", "seg").count().agg(F.max("count")).first()[0] <= 300
     _same_as_window(df, ["o", "i"], 50)
 
@@ -255,7 +256,7 @@ def test_fold_of_a_hot_key_is_spread(spark):
         F.lit(1).cast("long").alias("inc"))
     got = {r.file_id: (r.n, r.ops) for r in fold(log, [], "n", n_segments=16).collect()}
     assert got["hot"] == (5 + 999, 2000) and got["d1"][0] == got["d1"][1]
-    seg = log.withColumn("seg", segment_column(log, ["ts", "seq"], 16, ["file_id"]))
+    seg = with_segment(log, "seg", ["ts", "seq"], 16, ["file_id"])
     assert seg.groupBy("file_id", "seg").count().agg(F.max("count")).first()[0] <= 2 * n // 16
 
 
@@ -267,3 +268,33 @@ def test_set_with_a_null_value_keeps_the_field(spark):
                                       "fields map<string,string>, inc long")
     r = fold(log, ["overall_status"], "n").first()
     assert (r.overall_status, r.n) == ("pending", 2)
+
+
+def test_payload_merges(spark):
+    """Later payloads win, a null one changes nothing; the map and the struct form agree."""
+    df = spark.createDataFrame([("f1", None, None), ("f2", "g2", 3)],
+                               "fid string, own string, page int")
+    ts = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    payload = F.when(F.col("own").isNotNull(), typed_map(fileId=F.col("own"),
+                                                         pageNumber=F.col("page")))
+    maps = merge_payload(typed_map(fileId=F.col("fid"), tenantId=F.lit("t")), payload)
+    structs = merge_fields({"fileId": F.col("fid"), "tenantId": F.lit("t")},
+                           {"fileId": F.col("own"), "pageNumber": F.col("page")})
+    got = [[json.loads(x)["data"] for x in r] for r in df.select(
+        envelope(F.lit("e"), maps, ts), envelope(F.lit("e"), structs, ts)).collect()]
+    assert got == [[{"fileId": "f1", "tenantId": "t"}] * 2,
+                   [{"fileId": "g2", "tenantId": "t", "pageNumber": 3}] * 2]
+
+
+def test_intake_dispositions(spark):
+    """What is an envelope: strict JSON objects with any white space before them; an upload needs
+    a data object. Types of asked fields come along."""
+    texts = [' \t\n{"eventType":"document.uploaded","data":{"fileId":"a","bucket":"","n":1}}',
+             '{"eventType":"document.uploaded","data":[1]}', '{"eventType":"x"}', '[{"a":1}]',
+             '"{"', '{"a":1} x', '{"a":1},{"b":2}', 'null', '', None, '{']
+    wire = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, value string")
+    got = parse_envelopes(wire, typed_fields=("n",)).orderBy("i").collect()
+    assert [r["disposition"] for r in got] == ["process", "quarantine", "ignore",
+                                               *["quarantine"] * 8]
+    assert (got[0]["file_id"], got[0]["n_type"]) == ("a", "BIGINT") and got[0]["bucket"]
+    assert all(r["n_type"] is None for r in got[1:])
