@@ -27,7 +27,7 @@ from quire.plans.inputs import (
 from quire.plans.queries import _flat_analysis, _state_partitions
 from quire.session import ensure_session_conf
 from quire.sources.commits import write_attempt
-from quire.sources.events import read_event_files
+from quire.sources.events import read_event_files, read_table_files
 from quire.sources.expiring import apply_retention, read_expiring, write_expiring
 from quire.sources.keyed import get_keys, write_keyed
 from quire.sources.large import read_large_pages
@@ -153,7 +153,7 @@ def q_alarm_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_stream_alarm_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST8 A5: the same from windows counted by the stream."""
-    errors = read_event_files(spark, sf_dir, glob="events.parquet").filter(
+    errors = read_table_files(spark, sf_dir, "events").filter(
         F.col("event_type") == "error")
     out = run_folder(spark, "stream_alarm_transitions")
     start_alarm(errors, out, f"{out}/_checkpoint", period="1 hour",

@@ -37,7 +37,9 @@ from quire.plans.inputs import (
     table, uploads_from_documents, wire_events, wrap_reply,
 )
 from quire.session import ensure_session_conf
-from quire.sources.events import DOCUMENTS, WIRE_WITH_SEQ, read_event_files
+from quire.sources.events import (
+    DOCUMENTS, WIRE_WITH_SEQ, read_event_files, read_table_files,
+)
 from quire.sources.objects import read_results, write_results
 from quire.streaming.alarm import final_windows, start_alarm
 from quire.streaming.completion import current_status, run_folder, start_completion
@@ -407,7 +409,7 @@ def q_stream_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S7 ST1 ST3 ST6: the events table read as a file stream (availableNow), per-document
     progress kept in streaming state, updates written exactly once per batch; result: the
     documents whose latest state is ready (same as ``ready_documents``)."""
-    events = read_event_files(spark, sf_dir, glob="events.parquet")
+    events = read_table_files(spark, sf_dir, "events")
     out = run_folder(spark, "stream_completion")
     q = start_completion(progress_log(events), out, f"{out}/_checkpoint",
                          state_partitions=_state_partitions(spark))
@@ -420,7 +422,7 @@ def q_stream_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_stream_error_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST8 A5: error events per 6-hour window from the event stream (no row is too late), last
     update per window, alarm when above 10."""
-    events = read_event_files(spark, sf_dir, glob="events.parquet")
+    events = read_table_files(spark, sf_dir, "events")
     errors = events.filter(F.col("event_type") == "error")
     out = run_folder(spark, "stream_error_alarm")
     q = start_alarm(errors, out, f"{out}/_checkpoint", period="6 hours",
@@ -519,7 +521,7 @@ def q_stream_chunk_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     routing key (same result as ``chunk_fanout``)."""
     out = run_folder(spark, "stream_chunk_fanout")
     ensure_session_conf(spark)
-    docs = read_event_files(spark, sf_dir, schema=DOCUMENTS, glob="documents.parquet")
+    docs = read_table_files(spark, sf_dir, "documents", DOCUMENTS)
     pages = split_pages(files_from_documents(docs), "text", "\\n",
                         keep=("file_id", "tenant_id"))
 

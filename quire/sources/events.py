@@ -46,6 +46,14 @@ def read_event_files(spark: SparkSession, folder: str, schema: T.StructType = EV
     return r.load(folder)
 
 
+def read_table_files(spark: SparkSession, folder: str, name: str,
+                     schema: T.StructType = EVENTS) -> DataFrame:
+    """Streaming read of the table ``name`` in ``folder``, which is one Parquet file or a folder of
+    part files. The path is a pattern that only the name matches: a file stream without a pattern
+    takes folders only, and a filter on file names leaves out the part files."""
+    return read_event_files(spark, f"{folder.rstrip('/')}/{{{name}.parquet}}", schema)
+
+
 def read_event_topic(spark: SparkSession, servers: str, topic: str, start: str = "TRIM_HORIZON",
                      max_per_trigger: int | None = None) -> DataFrame:
     """Streaming read of a Kafka topic as ``(key string, value string, ts)``; needs the Kafka

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from quire.operators.alarm import error_alarm
 from quire.operators.log import document_progress
 from quire.plans.inputs import progress_log
-from quire.sources.events import EVENTS, read_event_files
+from quire.plans.registry import QUERIES
+from quire.sources.events import DOCUMENTS, EVENTS, read_event_files
 from quire.streaming.alarm import final_windows, start_alarm
 from quire.streaming.completion import current_status, fired, run_folder, start_completion
 
@@ -312,3 +313,27 @@ def test_batches_assemble_from_compacted_lists(spark, monkeypatch):
     assert sorted(ids) == ["d0", "d1", "d2", "d3", "d4", "d5", "late"]
     assert {r.file_id for r in spark.read.parquet(f"{out}/deferred/batch_id=1").collect()} == {
         "late"}
+
+
+def test_a_table_is_streamed_as_one_file_or_as_a_folder_of_parts(spark, tmpdir_path):
+    """A larger table is a folder of part files: the queries that stream a table read it whole."""
+    docs = spark.createDataFrame(
+        [(i, "\n".join(["p"] * (i % 3 + 1)), "en", f"s{i % 2}", 1) for i in range(40)],
+        DOCUMENTS)
+    docs.repartition(4).write.parquet(f"{tmpdir_path}/parts/documents.parquet")
+    os.makedirs(f"{tmpdir_path}/one")
+    docs.coalesce(1).write.parquet(f"{tmpdir_path}/staged")
+    (part,) = [f for f in os.listdir(f"{tmpdir_path}/staged") if f.endswith(".parquet")]
+    os.link(f"{tmpdir_path}/staged/{part}", f"{tmpdir_path}/one/documents.parquet")
+    want = sorted(map(str, QUERIES["chunk_fanout"](spark, f"{tmpdir_path}/one").collect()))
+    for kind in ("one", "parts"):
+        got = QUERIES["stream_chunk_fanout"](spark, f"{tmpdir_path}/{kind}").collect()
+        assert len(got) == 40 and sorted(map(str, got)) == want, kind
+    ev = spark.read.parquet(f"{SF01}/events.parquet").where("event_id < 2000")
+    ev.repartition(3).write.parquet(f"{tmpdir_path}/parts/events.parquet")
+    for stream, batch in (("stream_completion", "ready_documents"),
+                          ("stream_error_alarm", "error_alarm"),
+                          ("stream_alarm_transitions", "alarm_transitions")):
+        got, want = (sorted(map(str, QUERIES[q](spark, f"{tmpdir_path}/parts").collect()))
+                     for q in (stream, batch))
+        assert got == want and got, stream
