@@ -6,6 +6,8 @@ import os
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ from quire.sources.commits import (
 from quire.sources.expiring import apply_retention, read_expiring, write_expiring
 from quire.sources.keyed import get_keys, write_keyed
 from quire.sources.large import read_large_pages
-from quire.streaming.changes import start_change_feed
+from quire.streaming import changes
+from quire.streaming.changes import BUCKETS, start_change_feed
 
 T0 = datetime(2024, 1, 1)
 
@@ -337,3 +340,72 @@ def test_feed_puts_overlapping_files_in_order(spark, tmpdir_path):
              "AND new_status = 'processing'")
     was = ready.replace("new_", "old_")
     assert edges == want.where(f"({ready}) AND NOT coalesce({was}, false)").count() > 0
+
+
+def test_feed_keeps_state_by_bucket_and_not_by_document(spark, tmpdir_path):
+    """Many documents of few rows each, rows without an id among them, give the images of the batch
+    form, and the state has no row per document."""
+    rng = random.Random(5)
+    rows = [(None if i % 50 == 7 else rng.randrange(1200), T0 + timedelta(minutes=i), i,
+             rng.choice([None, 1, 2, 3]), rng.choice([None, None, 2, 3]),
+             rng.choice([None, "", "processing", "failed"])) for i in range(3000)]
+    files = [[r for r in rows if min(2, r[2] // 1000 + (r[2] % 3 == 0)) == f] for f in range(3)]
+    files.append([(-1, T0 + timedelta(days=90), 9999, None, None, "processing")])
+    incoming = f"{tmpdir_path}/in"
+    for f in files:
+        spark.createDataFrame(f, PROGRESS).coalesce(1).write.mode("append").parquet(incoming)
+    stream = (spark.readStream.schema(spark.read.parquet(incoming).schema)
+              .option("maxFilesPerTrigger", 1).parquet(incoming))
+    out = f"{tmpdir_path}/out"
+    q = start_change_feed(stream, out, f"{tmpdir_path}/ck", "2 days", state_partitions=4)
+    q.awaitTermination()
+    held = max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"])
+    assert 0 < held <= BUCKETS + 1 < len({r[0] for r in rows})
+    named = [(-5 if r[0] is None else r[0], *r[1:5], r[5] or None) for r in rows]
+    got = spark.read.parquet(out).fillna({"file_id": -5})
+    assert _images(got) == _images(change_images(spark.createDataFrame(named, PROGRESS)))
+
+
+class _State:
+    """What the feed uses of a group's state."""
+    get = timer = None
+    hasTimedOut = False
+    exists = property(lambda self: self.get is not None)
+
+    def update(self, value):
+        self.get = value
+
+    def remove(self):
+        self.get = None
+
+    def getCurrentWatermarkMs(self):
+        return self.mark
+
+    def setTimeoutTimestamp(self, at):
+        assert at > self.mark
+        self.timer = at
+
+
+def test_feed_forgets_each_document_of_a_bucket_by_its_own_time():
+    run, state = changes._images(3000, 4), _State()
+
+    def call(mark, *rows):
+        state.mark, state.hasTimedOut = mark, not rows
+        none = changes._NONE
+        b = pd.DataFrame({c: np.array([r[k] for r in rows], dtype=np.int64)
+                          for k, c in enumerate(("file_id", "us", "seq"))})
+        b = b.assign(page=1, total=none, status=None).astype({"status": object})
+        return [(r.file_id, r.seq, r.op, r.new_processed) for f in run((0,), iter([b]), state)
+                for r in f.itertuples()]
+
+    assert call(0, (4, 1_000_000, 1), (8, 2_000_000, 2), (8, 9_000_000, 3)) == []
+    assert state.timer == 1000
+    assert call(2500) == [(4, 1, "INSERT", 1), (8, 2, "INSERT", 1)]
+    assert state.timer == 4000
+    assert call(6000) == [] and state.timer == 9000     # 4 is forgotten, 8 has a row waiting
+    assert call(9500, (4, 9_100_000, 4)) == [(4, 4, "INSERT", 1), (8, 3, "MODIFY", 1)]
+    assert state.timer == 12000
+    assert call(20_000) == [] and not state.exists
+    with pytest.raises(ValueError):
+        state.get = (8, b"", b"", b"")
+        call(0)
