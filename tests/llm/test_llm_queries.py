@@ -227,6 +227,6 @@ def test_pipeline_equals_brute_force(spark, docs):
 
 def test_every_numbered_operator_is_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "language_id", "exact_dedup", "near_duplicates", "decontamination", "mixing"]
