@@ -5,12 +5,14 @@ whose hash (seeded by the node) is below ``1 / (0.8 |x|)``. Two sets of Jaccard
 share at least 0.8 of the larger one's shingles, so at each level they are expected to share a
 child at least once, while unlike sets part. Nodes of more than ``BUCKET_LIMIT`` sets are split
 again, down to ``MOST_DEPTH``, where only sets that share most shingles are still together; the rest
-are buckets, compared by brute force. Runs repeat until the chance of missing a pair at the
+are buckets, compared by brute force. First nodes full of near copies, which would stay together,
+are buckets at once, whatever their size. Runs repeat until the chance of missing a pair at the
 threshold at that depth is below ``1 - recall``.
 
 1. ``_sketch``: equal sets become one text; a text carries the first nodes of all runs. Nodes are
-   counted, those of one text dropped. The children of large nodes are made level by level, from the
-   texts in them alone: a task finds a text's path again from the large nodes' bit filters.
+   counted, those of one text dropped. The children of large nodes (but for those of near copies) are
+   made level by level, from the texts in them alone: a task finds a text's path again from the
+   large nodes' bit filters.
 2. Near copies share most of their buckets. Where half of a bucket's texts have the same largest
    bucket, that is where they are gathered: one group instead of many buckets with the same texts,
    if its pairs are no more than theirs. Buckets whose texts all are in one group are dropped.
@@ -35,6 +37,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -182,17 +185,20 @@ def _children(k: int, threshold: float, roots: np.ndarray, large: list, wanted)
 
 
 def _rows_held(bits) -> Callable:
-    """(node, k1, k2, h) for the nodes of a text that are in the filter."""
+    """(node, k1, k2, h, of) for the nodes of a text that are in the filter; ``of`` is how many nodes
+    the text has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             off, val = _lists(b, "nodes")
-            row = np.repeat(np.arange(len(b)), np.diff(off))
+            of = np.diff(off)
+            row = np.repeat(np.arange(len(b)), of)
             val = val[off[0]:off[-1]]
             keep = may_hold(bits.value, val.view(np.uint64)) if len(val) else np.zeros(0, bool)
             at = pa.array(row[keep])
             yield pa.record_batch({"node": pa.array(val[keep]), "k1": b["k1"].take(at),
-                                   "k2": b["k2"].take(at), "h": b["h"].take(at)})
+                                   "k2": b["k2"].take(at), "h": b["h"].take(at),
+                                   "of": pa.array(of[row[keep]].astype(np.int64))})
 
     return run
 
@@ -405,18 +411,44 @@ def _with_size(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return join_spread(rows, sizes, ["node"], "k1")
 
 
+def _whole(rows: DataFrame) -> DataFrame:
+    """rows node, n, k1, k2, .., of: the texts of the large first nodes. Adds whole: is the node one of
+    near copies? Half of its texts or more have two thirds of their nodes among those whose texts
+    mostly have the same largest node. Such texts go into the same children, so splitting the node
+    would write them again at every level and part hardly any."""
+    text = ["k1", "k2"]
+    first = F.max(F.struct("n", "node")).over(W.partitionBy(*text))["node"]
+    to = (rows.withColumn("first", first).groupBy("node", "n", "first")
+          .agg(F.count(F.lit(1)).alias("c"))
+          .groupBy("node", "n").agg(F.max(F.struct("c", "first")).alias("top"))
+          .where(F.col("top.c") * 2 >= F.col("n"))
+          .select("node", F.col("top.first").alias("to")).checkpoint())
+    shared = F.count(F.lit(1)).over(W.partitionBy(*text, "to"))
+    whole = (join_spread(rows.select("node", "n", *text, "of"), to, ["node"], "k1")
+             .withColumn("alike", shared * 3 >= F.col("of") * 2)
+             .groupBy("node", "n").agg(F.count_if("alike").alias("c"))
+             .where(F.col("c") * 2 >= F.col("n")).select("node", F.lit(True).alias("whole")))
+    every = (rows.select("node").distinct().join(whole, "node", "left")
+             .select("node", F.coalesce("whole", F.lit(False)).alias("whole")))
+    return join_spread(rows, every.checkpoint(), ["node"], "k1")
+
+
 def _buckets(spark: SparkSession, ids: DataFrame, texts: DataFrame, shingle: int, threshold: float,
              roots: np.ndarray, limit: int) -> DataFrame:
     """bucket, n, k1, k2: the buckets of every text that shares one."""
     sizes = cut(texts.select(F.explode("nodes").alias("node")).groupBy("node")
                 .agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     rows = texts.select("nodes", "k1", "k2", F.xxhash64("rep").alias("h")).mapInArrow(
-        _rows_held(_filter(spark, sizes, "node")), "node long, k1 long, k2 long, h long")
+        _rows_held(_filter(spark, sizes, "node")), "node long, k1 long, k2 long, h long, of long")
     level = cut(_with_size(rows, sizes))
     done, large = [], []
     for depth in range(1, MOST_DEPTH + 1):
         done.append(level.where(F.col("n") <= limit))
         level = level.where(F.col("n") > limit)
+        if depth == 1:
+            level = cut(_whole(level))
+            done.append(level.where("whole"))
+            level = level.where("not whole")
         ups = level.select("node", "n").distinct().checkpoint()
         if depth == MOST_DEPTH or ups.isEmpty():
             done.append(level)
